@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_files
+from . import chat, decontaminate, packing, simhash, token_files
 from .common import table
 
 
@@ -22,5 +23,62 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.export(table(spark, sf_dir, "documents"), bpe_path()))
 
 
-QUERIES = {"op6_packing": op6_packing, "op8_token_files": op8_token_files}
-ORACLE_SQL: dict[str, str] = {}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trap = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(more)
+    return chat.digests(chat.render(chat.events_of(rows)))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op6_packing": op6_packing,
+    "op7_chat": op7_chat,
+    "op8_token_files": op8_token_files,
+    "op9_decontaminate": op9_decontaminate,
+}
+
+#: What the template adds and escapes, restated in SQL for op7.
+_ESC = "replace(replace(replace(replace(replace(replace(replace({0}, chr(92), chr(92)||chr(92)), '<s>', '<'||chr(92)||'s>'), '</s>', '<'||chr(92)||'/s>'), '[INST]', '['||chr(92)||'INST]'), '[/INST]', '['||chr(92)||'/INST]'), '<<SYS>>', '<'||chr(92)||'<SYS>>'), '<</SYS>>', '<'||chr(92)||'</SYS>>')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(11 + length({_ESC.format("role")}) + length({_ESC.format("text")})) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""",
+    "op9_decontaminate": r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '^ ', ''), '[^ ]+') AS w
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM documents)),
+iw AS (
+  SELECT item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS m, list_slice(w, i, i + least(13, len(w)) - 1) AS g
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM iw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT m FROM win),
+dg AS (
+  SELECT doc_id, m, i, list_slice(w, i, i + m - 1) AS g
+  FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM dw, sizes WHERE len(w) >= m)),
+hit AS (SELECT doc_id, item_id, i, dg.m FROM dg JOIN win ON dg.m = win.m AND dg.g = win.g),
+hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS p FROM hit) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+}
