@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, simhash, substring, suffix, token_files
+from . import ann, chat, decontaminate, language, packing, quality, simhash, substring, suffix, token_files
 from .common import table
 
 
@@ -15,6 +15,14 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), bpe_path()))
 
@@ -44,6 +52,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.render(chat.events_of(rows)))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -52,10 +64,13 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_substring": op2_substring,
     "op3_simhash": op3_simhash,
+    "op4_ann": op4_ann,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_chat": op7_chat,
     "op8_token_files": op8_token_files,
     "op9_decontaminate": op9_decontaminate,
+    "op10_language": op10_language,
 }
 
 #: What the template adds and escapes, restated in SQL for op7.
