@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +41,12 @@ def id_text(documents: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_row(documents: DataFrame, carry: list[str], result: str) -> tuple[DataFrame, StructType]:
+    """id_text, with the columns in carry as one struct `row` behind it if there are any; and result's schema with the same struct."""
+    schema = StructType.fromDDL(result)
+    if not carry:
+        return id_text(documents), schema
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*carry).alias("row"))
+    return rows, schema.add(rows.schema["row"])

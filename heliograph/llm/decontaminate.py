@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import with_row
 
 BLOCK_CHARS = 256 << 10
 #: Bytes that end a word become spaces, A-Z become a-z.
@@ -82,7 +82,7 @@ def _scanner(shared, window: int):
                         last = np.searchsorted(space, [e for e, _ in found]) - 1
                         hits[k] = _merged([(h["first"], h["last"]) for h in hits[k]] + [(j - size + 1, j) for j, (_, (size, _)) in zip(last.tolist(), found)])
                         items[k] = sorted({*items[k], *(i for _, (_, own) in found for i in own)})
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, t) for x, t in zip((counts, hits, items), kinds[2:]))], ["doc_id", "text", "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, t) for x, t in zip((counts, hits, items), kinds[2:])), *part.columns[5:]], batch.schema.names)
 
     return run
 
@@ -97,8 +97,8 @@ def _merged(runs: list[tuple[int, int]]) -> list[dict]:
     return [{"first": a, "last": b} for a, b in out]
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, text, n_words, hits (runs of hit words, by index) and items, one row per document."""
+def scan(documents: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: int = BLOCK_CHARS, carry: list[str] = ()) -> DataFrame:
+    """doc_id, text, n_words, hits (runs of hit words, by index) and items, one row per document; row: a struct of the columns in carry."""
     spark = documents.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size, block, blocks = 0, [], []
@@ -109,29 +109,35 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = 13, block_cha
         block.append((r["id"], r["text"]))
         size += len(r["text"])
     blocks.append(block)
-    out = id_text(documents).withColumns({
-        "n_words": F.lit(0).cast("long"),
-        "hits": F.array().cast("array<struct<first:int,last:int>>"),
-        "items": F.array().cast("array<string>"),
-    })
+    rows, schema = with_row(documents, carry, _RESULT)
+    nothing = (F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:int,last:int>>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    out = rows.select("doc_id", "text", *nothing, *rows.columns[2:])
     for block in blocks:
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast((uuid.uuid4().hex, block)), window), _RESULT)
+        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast((uuid.uuid4().hex, block)), window), schema)
     return out
 
 
 def report(scanned: DataFrame) -> DataFrame:
     """The contract's columns: a document is contaminated if hits make up a twentieth of its words."""
-    n_hit = F.coalesce(F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + (h["last"] - h["first"] + 1)), F.lit(0).cast("long"))
+    n_hit = hit_words()
     return scanned.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )
 
 
+def hit_words() -> Column:
+    return F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + (h["last"] - h["first"] + 1))
+
+
+def contaminated() -> Column:
+    return (hit_words() > 0) & (20 * hit_words() >= F.col("n_words"))
+
+
 def spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Code-point offsets in the original text of runs of hit words."""
     raw = text.encode("utf-8", "surrogatepass")

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_row
+
 HIDDEN = 8
 STEPS = 128
 FIT_STEPS = 48
@@ -169,8 +171,8 @@ def train(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[ByteBiGRU, list[
     return model, langs
 
 
-def predict(documents: DataFrame, model: tuple[ByteBiGRU, list[str]] | None, batch: int = 4096) -> DataFrame:
-    """doc_id, lang_pred, score and shares (pooled probability of each language) of every row."""
+def predict(documents: DataFrame, model: tuple[ByteBiGRU, list[str]] | None, batch: int = 4096, carry: list[str] = ()) -> DataFrame:
+    """doc_id, lang_pred, score and shares (pooled probability of each language) of every row; row: a struct of the columns in carry."""
     net, langs = model or (None, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +192,11 @@ def predict(documents: DataFrame, model: tuple[ByteBiGRU, list[str]] | None, bat
                 best = shares.argmax(1)
                 names = [langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known)]
                 score = np.where(known, np.clip(shares.max(1), 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(shares.tolist(), pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "shares"])
+                out = [part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(shares.tolist(), pa.list_(pa.float64())), *part.columns[2:]]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "lang_pred", "score", "shares", *part.schema.names[2:]])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, RESULT)
+    rows, schema = with_row(documents, carry, RESULT)
+    return rows.mapInArrow(run, schema)
 
 
 def _by_weight(table: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -206,8 +210,8 @@ def _by_weight(table: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.Record
         at = stop
 
 
-def identify(documents: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
+def identify(documents: DataFrame, max_fit: int = MAX_FIT, carry: list[str] = ()) -> DataFrame:
     """Learn from three quarters of the labelled documents, by crc32 of the id, and predict for all."""
     learn = documents.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2)).select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    found = predict(documents, train(learn, max_fit))
-    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "shares")
+    found = predict(documents, train(learn, max_fit), carry=carry)
+    return found.withColumn("held_out", held_out(F.col("doc_id"), 4, 2))

@@ -376,3 +376,14 @@ def _result(p: _Pieces, mask: np.ndarray) -> pa.Table:
         "spans": pa.array(spans, kind),
         "kept": pa.array(kept, pa.binary()),
     })
+
+
+def texts(found: DataFrame) -> DataFrame:
+    """dedup()'s rows with `text` for `kept`: bytes of characters that were cut into are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [k.decode("utf-8", "ignore") for k in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(text, pa.string())], [*batch.schema.names[:4], "text"])
+
+    return found.select("doc_id", "extra", "n_bytes", "n_removed", "kept").mapInArrow(run, "doc_id long, extra string, n_bytes long, n_removed long, text string")
