@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, spool
+from .common import parallelism
 
-BLOCK_BYTES = 4 << 20
-RANGE_VALUES = 1_500_000
+BLOCK_BYTES = 2 << 20
+RANGE_VALUES = 1_000_000
 SCHEMA = "block_id long, doc_ids array<long>, extras array<string>, sizes array<long>, n_bytes long, body binary"
 SENT = "range int, block_id long, n int, payload binary"
 VERDICT = "block_id long, range int, n int, bits binary"
@@ -163,7 +163,7 @@ def sent_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["range", "block_id", "n", "payload"])
 
 
-def judged(sent: DataFrame, judge: Callable[..., np.ndarray], flags: int, label: str) -> DataFrame:
+def judged(sent: DataFrame, judge: Callable[..., np.ndarray], flags: int) -> DataFrame:
     """Verdicts. judge(values, owner, *flags) -> a bool for each value; owner numbers the blocks of this range."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -175,7 +175,7 @@ def judged(sent: DataFrame, judge: Callable[..., np.ndarray], flags: int, label:
         bits = [pack(np.packbits(good[a:b]).tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
         return pa.table({"block_id": table["block_id"], "range": table["range"], "n": table["n"], "bits": pa.array(bits, pa.binary())})
 
-    return spool(sent.groupBy("range").applyInArrow(run, VERDICT), label)
+    return sent.groupBy("range").applyInArrow(run, VERDICT)
 
 
 def verdict(table: pa.Table) -> np.ndarray:

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Rows that hold whole texts or blocks are large, so Spark reads and hands them over a few hundred at a time.
+WIDE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "256", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for key, value in WIDE_ROWS.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

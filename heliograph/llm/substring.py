@@ -125,9 +125,9 @@ def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> Data
         return _result(words, first, window)
 
     sent = blocks.mapInArrow(ask_probes, B.SENT)
-    hits = B.judged(sent, judge_probes, 2, "hits")
+    hits = B.judged(sent, judge_probes, 2)
     asked = spool(B.meet(blocks, hits, ask_windows, B.SENT), "windows", "none")
-    repeats = B.judged(asked.where("range >= 0"), judge_windows, 1, "repeats")
+    repeats = B.judged(asked.where("range >= 0"), judge_windows, 1)
     places = asked.where("range < 0").selectExpr("block_id", "range", "n", "payload as bits")
     return B.meet(blocks, repeats.unionByName(places), remove, RESULT)
 
