@@ -34,7 +34,7 @@ ANCHOR = 20
 HEAD = 16
 #: A perfect difference set: every difference modulo V is that of two elements of D. Fixed values.
 V, D = 13, (0, 1, 3, 9)
-BUCKET_SUFFIXES = 1 << 20
+BUCKET_SUFFIXES = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 RESULT = "doc_id long, extra string, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
 
@@ -243,8 +243,8 @@ def earlier_starts(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.nda
 
 
 def _ranges(total: int) -> tuple[int, int]:
-    """How many hash ranges for anchors (one per 14 bytes) and for pieces (80 bytes each, under 24 MB a range)."""
-    return B.ranges_for(total / 14), max(1, math.ceil(total / 14 * 80 / (24 << 20)))
+    """How many hash ranges for anchors (one per 14 bytes) and for pieces (80 bytes each, under 8 MB a range)."""
+    return B.ranges_for(total / 14), max(1, math.ceil(total / 14 * 80 / (8 << 20)))
 
 
 def dedup(documents: DataFrame, window: int = 50, carry: list[str] = ()) -> DataFrame:
@@ -334,9 +334,9 @@ def dedup(documents: DataFrame, window: int = 50, carry: list[str] = ()) -> Data
         return _result(p, mask)
 
     sent = blocks.mapInArrow(ask_anchors, B.SENT)
-    live = B.judged(sent, judge_anchors, 1, "anchors")
+    live = B.judged(sent, judge_anchors, 1)
     pieces = spool(B.meet(blocks, live, send_pieces, B.SENT), "pieces", "none")
-    sorted_ = spool(pieces.where("range >= 0").groupBy("range").applyInArrow(sort_range, B.VERDICT), "sorted")
+    sorted_ = pieces.where("range >= 0").groupBy("range").applyInArrow(sort_range, B.VERDICT)
     asked_for = pieces.where("range < 0").selectExpr("block_id", "range", "n", "payload as bits")
     return B.meet(blocks, sorted_.unionByName(asked_for), remove, RESULT)
 
