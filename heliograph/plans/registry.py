@@ -1,5 +1,588 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the surrogate graph and the sample tables, each with the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vector as V
+from ..operators import aggregates as A
+from ..operators import match as M
+from ..operators import reads as R
+from ..operators import resolve as E
+from ..operators import review as Q
+from ..operators import search as S
+from ..operators import state as U
+from ..sources import papers as P
+from ..sources.surrogate import SQL, load, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "topic_problem_rollup"
+
+
+def query(sql: str | None, graph: bool = True):
+    """Register a function under its name; sql begins with further common tables ("WITH ...") or a select."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            body = sql.strip()
+            if graph:
+                body = f"WITH RECURSIVE {SQL},\n{body[5:]}" if body.startswith("WITH ") else f"WITH RECURSIVE {SQL}\n{body}"
+            ORACLE_SQL[f.__name__] = body
+        return f
+
+    return add
+
+
+# --- hierarchy and patterns ---------------------------------------------------------------------------------------
+
+
+@query("""WITH up AS (SELECT id AS src, id AS dst FROM topic UNION ALL SELECT up.src, t.parent_id FROM up JOIN topic t ON up.dst = t.id WHERE t.parent_id IS NOT NULL)
+SELECT r.name AS domain, p.status, count(DISTINCT p.id) AS n_problems
+FROM up JOIN topic r ON up.dst = r.id AND r.level = 'domain' JOIN belongs b ON b.dst = up.src JOIN problem p ON p.id = b.src GROUP BY r.name, p.status""")
+def topic_problem_rollup(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d)
+    domains = g.nodes["topic"].where("level = 'domain'").select(F.col("id").alias("root"), F.col("name").alias("domain"))
+    under = M.closure(g.edges["subtopic_of"], 2).join(domains, F.col("dst") == F.col("root")).select(F.col("src").alias("topic"), "domain")
+    hits = g.edges["belongs_to"].join(under, F.col("dst") == F.col("topic")).select(F.col("src").alias("id"), "domain").distinct()
+    return hits.join(g.nodes["problem"].select("id", "status"), "id").groupBy("domain", "status").agg(F.count("*").alias("n_problems"))
+
+
+@query("""WITH up AS (SELECT id AS src, id AS dst, 0 AS depth FROM topic UNION ALL SELECT up.src, t.parent_id, depth + 1 FROM up JOIN topic t ON up.dst = t.id WHERE t.parent_id IS NOT NULL)
+SELECT src, dst, CAST(depth AS INTEGER) AS depth FROM up""")
+def topic_closure(spark: SparkSession, d: str) -> DataFrame:
+    return M.closure(load(spark, d).edges["subtopic_of"], 2)
+
+
+@query("SELECT c.parent_id AS id, count(*) AS n_children, min(c.name) AS first_child FROM topic c WHERE c.parent_id IS NOT NULL GROUP BY c.parent_id")
+def topic_children(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d)
+    rows = M.hop(g.nodes["topic"].select("id", F.col("name").alias("child")), g.edges["subtopic_of"], g.nodes["topic"].select("id"))
+    return rows.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n_children"), F.min("child").alias("first_child"))
+
+
+@query("SELECT dst AS author, src AS paper, author_position, title, coalesce(year, 0) AS year FROM authored JOIN paper ON paper.id = src WHERE dst = 'A7'")
+def papers_by_author(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d)
+    rows = M.hop(g.nodes["paper"].select("id", "title", "year"), g.edges["authored_by"].where("dst = 'A7'"), R.get(g.nodes["author"], "id", "A7").select("id"))
+    return rows.select(F.col("dst").alias("author"), F.col("src").alias("paper"), "author_position", "title", F.coalesce("year", F.lit(0)).alias("year"))
+
+
+@query("""WITH pairs AS (SELECT c.src AS id, c.dst AS other, 'outgoing' AS direction FROM cites c UNION ALL SELECT c.dst, c.src, 'incoming' FROM cites c WHERE c.src <> c.dst)
+SELECT id, other, direction FROM pairs WHERE id IN ('10.1/1', '10.1/2', '10.1/3')""")
+def related_both_ways(spark: SparkSession, d: str) -> DataFrame:
+    ids = spark.createDataFrame([(f"10.1/{i}",) for i in (1, 2, 3)], "id string")
+    return M.around(load(spark, d).edges["cites"], ids)
+
+
+@query("SELECT p.id, count(c.dst) AS n_refs, CAST(count(CASE WHEN t.year < p.year THEN 1 END) AS BIGINT) AS n_older FROM paper p LEFT JOIN cites c ON c.src = p.id LEFT JOIN paper t ON t.id = c.dst GROUP BY p.id")
+def references_of_papers(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d)
+    rows = M.hop(g.nodes["paper"].select("id", "year"), g.edges["cites"], g.nodes["paper"].select("id", F.col("year").alias("ref_year")), "left")
+    return rows.groupBy(F.col("src").alias("id")).agg(F.count("dst").alias("n_refs"), F.count_if(F.col("ref_year") < F.col("year")).alias("n_older"))
+
+
+@query("SELECT id FROM paper WHERE id NOT IN (SELECT dst FROM cites) AND id NOT IN (SELECT dst FROM extracted)")
+def papers_without_use(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d)
+    return M.exists(M.exists(g.nodes["paper"], g.edges["cites"], "dst", negate=True), g.edges["extracted_from"], "dst", negate=True).select("id")
+
+
+_BFS = """WITH ranked AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM {edges}) WHERE n <= 3),
+walk AS (SELECT '10.1/1' AS id, 0 AS depth UNION SELECT r.dst, depth + 1 FROM walk JOIN ranked r ON r.src = walk.id WHERE depth < 3)
+SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY id"""
+
+
+@query(_BFS.format(edges="cites"))
+def citation_bfs_out(spark: SparkSession, d: str) -> DataFrame:
+    return M.bfs(load(spark, d).edges["cites"], spark.createDataFrame([("10.1/1",)], "id string"), 3, "out", fan_out=3)
+
+
+@query(_BFS.format(edges="(SELECT dst AS src, src AS dst FROM cites)"))
+def citation_bfs_in(spark: SparkSession, d: str) -> DataFrame:
+    return M.bfs(load(spark, d).edges["cites"], spark.createDataFrame([("10.1/1",)], "id string"), 3, "in", fan_out=3)
+
+
+@query(_BFS.format(edges="(SELECT src, dst FROM cites UNION SELECT dst, src FROM cites)"))
+def citation_bfs_both(spark: SparkSession, d: str) -> DataFrame:
+    return M.bfs(load(spark, d).edges["cites"], spark.createDataFrame([("10.1/1",)], "id string"), 3, "both", fan_out=3)
+
+
+@query("""WITH few AS (SELECT id, CASE WHEN length(statement) > 20 THEN left(statement, 20) || '...' ELSE statement END AS label FROM problem ORDER BY id LIMIT 100),
+links AS (SELECT e.src, e.dst, 'extracted_from' AS kind FROM extracted e JOIN few s ON s.id = e.src UNION ALL SELECT b.src, b.dst, 'belongs_to' FROM belongs b JOIN few s ON s.id = b.src)
+SELECT src, dst, kind, label FROM links JOIN few ON few.id = links.src""")
+def graph_view(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d)
+    label = F.when(F.length("statement") > 20, F.concat(F.substring("statement", 1, 20), F.lit("..."))).otherwise(F.col("statement"))
+    some = R.page(g.nodes["problem"], F.col("id"), limit=100).select(F.col("id").alias("src"), label.alias("label"))
+    kinds = [g.edges[k].select("src", "dst", F.lit(k).alias("kind")) for k in ("extracted_from", "belongs_to")]
+    return kinds[0].unionByName(kinds[1]).join(some, "src").select("src", "dst", "kind", "label")
+
+
+# --- reads -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT id, status, CAST(CAST(created_at AS DATE) AS VARCHAR) AS day FROM problem WHERE status = 'open' ORDER BY created_at DESC NULLS FIRST, id LIMIT 50 OFFSET 20")
+def list_problems_page(spark: SparkSession, d: str) -> DataFrame:
+    rows = R.page(load(spark, d).nodes["problem"], F.col("created_at").desc_nulls_first(), F.col("id"), limit=50, offset=20, where=F.col("status") == "open")
+    return rows.select("id", "status", F.to_date("created_at").cast("string").alias("day"))
+
+
+@query("SELECT id, title, coalesce(y, 0) AS year FROM (SELECT id, title, year AS y FROM paper) ORDER BY y DESC NULLS FIRST, id LIMIT 200")
+def list_papers_page(spark: SparkSession, d: str) -> DataFrame:
+    return R.page(load(spark, d).nodes["paper"].select("id", "title", "year"), F.col("year").desc_nulls_first(), F.col("id"), limit=200).fillna(0, ["year"])
+
+
+@query("SELECT id, title FROM paper WHERE contains(lower(title), 'o') AND venue = (SELECT min(venue) FROM paper) ORDER BY title, id LIMIT 100")
+def list_filtered_page(spark: SparkSession, d: str) -> DataFrame:
+    papers = load(spark, d).nodes["paper"]
+    least = papers.agg(F.min("venue").alias("venue"))
+    return R.page(papers.join(F.broadcast(least), "venue").where(R.contains_ci("title", "O")).select("id", "title"), F.col("title"), F.col("id"), limit=100)
+
+
+@query("""SELECT name, id, level FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE level WHEN 'subtopic' THEN 1 WHEN 'area' THEN 2 ELSE 3 END, id) AS n FROM topic) WHERE n = 1""")
+def topic_by_name_tiebreak(spark: SparkSession, d: str) -> DataFrame:
+    return R.topics_by_name(load(spark, d).nodes["topic"]).select("name", "id", "level")
+
+
+@query("""SELECT p.id, CAST(1.0 AS DOUBLE) AS score FROM problem p WHERE status = 'open'
+AND EXISTS (SELECT 1 FROM belongs b JOIN topic t ON t.id = b.dst WHERE b.src = p.id AND t.parent_id = 'N3')
+AND EXISTS (SELECT 1 FROM extracted e JOIN paper q ON q.id = e.dst WHERE e.src = p.id AND q.year BETWEEN 1995 AND 2005) ORDER BY created_at DESC NULLS FIRST, p.id LIMIT 40""")
+def structured_search(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d)
+    topics = g.nodes["topic"].where("parent_id = 'N3'").select("id")
+    return R.structured_search(g.nodes["problem"], g.edges["belongs_to"], g.edges["extracted_from"], g.nodes["paper"], topics, "open", 1995, 2005, 40).select("id", "score")
+
+
+@query("""SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n FROM events WHERE value >= 0.5) WHERE n <= 10""", graph=False)
+def top_by_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return R.top_by_confidence(table(spark, d, "events"), "event_type", "value", "event_id").select("event_type", "event_id", "value")
+
+
+# --- aggregates and health ------------------------------------------------------------------------------------------
+
+
+@query("SELECT status, count(*) AS n FROM problem GROUP BY status")
+def stats_by_status(spark: SparkSession, d: str) -> DataFrame:
+    return A.counts_by(load(spark, d).nodes["problem"], "status")
+
+
+@query("SELECT t.name, count(*) AS n FROM belongs b JOIN topic t ON t.id = b.dst GROUP BY t.name")
+def stats_by_topic(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d)
+    return A.counts_by(g.edges["belongs_to"].join(g.nodes["topic"].select(F.col("id").alias("dst"), "name"), "dst"), "name")
+
+
+@query("""WITH old AS (SELECT t.id, CASE WHEN length(t.id) % 2 = 0 THEN coalesce(n, 0) ELSE 1 END AS c FROM topic t LEFT JOIN (SELECT dst, count(DISTINCT src) AS n FROM belongs GROUP BY dst) ON dst = t.id)
+SELECT old.id, CAST(c AS BIGINT) AS old_problem_count, coalesce(n, 0) AS new_problem_count FROM old LEFT JOIN (SELECT dst, count(DISTINCT src) AS n FROM belongs GROUP BY dst) ON dst = old.id WHERE c <> coalesce(n, 0)""")
+def reconcile_topic_counts(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d)
+    right = U.with_counter(g.nodes["topic"], g.edges["belongs_to"], "problem_count")
+    drifted = right.withColumn("problem_count", F.when(F.length("id") % 2 == 0, F.col("problem_count")).otherwise(1))
+    return A.reconcile(drifted, {"problem_count": g.edges["belongs_to"]})
+
+
+@query("""SELECT p.id, coalesce(i.n, 0) AS citation_count, coalesce(o.n, 0) AS reference_count FROM paper p
+LEFT JOIN (SELECT dst, count(*) AS n FROM cites GROUP BY dst) i ON i.dst = p.id LEFT JOIN (SELECT src, count(*) AS n FROM cites GROUP BY src) o ON o.src = p.id""")
+def citation_counts(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d)
+    return A.degree_counts(g.nodes["paper"], g.edges["cites"])
+
+
+_FAILED = "CASE WHEN quality = 1 THEN NULL WHEN doc_id % 3 = 0 THEN 'topics, models' WHEN doc_id % 3 = 1 THEN 'models,, ' ELSE 'concepts' END"
+
+
+def _completeness(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labels").selectExpr("doc_id", "quality = 0 AS extraction_incomplete", f"{_FAILED} AS failed_extractors")
+
+
+@query(f"""SELECT extractor, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM labels) AS share FROM (SELECT trim(x) AS extractor FROM (SELECT unnest(string_split({_FAILED}, ',')) AS x FROM labels)) WHERE extractor <> '' GROUP BY extractor""", graph=False)
+def completeness_health(spark: SparkSession, d: str) -> DataFrame:
+    return A.completeness(_completeness(spark, d))
+
+
+@query(f"SELECT doc_id FROM labels WHERE quality = 0 AND contains({_FAILED}, 'models')", graph=False)
+def incomplete_by_extractor(spark: SparkSession, d: str) -> DataFrame:
+    return _completeness(spark, d).where(~A.is_complete() & F.col("failed_extractors").contains("models")).select("doc_id")
+
+
+@query("""SELECT 'problem_without_topic' AS check_name, count(*) AS n, count(*) = 0 AS passed FROM problem WHERE id NOT IN (SELECT src FROM belongs)
+UNION ALL SELECT 'paper_without_author', count(*), count(*) = 0 FROM paper WHERE id NOT IN (SELECT src FROM authored)
+UNION ALL SELECT 'nodes_topic', count(*), count(*) > 0 FROM topic UNION ALL SELECT 'nodes_problem', count(*), count(*) > 0 FROM problem
+UNION ALL SELECT 'nodes_paper', count(*), count(*) > 0 FROM paper UNION ALL SELECT 'nodes_author', count(*), count(*) > 0 FROM author
+UNION ALL SELECT 'edges_subtopic_of', count(*), count(*) > 0 FROM topic WHERE parent_id IS NOT NULL UNION ALL SELECT 'edges_belongs_to', count(*), count(*) > 0 FROM belongs
+UNION ALL SELECT 'edges_extracted_from', count(*), count(*) > 0 FROM extracted UNION ALL SELECT 'edges_authored_by', count(*), count(*) > 0 FROM authored
+UNION ALL SELECT 'edges_cites', count(*), count(*) > 0 FROM cites""")
+def sanity_checks(spark: SparkSession, d: str) -> DataFrame:
+    return A.sanity(load(spark, d), {"problem_without_topic": ("problem", "belongs_to"), "paper_without_author": ("paper", "authored_by")})
+
+
+@query("""SELECT 'subtopic_of' AS kind, count(*) AS n FROM topic WHERE parent_id IS NOT NULL UNION ALL SELECT 'belongs_to', count(*) FROM belongs
+UNION ALL SELECT 'extracted_from', count(*) FROM extracted UNION ALL SELECT 'authored_by', count(*) FROM authored UNION ALL SELECT 'cites', count(*) FROM cites""")
+def edge_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return A.edge_histogram(load(spark, d))
+
+
+@query("""WITH j AS (SELECT user_id % 10 AS batch, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' ELSE 'failed' END AS status, event_id % 7 AS problems FROM events),
+a AS (SELECT batch, count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'in_progress') AS in_progress, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, CAST(sum(problems) AS BIGINT) AS problems FROM j GROUP BY batch)
+SELECT *, CASE WHEN total > 0 THEN 100.0::DOUBLE * (completed + failed) / total ELSE 0 END AS percent_done, CASE WHEN completed + failed > 0 THEN 100.0::DOUBLE * completed / (completed + failed) ELSE 0 END AS percent_good FROM a""", graph=False)
+def batch_progress(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "events").selectExpr("user_id % 10 AS batch", "CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' ELSE 'failed' END AS status", "event_id % 7 AS problems")
+    return A.progress(jobs, "batch")
+
+
+# --- vectors: the query set is every row whose id is divisible by 20 --------------------------------------------------
+
+_VEC = """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector, label FROM embeddings),
+near AS (SELECT q.id AS query_id, n.id, n.label, q.label AS query_label, round(list_cosine_similarity(q.vector, n.vector), 9) AS score FROM v q, v n WHERE q.id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near)
+"""
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return rows.where("id % 20 = 0"), rows
+
+
+@query(_VEC + "SELECT query_id, id, round(score, 6) AS score FROM ranked WHERE rank <= 10", graph=False)
+def knn_topk(spark: SparkSession, d: str) -> DataFrame:
+    return V.scores(*_vectors(spark, d), 10).withColumn("score", F.round("score", 6))
+
+
+@query(_VEC + "SELECT query_id, id, round(score, 6) AS score FROM ranked WHERE rank <= 10 AND label = 3", graph=False)
+def knn_post_filter(spark: SparkSession, d: str) -> DataFrame:
+    queries, rows = _vectors(spark, d)
+    return V.scores(queries, rows, 10).join(rows.where("label = 3").select("id"), "id").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(_VEC + """, near30 AS (SELECT *, 0.7 * score + 0.3 * 0.5 AS s FROM ranked WHERE rank <= 30 AND label < 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM near30) SELECT query_id, id, round(s, 6) AS score FROM r WHERE n <= 10""", graph=False)
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    return S.hybrid(*_vectors(spark, d), [F.col("label") < 5]).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(_VEC + "SELECT query_id, id, round(score, 6) AS score FROM ranked WHERE rank <= 10 AND score >= 0.35 AND query_id <> id", graph=False)
+def find_similar(spark: SparkSession, d: str) -> DataFrame:
+    return S.similar(*_vectors(spark, d), 0.35).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(_VEC + """, c AS (SELECT query_id, id, score, least(1.0, score + CASE WHEN query_label = label THEN 0.2 ELSE 0 END) AS f FROM ranked WHERE rank <= 10),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, id) AS n FROM c)
+SELECT query_id, id, CASE WHEN score >= 0.95 THEN 'high' WHEN score >= 0.8 THEN 'medium' WHEN score >= 0.5 THEN 'low' ELSE 'rejected' END AS confidence,
+CASE WHEN score >= 0.95 THEN 'auto_link' WHEN score >= 0.8 THEN 'evaluator' WHEN score >= 0.5 THEN 'debate' ELSE 'new_concept' END AS route FROM r WHERE n = 1""", graph=False)
+def match_and_route(spark: SparkSession, d: str) -> DataFrame:
+    queries, rows = _vectors(spark, d)
+    found = V.scores(queries, rows, 10)
+    same = found.join(queries.select(F.col("id").alias("query_id"), F.col("label").alias("l")), "query_id").join(rows.select("id", "label"), "id").where("l = label")
+    return S.routes(S.candidates(found, same.select(F.col("query_id").alias("mention"), F.col("id").alias("concept"), F.lit(0.2).alias("boost"))))
+
+
+@query(_VEC + ", p AS (SELECT query_label = label AS same, score FROM near WHERE query_id <> id), t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE AS threshold), "
+"""a AS (SELECT threshold, count(*) FILTER (same AND score >= threshold) AS tp, count(*) FILTER (NOT same AND score >= threshold) AS fp, count(*) FILTER (NOT same AND score < threshold) AS tn, count(*) FILTER (same AND score < threshold) AS fn FROM t, p GROUP BY threshold),
+b AS (SELECT *, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END AS r FROM a)
+SELECT threshold, tp, fp, tn, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM b""", graph=False)
+def calibration_sweep(spark: SparkSession, d: str) -> DataFrame:
+    queries, rows = _vectors(spark, d)
+    pairs = V.scores(queries, rows, least=-2.0).where("query_id <> id")
+    labelled = pairs.join(queries.select(F.col("id").alias("query_id"), F.col("label").alias("l")), "query_id").join(rows.select("id", "label"), "id").select((F.col("l") == F.col("label")).alias("same"), "score")
+    return A.threshold_sweep(labelled, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]).select("threshold", "tp", "fp", "tn", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(f"SELECT threshold, f1 FROM ({{sweep}}) WHERE f1 > 0 ORDER BY f1 DESC, precision DESC, threshold DESC LIMIT 1", graph=False)
+def calibration_recommend(spark: SparkSession, d: str) -> DataFrame:
+    return A.recommended(calibration_sweep(spark, d))
+
+
+ORACLE_SQL["calibration_recommend"] = ORACLE_SQL["calibration_recommend"].format(sweep=ORACLE_SQL["calibration_sweep"])
+
+
+# --- resolution ---------------------------------------------------------------------------------------------------
+
+_COMPONENTS = _VEC.replace("WITH v", "WITH RECURSIVE v", 1) + """, e AS (SELECT query_id AS src, id AS dst FROM near WHERE score >= 0.38 AND query_id <> id),
+b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), reach AS (SELECT src AS id, src AS other FROM b UNION SELECT reach.id, b.dst FROM reach JOIN b ON b.src = reach.other),
+comp AS (SELECT v.id, v.label, coalesce(min(reach.other), v.id) AS component FROM v LEFT JOIN reach ON reach.id = v.id GROUP BY v.id, v.label)
+"""
+
+
+def _dedup(spark: SparkSession, d: str) -> DataFrame:
+    queries, rows = _vectors(spark, d)
+    pairs = V.scores(queries, rows, least=0.38).where("query_id <> id").select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+    return E.groups(pairs, rows.select("id", "label"))
+
+
+@query(_COMPONENTS + "SELECT id, component FROM comp", graph=False)
+def dedup_components(spark: SparkSession, d: str) -> DataFrame:
+    return _dedup(spark, d).select("id", "component")
+
+
+@query(_COMPONENTS + ", named AS (SELECT id, component, 'topic ' || id AS name FROM comp) SELECT component, first(id ORDER BY length(name) DESC, id) AS keep_id, count(*) AS members FROM named GROUP BY component", graph=False)
+def canonical_of_components(spark: SparkSession, d: str) -> DataFrame:
+    named = _dedup(spark, d).withColumn("name", F.concat(F.lit("topic "), "id")).withColumn("created_at", F.lit(0))
+    return E.canonical(named)
+
+
+@query("""WITH kept AS (SELECT c.id, 'N' || (n.n_nationkey - n.n_nationkey % 5) || substr(c.id, position('-' IN c.id)) AS keep_id FROM topic c JOIN nation n ON c.parent_id = 'N' || n.n_nationkey WHERE c.level = 'subtopic')
+SELECT DISTINCT b.src, coalesce(k.keep_id, b.dst) AS dst FROM belongs b LEFT JOIN kept k ON k.id = b.dst""")
+def topic_merge_rewire(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d)
+    key = F.regexp_extract("parent_id", r"(\d+)", 1).cast("int")
+    kept = g.nodes["topic"].where("level = 'subtopic'").select("id", F.concat(F.lit("N"), key - key % 5, F.regexp_extract("id", r"(-.*)", 1)).alias("keep_id"))
+    return E.rewire(g.edges["belongs_to"], kept)
+
+
+_ENT = "SELECT l_orderkey AS paper, CASE l_linenumber % 3 WHEN 0 THEN 'model' WHEN 1 THEN 'method' ELSE 'concept' END AS kind, p_brand AS name, p_type AS alias FROM lineitem JOIN part ON p_partkey = l_partkey"
+
+
+@query(f"""WITH e AS ({_ENT}), s AS (SELECT paper, kind, lower(trim(name)) AS name, unnest([lower(trim(name)), lower(trim(alias))]) AS surface FROM e)
+SELECT paper, surface, array_to_string(list_sort(list_distinct(list(kind))), '|') AS kinds, bool_or(name = surface) AS exact FROM s GROUP BY paper, surface HAVING count(DISTINCT kind) >= 2""", graph=False)
+def cross_kind_collisions(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.expr("CASE l_linenumber % 3 WHEN 0 THEN 'model' WHEN 1 THEN 'method' ELSE 'concept' END")
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    found = E.collisions(rows.select(F.col("l_orderkey").alias("paper"), kind.alias("kind"), F.col("p_brand").alias("name"), F.array("p_type").alias("aliases")))
+    return found.withColumn("kinds", F.array_join("kinds", "|"))
+
+
+@query("""SELECT p_partkey AS id, array_to_string(list_sort(list_distinct([p_brand, p_type, p_name])), '|') AS aliases FROM part""", graph=False)
+def alias_union(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(E.alias_union(F.col("p_name"), F.array("p_brand", "p_type"), F.array("p_type", F.lit(" "))), "|").alias("aliases"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 AND p_partkey % 3 = 0 AND NOT p_partkey % 5 = 0 THEN p_type ELSE p_brand END AS name, coalesce(CASE WHEN p_size > 25 THEN p_type END, CASE WHEN p_partkey % 3 = 0 THEN 'seen' END) AS architecture,
+(p_partkey % 5 = 0) OR (p_partkey % 3 = 0 AND p_size % 2 = 0) AS is_canonical FROM part""", graph=False)
+def canonical_merge_matrix(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    canon = part.selectExpr("p_partkey AS id", "p_brand AS name", "CASE WHEN p_size > 25 THEN p_type END AS architecture", "p_partkey % 5 = 0 AS is_canonical", "array(p_name) AS aliases")
+    incoming = part.where("p_partkey % 3 = 0").selectExpr("p_partkey AS id", "p_type AS name", "'seen' AS architecture", "p_size % 2 = 0 AS is_canonical", "array(p_name) AS aliases")
+    return E.merge_into(canon, incoming).select("id", "name", "architecture", "is_canonical")
+
+
+# --- text ----------------------------------------------------------------------------------------------------------
+
+_LINES = "SELECT doc_id, replace(replace(text, '. ', '.' || chr(10)), 'the ', 'the-' || chr(10)) AS text FROM documents"
+
+
+def _lined(spark: SparkSession, d: str) -> DataFrame:
+    t = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\n")), F.lit("the "), F.lit("the-\n"))
+    return table(spark, d, "documents").select("doc_id", t.alias("text"))
+
+
+@query(rf"""WITH d AS ({_LINES}), k AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 3 OR trim(x) = ''), chr(10)) AS t FROM d),
+h AS (SELECT doc_id, regexp_replace(t, '([\pL\pN_]+)-\s*\n\s*([a-z])', '\1\2', 'g') AS t FROM k)
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '^\s+|\s+$', '', 'g')) AS hash FROM h""", graph=False)
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return _lined(spark, d).select("doc_id", F.md5(T.clean(F.col("text"))).alias("hash"))
+
+
+def _sectioned(spark: SparkSession, d: str) -> DataFrame:
+    """Documents under headings: every third one gets an introduction before it and limitations after it."""
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("1. Introduction\n"), "text", F.lit("\nLimitations\n"), F.substring("text", 1, 200))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", t.alias("text"))
+
+
+_SECTIONS = r"""WITH s AS (SELECT doc_id, text AS body, substr(text, 1, 200) AS tail, doc_id % 3 = 0 AS cut, length(text) AS n FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, 'introduction' AS section_type, regexp_replace(body, '^\s+|\s+$', '', 'g') AS content, 0 AS start_char FROM s WHERE cut
+UNION ALL SELECT doc_id, 'limitations', regexp_replace(tail, '^\s+|\s+$', '', 'g'), n + 17 FROM s WHERE cut),
+f AS (SELECT *, len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) AS words FROM p),
+o AS (SELECT doc_id, section_type, content, start_char FROM f WHERE words >= 20
+UNION ALL SELECT doc_id, 'unknown', CASE WHEN cut THEN '1. Introduction' || chr(10) || body || chr(10) || 'Limitations' || chr(10) || tail ELSE body END, 0 FROM s WHERE NOT cut OR doc_id NOT IN (SELECT doc_id FROM f WHERE words >= 20))
+"""
+
+
+@query(_SECTIONS + "SELECT doc_id, section_type, CAST(start_char AS INTEGER) AS start_char, md5(content) AS hash FROM o", graph=False)
+def segment_sections(spark: SparkSession, d: str) -> DataFrame:
+    return T.segment(_sectioned(spark, d)).select("doc_id", "section_type", "start_char", F.md5("content").alias("hash"))
+
+
+@query(_SECTIONS + """, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE section_type WHEN 'limitations' THEN 1 WHEN 'introduction' THEN 5 ELSE 50 END, start_char) AS n FROM o WHERE length(content) >= 100)
+SELECT doc_id, section_type, CAST(n AS INTEGER) AS nth FROM r WHERE n <= 1""", graph=False)
+def section_priority(spark: SparkSession, d: str) -> DataFrame:
+    return T.top_sections(T.segment(_sectioned(spark, d)), top_n=1).select("doc_id", "section_type", "nth")
+
+
+_CUES = ", ".join(f"('{k}', '{c}')" for k, cs in T.CUES.items() for c in cs)
+
+
+@query(f"""WITH c(relation, cue) AS (VALUES {_CUES}), t AS (SELECT conv_id * 100 + turn AS id, CASE WHEN turn % 2 = 0 THEN text || ' This builds on and questions it.' ELSE text END AS text FROM conversations WHERE text IS NOT NULL)
+SELECT id, relation, cue, md5(substr(text, greatest(1, instr(lower(text), cue) - 100), least(length(text) + 1, instr(lower(text), cue) + length(cue) + 100) - greatest(1, instr(lower(text), cue) - 100))) AS hash FROM t JOIN c ON contains(lower(text), cue)""", graph=False)
+def cue_relations(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").where("text IS NOT NULL").selectExpr("conv_id * 100 + turn AS id", "CASE WHEN turn % 2 = 0 THEN text || ' This builds on and questions it.' ELSE text END AS text")
+    return T.cue_hits(rows, "id").select("id", "relation", "cue", F.md5("context").alias("hash"))
+
+
+_WORDSET = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda x: x <> ''))"
+
+
+@query(f"""SELECT a.conv_id, a.turn, round(CASE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN 0 ELSE CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) END, 9) AS score
+FROM (SELECT conv_id, turn, {_WORDSET.format("text")} AS x FROM conversations) a JOIN (SELECT conv_id, turn, {_WORDSET.format("text")} AS y FROM conversations) b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""", graph=False)
+def jaccard_relations(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("text"), F.col("after")), 9).alias("score"))
+
+
+@query("""WITH r AS (SELECT event_id AS ordinal, 'user ' || user_id % 50 AS source, 'kind ' || event_type AS target, CASE event_id % 3 WHEN 0 THEN 'extends' WHEN 1 THEN 'related_to' ELSE 'depends_on' END AS relation, round(value, 1) AS confidence FROM events)
+SELECT source, target, relation, ordinal, CASE WHEN relation <> 'related_to' THEN relation END AS stored_type FROM (SELECT *, row_number() OVER (PARTITION BY source, target, relation ORDER BY confidence DESC, ordinal) AS n FROM r) WHERE n = 1""", graph=False)
+def relation_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").selectExpr("event_id AS ordinal", "'user ' || user_id % 50 AS source", "'kind ' || event_type AS target", "CASE event_id % 3 WHEN 0 THEN 'extends' WHEN 1 THEN 'related_to' ELSE 'depends_on' END AS relation", "round(value, 1) AS confidence")
+    return T.best_relations(rows).select("source", "target", "relation", "ordinal", "stored_type")
+
+
+@query(r"""WITH m AS (SELECT conv_id, conv_id * 100 + turn AS mention_id, text FROM conversations), w AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, '[A-Za-z]{9,}')) AS word FROM conversations WHERE turn = 0)
+SELECT DISTINCT mention_id, conv_id || ':' || word AS entity_id FROM m JOIN w USING (conv_id) WHERE lower(word) NOT IN ('which', 'people') AND regexp_matches(lower(text), '(^|[^\pL\pN\pM_])' || lower(word) || '($|[^\pL\pN\pM_])')""", graph=False)
+def alias_linker(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    mentions = c.select("conv_id", (F.col("conv_id") * 100 + F.col("turn")).alias("mention_id"), "text")
+    words = c.where("turn = 0").select("conv_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), 0))).alias("word"))
+    entities = words.select("conv_id", F.concat("conv_id", F.lit(":"), "word").alias("entity_id"), T.surfaces(F.col("word"), F.lit(None), ("which", "people")).alias("surfaces"))
+    return T.alias_links(mentions, entities, "conv_id")
+
+
+# --- sources --------------------------------------------------------------------------------------------------------
+
+_IDENT = "CASE p_partkey % 8 WHEN 0 THEN '10.1234/' || p_partkey WHEN 1 THEN 'arXiv:2106.' || lpad(CAST(p_partkey % 99999 AS STRING), 5, '0') WHEN 2 THEN 'W' || p_partkey WHEN 3 THEN 'https://doi.org/10.1/' || p_partkey WHEN 4 THEN '2106.' || lpad(CAST(p_partkey % 99999 AS STRING), 5, '0') || 'v2' WHEN 5 THEN lpad(CAST(p_partkey AS STRING), 40, 'a') WHEN 6 THEN ' doi:10.5/x ' ELSE p_name END"
+
+
+@query(f"""WITH i AS (SELECT p_partkey, {_IDENT} AS v FROM part) SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'doi' WHEN 1 THEN 'arxiv' WHEN 2 THEN 'openalex' WHEN 3 THEN 'doi' WHEN 4 THEN 'arxiv' WHEN 5 THEN 'semantic_scholar' WHEN 6 THEN 'doi' END AS kind,
+CASE WHEN p_partkey % 8 IN (1, 4) THEN replace(v, 'arXiv:', '') ELSE v END AS preprint FROM i""", graph=False)
+def identifier_type(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr("p_partkey", f"{_IDENT} AS v")
+    return rows.select("p_partkey", P.identifier_type(F.col("v")).alias("kind"), F.when(F.col("p_partkey") % 8 == 7, F.col("v")).otherwise(P.preprint_id(F.col("v"))).alias("preprint"))
+
+
+@query(r"""SELECT conv_id, turn, nullif(array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), ' '), '') AS text FROM conversations WHERE text IS NOT NULL""", graph=False)
+def reconstruct_abstract(spark: SparkSession, d: str) -> DataFrame:
+    """Texts are first turned into an inverted index, then read back from it."""
+    places = table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.posexplode_outer(T.words(F.col("text"))).alias("p", "word"))
+    words = places.groupBy("conv_id", "turn", "word").agg(F.collect_list("p").alias("at"))
+    index = words.groupBy("conv_id", "turn").agg(F.map_from_entries(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "at")))).alias("index"))
+    return index.select("conv_id", "turn", P.abstract_of(F.col("index")).alias("text"))
+
+
+@query("""WITH p AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE '10.1/' || p_partkey % 700 END AS doi, p_name AS title, 1990 + p_size % 35 AS year, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS venue, p_size AS cites, p_partkey AS o FROM part)
+SELECT doi, first(title ORDER BY length(title) DESC, o) AS title, CAST(max(year) AS INTEGER) AS year, first(venue ORDER BY o) FILTER (venue <> '') AS venue, CAST(max(cites) AS BIGINT) AS citation_count, CASE WHEN count(*) > 1 THEN 'merged' ELSE 'a' END AS source FROM p WHERE doi IS NOT NULL GROUP BY doi
+UNION ALL SELECT doi, title, year, venue, cites, 'a' FROM p WHERE doi IS NULL""", graph=False)
+def merge_papers_by_doi(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr(
+        "CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE '10.1/' || p_partkey % 700 END AS doi", "p_name AS title", "CAST(NULL AS STRING) AS abstract", "CAST(1990 + p_size % 35 AS INT) AS year", "CAST(NULL AS STRING) AS publication_date", "CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS venue",
+        "CAST(NULL AS STRING) AS pdf_url", "CAST(p_size AS BIGINT) AS citation_count", "CAST(NULL AS BIGINT) AS reference_count", "false AS is_open_access", "array(p_type) AS fields", "map('k' || p_partkey, p_name) AS external_ids",
+        "CAST(array() AS array<struct<name:string,position:int,affiliations:array<string>,external_ids:map<string,string>>>) AS authors", "'a' AS source", "p_partkey AS ordinal")
+    return P.merged(rows).select("doi", "title", "year", "venue", "citation_count", "source")
+
+
+@query("SELECT '10.1/' || l_partkey AS doi, 'line of ' || min(l_suppkey) AS title FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) GROUP BY l_partkey", graph=False)
+def stub_creation(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("10.1/"), "p_partkey").alias("doi"))
+    least = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s"))
+    refs = least.select(F.concat(F.lit("10.1/"), "l_partkey").alias("doi"), F.concat(F.lit("line of "), "s").alias("title"), F.lit(None).cast("int").alias("year"))
+    return P.stubs(refs, known).select("doi", "title")
+
+
+@query("SELECT p_partkey, array_to_string(list_distinct(list_filter([CASE WHEN p_partkey % 3 = 0 THEN 'https://arxiv.org/pdf/2106.1.pdf' END, CASE WHEN p_partkey % 2 = 0 THEN 'https://arxiv.org/pdf/2106.1.pdf' END], lambda x: x IS NOT NULL)), '|') AS urls FROM part", graph=False)
+def candidate_pdf_urls(spark: SparkSession, d: str) -> DataFrame:
+    url, pre = F.when(F.col("p_partkey") % 3 == 0, "https://arxiv.org/pdf/2106.1.pdf"), F.when(F.col("p_partkey") % 2 == 0, "2106.1v3")
+    return table(spark, d, "part").select("p_partkey", F.array_join(P.pdf_urls(url, pre), "|").alias("urls"))
+
+
+# --- state and review ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH delta AS (SELECT name, level, parent_id, 'seen' AS description FROM topic WHERE level <> 'subtopic' UNION ALL SELECT r_name, 'area', CAST(NULL AS VARCHAR), 'new' FROM region)
+SELECT coalesce(t.name, d.name) AS name, coalesce(t.level, d.level) AS level, coalesce(t.parent_id, d.parent_id) AS parent_id, d.description FROM topic t FULL OUTER JOIN delta d ON t.name = d.name AND t.level = d.level AND t.parent_id IS NOT DISTINCT FROM d.parent_id""")
+def upsert_topic(spark: SparkSession, d: str) -> DataFrame:
+    topics = load(spark, d).nodes["topic"].withColumn("description", F.lit(None).cast("string"))
+    delta = topics.where("level <> 'subtopic'").select("name", "level", "parent_id", F.lit("seen").alias("description"))
+    more = topics.where("level = 'domain'").select("name", F.lit("area").alias("level"), F.lit(None).cast("string").alias("parent_id"), F.lit("new").alias("description"))
+    return U.upsert_topics(topics, delta.unionByName(more)).select("name", "level", "parent_id", "description")
+
+
+@query("""WITH new AS (SELECT 'O' || o_orderkey AS src, 'N' || o_orderkey % 30 AS dst FROM orders), e AS (SELECT src, dst FROM belongs UNION SELECT src, dst FROM new WHERE dst IN (SELECT id FROM topic))
+SELECT t.id, coalesce(n, 0) AS problem_count FROM topic t LEFT JOIN (SELECT dst, count(*) AS n FROM e GROUP BY dst) ON dst = t.id""")
+def link_idempotent(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d)
+    new = table(spark, d, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("src"), F.concat(F.lit("N"), F.col("o_orderkey") % 30).alias("dst"))
+    once = U.link(g.edges["belongs_to"], new, g.nodes["problem"], g.nodes["topic"])
+    return U.with_counter(g.nodes["topic"], U.link(once, new, g.nodes["problem"], g.nodes["topic"]), "problem_count").select("id", "problem_count")
+
+
+@query("SELECT t.id, count(b.src) AS problem_count FROM topic t LEFT JOIN belongs b ON b.dst = t.id AND b.src NOT LIKE '%7' GROUP BY t.id")
+def unlink_counted(spark: SparkSession, d: str) -> DataFrame:
+    g = load(spark, d)
+    left = U.unlink(g.edges["belongs_to"], g.edges["belongs_to"].where("src LIKE '%7'"))
+    return U.with_counter(g.nodes["topic"], left, "problem_count").select("id", "problem_count")
+
+
+@query("""SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'kept' ELSE 'new' END AS origin, count(*) AS n FROM orders GROUP BY 1
+UNION ALL SELECT 'rejected', count(*) FROM orders WHERE o_orderkey % 2 = 0""", graph=False)
+def insert_unless_known(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").selectExpr("'O' || o_orderkey AS id", "'Order ' || o_orderkey AS statement", "o_orderkey AS ordinal")
+    state = rows.where("ordinal % 2 = 0").select("id", "statement", F.lit("kept").alias("origin"))
+    delta = rows.selectExpr("CASE WHEN ordinal % 2 = 0 THEN 'X' || ordinal ELSE id END AS id", "' ' || upper(statement) AS statement", "'new' AS origin", "ordinal")
+    new, bad = U.insert(state, delta)
+    return A.counts_by(new, "origin").unionByName(bad.agg(F.count("*").alias("n")).select(F.lit("rejected").alias("origin"), "n"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'patched' ELSE o_orderstatus END AS status, 1 + CAST(o_orderkey % 3 = 0 AS INTEGER) AS version FROM orders""", graph=False)
+def patch_versions(spark: SparkSession, d: str) -> DataFrame:
+    state = table(spark, d, "orders").selectExpr("o_orderkey AS id", "o_orderstatus AS status", "1 AS version")
+    return U.patch(state, state.where("id % 3 = 0").select("id", F.lit("patched").alias("status")))
+
+
+@query("""SELECT 'extracted' AS kind, count(*) AS n FROM extracted WHERE src NOT IN (SELECT src FROM extracted WHERE dst IN ('10.1/5', '10.1/6'))
+UNION ALL SELECT 'problem', count(*) FROM problem WHERE id NOT IN (SELECT src FROM extracted WHERE dst IN ('10.1/5', '10.1/6'))
+UNION ALL SELECT 'topic', count(*) FROM topic WHERE level <> 'subtopic' OR id NOT IN (SELECT dst FROM belongs) OR id IN (SELECT dst FROM belongs WHERE src NOT IN (SELECT src FROM extracted WHERE dst IN ('10.1/5', '10.1/6')))
+UNION ALL SELECT 'shared_subtopic_of', count(*) FROM topic WHERE id IN (SELECT dst FROM belongs WHERE src IN (SELECT src FROM extracted WHERE dst IN ('10.1/5', '10.1/6'))) AND id IN (SELECT dst FROM belongs WHERE src NOT IN (SELECT src FROM extracted WHERE dst IN ('10.1/5', '10.1/6')))""")
+def purge_paper(spark: SparkSession, d: str) -> DataFrame:
+    g, shared = U.purge(load(spark, d), spark.createDataFrame([("10.1/5",), ("10.1/6",)], "doi string"), "problem", "topic", "extracted_from", "belongs_to")
+    n = lambda df, k: df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n")
+    return n(g.edges["extracted_from"], "extracted").unionByName(n(g.nodes["problem"], "problem")).unionByName(n(g.nodes["topic"], "topic")).unionByName(n(shared, "shared_subtopic_of"))
+
+
+_SCORE = "CASE WHEN event_id % 9 = 0 THEN NULL ELSE (event_id % 100) / 100.0 END"
+
+
+def _reviews(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select("event_id", "ts", F.expr(f"CAST({_SCORE} AS DOUBLE)").alias("score"))
+    p = Q.priority(F.col("score"))
+    return events.select(F.col("event_id").alias("mention_id"), p.alias("priority"), (F.col("ts") + F.make_interval(hours=Q.hours(p))).alias("sla_deadline"), F.when(F.col("event_id") % 4 == 0, "assigned").otherwise("pending").alias("status"))
+
+
+_REVIEWS = f"""WITH s AS (SELECT event_id, ts, CAST({_SCORE} AS DOUBLE) AS score FROM events), p AS (SELECT *, CASE WHEN score IS NULL THEN 10 ELSE greatest(1, least(10, 5 + CAST(trunc((1 - score) * 5) AS INTEGER))) END AS priority FROM s),
+r AS (SELECT event_id AS mention_id, priority, ts + to_hours(CASE WHEN priority <= 3 THEN 24 WHEN priority <= 6 THEN 168 ELSE 720 END) AS sla_deadline, CASE WHEN event_id % 4 = 0 THEN 'assigned' ELSE 'pending' END AS status FROM p)
+"""
+
+
+@query(_REVIEWS + "SELECT mention_id, CAST(priority AS INTEGER) AS priority, strftime(sla_deadline, '%Y-%m-%d %H:%M:%S') AS sla, status FROM r", graph=False)
+def review_priority_sla(spark: SparkSession, d: str) -> DataFrame:
+    return _reviews(spark, d).select("mention_id", "priority", F.date_format("sla_deadline", "yyyy-MM-dd HH:mm:ss").alias("sla"), "status")
+
+
+@query(_REVIEWS + "SELECT mention_id, CAST(priority AS INTEGER) AS priority FROM r WHERE status = 'pending' AND priority <= 7 ORDER BY priority, sla_deadline, mention_id LIMIT 20", graph=False)
+def review_queue_page(spark: SparkSession, d: str) -> DataFrame:
+    return Q.pending(_reviews(spark, d), 20, 7).select("mention_id", "priority")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 >= 3 THEN 'max_rounds_exceeded' WHEN event_id % 7 = 0 THEN 'evaluator_escalate' WHEN (event_id % 10) / 10.0 < 0.7 THEN 'arbiter_low_confidence' ELSE 'unknown' END AS reason FROM events""", graph=False)
+def escalation_reason(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events")
+    return rows.select("event_id", Q.escalation(F.col("event_id") % 5, F.lit(3), F.when(F.col("event_id") % 7 == 0, "escalate").otherwise("approve"), (F.col("event_id") % 10) / 10.0).alias("reason"))
+
+
+@query("""WITH a AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'link' WHEN 1 THEN 'create_new' ELSE 'retry' END AS decision, (event_id % 10) / 10.0 AS c, 1 + event_id % 4 AS r FROM events)
+SELECT event_id, CASE WHEN c < 0.7 AND r < 3 THEN 'retry' WHEN decision = 'retry' AND r < 3 THEN 'retry' WHEN decision = 'retry' THEN 'link' WHEN c < 0.7 THEN 'human_review' ELSE decision END AS route FROM a""", graph=False)
+def arbiter_routing(spark: SparkSession, d: str) -> DataFrame:
+    decision = F.expr("CASE event_id % 3 WHEN 0 THEN 'link' WHEN 1 THEN 'create_new' ELSE 'retry' END")
+    return table(spark, d, "events").select("event_id", S.arbiter_route(decision, (F.col("event_id") % 10) / 10.0, 1 + F.col("event_id") % 4).alias("route"))
+
+
+@query("""WITH r AS (SELECT event_id, event_id % 2 = 0 AS linked, event_id % 4 = 0 AS has, event_id % 8 = 1 AS done FROM events WHERE event_id % 3 = 0)
+SELECT event_id AS mention_id, CASE WHEN NOT done AND (NOT linked OR has) THEN 'resolved' WHEN done THEN 'resolved' ELSE 'pending' END AS status, CASE WHEN NOT done AND (NOT linked OR has) THEN CASE WHEN linked THEN 'linked' ELSE 'rejected' END END AS resolution FROM r""", graph=False)
+def review_resolution(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("event_id % 3 = 0")
+    reviews = e.selectExpr("event_id AS mention_id", "CASE WHEN event_id % 8 = 1 THEN 'resolved' ELSE 'pending' END AS status")
+    decisions = e.selectExpr("event_id AS mention_id", "CASE WHEN event_id % 2 = 0 THEN 'linked' ELSE 'rejected' END AS resolution", "CASE WHEN event_id % 4 = 0 THEN 'c1' END AS concept_id", "'u' AS resolved_by")
+    return Q.resolve(reviews, decisions).select("mention_id", "status", "resolution")
