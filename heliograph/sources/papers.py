@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 # Shapes of identifiers.
 DOI = r"^10\.\d{4,}/"
@@ -13,8 +12,8 @@ PREPRINT_ANYWHERE = r"(?i)(?:arxiv[:\.])?(\d{4}\.\d{4,5}(?:v\d+)?|[a-z-]+(?:\.[A
 CATALOGUE = r"(?i)^W\d+$"
 CITATION_INDEX = r"^[0-9a-f]{40}$"
 
-#: The normal form of a paper, whatever its source.
-PAPER = StructType.fromDDL(
+#: The normal form of a paper, whatever its source (a schema as text).
+PAPER = (
     "doi string, title string, abstract string, year int, publication_date string, venue string, pdf_url string, citation_count long, reference_count long, is_open_access boolean, "
     "fields array<string>, external_ids map<string,string>, authors array<struct<name:string,position:int,affiliations:array<string>,external_ids:map<string,string>>>, source string"
 )
