@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema as C
+from ..functions import scalars as X
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import aggregates as A
+from ..operators import integrate as I
 from ..operators import match as M
 from ..operators import reads as R
 from ..operators import resolve as E
 from ..operators import review as Q
 from ..operators import search as S
 from ..operators import state as U
+from ..operators import taxonomy as Y
 from ..sources import papers as P
 from ..sources.surrogate import SQL, load, table
 
@@ -586,3 +590,95 @@ def review_resolution(spark: SparkSession, d: str) -> DataFrame:
     reviews = e.selectExpr("event_id AS mention_id", "CASE WHEN event_id % 8 = 1 THEN 'resolved' ELSE 'pending' END AS status")
     decisions = e.selectExpr("event_id AS mention_id", "CASE WHEN event_id % 2 = 0 THEN 'linked' ELSE 'rejected' END AS resolution", "CASE WHEN event_id % 4 = 0 THEN 'c1' END AS concept_id", "'u' AS resolved_by")
     return Q.resolve(reviews, decisions).select("mention_id", "status", "resolution")
+
+
+# --- schema, taxonomy, integration -----------------------------------------------------------------------------------
+
+
+@query("""SELECT rule, count(*) AS n FROM (SELECT 'year' AS rule FROM paper WHERE year > 2020 UNION ALL SELECT 'title_length' FROM paper WHERE venue LIKE '%1' UNION ALL SELECT 'unique' FROM paper WHERE venue LIKE '%2') GROUP BY rule""")
+def schema_violations(spark: SparkSession, d: str) -> DataFrame:
+    p = load(spark, d).nodes["paper"]
+    odd = p.select(F.col("id").alias("doi"), F.when(F.col("venue").endswith("1"), "x").otherwise(F.col("title")).alias("title"), F.when(F.col("year") > 2020, 3000).otherwise(F.col("year")).alias("year"), "venue")
+    return A.counts_by(C.violations(odd.unionByName(odd.where("venue LIKE '%2'").withColumn("title", F.lit("again")).withColumn("year", F.lit(2000))), "paper"), "rule")
+
+
+_KIND = "CASE event_id % 6 WHEN 0 THEN ' Data ' WHEN 1 THEN 'GPU bound' WHEN 2 THEN 'new dataset' WHEN 3 THEN 'theory of x' WHEN 4 THEN event_type ELSE 'algorithm' END"
+
+
+@query(f"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'data' WHEN 1 THEN 'computational' WHEN 2 THEN 'data' WHEN 3 THEN 'theoretical' ELSE 'methodological' END AS kind,
+CASE event_id % 3 WHEN 0 THEN CAST(event_id % 50 AS DOUBLE) WHEN 1 THEN round((event_id % 50) / 1000.0, 9)::DOUBLE END AS wait FROM events""", graph=False)
+def extraction_scalars(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("k", F.expr(_KIND)).withColumn("n", (F.col("event_id") % 50).cast("string"))
+    header = F.when(F.col("event_id") % 3 == 0, F.col("n"))
+    message = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("Please try again in "), "n", F.lit("ms."))).otherwise("no hint")
+    return e.select("event_id", X.constraint_type(F.col("k")).alias("kind"), F.round(X.retry_after(header, message), 9).alias("wait"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn + 1 AS ordinal, left(text, 100) AS s FROM conversations), r AS (SELECT conv_id, turn, 'Problem ' || (turn + 1) AS source, CASE WHEN turn % 2 = 0 THEN CAST(turn + 2 AS VARCHAR) ELSE 'other' END AS target FROM conversations)
+SELECT r.conv_id, r.turn, md5(CASE WHEN target = 'other' THEN source ELSE a.s END) AS source, md5(CASE WHEN target = 'other' THEN target ELSE b.s END) AS target
+FROM r LEFT JOIN p a ON a.conv_id = r.conv_id AND a.ordinal = r.turn + 1 LEFT JOIN p b ON b.conv_id = r.conv_id AND b.ordinal = r.turn + 2 WHERE target = 'other' OR (a.s IS NOT NULL AND b.s IS NOT NULL)""", graph=False)
+def relation_number_mapping(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    problems = c.select("conv_id", (F.col("turn") + 1).cast("int").alias("ordinal"), F.col("text").alias("statement"))
+    relations = c.select("conv_id", "turn", F.concat(F.lit("Problem "), F.col("turn") + 1).alias("source"), F.when(F.col("turn") % 2 == 0, (F.col("turn") + 2).cast("string")).otherwise("other").alias("target"))
+    return X.numbered_ends(relations, problems, "conv_id").select("conv_id", "turn", F.md5("source").alias("source"), F.md5("target").alias("target"))
+
+
+@query("""SELECT d.id, d.name, count(DISTINCT a.id) AS n_areas, string_agg(DISTINCT a.name, ',' ORDER BY a.name) AS areas, count(s.id) AS n_subtopics
+FROM topic d LEFT JOIN topic a ON a.parent_id = d.id LEFT JOIN topic s ON s.parent_id = a.id WHERE d.level = 'domain' GROUP BY d.id, d.name""")
+def taxonomy_export(spark: SparkSession, d: str) -> DataFrame:
+    tree = Y.export(load(spark, d).nodes["topic"])
+    names = F.transform("areas", lambda a: a["name"])
+    total = F.aggregate("areas", F.lit(0).cast("long"), lambda n, a: n + F.size(a["subtopics"]))
+    return tree.select("id", "name", F.size("areas").cast("long").alias("n_areas"), F.array_join(names, ",").alias("areas"), total.alias("n_subtopics"))
+
+
+@query("""SELECT 'parent' AS problem, count(*) AS n FROM topic WHERE level = 'subtopic' UNION ALL SELECT 'level', count(*) FROM topic WHERE level = 'area' AND id LIKE '%3'""")
+def taxonomy_checks(spark: SparkSession, d: str) -> DataFrame:
+    t = load(spark, d).nodes["topic"]
+    level = F.when((F.col("level") == "area") & F.col("id").endswith("3"), "field").otherwise(F.col("level"))
+    nodes = t.select(F.col("id").alias("path"), F.when(F.col("level") != "subtopic", F.col("parent_id")).alias("parent_path"), "name", level.alias("level"))
+    return A.counts_by(Y.problems(nodes), "problem")
+
+
+@query("""WITH n AS (SELECT DISTINCT o_orderpriority AS name FROM orders) SELECT name, count(*) AS n_problems FROM n JOIN orders ON o_orderpriority = name GROUP BY name""", graph=False)
+def topic_migration(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("id"), F.concat(F.lit(" "), "o_orderpriority").alias("domain"))
+    topics, edges = Y.from_domains(rows, load(spark, d).nodes["topic"])
+    return U.with_counter(topics, edges, "n_problems").where("n_problems > 0").select("name", "n_problems")
+
+
+@query("""WITH f AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'link' WHEN 1 THEN 'create_new' WHEN 2 THEN CASE event_id % 3 WHEN 0 THEN 'link' WHEN 1 THEN 'human_review' ELSE 'create_new' END ELSE 'create_new' END AS fate FROM events)
+SELECT 'instance_of' AS kind, count(*) AS n FROM f WHERE fate <> 'human_review' UNION ALL SELECT 'new_concept', count(*) FROM f WHERE fate = 'create_new' UNION ALL SELECT 'escalated', count(*) FROM f WHERE fate = 'human_review'""", graph=False)
+def mention_integration(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    found = e.selectExpr("event_id AS id", "event_type AS statement").withColumn("id", F.col("id").cast("string"))
+    routes = e.where("event_id % 5 < 4").selectExpr("CAST(event_id AS STRING) AS query_id", "'c' AS id", "CASE event_id % 5 WHEN 0 THEN 'auto_link' WHEN 2 THEN 'evaluator' WHEN 3 THEN 'debate' ELSE 'new_concept' END AS route")
+    decisions = e.where("event_id % 5 = 2").selectExpr("CAST(event_id AS STRING) AS mention", "CASE event_id % 3 WHEN 0 THEN 'link' WHEN 1 THEN 'human_review' ELSE 'create_new' END AS decision")
+    edges, made, up = I.integrate(found, routes, decisions)
+    n = lambda df, k: df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n")
+    return n(edges, "instance_of").unionByName(n(made, "new_concept")).unionByName(n(up, "escalated"))
+
+
+@query(None, graph=False)
+def sequential_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Order-dependent merging has no plain SQL form; tests hold it against a loop."""
+    _, rows = _vectors(spark, d)
+    return I.merge_in_order(rows.select("id", "vector", F.col("id").alias("ordinal"), (F.col("id") / 64).cast("long").alias("block")), 0.35)
+
+
+@query("""WITH o AS (SELECT user_id % 7 AS trace_id, event_id AS paper, CASE WHEN event_id % 11 = 0 THEN 'error' WHEN event_id % 3 = 0 AND user_id % 2 = 0 THEN 'updated' WHEN event_id % 3 = 0 THEN 'skipped' ELSE 'created' END AS outcome FROM events)
+SELECT trace_id, count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'error') AS error, CAST(count(*) FILTER (outcome = 'error') AS INTEGER) AS n_messages FROM o GROUP BY trace_id""", graph=False)
+def ingestion_report(spark: SparkSession, d: str) -> DataFrame:
+    known, failed = F.col("event_id") % 3 == 0, F.col("event_id") % 11 == 0
+    outcome = F.when(F.col("user_id") % 2 == 0, I.import_outcome(known, failed, True)).otherwise(I.import_outcome(known, failed, False))
+    rows = table(spark, d, "events").select((F.col("user_id") % 7).alias("trace_id"), F.col("event_id").cast("string").alias("paper"), outcome.alias("outcome"), F.lit("failed").alias("message"))
+    return I.rows_per_run(rows).withColumn("n_messages", F.size("errors")).drop("errors")
+
+
+@query("""WITH c AS (SELECT conv_id AS paper, turn AS ordinal, text, CASE WHEN turn % 2 = 0 THEN 'HTTP 404' ELSE 'refused' END AS error, coalesce(length(text), 0) >= 250 AS good FROM conversations)
+SELECT paper, md5(first(text ORDER BY ordinal) FILTER (good)) AS hash, CASE WHEN count(*) FILTER (good) = 0 THEN CASE WHEN contains(first(error ORDER BY ordinal DESC), '404') THEN 'failed_404' ELSE 'failed_blocked' END END AS failure FROM c GROUP BY paper""", graph=False)
+def full_text_choice(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("paper"), F.col("turn").alias("ordinal"), "text", F.when(F.col("turn") % 2 == 0, "HTTP 404").otherwise("refused").alias("error"))
+    best = I.best_full_text(c)
+    return best.select("paper", F.md5("text").alias("hash"), F.when(F.col("failure").isNotNull(), X.download_failure(F.col("failure"))).alias("failure"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # Shapes of identifiers.
 DOI = r"^10\.\d{4,}/"
-PREPRINT = r"(?i)^(\d{4}\.\d{4,5}|[a-z-]+/\d{7})(v\d+)?$"
+PREPRINT = r"(?i)^\d{4}\.\d{4,5}(v\d+)?$|^[a-z-]+/\d{7}$"
 PREPRINT_ANYWHERE = r"(?i)(?:arxiv[:\.])?(\d{4}\.\d{4,5}(?:v\d+)?|[a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?)"
 CATALOGUE = r"(?i)^W\d+$"
-CITATION_INDEX = r"^[0-9a-f]{40}$"
+CITATION_INDEX = r"(?i)^[a-f0-9]{40}$"
 
 #: The normal form of a paper, whatever its source (a schema as text).
 PAPER = (
