@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -41,14 +42,17 @@ def closure(edges: DataFrame, levels: int) -> DataFrame:
     return out
 
 
+_OWN: dict[str, str] = {}
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read again, which cuts the lineage of loops; a plain checkpoint where no folder is set."""
+    """Write to the shared folder and read again, which cuts the lineage of loops."""
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-graph-")
-        df.sparkSession.conf.set("spark.checkpoint.dir", base)
+    if not base:  # a session without a cluster, as in tests
+        app = df.sparkSession.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-graph-")
+        base = _OWN[app]
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
