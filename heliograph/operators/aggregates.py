@@ -38,9 +38,9 @@ def is_complete(flag: str = "extraction_incomplete") -> Column:
 def completeness(papers: DataFrame, failed: str = "failed_extractors") -> DataFrame:
     """Share of all papers at which each extractor failed; failed is a comma-separated list with blanks."""
     one = papers.withColumn("extractor", F.explode_outer(F.transform(F.split(failed, ","), lambda x: F.trim(x)))).select("extractor")
-    total = papers.agg(F.count("*").alias("total"))
+    total = papers.agg(F.count("*")).scalar()
     by = one.where("extractor <> ''").groupBy("extractor").agg(F.count("*").alias("n"))
-    return by.join(F.broadcast(total)).select("extractor", (F.col("n") / F.col("total")).alias("share"))  # total is one row
+    return by.select("extractor", (F.col("n") / total).alias("share"))
 
 
 def sanity(graph: Graph, orphans: dict[str, tuple[str, str]]) -> DataFrame:
