@@ -78,7 +78,7 @@ class _Pieces:
         self.at = anchor[first]
         self.lo, self.hi = first - self.at + self.slots - 1, stop - self.at + self.slots - 1
         self.doc = doc[first]
-        self.hash = h[self.at]
+        self.hash = B.mix(h[self.at])  # least hashes lie close together; mixed again they spread over the ranges
         # distinct pieces: the span of bytes and where windows start in it
         spans = B.Rolling(body).spans(first, stop + window)
         whole = B.mix(spans ^ B.mix((self.lo * 64 + self.hi).astype(np.uint64)))
