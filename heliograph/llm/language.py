@@ -154,7 +154,7 @@ def train(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[ByteBiGRU, list[
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return None
-    step = max(1, sum(r["count"] for r in counts) // max_fit)
+    step = max(1, math.ceil(sum(r["count"] for r in counts) / max_fit))
     text = F.encode("text", "UTF-8")
     middle = F.greatest(F.lit(1), (F.octet_length("text") / 2).cast("int"))
     windows = F.array(F.substring(text, 1, FIT_STEPS), F.substring(text, middle, FIT_STEPS))
