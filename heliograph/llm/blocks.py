@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import parallelism, wide_rows
 
 BLOCK_BYTES = 2 << 20
 RANGE_VALUES = 1_000_000
@@ -43,6 +43,7 @@ def unpack(data: bytes) -> bytes:
 
 def make(documents: DataFrame, normal: Callable[[bytes], tuple[bytes, int]], joint: bytes, carry: list[str]) -> DataFrame:
     """The table of blocks. normal: a text's bytes -> (bytes to keep, size); empty ones are not joined into the body."""
+    wide_rows(documents.sparkSession)
     extra = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), extra.alias("extra"))
 

@@ -14,9 +14,13 @@ from pyspark.sql.types import StructType
 WIDE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "256", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def wide_rows(spark: SparkSession) -> None:
     for key, value in WIDE_ROWS.items():
         spark.conf.set(key, value)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    wide_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +51,7 @@ def spool(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
 
 def id_text(documents: DataFrame) -> DataFrame:
     """The two columns that text operators need, whatever else the table carries; null text stays null."""
+    wide_rows(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -59,5 +64,6 @@ def with_row(documents: DataFrame, carry: list[str], result: str) -> tuple[DataF
     schema = StructType.fromDDL(result)
     if not carry:
         return id_text(documents), schema
+    wide_rows(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*carry).alias("row"))
     return rows, schema.add(rows.schema["row"])

@@ -15,7 +15,7 @@ import numpy as np
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" \s| $")
 _PARTS = re.compile(r"([^\W\d_]+)([^\w\s]*)(?:\n([^\W\d_]+)([^\w\s]*))?")
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 350_000
 
 
 class WordEncoder:
