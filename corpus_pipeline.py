@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every passage of 50 bytes and more that an earlier document has; documents of which nothing is left go."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    left = suffix.texts(suffix.dedup(docs, carry=others))
+    left = suffix.dedup(docs, carry=others, as_text=True).withColumnRenamed("kept", "text")
     left = left.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
     extra = F.from_json("extra", StructType([docs.schema[c] for c in others])).alias("e")
     left = left.select("doc_id", "text", extra)

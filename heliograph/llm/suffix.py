@@ -247,8 +247,11 @@ def _ranges(total: int) -> tuple[int, int]:
     return B.ranges_for(total / 14), max(1, math.ceil(total / 14 * 80 / (8 << 20)))
 
 
-def dedup(documents: DataFrame, window: int = 50, carry: list[str] = ()) -> DataFrame:
-    """Remove every byte covered by a string of window bytes that also starts in a document with a smaller doc_id."""
+def dedup(documents: DataFrame, window: int = 50, carry: list[str] = (), as_text: bool = False) -> DataFrame:
+    """Remove every byte covered by a string of window bytes that also starts in a document with a smaller doc_id.
+
+    as_text: kept as a string, without the bytes of characters that were cut into.
+    """
     if not 26 <= window <= ANCHOR + 62:
         raise ValueError("window must be 26 to 82 bytes")
     blocks = B.make(documents, lambda data: (data, len(data)), b"", list(carry))
@@ -331,17 +334,17 @@ def dedup(documents: DataFrame, window: int = 50, carry: list[str] = ()) -> Data
             got = [np.ascontiguousarray(np.frombuffer(B.unpack(b), np.uint8).reshape(8, n).T).view(np.uint64).reshape(-1) for _, n, b in rows[1:]]
             if got:
                 mask[pick] = np.concatenate(got)
-        return _result(p, mask)
+        return _result(p, mask, as_text)
 
     sent = blocks.mapInArrow(ask_anchors, B.SENT)
     live = B.judged(sent, judge_anchors, 1)
     pieces = spool(B.meet(blocks, live, send_pieces, B.SENT), "pieces", "none")
     sorted_ = pieces.where("range >= 0").groupBy("range").applyInArrow(sort_range, B.VERDICT)
     asked_for = pieces.where("range < 0").selectExpr("block_id", "range", "n", "payload as bits")
-    return B.meet(blocks, sorted_.unionByName(asked_for), remove, RESULT)
+    return B.meet(blocks, sorted_.unionByName(asked_for), remove, RESULT.replace("kept binary", "kept string") if as_text else RESULT)
 
 
-def _result(p: _Pieces, mask: np.ndarray) -> pa.Table:
+def _result(p: _Pieces, mask: np.ndarray, as_text: bool) -> pa.Table:
     n, window = len(p.body), p.window
     cover = np.zeros(n + 1, np.int32)
     if len(p.at):
@@ -374,16 +377,5 @@ def _result(p: _Pieces, mask: np.ndarray) -> pa.Table:
         "n_bytes": pa.array(p.sizes),
         "n_removed": pa.array(removed, pa.int64()),
         "spans": pa.array(spans, kind),
-        "kept": pa.array(kept, pa.binary()),
+        "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
     })
-
-
-def texts(found: DataFrame) -> DataFrame:
-    """dedup()'s rows with `text` for `kept`: bytes of characters that were cut into are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = [k.decode("utf-8", "ignore") for k in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(text, pa.string())], [*batch.schema.names[:4], "text"])
-
-    return found.select("doc_id", "extra", "n_bytes", "n_removed", "kept").mapInArrow(run, "doc_id long, extra string, n_bytes long, n_removed long, text string")
