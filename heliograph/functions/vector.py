@@ -76,6 +76,35 @@ def _matcher(shared, k: int | None, least: float | None):
     return run
 
 
+def connections(queries: list, nodes: DataFrame, least: float) -> DataFrame:
+    """(src, dst) between queries (rows of id and vector, which are among nodes) and nodes (id, vector): not every pair at a cosine of least or more, but of each node one pair with every group of queries that it is near to, which connects the same rows."""
+    kind = dict(nodes.dtypes)["id"]
+    ids, q = [r["id"] for r in queries], _units([r["vector"] for r in queries])
+    near = np.concatenate([np.round(q[at : at + 256] @ q.T, 9) >= least for at in range(0, len(q), 256)])
+    group = np.full(len(q), -1)
+    for first in range(len(q)):
+        front = np.array([first]) if group[first] < 0 else []
+        while len(front):
+            group[front] = first
+            front = np.nonzero(near[front].any(0) & (group < 0))[0]
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, q, group))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, group = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                own = part.column(0).to_pylist()
+                i, j = np.nonzero(np.round(q @ _units(part.column(1).to_pylist()).T, 9) >= least)
+                pairs = np.unique(j * len(q) + group[i]).tolist()
+                ends = [(ids[k % len(q)], own[k // len(q)]) for k in pairs]
+                ends = [e for e in ends if e[0] != e[1]]
+                if ends:
+                    yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends])], ["src", "dst"])
+
+    return nodes.mapInArrow(run, f"src {kind}, dst {kind}")
+
+
 def embedding_text(statement: Column, assumptions: Column) -> Column:
     """What a problem is embedded by: its statement and its first three assumptions."""
     some = F.array_join(F.slice(assumptions, 1, 3), "; ")

@@ -5,7 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .match import components
+from ..functions import vector as V
+from .match import components, keep
+
+
+def distinct_vectors(nodes: DataFrame) -> DataFrame:
+    """(id, vector): each vector once, under the least id that has it. Null vectors and those without a direction (zero, or with a null or infinite part) are near to nothing and take no part."""
+    v = nodes.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    return v.where(F.col("vector").isNotNull() & finite).groupBy("vector").agg(F.min("id").alias("id"))
+
+
+def near_edges(reps: DataFrame, least: float, block: int = V.QUERY_BLOCK) -> DataFrame:
+    """(src, dst) that connect what pairs of different vectors (id, vector) at a cosine of least or more connect, all against all.
+
+    Vectors go out in blocks of bounded size, one after another; each block's edges lie in the shared folder before the next goes out.
+    """
+    blocks = -(-reps.count() // block)
+    edges = None
+    for b in range(blocks):
+        some = reps.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()  # about block rows
+        if some:
+            part = keep(V.connections(some, reps, least), "near")
+            edges = part if edges is None else edges.unionByName(part)
+    return reps.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0) if edges is None else edges
+
+
+def near_groups(nodes: DataFrame, least: float, block: int = V.QUERY_BLOCK) -> DataFrame:
+    """nodes (id, vector, ...) with `component`: the least id that each reaches over pairs at a cosine of least (above 0) or more, among all pairs. Equal vectors count as one."""
+    if not 0 < least <= 1:
+        raise ValueError(f"least must be in (0, 1]; got {least}")
+    reps = keep(distinct_vectors(nodes).select("id", "vector"), "reps")
+    found = groups(near_edges(reps, least, block), reps)
+    of = found.select("component", F.col("vector").alias("same"))
+    rows = nodes.join(of, F.col("vector").cast("array<double>") == F.col("same"), "left").drop("same")
+    return rows.withColumn("component", F.coalesce("component", "id"))
 
 
 def groups(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -330,6 +330,26 @@ def canonical_of_components(spark: SparkSession, d: str) -> DataFrame:
     return E.canonical(named)
 
 
+_ALL_COMPONENTS = _COMPONENTS.replace("WHERE q.id % 20 = 0", "WHERE q.id < n.id")
+
+
+def _dedup_all(spark: SparkSession, d: str) -> DataFrame:
+    _, rows = _vectors(spark, d)
+    return E.near_groups(rows, 0.38).select("id", "label", "component")
+
+
+@query(_ALL_COMPONENTS + "SELECT id, component FROM comp", graph=False)
+def dedup_components_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """dedup_components over all pairs of rows; that one starts from every twentieth row, as its SQL does."""
+    return _dedup_all(spark, d).select("id", "component")
+
+
+@query(_ALL_COMPONENTS + ", named AS (SELECT id, component, 'topic ' || id AS name FROM comp) SELECT component, first(id ORDER BY length(name) DESC, id) AS keep_id, count(*) AS members FROM named GROUP BY component", graph=False)
+def canonical_of_components_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    named = _dedup_all(spark, d).withColumn("name", F.concat(F.lit("topic "), "id")).withColumn("created_at", F.lit(0))
+    return E.canonical(named)
+
+
 @query("""WITH kept AS (SELECT c.id, 'N' || (n.n_nationkey - n.n_nationkey % 5) || substr(c.id, position('-' IN c.id)) AS keep_id FROM topic c JOIN nation n ON c.parent_id = 'N' || n.n_nationkey WHERE c.level = 'subtopic')
 SELECT DISTINCT b.src, coalesce(k.keep_id, b.dst) AS dst FROM belongs b LEFT JOIN kept k ON k.id = b.dst""")
 def topic_merge_rewire(spark: SparkSession, d: str) -> DataFrame:
