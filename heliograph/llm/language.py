@@ -1,7 +1,7 @@
 """Operator 10: language ID with a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on the driver, from a bounded sample of
-labelled rows (MAX_FIT windows, a documented parameter). Prediction runs in tasks: whole texts are cut into
+labelled rows (MAX_FIT documents, a documented parameter, shared out evenly over all languages). Prediction runs in tasks: whole texts are cut into
 sequences of STEPS bytes, every position is labelled, and a document pools the probabilities of all its
 positions.
 
@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import with_row
 
@@ -27,7 +28,8 @@ HIDDEN = 8
 STEPS = 128
 FIT_STEPS = 48
 MAX_FIT = 8000
-MAX_LANGUAGES = 100
+#: Sequences times languages that are worked on at once, so that memory does not grow with the number of languages.
+CELLS = 1 << 16
 UNKNOWN = "und"
 RESULT = "doc_id long, lang_pred string, score double, shares array<double>"
 
@@ -120,7 +122,12 @@ class ByteBiGRU:
         for i in range(1, rounds + 1):
             some = rng.integers(0, len(data), min(batch, len(data)))
             live = (np.arange(data.shape[1])[:, None] < sizes[some]).astype(bool)
-            _, g = self.gradients(np.ascontiguousarray(data[some].T), live, label[some])
+            g, total, cut = {k: np.zeros_like(v) for k, v in self.p.items()}, max(1, int(live.sum())), max(8, CELLS // self.k)
+            for at in range(0, len(some), cut):
+                part = slice(at, at + cut)
+                _, more = self.gradients(np.ascontiguousarray(data[some[part]].T), live[:, part], label[some[part]])
+                for k, x in more.items():
+                    g[k] += x * (max(1, int(live[:, part].sum())) / total)
             norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
             scale = min(1.0, 1.0 / (norm + 1e-9))
             now = rate * (0.5 + 0.5 * math.cos(math.pi * i / rounds))
@@ -147,23 +154,34 @@ def held_out(doc_id: Column, mod: int, at: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == at, F.lit(False))
 
 
+def quota(counts: list[int], most: int) -> int:
+    """The largest equal share, one at least, at which groups of these sizes give no more than most rows together."""
+    left = most
+    for k, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - k)
+        if n > share:
+            return max(1, share)
+        left -= n
+    return max(1, *counts)
+
+
 def train(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[ByteBiGRU, list[str]] | None:
-    """labelled: text and lang. Learns from at most max_fit documents, spread by a hash of the text."""
-    rows = labelled.where("lang is not null and text is not null and lang <> ''")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in counts)
-    if not langs:
-        return None
-    step = max(1, math.ceil(sum(r["count"] for r in counts) / max_fit))
+    """labelled: text and lang. Learns from at most max_fit documents, or one of each language if those are more.
+
+    Every language gives its share of different windows, those with the least hashes; copies count once.
+    """
     text = F.encode("text", "UTF-8")
     middle = F.greatest(F.lit(1), (F.octet_length("text") / 2).cast("int"))
-    windows = F.array(F.substring(text, 1, FIT_STEPS), F.substring(text, middle, FIT_STEPS))
-    some = rows.where(F.pmod(F.xxhash64(F.substring("text", 1, 200), F.length("text")), F.lit(step)) == 0)
-    got = some.select("lang", F.explode(windows).alias("w")).limit(2 * max_fit).collect()
-    got = [(bytes(r["w"]), langs.index(r["lang"])) for r in got if r["lang"] in langs and len(r["w"])]
-    if not got:
+    rows = labelled.where("lang is not null and lang <> '' and text is not null and text <> ''")
+    rows = rows.select("lang", F.substring(text, 1, FIT_STEPS).alias("head"), F.substring(text, middle, FIT_STEPS).alias("mid"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return None
-    got.sort()
+    langs = sorted(counts)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("head", "mid"), "head", "mid"))
+    some = rows.distinct().withColumn("nth", nth).where(F.col("nth") <= quota(list(counts.values()), max_fit))
+    of = {lang: k for k, lang in enumerate(langs)}
+    got = sorted((bytes(w), of[r["lang"]]) for r in some.select("lang", "head", "mid").collect() for w in (r["head"], r["mid"]))
     model = ByteBiGRU(len(langs))
     sizes = np.array([len(w) for w, _ in got])
     data = np.frombuffer(b"".join(w.ljust(FIT_STEPS, b"\0") for w, _ in got), np.uint8).reshape(-1, FIT_STEPS)
@@ -174,6 +192,7 @@ def train(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[ByteBiGRU, list[
 def predict(documents: DataFrame, model: tuple[ByteBiGRU, list[str]] | None, batch: int = 4096, carry: list[str] = ()) -> DataFrame:
     """doc_id, lang_pred, score and shares (pooled probability of each language) of every row; row: a struct of the columns in carry."""
     net, langs = model or (None, [])
+    batch = max(16, min(batch, CELLS // max(1, len(langs))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches:
