@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
 from ..functions.vector import scores
+from .match import keep
 
 
 def semantic(queries: DataFrame, nodes: DataFrame, top_k: int = 10, min_score: float | None = 0.5) -> DataFrame:
@@ -67,3 +69,27 @@ def arbiter_route(decision: Column, certainty: Column, round_no: Column, max_rou
         .when((certainty < 0.7) & final, "human_review")
         .otherwise(decision)
     )
+
+
+def similar_texts(rows: DataFrame, within: str, key: str = "id", text: str = "text", least: float = 0.7) -> DataFrame:
+    """(within, source, target, relation, score) over all pairs of texts of one `within`, for a word-set Jaccard similarity of least (above 0) or more.
+
+    Texts with the same words count as one, under their least key, to which `same_words` leads to the others; `related_to`
+    links different word sets. Of two sets that similar, one of the rarest words of each is shared (prefix filter), so only
+    such sets are compared. Texts without a word are similar to nothing.
+    """
+    w = rows.select(within, F.col(key).alias("key"), F.array_sort(F.array_distinct(T.words(F.lower(text)))).alias("set")).where(F.size("set") > 0)
+    reps = keep(w.groupBy(within, "set").agg(F.min("key").alias("rep")).withColumn("sid", F.monotonically_increasing_id()), "sets")
+    same = w.join(reps, [within, "set"]).where("key <> rep").select(within, F.col("rep").alias("source"), F.col("key").alias("target"), F.lit("same_words").alias("relation"), F.lit(1.0).alias("score")).distinct()
+    words = reps.select(within, "sid", F.size("set").alias("n"), F.explode("set").alias("word"))
+    often = words.groupBy(within, "word").agg(F.count("*").alias("often"))
+    nth = F.row_number().over(Window.partitionBy("sid").orderBy("often", "word"))
+    rare = words.join(often, [within, "word"]).withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    rare = keep(rare.select(within, "word", "sid", "n"), "rare")
+    other = rare.select(within, "word", F.col("sid").alias("sid2"), F.col("n").alias("n2"))
+    fits = (F.col("sid") < F.col("sid2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * least - 1e-9)
+    pairs = rare.join(other, [within, "word"]).where(fits).select("sid", "sid2").distinct()
+    both = pairs.join(reps, "sid").join(reps.select(F.col("sid").alias("sid2"), F.col("set").alias("set2"), F.col("rep").alias("rep2")), "sid2")
+    shared = F.size(F.array_intersect("set", "set2"))
+    close = both.withColumn("score", shared / (F.size("set") + F.size("set2") - shared)).where(F.col("score") >= least)
+    return same.unionByName(close.select(within, F.least("rep", "rep2").alias("source"), F.greatest("rep", "rep2").alias("target"), F.lit("related_to").alias("relation"), "score"))

@@ -449,6 +449,15 @@ def jaccard_relations(spark: SparkSession, d: str) -> DataFrame:
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("text"), F.col("after")), 9).alias("score"))
 
 
+@query(f"""WITH w AS (SELECT conv_id, turn, list_sort({_WORDSET.format("text")}) AS s FROM conversations WHERE text IS NOT NULL), r AS (SELECT conv_id, s, min(turn) AS turn FROM w WHERE len(s) > 0 GROUP BY conv_id, s),
+p AS (SELECT a.conv_id, least(a.turn, b.turn) AS source, greatest(a.turn, b.turn) AS target, CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / len(list_distinct(list_concat(a.s, b.s))) AS score FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.s < b.s)
+SELECT conv_id, source, target, 'related_to' AS relation, round(score, 9) AS score FROM p WHERE score >= 0.7::DOUBLE
+UNION ALL SELECT DISTINCT w.conv_id, r.turn, w.turn, 'same_words', 1.0::DOUBLE FROM w JOIN r ON r.conv_id = w.conv_id AND r.s = w.s WHERE w.turn <> r.turn""", graph=False)
+def jaccard_relations_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All similar turns of a conversation; jaccard_relations scores each turn against the next one only, as its SQL does."""
+    return S.similar_texts(table(spark, d, "conversations"), "conv_id", "turn").withColumn("score", F.round("score", 9))
+
+
 @query("""WITH r AS (SELECT event_id AS ordinal, 'user ' || user_id % 50 AS source, 'kind ' || event_type AS target, CASE event_id % 3 WHEN 0 THEN 'extends' WHEN 1 THEN 'related_to' ELSE 'depends_on' END AS relation, round(value, 1) AS confidence FROM events)
 SELECT source, target, relation, ordinal, CASE WHEN relation <> 'related_to' THEN relation END AS stored_type FROM (SELECT *, row_number() OVER (PARTITION BY source, target, relation ORDER BY confidence DESC, ordinal) AS n FROM r) WHERE n = 1""", graph=False)
 def relation_dedupe(spark: SparkSession, d: str) -> DataFrame:

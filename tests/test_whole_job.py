@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from heliograph.llm import language
 from heliograph.operators import resolve as E
+from heliograph.operators import search as S
 from heliograph.plans import registry
 
 NEAR = 0.9
@@ -67,3 +68,26 @@ def test_language_learns_from_every_language_and_from_copies_once(spark, monkeyp
 
 def test_language_quota():
     assert [language.quota(c, 10) for c in ([3, 100], [100, 100], [1, 2], [5] * 20)] == [7, 5, 2, 1]
+
+
+def test_similar_texts_over_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = [rng.choice(30, rng.integers(1, 12)).tolist() for _ in range(12)]
+    rows = []
+    for t in range(90):
+        words = list(base[t % 12])
+        if t % 3:
+            words[0] = int(rng.integers(30))
+        rows.append((t % 2, t, " ".join(f"W{x}" for x in rng.permutation(words))))
+    rows += [(0, 500, "a b c d e f g h i j"), (0, 700, "A B C D E F G"), (0, 800, " "), (0, 801, None), (0, 802, "")]
+    sets = {(c, t): frozenset((x or "").lower().split()) for c, t, x in rows}
+    want = {(c, a, b) for c, a in sets for e, b in sets if c == e and a < b and sets[c, a] and len(sets[c, a] & sets[c, b]) / len(sets[c, a] | sets[c, b]) >= 0.7}
+    assert (0, 500, 700) in want and any(b - a > 2 for _, a, b in want)
+    found = S.similar_texts(spark.createDataFrame(rows, "c long, t long, text string").repartition(3), "c", "t").collect()
+    rep = {(r["c"], r["target"]): r["source"] for r in found if r["relation"] == "same_words"}
+    links = {(r["c"], r["source"], r["target"]) for r in found if r["relation"] == "related_to"}
+    assert len(rep) + len(links) == len(found) and rep
+    of = lambda c, t: rep.get((c, t), t)
+    ends = lambda c, a, b: (c, min(of(c, a), of(c, b)), max(of(c, a), of(c, b)))
+    got = {(c, a, b) for c, a in sets for e, b in sets if c == e and a < b and (of(c, a) == of(c, b) or ends(c, a, b) in links)}
+    assert got == want
