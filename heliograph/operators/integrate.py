@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vector as V
+from .match import keep
+
 
 def mentions(extracted: DataFrame) -> DataFrame:
     """Extracted problems (paper, ordinal, statement, quoted_text, confidence) as mentions with ids of their own content."""
@@ -62,6 +66,59 @@ def merge_in_order(entities: DataFrame, threshold: float, block: str = "block")
     return entities.where("vector is not null").select("id", "vector", "ordinal", block).groupBy(block).applyInPandas(run, f"id {kind}, keep_id {kind}")
 
 
+def merge_all_in_order(entities: DataFrame, threshold: float, size: int = V.QUERY_BLOCK) -> DataFrame:
+    """merge_in_order over all entities (id, vector, ordinal): each is compared with every one kept before it, wherever that stands.
+
+    Entities pass in order, about size at a time: tasks find the nearest of what was kept before for all of them, then the
+    few thousand are folded among themselves and what they leave is kept. Vectors that are null, zero or not finite merge with nothing.
+    Returns id and keep_id.
+    """
+    if threshold <= 0:
+        raise ValueError(f"threshold must be above 0; got {threshold}")
+    spark = entities.sparkSession
+    rows = keep(entities.select("ordinal", "id", F.col("vector").cast("array<double>").alias("vector")), "entities")
+    kind = dict(rows.dtypes)["id"]
+    parts = max(1, -(-rows.count() // size))
+    kept = out = None
+    start = 0
+    ordered = rows.repartitionByRange(parts, "ordinal", "id").sortWithinPartitions("ordinal", "id").toLocalIterator()
+    while some := list(islice(ordered, size)):
+        ids = [r["id"] for r in some]
+        at = [i for i, r in enumerate(some) if r["vector"] is not None and np.isfinite(np.array(r["vector"], np.float64)).all()]
+        near: dict[int, tuple[float, int, object]] = {}
+        if kept is not None and at:
+            block = spark.createDataFrame([(start + i, some[i]["vector"]) for i in at], "id long, vector array<double>")
+            best = V.scores(block, kept.select("id", "vector"), 1, threshold, block=2 * size)
+            name = kept.select("id", "own")
+            near = {r["query_id"] - start: (r["score"], -r["id"], r["own"]) for r in best.join(name, "id").collect()}
+        x = np.zeros((len(some), len(some[at[0]]["vector"]) if at else 1))
+        for i in at:
+            x[i] = some[i]["vector"]
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        fresh, ends = [], []
+        held = np.empty_like(x)
+        for i in range(len(some)):
+            found = near.get(i)
+            if fresh:
+                score = np.round(held[: len(fresh)] @ x[i], 9)
+                k = int(score.argmax())
+                if score[k] >= threshold and (found is None or score[k] > found[0]):  # of equals the first kept
+                    found = (float(score[k]), 0, ids[fresh[k]])
+            if found is None:
+                held[len(fresh)] = x[i]
+                fresh.append(i)
+            ends.append(ids[i] if found is None else found[2])
+        part = keep(spark.createDataFrame(list(zip(ids, ends)), f"id {kind}, keep_id {kind}"), "merged")
+        out = part if out is None else out.unionByName(part)
+        new = [(start + i, ids[i], some[i]["vector"]) for i in fresh if x[i].any()]
+        if new:
+            part = keep(spark.createDataFrame(new, f"id long, own {kind}, vector array<double>"), "kept")
+            kept = part if kept is None else kept.unionByName(part)
+        start += len(some)
+    return rows.select("id", F.col("id").alias("keep_id")) if out is None else out
+
+
 def import_outcome(known: Column, failed: Column, update: bool) -> Column:
     return F.when(failed, "error").when(known & F.lit(update), "updated").when(known, "skipped").otherwise("created")
 

@@ -693,7 +693,7 @@ def mention_integration(spark: SparkSession, d: str) -> DataFrame:
 def sequential_merge(spark: SparkSession, d: str) -> DataFrame:
     """Order-dependent merging has no plain SQL form; tests hold it against a loop."""
     _, rows = _vectors(spark, d)
-    return I.merge_in_order(rows.select("id", "vector", F.col("id").alias("ordinal"), (F.col("id") / 64).cast("long").alias("block")), 0.35)
+    return I.merge_all_in_order(rows.select("id", "vector", F.col("id").alias("ordinal")), 0.35)
 
 
 @query("""WITH o AS (SELECT user_id % 7 AS trace_id, event_id AS paper, CASE WHEN event_id % 11 = 0 THEN 'error' WHEN event_id % 3 = 0 AND user_id % 2 = 0 THEN 'updated' WHEN event_id % 3 = 0 THEN 'skipped' ELSE 'created' END AS outcome FROM events)

@@ -91,3 +91,33 @@ def test_similar_texts_over_all_pairs(spark):
     ends = lambda c, a, b: (c, min(of(c, a), of(c, b)), max(of(c, a), of(c, b)))
     got = {(c, a, b) for c, a in sets for e, b in sets if c == e and a < b and (of(c, a) == of(c, b) or ends(c, a, b) in links)}
     assert got == want
+
+
+def _folded(rows, threshold):
+    kept, out = [], {}
+    for i, v in rows:
+        x = np.array(v) / np.linalg.norm(v) if v is not None and any(v) else None
+        best = max(((round(float(u @ x), 9), -n, k) for n, (k, u) in enumerate(kept)), default=(0, 0, None)) if x is not None else (0, 0, None)
+        out[i] = best[2] if best[0] >= threshold else i
+        if out[i] == i and x is not None:
+            kept.append((i, x))
+    return out
+
+
+def test_merging_in_order_reaches_everything_kept_before(spark):
+    from heliograph.operators import integrate as I
+
+    rows = _vectors()
+    frame = spark.createDataFrame([(i, v, i) for i, v in rows], "id long, vector array<double>, ordinal long").repartition(3)
+    for size in (4096, 64):
+        assert {r["id"]: r["keep_id"] for r in I.merge_all_in_order(frame, 0.8, size).collect()} == _folded(rows, 0.8)
+    assert I.merge_all_in_order(frame.limit(0), 0.8).count() == 0
+
+
+def test_registered_merge_has_no_blocks(spark, tmp_path):
+    x = np.random.default_rng(4).normal(size=(200, 64))
+    x[190] = x[5]  # in other blocks of 64 ids
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {r["id"]: r["keep_id"] for r in registry.QUERIES["sequential_merge"](spark, str(tmp_path)).collect()}
+    assert found == _folded(rows, 0.35) and found[190] == found[5]
