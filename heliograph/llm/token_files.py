@@ -2,7 +2,8 @@
 
 Documents are range-partitioned by doc_id; each task writes one Arrow IPC file whose record batches hold
 fixed-size lists (ids and mask), so any sequence is a slice of a memory-mapped buffer, and a second one
-with the documents of the file. Ids are 16 bits wide where the vocabulary allows. A task attempt writes
+with the documents of the file. Ids are 16 bits wide where the tokenizer's vocabulary allows, else 32; an
+id that does not fit is an error. A task attempt writes
 files of its own and only those named in the manifest count, so retries and lost executors do no harm.
 
 Null or empty texts are one end token; rows with null doc_ids come first; rows with equal doc_ids follow
@@ -27,22 +28,29 @@ MANIFEST = "part int, path string, docs_path string, n_docs long, n_tokens long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _file_schema(seq_len: int, width: int) -> pa.Schema:
-    kind = pa.uint16() if width == 2 else pa.uint32()
-    return pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+def id_kind(vocab_size: int, end_id: int) -> tuple[str, pa.DataType]:
+    """How ids are stored: as narrow as every id of the vocabulary and the end token allow."""
+    return ("<u2", pa.uint16()) if max(vocab_size, end_id + 1) <= 1 << 16 else ("<u4", pa.uint32())
 
 
-def write(documents: DataFrame, tokenizer_path: str, out_dir: str, end_id: int = 2, seq_len: int = 1024, vocab_size: int = 50257, batch_sequences: int = 256) -> DataFrame:
+def narrowed(ids: bytes, dtype: str) -> np.ndarray:
+    """Ids (little-endian unsigned 32-bit) as dtype; raises on one that does not fit."""
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) > np.iinfo(dtype).max:
+        raise ValueError(f"token id {int(wide.max())} does not fit {dtype}")
+    return wide.astype(dtype)
+
+
+def write(documents: DataFrame, tokenizer_path: str, out_dir: str, end_id: int = 2, seq_len: int = 1024, batch_sequences: int = 256) -> DataFrame:
     """Write the files; gives the manifest, one row per file in the order of doc_id."""
-    width = 2 if max(vocab_size, end_id + 1) <= 1 << 16 else 4
-    dtype = "<u2" if width == 2 else "<u4"
     end = int(end_id).to_bytes(4, "little")
-    schema = _file_schema(seq_len, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         enc, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        dtype, kind = id_kind(enc.vocab_size, end_id)
+        schema = pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         store, root = fs.FileSystem.from_uri(out_dir)
         store.create_dir(root)
         name = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
@@ -70,7 +78,7 @@ def write(documents: DataFrame, tokenizer_path: str, out_dir: str, end_id: int =
                     sink = store.open_output_stream(f"{name}.arrow")
                     writer = pa.ipc.new_file(sink, schema)
                 for doc_id, ids in zip(piece.column(0).to_pylist(), enc.encode([t or "" for t in piece.column(1).to_pylist()])):
-                    ids = np.frombuffer(ids + end, dtype="<u4").astype(dtype)
+                    ids = narrowed(ids + end, dtype)
                     doc_ids.append(doc_id)
                     starts.append(total)
                     lengths.append(len(ids))

@@ -2,6 +2,7 @@
 
 A byte-level BPE of this family starts a new word at every single space before a non-space, so
 a text can be cut there and the cuts encoded once each: ids of a text are the ids of its cuts in order.
+A text that holds one of the tokenizer's added tokens is encoded whole, as the library does it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.cache: dict[str, bytes] = {}
         self.cache_entries = cache_entries
 
@@ -85,7 +87,19 @@ class WordEncoder:
                 cache[cut] = ids
         cache.update(zip(other, self._direct([" " + c for c in other])))
 
+    @property
+    def vocab_size(self) -> int:
+        """One more than the largest id, added tokens included."""
+        return max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = {k for k, t in enumerate(texts) if self.added.search(t)}
+        if not whole:
+            return self._by_cuts(texts)
+        cut = iter(self._by_cuts([t for k, t in enumerate(texts) if k not in whole]))
+        return [self._direct([t])[0] if k in whole else next(cut) for k, t in enumerate(texts)]
+
+    def _by_cuts(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
             cuts = [t.split(" ") if _ODD.search(t) is None else _CUT.split(t) for t in texts[at : at + 256]]

@@ -24,7 +24,7 @@ def prose(n):
 SHARED = prose(80)
 TEXTS = [
     prose(200), "intro " + SHARED + " outro", prose(30) + "\n" + SHARED, None, "", "   \n\t", "x", "a" * 400, "b" + "a" * 300, prose(20_000),
-    SHARED, SHARED, prose(40) + " " + SHARED[: len(SHARED) // 2], "It's 12 o'clock!  Double  spaces \n and\ttabs.", "ÀÉ" * 60, prose(36),
+    SHARED, SHARED, prose(40) + " " + SHARED[: len(SHARED) // 2], "It's 12 o'clock!  Double  spaces \n and\ttabs.", "ÀÉ" * 60, prose(36), "a mark <|endoftext|> inside",
 ]
 ROWS = [(i, t) for i, t in enumerate(TEXTS)] + [(10, TEXTS[10]), (None, SHARED), (20, "y" * 60)]
 
@@ -188,9 +188,24 @@ def test_isotonic():
 def encode(text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(bpe_path())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(bpe_path()).encode(text or "", add_special_tokens=False).ids
+
+
+def test_ids_are_those_of_the_plain_library_call():
+    from heliograph.llm.tokens import WordEncoder
+
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "a  b <|endoftext|><|endoftext|>\n", "plain words, no mark", "", " <|endoftext |>"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in WordEncoder(bpe_path()).encode(texts)] == [encode(t) for t in texts]
+
+
+def test_width_of_ids_follows_the_vocabulary():
+    from heliograph.llm.tokens import WordEncoder
+
+    assert WordEncoder(bpe_path()).vocab_size == 50257
+    assert [token_files.id_kind(*x)[0] for x in ((50257, 2), (65536, 2), (65537, 2), (100, 70000))] == ["<u2", "<u2", "<u4", "<u4"]
+    assert token_files.narrowed(np.array([65535, 3], "<u4").tobytes(), "<u2").tolist() == [65535, 3]
+    with pytest.raises(ValueError):
+        token_files.narrowed(np.array([65536], "<u4").tobytes(), "<u2")
 
 
 def test_packing(docs, none):
@@ -346,6 +361,22 @@ def test_gradients_of_the_network():
         assert abs((up - down) / (2 * eps) - g[k][at]) < 2e-3, k
 
 
+def test_language_learns_from_every_language_and_from_copies_once(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language.ByteBiGRU, "fit", lambda self, data, sizes, label, **_: seen.update(data=data, label=label))
+    rows = [("always the same words " * 5, "aa")] * 3000 + [(f"{i} different words {i * 7919}", "bb") for i in range(1000)]
+    rows += [(f"rare {i}", f"r{i:03}") for i in range(120)] + [("", "void"), (None, "void")]
+    model, langs = language.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), 400)
+    assert langs == sorted({lang for t, lang in rows if t}) and model.k == 122
+    per = np.bincount(seen["label"], minlength=122)
+    assert per[langs.index("aa")] == 2 and per[langs.index("bb")] == 2 * 140 and set(per.tolist()) == {2, 280}
+    assert len(seen["label"]) <= 2 * 400
+
+
+def test_language_quota():
+    assert [language.quota(c, 10) for c in ([3, 100], [100, 100], [1, 2], [5] * 20)] == [7, 5, 2, 1]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
