@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliograph.llm import language
 from heliograph.operators import resolve as E
 from heliograph.operators import search as S
 from heliograph.plans import registry
@@ -54,22 +53,6 @@ def test_registered_groups_use_every_row(spark, tmp_path):
     assert one["members"] >= 3
 
 
-def test_language_learns_from_every_language_and_from_copies_once(spark, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(language.ByteBiGRU, "fit", lambda self, data, sizes, label, **_: seen.update(data=data, label=label))
-    rows = [("always the same words " * 5, "aa")] * 3000 + [(f"{i} different words {i * 7919}", "bb") for i in range(1000)]
-    rows += [(f"rare {i}", f"r{i:03}") for i in range(120)] + [("", "void"), (None, "void")]
-    model, langs = language.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), 400)
-    assert langs == sorted({lang for t, lang in rows if t}) and model.k == 122
-    per = np.bincount(seen["label"], minlength=122)
-    assert per[langs.index("aa")] == 2 and per[langs.index("bb")] == 2 * 140 and set(per.tolist()) == {2, 280}
-    assert len(seen["label"]) <= 2 * 400
-
-
-def test_language_quota():
-    assert [language.quota(c, 10) for c in ([3, 100], [100, 100], [1, 2], [5] * 20)] == [7, 5, 2, 1]
-
-
 def test_similar_texts_over_all_pairs(spark):
     rng = np.random.default_rng(8)
     base = [rng.choice(30, rng.integers(1, 12)).tolist() for _ in range(12)]
