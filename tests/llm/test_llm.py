@@ -304,8 +304,8 @@ def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-@pytest.mark.parametrize("block_chars", [decontaminate.BLOCK_CHARS, 200])
-def test_decontamination(spark, docs, none, block_chars):
+@pytest.mark.parametrize("shard_chars", [decontaminate.SHARD_CHARS, 200])
+def test_decontamination(spark, docs, none, shard_chars):
     items = [(1, SHARED), (2, "Lumen, ARDOR!"), (3, None), (4, "..."), (None, "été quill"), (1, prose(20)), (5, prose(40))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = []
@@ -323,7 +323,7 @@ def test_decontamination(spark, docs, none, block_chars):
                     hit |= set(range(k, k + len(g)))
                     own.add(item)
         want.append((i, len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), 0 < len(hit) and 20 * len(hit) >= len(w)))
-    scanned = decontaminate.scan(docs, bench, block_chars=block_chars)
+    scanned = decontaminate.scan(docs, bench, shard_chars=shard_chars)
     assert key(map(tuple, decontaminate.report(scanned).collect())) == key(want)
     passages = [r for r in decontaminate.hit_spans(scanned).collect() if r["doc_id"] == 1]
     assert any(words_of(r["passage"])[:5] == words_of(SHARED)[:5] for r in passages)
@@ -331,6 +331,36 @@ def test_decontamination(spark, docs, none, block_chars):
     assert decontaminate.report(decontaminate.scan(docs, bench.limit(0))).where("contaminated").count() == 0
 
 
+def test_decontamination_with_windows_that_share_a_hash(monkeypatch):
+    monkeypatch.setattr(decontaminate.Patterns, "_hash", lambda self, rows: np.zeros(len(rows), np.uint64))
+    items = [(str(k), prose(n)) for k, n in enumerate((13, 20, 31, 26, 5, 1))]
+    p = decontaminate.Patterns([*items, ("twin", items[1][1])], 13)
+    words = words_of(prose(9) + " " + items[1][1] + " " + items[2][1][:150] + " " + prose(40))
+    runs, own = p.scan([w.encode() for w in words])
+    want, names = set(), set()
+    for i, t in [*items, ("twin", items[1][1])]:
+        w = words_of(t)
+        n = min(13, len(w))
+        for k in range(len(w) - n + 1):
+            for a in range(len(words) - n + 1):
+                if words[a : a + n] == w[k : k + n]:
+                    want |= set(range(a, a + n))
+                    names.add(i)
+    assert {x for a, b in runs for x in range(a, b + 1)} == want and own == names and "twin" in own
+
+
+def test_a_large_benchmark_is_one_automaton_and_one_scan(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50_000, 400)) for _ in range(4500)]  # 10 MB and more
+    assert sum(map(len, texts)) > 10_000_000
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").repartition(4)
+    assert len(decontaminate.write_patterns(bench, 13, decontaminate.SHARD_CHARS)) == 1
+    d = spark.createDataFrame([(1, "x " + " ".join(texts[77].split()[100:113]) + " y"), (2, " ".join(texts[78].split()[100:112]))], "doc_id long, text string")
+    scanned = decontaminate.scan(d, bench)
+    assert scanned._jdf.queryExecution().toString().count("MapInArrow") <= 4  # one operator in each of the four plans
+    assert {r["doc_id"]: (r["n_words"], [(h["first"], h["last"]) for h in r["hits"]], r["items"]) for r in scanned.collect()} == {1: (15, [(1, 13)], ["77"]), 2: (12, [], [])}
+
+
 def test_language(spark, docs, none):
     made = {"aa": "kalo mira tuva sene", "bb": "schlo pfurz krach btz", "cc": "ño ció que ías"}
     rows = [(i, " ".join(RNG.choice(made[l].split(), 12).tolist()), l) for i in range(300) for l in [sorted(made)[i % 3]]] + [(900, None, "aa"), (901, "12 34 !", "bb"), (902, "kalo mira", None), (903, "", "cc")]
@@ -350,8 +380,7 @@ def test_gradients_of_the_network():
     live[4:, 1] = False
     net.p["xf"], net.p["xb"] = net.p["xf"] * 1.0, net.p["xb"] * 1.0
     _, g = net.gradients(data, live, label)
-    for k in ("uf", "wb", "cf", "ub", "o"):
-        at = tuple(0 for _ in net.p[k].shape)
+    for k, at in [(k, tuple(0 for _ in net.p[k].shape)) for k in ("uf", "wb", "cf", "ub", "o")] + [(k, (int(data[2, 1]), c)) for k in ("xf", "xb") for c in (0, 4, 8)]:
         old, eps = net.p[k][at], 1e-3
         net.p[k][at] = old + eps
         up, _ = net.gradients(data, live, label)
@@ -365,18 +394,62 @@ def test_language_learns_from_every_language_and_from_copies_once(spark, monkeyp
     seen = {}
     monkeypatch.setattr(language.ByteBiGRU, "fit", lambda self, data, sizes, label, **_: seen.update(data=data, label=label))
     rows = [("always the same words " * 5, "aa")] * 3000 + [(f"{i} different words {i * 7919}", "bb") for i in range(1000)]
-    rows += [(f"rare {i}", f"r{i:03}") for i in range(120)] + [("", "void"), (None, "void")]
+    rows += [(f"rare {i}", f"r{i:03}") for i in range(120)] + [("", "void"), (None, "void"), ("no name for it", ""), ("nothing to learn", None)]
     model, langs = language.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), 400)
-    assert langs == sorted({lang for t, lang in rows if t}) and model.k == 122
-    per = np.bincount(seen["label"], minlength=122)
-    assert per[langs.index("aa")] == 2 and per[langs.index("bb")] == 2 * 140 and set(per.tolist()) == {2, 280}
-    assert len(seen["label"]) <= 2 * 400
+    assert langs == sorted({lang for t, lang in rows if t and lang is not None}) and "" in langs and model.k == 123
+    per = np.bincount(seen["label"], minlength=123) // language.WINDOWS
+    assert per[langs.index("aa")] == 1 and per[langs.index("bb")] == 400 - 122 and set(per.tolist()) == {1, 278}
+    assert len(seen["label"]) <= language.WINDOWS * 400
+
+
+def test_language_learns_from_the_whole_of_a_text(spark):
+    head = "the same opening words for all of them, whatever follows " * 4
+    made = {"aa": "kalo mira tuva sene", "bb": "schlo pfurz krach btz"}
+    text = lambda l, i: head + " ".join(RNG.choice(made[l].split(), 300).tolist()) + str(i)
+    rows = [(i, text(l, i), l) for i in range(120) for l in [sorted(made)[i % 2]]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = language.fit_windows(d.where("doc_id = 4")).first()["windows"]
+    size, found = len(rows[4][1].encode()), [rows[4][1].encode().index(bytes(w)) for w in one]
+    assert all(len(w) == language.FIT_STEPS for w in one) and all(k * (size - 48) // 3 <= at + 1 <= (k + 1) * size // 3 + 1 for k, at in enumerate(found))
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(d).collect()}
+    assert sum(got[i] == l for i, _, l in rows) >= 0.95 * len(rows)
 
 
 def test_language_quota():
     assert [language.quota(c, 10) for c in ([3, 100], [100, 100], [1, 2], [5] * 20)] == [7, 5, 2, 1]
 
 
+def test_prediction_is_that_of_a_plain_loop(spark):
+    net = language.ByteBiGRU(3, hidden=4, seed=2)
+    langs, sig = ["x", "y", "z"], lambda v: 1 / (1 + np.exp(-v))
+    texts = ["short", prose(70), "é" * 200, "a"]
+
+    def states(d, data):
+        p, h, out = net.p, np.zeros(4), {}
+        for t in range(len(data)) if d == "f" else range(len(data) - 1, -1, -1):
+            x, s = p["x" + d][data[t]] + p["c" + d], h @ p["u" + d]
+            z, r = sig(x[:4] + s[:4]), sig(x[4:8] + s[4:8])
+            new = np.tanh(x[8:] + r * s[8:])
+            h = z * h + (1 - z) * new
+            out[t] = h
+        return out
+
+    want = []
+    for t in texts:
+        total = np.zeros(3)
+        for at in range(0, len(t.encode()), language.STEPS):
+            data = t.encode()[at : at + language.STEPS]
+            f, b = states("f", data), states("b", data)
+            for k in range(len(data)):
+                e = np.exp(f[k] @ net.p["wf"] + b[k] @ net.p["wb"] + net.p["o"])
+                total += e / e.sum()
+        want.append(total / total.sum())
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.predict(d, (net, langs), batch=16).collect()}
+    for k, w in enumerate(want):
+        assert np.allclose(got[k]["shares"], w, atol=1e-5) and got[k]["lang_pred"] == langs[int(w.argmax())] and abs(got[k]["score"] - w.max()) < 1e-5
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
