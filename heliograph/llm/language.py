@@ -1,12 +1,13 @@
 """Operator 10: language ID with a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on the driver, from a bounded sample of
-labelled rows (MAX_FIT documents, a documented parameter, shared out evenly over all languages). Prediction runs in tasks: whole texts are cut into
-sequences of STEPS bytes, every position is labelled, and a document pools the probabilities of all its
-positions.
+labelled rows (MAX_FIT documents, a documented parameter, shared out evenly over all languages), of each of
+which it learns WINDOWS sequences, one from a random place in each equal part of the whole text. Prediction
+runs in tasks: whole texts are cut into sequences of STEPS bytes, every position is labelled, and a document
+pools the probabilities of all its positions.
 
-Null texts and texts without a letter are `und` with score 0; rows without a language are not learned
-from; repeated rows are judged each for itself; a null doc_id is never held out and never learned from;
+Null texts and texts without a letter are `und` with score 0; rows with a null language are not learned
+from (an empty one is a language); repeated rows are judged each for itself; a null doc_id is never held out and never learned from;
 other columns are ignored; with nothing to learn from, every document is `und`; an empty table gives no rows.
 """
 
@@ -22,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import with_row
+from .common import parallelism, with_row
 
 HIDDEN = 8
 STEPS = 128
 FIT_STEPS = 48
+WINDOWS = 3
 MAX_FIT = 8000
 #: Sequences times languages that are worked on at once, so that memory does not grow with the number of languages.
 CELLS = 1 << 16
@@ -165,23 +167,34 @@ def quota(counts: list[int], most: int) -> int:
     return max(1, *counts)
 
 
+def fit_windows(labelled: DataFrame) -> DataFrame:
+    """lang and windows (WINDOWS runs of FIT_STEPS bytes, or shorter texts whole) of rows that teach something, each different sample once."""
+    data = F.encode("text", "UTF-8")
+    size = F.octet_length("text")
+    places = F.greatest(F.lit(1), size - FIT_STEPS + 1)
+    rows = labelled.where("lang is not null and text is not null and text <> ''").withColumn("h", F.xxhash64("text"))
+    first = [F.floor(places * k / WINDOWS) + F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.lit(1), F.floor(places / WINDOWS))) for k in range(WINDOWS)]
+    windows = F.array(*(F.substring(data, F.least(at + 1, places).cast("int"), F.lit(FIT_STEPS)) for at in first))
+    return rows.select("lang", windows.alias("windows")).distinct()
+
+
 def train(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[ByteBiGRU, list[str]] | None:
     """labelled: text and lang. Learns from at most max_fit documents, or one of each language if those are more.
 
-    Every language gives its share of different windows, those with the least hashes; copies count once.
+    Every language gives its share of different samples, those with the least hashes of their text; copies count once.
     """
-    text = F.encode("text", "UTF-8")
-    middle = F.greatest(F.lit(1), (F.octet_length("text") / 2).cast("int"))
-    rows = labelled.where("lang is not null and lang <> '' and text is not null and text <> ''")
-    rows = rows.select("lang", F.substring(text, 1, FIT_STEPS).alias("head"), F.substring(text, middle, FIT_STEPS).alias("mid"))
+    rows = fit_windows(labelled).withColumn("h", F.xxhash64("windows"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    langs = sorted(counts)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("head", "mid"), "head", "mid"))
-    some = rows.distinct().withColumn("nth", nth).where(F.col("nth") <= quota(list(counts.values()), max_fit))
+    langs, share = sorted(counts), quota(list(counts.values()), max_fit)
+    # the least hashes of parts of a language first, so that no task sees a whole language
+    part = F.pmod(F.xxhash64("h"), F.lit(parallelism(labelled.sparkSession)))
+    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "windows"))
+    some = rows.withColumn("part", part).withColumn("nth", least("lang", "part")).where(F.col("nth") <= share)
+    some = some.withColumn("nth", least("lang")).where(F.col("nth") <= share)
     of = {lang: k for k, lang in enumerate(langs)}
-    got = sorted((bytes(w), of[r["lang"]]) for r in some.select("lang", "head", "mid").collect() for w in (r["head"], r["mid"]))
+    got = sorted((bytes(w), of[r["lang"]]) for r in some.select("lang", "windows").collect() for w in r["windows"])
     model = ByteBiGRU(len(langs))
     sizes = np.array([len(w) for w, _ in got])
     data = np.frombuffer(b"".join(w.ljust(FIT_STEPS, b"\0") for w, _ in got), np.uint8).reshape(-1, FIT_STEPS)
