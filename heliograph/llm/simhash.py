@@ -1,10 +1,14 @@
 """Operator 3: SimHash near-duplicates by multi-index hashing.
 
 A fingerprint has a bit set if over half of a document's shingle hashes have it. Fingerprints are grouped
-first, so copies are one row. Each 64-bit fingerprint is cut into three segments; if two fingerprints
-differ in at most r bits, then some segment differs in at most r//3 of them (the later segments in one
-less, by the remainder). Small Hamming balls of each segment are enumerated and looked up by an
-equi-join, whole distances are verified, and links are joined to components by alternating stars.
+first, so copies are one row. Each 64-bit fingerprint is cut into s segments (three, or two where there are
+so many fingerprints that values of short segments crowd); if two fingerprints differ in at most r bits, then
+some segment differs in at most r//s of them (the later segments in one less, by the remainder). Small
+Hamming balls of each segment are enumerated and looked up by an equi-join, and whole distances are verified.
+
+Pairs are never written: while there are classes with a fingerprint near one of another class, each joins
+the least class that it is near to (a minimum, taken within the tasks of the join), so that a round at least
+halves the classes that are still apart, and a crowd of near copies costs one row a class.
 
 Null or empty texts have fingerprint zero and link like any other; rows with equal doc_ids stand each for
 itself; a null doc_id never names a component unless all of it are null; other columns are ignored; an
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import id_text, spool
 
 SEED = 42
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Segments of a fingerprint as (lowest bit, width), by their number.
+SEGMENTS = {2: ((0, 32), (32, 32)), 3: ((0, 21), (21, 21), (42, 22))}
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -77,59 +82,72 @@ def fingerprints(documents: DataFrame, size: int = 4) -> DataFrame:
     return id_text(documents).mapInArrow(run, "doc_id long, fp long")
 
 
-def balls(radius: int) -> list[tuple[int, list[int]]]:
+def balls(radius: int, segments: int) -> list[tuple[int, list[int]]]:
     """For each segment the differences to enumerate, within the segment."""
     out = []
-    for k, (_, width) in enumerate(SEGMENTS):
-        r = radius // len(SEGMENTS) - (k > radius % len(SEGMENTS))
+    for k, (_, width) in enumerate(SEGMENTS[segments]):
+        r = radius // segments - (k > radius % segments)
         out.append((k, [sum(1 << b for b in bits) for n in range(r + 1) for bits in combinations(range(width), n)]))
     return out
 
 
-def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column fp of nodes) that differ in at most radius bits."""
-    segment = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in SEGMENTS]
-    index = nodes.select(F.col("fp").alias("b"), F.posexplode(F.array(*segment)).alias("segment", "value"))
-    probes = F.array(*(
-        F.struct(F.lit(k).alias("segment"), segment[k].bitwiseXOR(F.lit(mask)).cast("long").alias("value")) for k, masks in balls(radius) for mask in masks
+def segments_for(count: int, radius: int) -> int:
+    """The cheaper number of segments: probes of a fingerprint, each with the entries that chance puts under one value."""
+    cost = lambda s: sum(len(m) for _, m in balls(radius, s)) * (8 + count / (1 << min(w for _, w in SEGMENTS[s])))
+    return min(SEGMENTS, key=cost)
+
+
+def matches(nodes: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
+    """(a, b, class_a, class_b) of fingerprints (fp, class) that differ in 1 to radius bits and have different classes; once or more."""
+    cut = lambda masks: F.array(*(
+        F.struct(F.lit(k).alias("segment"), F.lit(at).alias("at"), F.lit((1 << width) - 1).cast("long").alias("ones"), F.lit(flip).cast("long").alias("flip"))
+        for k, (at, width) in enumerate(SEGMENTS[segments]) for flip in masks[k]
     ))
-    probe = nodes.select(F.col("fp").alias("a"), F.explode(probes).alias("p")).select("a", "p.segment", "p.value")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return probe.join(index, ["segment", "value"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    value = F.expr("(shiftrightunsigned(fp, p.at) & p.ones) ^ p.flip").alias("value")
+    look = nodes.withColumn("p", F.explode(cut([m for _, m in balls(radius, segments)]))).select(F.col("fp").alias("a"), F.col("class").alias("class_a"), "p.segment", value)
+    index = nodes.withColumn("p", F.explode(cut([[0]] * segments))).select(F.col("fp").alias("b"), F.col("class").alias("class_b"), "p.segment", value)
+    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) & (F.col("class_a") != F.col("class_b"))
+    return look.join(index, ["segment", "value"]).where(near).select("a", "b", "class_a", "class_b")
+
+
+def trees(choice: DataFrame, label: str = "trees") -> DataFrame:
+    """(node, root) of nodes that each chose their least neighbour (node, parent): two that chose each other are a root, and the others follow their parents up, twice as far in each round."""
+    up = choice.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+    mutual = (F.col("above") == F.col("node")) & (F.col("node") < F.col("parent"))
+    now = spool(choice.join(up, "parent").select("node", F.when(mutual, F.col("node")).otherwise(F.col("parent")).alias("parent")), label)
+    while True:
+        up = now.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        after = spool(now.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), label)
+        now = after.select("node", "parent")
+        if after.where("moved").isEmpty():
+            return now.withColumnRenamed("parent", "root")
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, root) with root the smallest node reachable, for every node in edges (a, b): alternating large and small stars."""
-    now = spool(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), label)
+def classes(nodes: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, class) of the fingerprints (fp) that have another within radius: equal classes for those connected by such steps."""
+    segments = segments_for(nodes.count(), radius)
+    now, alone = nodes.select("fp", F.col("fp").alias("class")), True
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
-        after = spool(small, label)
-        change = now.exceptAll(after).unionByName(after.exceptAll(now)).limit(1).count()
-        now = after
-        if not change:
-            members = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return members.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        found = matches(now, radius, segments).groupBy(F.col("class_a").alias("node")).agg(F.min("class_b").alias("parent"))
+        choice = spool(found, "links")
+        if choice.isEmpty():
+            return now.limit(0) if alone else now
+        root = trees(choice).withColumnRenamed("node", "class")
+        # whatever is near to nothing in the first round never will be
+        joined = now.join(root, "class", "inner" if alone else "left")
+        now, alone = spool(joined.select("fp", F.coalesce("root", "class").alias("class")), "classes"), False
 
 
 def near_duplicates(documents: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
-    """doc_id, fp, component_id and n_links (other fingerprints within reach) of every row."""
+    """doc_id, fp and component_id (the least doc_id of those connected) of every row."""
     fps = spool(fingerprints(documents, size), "fingerprints")
     nodes = spool(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    pairs = spool(links(nodes, radius), "links")
-    roots = components(pairs)
-    names = roots.join(nodes.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    degree = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
-    classes = (
-        nodes.join(roots.join(names, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left")
-        .join(degree.withColumnRenamed("a", "fp"), "fp", "left")
-        .select("fp", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    )
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id", "n_links")
+    members = classes(nodes.select("fp"), radius)
+    names = members.join(nodes, "fp").groupBy("class").agg(F.min("first_id").alias("component_id"))
+    named = members.join(names, "class").select("fp", "component_id")
+    found = spool(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "named")
+    return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def report(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -135,14 +135,33 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_simhash_finds_every_pair_within_the_radius(spark):
+@pytest.mark.parametrize("segments", [2, 3])
+def test_simhash_finds_every_pair_within_the_radius(spark, segments):
     base = [int(x) for x in RNG.integers(0, 1 << 63, 30)]
     fps = {b ^ sum(1 << int(x) for x in RNG.choice(63, n, replace=False)) for b in base for n in (0, 1, 2, 3, 4, 5)}
-    want = {(a, b) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 4}
-    got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
-    assert got == want
-    chain = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
-    assert {tuple(r) for r in simhash.components(chain).collect()} == {(k, 0) for k in range(61)}
+    want = {(a, b) for a in fps for b in fps if a != b and bin(a ^ b).count("1") <= 4}
+    nodes = spark.createDataFrame([(f, f) for f in fps], "fp long, class long")
+    assert {(r["a"], r["b"]) for r in simhash.matches(nodes, 4, segments).collect()} == want
+    assert simhash.segments_for(10**6, 4) == 3 and simhash.segments_for(10**10, 4) == 2
+
+
+def test_simhash_classes(spark):
+    """A crowd of near copies, a long chain, and a centre whose neighbours are only near to it."""
+    crowd = {0x5555 << 40 | sum(1 << int(x) for x in RNG.choice(40, 2, replace=False)) for _ in range(400)}
+    chain = {0xF << 60 | (1 << 4 * k) - 1 for k in range(15)}
+    star = {0xABCD << 44 | 0xF << 4 * k for k in range(11)} | {0xABCD << 44}
+    fps = [f - (1 << 64) if f >> 63 else f for f in crowd | chain | star | {3 << 30 | 0xFF}]
+    of = {f: f for f in fps}
+    for a in fps:
+        for b in fps:
+            if bin((a ^ b) & (1 << 64) - 1).count("1") <= 4 and of[a] != of[b]:
+                old, new = of[a], of[b]
+                of = {f: new if r == old else r for f, r in of.items()}
+    got = {r["fp"]: r["class"] for r in simhash.classes(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    group = lambda of: {frozenset(f for f in of if of[f] == r) for r in of.values()}
+    assert group(got) == {g for g in group(of) if len(g) > 1}
+    loose = spark.createDataFrame([(k, k - 1 if k else 1) for k in range(60)], "node long, parent long")
+    assert {tuple(r) for r in simhash.trees(loose).collect()} == {(k, 0) for k in range(60)}
 
 
 def test_ann(spark):
