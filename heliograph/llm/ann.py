@@ -1,18 +1,21 @@
 """Operator 4: approximate nearest neighbours on robust-pruned directed graphs, one for each shard.
 
-Vectors are dealt to shards of bounded size by a hash of their id. In a shard, equal vectors are one node;
-greedy searches from the medoid propose neighbours for a node, relaxed distance pruning keeps diverse ones,
-and edges are added both ways. Index and searches run in tasks; queries go out in blocks of bounded size,
-a beam search finds candidates in every shard, distances are computed exactly, and the nearest are merged.
-
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length
-is not the most frequent one; null ids take no part; rows with equal ids are one candidate each time they
-occur; other columns are ignored; an empty table gives no rows. Ties go to the smaller vec_id.
+Vectors are dealt to shards of bounded size by a hash. In a shard, equal vectors are one node; greedy
+searches from the medoid propose neighbours for a node, relaxed distance pruning keeps diverse ones, and
+edges are added both ways. A shard's graph is a file in the shared folder. Queries are rows of a table: each
+meets every shard of its length in tasks that open the shard's file, beam search finds candidates, distances
+are computed exactly in double precision, and the nearest of all shards are merged. The driver sees counts only.
+
+Vectors that are null, zero, or hold null or non-finite components take no part; vectors of different
+length have no distance, so each length is searched for itself; null ids take no part; rows with equal ids
+are different rows, each a query of its own and a candidate for the others; other columns are ignored; an
+empty table gives no rows. Ties go to the smaller vec_id.
 """
 
 from __future__ import annotations
 
-import math
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,69 +24,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import spool
+from .common import new_dir, parallelism, spool
 
-SHARD = 4096
-DEGREE = 24
-BUILD_BEAM = 40
-QUERY_BEAM = 64
+SHARD = 16384
+DEGREE = 32
+BUILD_BEAM = 48
+QUERY_BEAM = 192
+EXPAND = 4
 ALPHA = 1.2
 QUERY_BLOCK = 4096
 BATCH = 256
-INDEX = "shard int, ids array<array<long>>, vectors binary, edges binary, medoid int"
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_row long, query_id long, row long, vec_id long, score double"
 
 
-def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of a[i] to each of b[i, :]."""
-    d = b - a[:, None, :]
+def squares(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared distances of queries[i] to each of points[i, :]."""
+    d = points - queries[:, None, :]
     return np.einsum("ijk,ijk->ij", d, d)
 
 
-def beam_search(vectors: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and squared distances of each query's beam, nearest first; edges holds -1 where a node has fewer."""
-    n, q = len(vectors), len(queries)
+class Space:
+    """Vectors in single precision, for what only has to be near: searches and pruning."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.x = (vectors - vectors.mean(0)).astype(np.float32)
+        self.norm = np.einsum("ij,ij->i", self.x, self.x)
+
+    def near(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Squared distances to nodes[i, :], but for the queries' own norms."""
+        return self.norm[nodes] - 2 * np.matmul(self.x[nodes], queries[:, :, None])[:, :, 0]
+
+
+def beam_search(space: Space, edges: np.ndarray, start: int, queries: np.ndarray, beam: int) -> np.ndarray:
+    """Nodes of each query's beam (-1: nothing); edges holds -1 where a node has fewer. EXPAND nodes of a beam are opened at a time."""
+    n, q = len(edges), len(queries)
     ids = np.full((q, beam), -1, np.int64)
-    dist = np.full((q, beam), np.inf)
+    dist = np.full((q, beam), np.inf, np.float32)
     open_ = np.zeros((q, beam), bool)
     seen = np.zeros((q, n + 1), bool)  # the last column stands for -1
     seen[:, -1] = seen[:, start] = True
     ids[:, 0], open_[:, 0] = start, True
-    dist[:, 0] = _squares(queries, vectors[[start]][None].repeat(q, 0))[:, 0]
+    dist[:, 0] = space.near(queries, np.full((q, 1), start))[:, 0]
+    few = min(EXPAND, beam)
     while True:
-        best = np.where(open_, dist, np.inf).argmin(1)
-        rows = np.flatnonzero(open_[np.arange(q), best])
+        rows = np.flatnonzero(open_.any(1))
         if not len(rows):
-            return ids, dist
-        open_[rows, best[rows]] = False
-        near = edges[ids[rows, best[rows]]]
+            return ids
+        waiting = np.where(open_[rows], dist[rows], np.inf)
+        best = np.argpartition(waiting, few - 1, axis=1)[:, :few]
+        live = np.isfinite(np.take_along_axis(waiting, best, 1))
+        open_[rows[:, None], best] = False
+        near = edges[ids[rows[:, None], best]]
+        near[~live] = -1
+        near = np.sort(near.reshape(len(rows), -1), axis=1)
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
         fresh = ~seen[rows[:, None], near]
         seen[rows[:, None], near] = True
-        d = np.where(fresh, _squares(queries[rows], vectors[near]), np.inf)
+        d = np.where(fresh, space.near(queries[rows], near), np.inf).astype(np.float32)
         all_ids, all_dist = np.concatenate([ids[rows], np.where(fresh, near, -1)], 1), np.concatenate([dist[rows], d], 1)
         all_open = np.concatenate([open_[rows], fresh], 1)
-        order = np.argsort(all_dist, axis=1, kind="stable")[:, :beam]
-        ids[rows], dist[rows], open_[rows] = (np.take_along_axis(x, order, 1) for x in (all_ids, all_dist, all_open))
+        keep = np.argpartition(all_dist, beam - 1, axis=1)[:, :beam]
+        ids[rows], dist[rows], open_[rows] = (np.take_along_axis(x, keep, 1) for x in (all_ids, all_dist, all_open))
 
 
-def prune(vectors: np.ndarray, nodes: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+def prune(space: Space, nodes: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Diverse neighbours of nodes out of their pools (-1: nothing): a kept one rules out those that are alpha times nearer to it."""
-    pool = np.where(pool == nodes[:, None], -1, pool)
-    pool = np.sort(pool, axis=1)
+    pool = np.sort(np.where(pool == nodes[:, None], -1, pool), axis=1)
     pool[:, 1:][pool[:, 1:] == pool[:, :-1]] = -1
-    far = _squares(vectors[nodes], vectors[pool])
+    points, norm = space.x[pool], space.norm[pool]
+    far = np.maximum(space.near(space.x[nodes], pool) + space.norm[nodes][:, None], 0)
     far[pool < 0] = np.inf
+    between = alpha * alpha * np.maximum(norm[:, :, None] + norm[:, None, :] - 2 * np.matmul(points, points.transpose(0, 2, 1)), 0)
     out = np.full((len(nodes), degree), -1, np.int64)
     row = np.arange(len(nodes))
-    points = vectors[pool]
-    for k in range(degree):
+    for k in range(min(degree, pool.shape[1])):
         best = far.argmin(1)
         some = np.isfinite(far[row, best])
         if not some.any():
             break
         out[some, k] = pool[row, best][some]
-        between = _squares(points[row, best], points)
-        far[(alpha * alpha * between <= far) & some[:, None]] = np.inf
+        far[(between[row, best] <= far) & some[:, None]] = np.inf
         far[row, best] = np.inf
     return out
 
@@ -91,8 +111,8 @@ def prune(vectors: np.ndarray, nodes: np.ndarray, pool: np.ndarray, degree: int,
 def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 3) -> tuple[np.ndarray, int]:
     """Edges and medoid of distinct vectors."""
     n = len(vectors)
-    rng = np.random.default_rng(seed)
-    medoid = int(((vectors - vectors.mean(0)) ** 2).sum(1).argmin())
+    space, rng = Space(vectors), np.random.default_rng(seed)
+    medoid = int(space.norm.argmin())
     if n <= degree + 1:
         full = np.tile(np.arange(n), (n, 1))
         full[np.arange(n), np.arange(n)] = -1
@@ -103,92 +123,143 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
             nodes = order[at : at + BATCH]
-            found, _ = beam_search(vectors, edges, medoid, vectors[nodes], beam)
-            edges[nodes] = prune(vectors, nodes, np.concatenate([found, edges[nodes]], 1), degree, a)
-            # the other way: nodes that gain edges are pruned again
+            found = beam_search(space, edges, medoid, space.x[nodes], beam)
+            edges[nodes] = prune(space, nodes, np.concatenate([found, edges[nodes]], 1), degree, a)
+            # the other way: nodes that gain edges are pruned again, those that gain few together
             to, of = edges[nodes].ravel(), np.repeat(nodes, degree)
             to, of = to[to >= 0], of[to >= 0]
             seq = np.argsort(to, kind="stable")
             to, of = to[seq], of[seq]
             gain, first, count = np.unique(to, return_index=True, return_counts=True)
-            more = np.full((len(gain), int(count.max(initial=0))), -1, np.int64)
-            more[np.repeat(np.arange(len(gain)), count), np.arange(len(to)) - np.repeat(first, count)] = of
+            by_count = np.argsort(count, kind="stable")
             for part in range(0, len(gain), BATCH):
-                some = gain[part : part + BATCH]
-                edges[some] = prune(vectors, some, np.concatenate([edges[some], more[part : part + BATCH]], 1), degree, a)
+                some = by_count[part : part + BATCH]
+                more = np.full((len(some), int(count[some].max())), -1, np.int64)
+                row = np.repeat(np.arange(len(some)), count[some])
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+                more[row, nth] = of[np.repeat(first[some], count[some]) + nth]
+                edges[gain[some]] = prune(space, gain[some], np.concatenate([edges[gain[some]], more], 1), degree, a)
     return edges, medoid
 
 
+class Graph:
+    """A shard: distinct vectors, their edges, and which rows have each (the smallest ids first, as many as a search can return)."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, data: np.ndarray, keep: int):
+        self.vectors, group = np.unique(data, axis=0, return_inverse=True)
+        group = group.ravel()
+        order = np.lexsort((rows, ids, group))
+        nth = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+        order = order[nth < keep]
+        self.ids, self.rows = ids[order], rows[order]
+        self.first = np.searchsorted(group[order], np.arange(len(self.vectors) + 1))
+        self.edges, self.medoid = build(self.vectors)
+        self.edges = self.edges.astype(np.int32)
+
+    def search(self, rows: np.ndarray, queries: np.ndarray, k: int, beam: int) -> list[tuple[np.ndarray, ...]]:
+        """For each query the rows, ids and distances of its k nearest of this shard but itself."""
+        space = Space(self.vectors)
+        shifted = (queries - self.vectors.mean(0)).astype(np.float32)
+        out = []
+        for at in range(0, len(queries), BATCH):
+            nodes = beam_search(space, self.edges, self.medoid, shifted[at : at + BATCH], min(beam, len(self.vectors)))
+            exact = squares(queries[at : at + BATCH], self.vectors[nodes])
+            exact[nodes < 0] = np.inf
+            for own, near, far in zip(rows[at : at + BATCH], nodes, exact):
+                near, far = near[np.isfinite(far)], np.sqrt(far[np.isfinite(far)])
+                some = np.argsort(far, kind="stable")[: k + 1]  # each holds a row at least, and one of them may be the query
+                last = far[some[-1]]
+                some = np.flatnonzero(far <= last)
+                size = self.first[near[some] + 1] - self.first[near[some]]
+                at_row = np.repeat(self.first[near[some]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                score = np.repeat(far[some], size)
+                other = self.rows[at_row] != own
+                at_row, score = at_row[other], score[other]
+                best = np.lexsort((self.rows[at_row], self.ids[at_row], score))[:k]
+                out.append((self.rows[at_row[best]], self.ids[at_row[best]], score[best]))
+        return out
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
-    """vec_id and vector (array<double>) of rows that take part."""
+    """row (a number of its own), vec_id, vector (array<double>) and length of rows that take part."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0))
-    size = good.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return good.where(F.size("vector") == size[0]["d"]) if size else good
+    return spool(good.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vector", F.size("vector").alias("length")), "vectors")
 
 
 def index(vectors: DataFrame, keep: int, shard_size: int = SHARD) -> DataFrame:
-    """One row per shard. Of equal vectors a shard lists the keep smallest ids, which is all that a search for fewer can return."""
-    shards = max(1, math.ceil(vectors.count() / shard_size))
+    """length, shard and path of the file of each graph. Of equal vectors a shard lists the keep smallest ids, which is all that a search for fewer can return."""
+    spark = vectors.sparkSession
+    sizes = vectors.groupBy("length").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"))
+    dealt = vectors.join(sizes, "length").withColumn("shard", F.pmod(F.xxhash64("row", "vec_id"), F.col("shards")).cast("int"))
+    shards = sizes.agg(F.sum("shards")).first()[0] or 1
+    out_dir = new_dir(spark, "graphs")
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table["vec_id"].to_numpy()
-        data = np.array(table["vector"].combine_chunks().flatten()).reshape(len(ids), -1)
-        distinct, group = np.unique(data, axis=0, return_inverse=True)
-        order = np.lexsort((ids, group.ravel()))
-        cuts = np.flatnonzero(np.diff(group.ravel()[order])) + 1
-        lists = [x[:keep].tolist() for x in np.split(ids[order], cuts)]
-        edges, medoid = build(distinct)
-        row = {"shard": [table["shard"][0].as_py()], "ids": [lists], "vectors": [distinct.tobytes()], "edges": [edges.astype("<i4").tobytes()], "medoid": [medoid]}
-        return pa.table(row, schema=pa.schema([("shard", pa.int32()), ("ids", pa.list_(pa.list_(pa.int64()))), ("vectors", pa.binary()), ("edges", pa.binary()), ("medoid", pa.int32())]))
+        from pyarrow import fs
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return spool(dealt.groupBy("shard").applyInArrow(run, INDEX), "graph")
+        ids, rows = table["vec_id"].to_numpy(), table["row"].to_numpy()
+        graph = Graph(ids, rows, np.array(table["vector"].combine_chunks().flatten()).reshape(len(ids), -1), keep)
+        store, root = fs.FileSystem.from_uri(out_dir)
+        store.create_dir(root)
+        name = uuid.uuid4().hex
+        with store.open_output_stream(f"{root}/{name}") as f:
+            f.write(pickle.dumps(graph))
+        return pa.table({"length": table["length"][:1], "shard": table["shard"][:1], "path": pa.array([f"{out_dir}/{name}"])})
 
+    # a task for each shard: their number is known, so adaptive execution does not put several into one
+    apart = dealt.repartitionByRange(int(shards), "length", "shard")
+    return spool(apart.groupBy("length", "shard").applyInArrow(run, "length int, shard int, path string"), "graphs")
 
-def search(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int = QUERY_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id and score (distance) of each query's k nearest candidates other than itself."""
-    spark = graphs.sparkSession
-    blocks = max(1, math.ceil(queries.count() / block))
-    found = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)) == b).collect()  # about block rows
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64)))
-        part = graphs.mapInArrow(_searcher(shared, k, beam), FOUND)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
+_OPEN: dict[str, Graph] = {}
+
+
+def _graph(uri: str) -> Graph:
+    """The last graph that this worker process opened stays open."""
+    if uri not in _OPEN:
+        from pyarrow import fs
+
+        _OPEN.clear()
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_file(path) as f:
+            _OPEN[uri] = pickle.loads(f.read())
+    return _OPEN[uri]
+
+
+def search(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int = QUERY_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id and score (distance) of the k nearest candidates of each query row (of usable()) other than itself."""
 
-def _searcher(shared, k: int, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
-                vectors = np.frombuffer(row["vectors"]).reshape(len(row["ids"]), -1)
-                edges = np.frombuffer(row["edges"], "<i4").astype(np.int64).reshape(len(vectors), -1)
-                for at in range(0, len(queries), BATCH):
-                    nodes, dist = beam_search(vectors, edges, row["medoid"], queries[at : at + BATCH], beam)
-                    out: list[tuple[int, int, float]] = []
-                    for query_id, near, far in zip(query_ids[at : at + BATCH].tolist(), nodes.tolist(), np.sqrt(dist).tolist()):
-                        mine: list[tuple[float, int]] = []
-                        for node, score in zip(near, far):
-                            if node < 0 or len(mine) >= k and score > mine[k - 1][0]:
-                                break
-                            mine = sorted(mine + [(score, i) for i in row["ids"][node] if i != query_id])[:k]
-                        out += [(query_id, i, s) for s, i in mine]
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-    return run
+            path = np.array(batch.column("path").to_pylist(), object)
+            for cut in np.split(np.arange(batch.num_rows), np.flatnonzero(path[1:] != path[:-1]) + 1) if batch.num_rows else ():
+                part = batch.slice(int(cut[0]), len(cut))
+                rows, ids = part.column("row").to_numpy(), part.column("vec_id").to_numpy()
+                found = _graph(path[cut[0]]).search(rows, np.array(part.column("vector").flatten()).reshape(len(cut), -1), k, beam)
+                size = [len(f[0]) for f in found]
+                if sum(size):
+                    near, near_id, score = (np.concatenate([f[c] for f in found]) for c in range(3))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.repeat(rows, size), np.repeat(ids, size), near, near_id, score)], [c.split()[0] for c in FOUND.split(", ")])
+
+    blocks = max(1, -(-queries.count() // block))
+    pairs = max(1, graphs.count() * blocks)  # of a shard and a block of queries: a pair is a share of a task's work
+    last = graphs.groupBy("length").agg(F.max("shard").alias("last"))
+    meet = queries.join(last, "length").withColumn("shard", F.explode(F.sequence(F.lit(0), "last"))).join(graphs, ["length", "shard"])
+    meet = meet.repartition(min(pairs, 64 * parallelism(graphs.sparkSession)), "path", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    meet = meet.select("path", "row", "vec_id", "vector").sortWithinPartitions("path")
+    found = meet.mapInArrow(run, FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id", "row"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def nearest(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """Search with the vectors whose id is divisible by every, against all others."""
-    vectors = spool(usable(embeddings), "vectors")
+    vectors = usable(embeddings)
     return search(index(vectors, k + 1), vectors.where(F.col("vec_id") % every == 0), k)
+
+
+def recall(found: list[int], exact: list[int]) -> float:
+    """Share of the exact neighbours that were found."""
+    return len(set(found) & set(exact)) / max(1, len(exact))

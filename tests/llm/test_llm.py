@@ -167,24 +167,43 @@ def test_simhash_classes(spark):
 def test_ann(spark):
     x = RNG.normal(size=(1200, 16))
     x[100:500] = x[0]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] + [1.0] * 15), (5003, [1.0]), (None, x[1].tolist())]
-    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    twin = RNG.normal(size=16)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, twin.tolist()), (800, x[800].tolist())]  # a query id with another vector, and one repeated
+    odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] + [1.0] * 15), (None, x[1].tolist())]
+    other = [(6000, [1.0]), (6001, [3.0]), (6002, [2.0])]
+    e = spark.createDataFrame(rows + odd + other, "vec_id long, embedding array<double>")
     vectors = ann.usable(e)
-    assert vectors.count() == 1200
-    found = ann.search(ann.index(vectors, 11, shard_size=400), vectors.where("vec_id % 100 = 0")).collect()
-    hits = 0
-    for q in range(0, 1200, 100):
-        d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        want = [j for _, j in sorted((s, j) for j, s in enumerate(d) if j != q)][:10]
-        mine = [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])]
-        assert len(mine) == 10 and all(abs(r["score"] - d[r["vec_id"]]) < 1e-12 for r in found if r["query_id"] == q)
-        hits += len(set(mine) & set(want))
-        if d[j := want[0]] == 0:
-            assert mine == want, j  # copies of one vector: ties go to the smaller ids
-    assert hits >= 0.9 * 120
+    assert vectors.count() == 1205
+    graphs = ann.index(vectors, 11, shard_size=400)
+    assert graphs.count() == 5
+    found = ann.search(graphs, vectors.where("vec_id % 100 = 0"), block=5).collect()
+    y, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    want = Counter()
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        order = [j for j in np.lexsort((ids, d)) if j != q][:10]
+        want.update((int(ids[q]), k + 1, int(ids[j]), round(float(d[j]), 9)) for k, j in enumerate(order))
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found if r["query_id"] != 6000)
+    assert sum(got.values()) == sum(want.values()) == 14 * 10
+    assert sum((got & want).values()) >= 0.95 * 140
+    ties = lambda c: {x for x in c if x[0] < 500}
+    assert ties(got) == ties(want)  # copies of one vector: ties go to the smaller ids
+    assert (800, 1, 800, 0.0) in got and got[(800, 1, 800, 0.0)] == 2  # repeated rows are candidates for one another
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == 6000] == [(1, 6002, 1.0), (2, 6001, 2.0)]
     assert ann.nearest(e.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "width"), [(3000, 64), (1500, 256)])
+def test_ann_recall_without_any_clusters(n, width):
+    x = RNG.normal(size=(n, width))
+    g = ann.Graph(np.arange(n), np.arange(n), x, 11)
+    q = np.arange(0, n, 30)
+    d = ((x[q][:, None] - x[None]) ** 2).sum(2)
+    d[np.arange(len(q)), q] = np.inf
+    found = g.search(q, x[q], 10, ann.QUERY_BEAM)
+    assert np.mean([ann.recall(f[1].tolist(), w.tolist()) for f, w in zip(found, np.argsort(d, axis=1)[:, :10])]) >= 0.95
+
+
 def test_quality(spark, docs, none):
     junk = lambda: " | ".join(RNG.choice(WORDS, 80).tolist()) + "!!! ###"
     rows = [(i, prose(90) if i % 4 else junk()) for i in range(600)] + [(9001, None), (9002, "")]
