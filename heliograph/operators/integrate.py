@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from .match import keep
+from ..scratch import keep
 
 
 def mentions(extracted: DataFrame) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import keep
+
 
 def hop(start: DataFrame, edges: DataFrame, end: DataFrame, how: str = "inner") -> DataFrame:
     """start -[edges]-> end: columns of both ends, with start's id as src and end's id as dst. how="left" keeps starts without an edge."""
@@ -42,22 +41,6 @@ def closure(edges: DataFrame, levels: int) -> DataFrame:
     return out
 
 
-_OWN: dict[str, str] = {}
-
-
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read again, which cuts the lineage of loops."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:  # a session without a cluster, as in tests
-        app = df.sparkSession.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-graph-")
-        base = _OWN[app]
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bfs(edges: DataFrame, anchors: DataFrame, depth: int, direction: str = "out", fan_out: int | None = None, order: Column | None = None) -> DataFrame:
     """(id, depth): every node within depth of the anchors, at the depth of its first discovery.
 

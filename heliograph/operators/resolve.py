@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from .match import components, keep
+from ..scratch import keep
+from .match import components
 
 
 def distinct_vectors(nodes: DataFrame) -> DataFrame:

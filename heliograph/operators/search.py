@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.vector import scores
-from .match import keep
+from ..scratch import keep
 
 
 def semantic(queries: DataFrame, nodes: DataFrame, top_k: int = 10, min_score: float | None = 0.5) -> DataFrame:
