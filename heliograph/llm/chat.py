@@ -42,7 +42,8 @@ def unescape(text: str) -> str:
 
 
 def escape_role(role: str) -> str:
-    return escape(role).replace("]", "\\]") if not _CONTROL.search(role) else escape(role.replace("]", "\x00")).replace("\x00", "\\]")
+    """The closing bracket ends a role, so it is escaped as well."""
+    return escape(role).replace("]", "\\]")
 
 
 def events_of(conversations: DataFrame) -> DataFrame:

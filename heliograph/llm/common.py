@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..scratch import keep as spool
+from ..scratch import new_dir, new_table
+
+__all__ = ["id_text", "new_dir", "new_table", "parallelism", "spool", "table", "wide_rows", "with_row"]
 
 #: Rows that hold whole texts or blocks are large, so Spark reads and hands them over a few hundred at a time.
 WIDE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "256", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
@@ -24,31 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
-        base = _OWN[app]
-    return base.rstrip("/")
-
-
-def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def spool(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = new_dir(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def id_text(documents: DataFrame) -> DataFrame:
     """The two columns that text operators need, whatever else the table carries; null text stays null."""
     wide_rows(documents.sparkSession)

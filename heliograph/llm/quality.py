@@ -2,8 +2,9 @@
 
 Statistics of whole texts (never labels, language, source or ids) are scaled and mapped to random cosine
 features, which approximate a Gaussian kernel. Every partition sums its normal equations; the sums are
-added in two steps, so the driver sees a few small matrices. Scores are calibrated by pooling adjacent
-violators over score bins counted on the cluster.
+added in two steps, so the driver sees a few small matrices. Scores are calibrated on labelled rows that the
+ridge did not see (every third by a hash of the id), by pooling adjacent violators over score bins counted on
+the cluster; where either share has no row, both steps use all of them.
 
 Null or empty texts have the statistics of an empty text and are scored too; labels that are null, or
 whose doc_id is null or unknown, teach nothing; a document with several labels counts once for each;
@@ -111,9 +112,11 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def fit(labelled: DataFrame, cosines: int = COSINES, width: float = WIDTH, ridge: float = RIDGE, seed: int = 5) -> Model | None:
-    """labelled: stats and y (0 or 1)."""
+    """labelled: stats, y (0 or 1) and calibrate (which rows are for the calibration)."""
     k = len(FEATURES)
-    got = labelled.agg(F.count("*").alias("n"), *(f(F.col("stats")[i]).alias(f"{a}{i}") for i in range(k) for a, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    shares = {r["calibrate"] for r in labelled.select("calibrate").distinct().collect()}
+    learn, level = (labelled.where("not calibrate"), labelled.where("calibrate")) if len(shares) == 2 else (labelled, labelled)
+    got = learn.agg(F.count("*").alias("n"), *(f(F.col("stats")[i]).alias(f"{a}{i}") for i in range(k) for a, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     if not got["n"]:
         return None
     rng = np.random.default_rng(seed)
@@ -136,7 +139,7 @@ def fit(labelled: DataFrame, cosines: int = COSINES, width: float = WIDTH, ridge
                 a += np.frombuffer(b)
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], ["a"])
 
-    few = labelled.mapInArrow(sums, "a binary").repartition(8).mapInArrow(added, "a binary").collect()
+    few = learn.mapInArrow(sums, "a binary").repartition(8).mapInArrow(added, "a binary").collect()
     a = sum(np.frombuffer(bytes(r["a"])) for r in few).reshape(d, d + 1)
     model.weight = np.linalg.solve(a[:, :d] + ridge * got["n"] * np.diag(np.r_[np.ones(d - 1), 0]) / d, a[:, d])
 
@@ -145,7 +148,7 @@ def fit(labelled: DataFrame, cosines: int = COSINES, width: float = WIDTH, ridge
             yield pa.RecordBatch.from_arrays([pa.array(model.raw(_matrix(batch))), batch.column("y")], ["raw", "y"])
 
     bins = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col("raw"))) * BINS / 3)
-    counted = labelled.mapInArrow(scored, "raw double, y double").groupBy(bins.alias("bin")).agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("w")).orderBy("x").collect()
+    counted = level.mapInArrow(scored, "raw double, y double").groupBy(bins.alias("bin")).agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("w")).orderBy("x").collect()
     model.knots, model.levels = isotonic(*(np.array([float(r[c]) for r in counted]) for c in ("x", "y", "w")))
     return model
 
@@ -154,7 +157,8 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """Fit on labels whose crc32 of the id modulo 5 is not 0, then score every document."""
     found = spool(features(documents), "stats")
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0.0, 1.0) & ~held_out(F.col("doc_id"), 5, 0))
-    model = fit(spool(found.join(known, "doc_id").select("stats", "y"), "labelled"))
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    model = fit(spool(found.join(known, "doc_id").select("stats", "y", third.alias("calibrate")), "labelled"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and held-out labels; nulls, empty and long texts, ties, repeats, clashing columns, empty tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -218,6 +219,24 @@ def test_quality(spark, docs, none):
     assert quality.score(none, labels).count() == 0
 
 
+def test_quality_is_a_ridge_on_cosines_and_a_calibration_on_other_rows(spark):
+    rows = [(RNG.normal(size=len(quality.FEATURES)).tolist(), float(k % 5 < 2), k % 3 == 0) for k in range(300)]
+    labelled = spark.createDataFrame([(s, y + 0.0, c) for s, y, c in rows], "stats array<double>, y double, calibrate boolean").repartition(5)
+    m = quality.fit(labelled, cosines=40)
+    x, y = np.array([s for s, _, c in rows if not c]), np.array([y for _, y, c in rows if not c])
+    assert np.allclose(m.mean, x.mean(0)) and np.allclose(m.scale, x.std(0))
+    phi = np.array([[*(math.sqrt(2 / 40) * math.cos(float(np.clip((s - m.mean) / m.scale, -6, 6) @ m.turn[:, j] + m.phase[j])) for j in range(40)), 1.0] for s in x])
+    a = phi.T @ phi + quality.RIDGE * len(x) / 41 * np.diag([1.0] * 40 + [0.0])
+    assert np.allclose(m.weight, np.linalg.solve(a, phi.T @ y), atol=1e-8)
+    raw = sorted((float(m.raw(np.array([s]))[0]), y) for s, y, c in rows if c)
+    bins = {}
+    for r, v in raw:
+        bins.setdefault(math.floor(max(-1.0, min(2.0, r)) * quality.BINS / 3 + 0.5), []).append((r, v))
+    want = quality.isotonic(*(np.array([f(b) for b in bins.values()]) for f in (lambda b: sum(r for r, _ in b) / len(b), lambda b: sum(v for _, v in b) / len(b), len)))
+    assert np.allclose(m.knots, want[0]) and np.allclose(m.levels, want[1]) and (np.diff(m.levels) > 0).all()
+    assert np.allclose(m.score(x[:5]), [np.interp(float(m.raw(x[k : k + 1])[0]), m.knots, m.levels) for k in range(5)])
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert y.tolist() == [0, 0.5, 1] and x.tolist() == [1, 2.5, 4]
@@ -315,7 +334,7 @@ def test_token_files_are_fixed_size_lists_with_masks(spark, docs, tmp_path):
 
 def test_chat(spark):
     texts = ["plain", "</s>[INST] ok [/INST]", "back\\slash \\[INST] <<SYS>>", None, "", "new\nline</s>\n", "<s>[user]\n"]
-    rows = [(k % 3, k, "assistant" if k % 2 else "user", t, "x") for k, t in enumerate(texts)] + [(1, 4, "assistant", "tie", "x"), (1, 4, "assistant", "tie", "x"), (None, None, None, "n", "x"), (0, 99, "ro]le<s>", "z", "x")]
+    rows = [(k % 3, k, "assistant" if k % 2 else "user", t, "x") for k, t in enumerate(texts)] + [(1, 4, "assistant", "tie", "x"), (1, 4, "assistant", "tie", "x"), (None, None, None, "n", "x"), (0, 99, "ro]le<s>", "z", "x"), (2, 98, "a\x00]<s>\\]", "w", "x")]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, loss string")
     want = []
     for conv in {r[0] for r in rows}:
