@@ -9,7 +9,6 @@ verdict goes back to the block as bits. A hash that a third of all rows share is
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,12 +17,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
-from .common import parallelism, wide_rows
+from .common import new_table, parallelism, wide_rows
 
 BLOCK_BYTES = 2 << 20
+#: Bytes of text in a bucket of blocks, and how many buckets there are at most (Spark's own limit).
+BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 100_000
 RANGE_VALUES = 1_000_000
-SCHEMA = "block_id long, doc_ids array<long>, extras array<string>, sizes array<long>, n_bytes long, body binary"
+SCHEMA = "block_id long, doc_ids array<long>, sizes array<long>, n_bytes long, body binary"
 SENT = "range int, block_id long, n int, payload binary"
 VERDICT = "block_id long, range int, n int, bits binary"
 
@@ -41,11 +43,22 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def make(documents: DataFrame, normal: Callable[[bytes], tuple[bytes, int]], joint: bytes, carry: list[str]) -> DataFrame:
-    """The table of blocks. normal: a text's bytes -> (bytes to keep, size); empty ones are not joined into the body."""
-    wide_rows(documents.sparkSession)
-    extra = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
+def with_extra(ddl: str, field: str, kind: DataType) -> StructType:
+    """A schema and one more field, whose type is that of the carried columns."""
+    return StructType([*StructType.fromDDL(ddl), StructField(field, kind)])
+
+
+def make(documents: DataFrame, normal: Callable[[bytes], tuple[bytes, int]], joint: bytes, carry: list[str]) -> tuple[DataFrame, int]:
+    """The table of blocks, and the bytes of all texts. normal: a text's bytes -> (bytes to keep, size); empty ones are not joined into the body.
+
+    The columns in carry go along as they are, as one struct for each document.
+    """
+    spark = documents.sparkSession
+    wide_rows(spark)
+    extra = F.struct(*carry) if carry else F.lit(None).cast("string")
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), extra.alias("extra"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    schema = with_extra(SCHEMA, "extras", ArrayType(rows.schema["extra"].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
@@ -54,37 +67,37 @@ def make(documents: DataFrame, normal: Callable[[bytes], tuple[bytes, int]], joi
         def out() -> pa.RecordBatch:
             nonlocal made, ids, extras, sizes, bodies, held
             body = joint.join(bodies)
-            cols = [[base + made], [ids], [extras], [sizes], [len(body)], [pack(body)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            cols = [[base + made], [ids], [sizes], [len(body)], [pack(body)]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            more = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(extras))
             made += 1
             ids, extras, sizes, bodies, held = [], [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), more], schema.names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for doc_id, text, more in zip(*(c.to_pylist() for c in part.columns)):
+                begin = 0
+                for k, (doc_id, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                     data, size = normal((text or "").encode("utf-8", "surrogatepass"))
                     ids.append(doc_id)
-                    extras.append(more)
                     sizes.append(size)
                     if data:
                         bodies.append(data)
                     held += len(data)
                     if held >= BLOCK_BYTES or len(ids) >= 100_000:
+                        extras.append(part.column(2).slice(begin, k + 1 - begin))
+                        begin = k + 1
                         yield out()
+                if begin < part.num_rows:
+                    extras.append(part.column(2).slice(begin))
         if ids:
             yield out()
 
-    spark = documents.sparkSession
-    n, name = parallelism(spark), f"blocks_{uuid.uuid4().hex}"
-    packed = rows.mapInArrow(run, SCHEMA).repartition(n, "block_id")
+    n, name = max(parallelism(spark), min(MOST_BUCKETS, math.ceil(total / BUCKET_BYTES))), new_table(spark, "blocks")
+    packed = rows.mapInArrow(run, schema).repartition(n, "block_id")
     packed.write.bucketBy(n, "block_id").option("compression", "none").format("parquet").saveAsTable(name)
-    return spark.table(name)
-
-
-def total_bytes(blocks: DataFrame) -> int:
-    return blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    return spark.table(name), total
 
 
 class Rolling:
@@ -195,12 +208,16 @@ def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), group
 
 
-def meet(blocks: DataFrame, verdicts: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def meet(blocks: DataFrame, verdicts: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
     """run(block, its verdicts) for every block; only the verdicts are shuffled."""
     return blocks.groupBy("block_id").cogroup(verdicts.groupBy("block_id")).applyInArrow(run, schema)
 
 
-def opened(table: pa.Table) -> tuple[int, list, list, np.ndarray, np.ndarray]:
+def opened(table: pa.Table) -> tuple[int, list, pa.Array, np.ndarray, np.ndarray]:
     """block_id, doc_ids, extras, sizes and body of a block."""
-    row = table.to_pylist()[0]
-    return row["block_id"], row["doc_ids"], row["extras"], np.array(row["sizes"], np.int64), np.frombuffer(unpack(row["body"]), np.uint8)
+    one = {c: table[c][0] for c in table.column_names}
+    return one["block_id"].as_py(), one["doc_ids"].values.to_pylist(), one["extras"].values, one["sizes"].values.to_numpy(), np.frombuffer(unpack(one["body"].as_py()), np.uint8)
+
+
+def extra_kind(blocks: DataFrame) -> DataType:
+    return blocks.schema["extras"].dataType.elementType

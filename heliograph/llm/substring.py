@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from . import blocks as B
 from .common import spool
 
-RESULT = "doc_id long, extra string, n_words long, n_removed long, spans array<struct<first:long,stop:long>>, kept binary"
+RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<first:long,stop:long>>, kept binary"
 
 
 class _Words:
@@ -76,8 +76,8 @@ def _candidates(words: _Words, window: int, hit_first: np.ndarray, hit: np.ndarr
 def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> DataFrame:
     """Remove every word covered by a window of words that also starts anywhere else."""
     size = (window + 1) // 2
-    blocks = B.make(documents, _normal, b" ", list(carry))
-    count = B.total_bytes(blocks) / 5.0
+    blocks, total = B.make(documents, _normal, b" ", list(carry))
+    count = total / 5.0
     ranges = B.ranges_for(count)
     drop = np.uint64(64 - min(64, max(32, math.ceil(math.log2(count + 2)) + 12)))  # probes may hit falsely once in 4096
 
@@ -129,7 +129,7 @@ def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> Data
     asked = spool(B.meet(blocks, hits, ask_windows, B.SENT), "windows", "none")
     repeats = B.judged(asked.where("range >= 0"), judge_windows, 1)
     places = asked.where("range < 0").selectExpr("block_id", "range", "n", "payload as bits")
-    return B.meet(blocks, repeats.unionByName(places), remove, RESULT)
+    return B.meet(blocks, repeats.unionByName(places), remove, B.with_extra(RESULT, "extra", B.extra_kind(blocks)))
 
 
 def _result(words: _Words, first: np.ndarray, window: int) -> pa.Table:
@@ -157,9 +157,9 @@ def _result(words: _Words, first: np.ndarray, window: int) -> pa.Table:
     kind = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
     return pa.table({
         "doc_id": pa.array(words.doc_ids, pa.int64()),
-        "extra": pa.array(words.extras, pa.string()),
         "n_words": pa.array(words.sizes),
         "n_removed": pa.array(removed, pa.int64()),
         "spans": pa.array(spans, kind),
         "kept": pa.array(kept, pa.binary()),
+        "extra": words.extras,
     })

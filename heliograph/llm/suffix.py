@@ -36,7 +36,7 @@ HEAD = 16
 V, D = 13, (0, 1, 3, 9)
 BUCKET_SUFFIXES = 1 << 18
 NO_ID = np.iinfo(np.int64).max
-RESULT = "doc_id long, extra string, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
 
 
 def common_offset(a: int, b: int) -> int:
@@ -53,8 +53,8 @@ class _Pieces:
         ids = np.array([NO_ID if d is None else d for d in doc_ids], np.int64)
         self.slots = window - ANCHOR + 1
         self.width = window + self.slots - 1
+        self.padded: np.ndarray | None = None
         body, n = self.body, len(self.body)
-        ends = np.cumsum(self.sizes)
         count = max(n - window + 1, 0)
         if not count:
             self.at = np.zeros(0, np.int64)
@@ -82,9 +82,15 @@ class _Pieces:
         # distinct pieces: the span of bytes and where windows start in it
         spans = B.Rolling(body).spans(first, stop + window)
         whole = B.mix(spans ^ B.mix((self.lo * 64 + self.hi).astype(np.uint64)))
-        # by anchor, then by piece
+        # by anchor, then by piece; hashes only bring together what the bytes then decide
         order = np.lexsort((ids[self.doc], whole, self.hash))
         new = np.r_[True, (whole[order][1:] != whole[order][:-1]) | (self.hash[order][1:] != self.hash[order][:-1])]
+        alike = np.flatnonzero(~new)
+        for part in range(0, len(alike), 1 << 16):
+            at = alike[part : part + (1 << 16)]
+            one, other = order[at], order[at - 1]
+            same = (self.lo[one] == self.lo[other]) & (self.hi[one] == self.hi[other])
+            new[at] = ~same | (self._bytes(one) != self._bytes(other)).any(axis=1)
         self.head = order[new]  # of equal pieces the one with the smallest doc_id
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
@@ -103,16 +109,20 @@ class _Pieces:
         self.many = np.zeros(0, bool)
         self.doc = np.zeros(0, np.int32)
 
-    def rows(self, pick: np.ndarray) -> np.ndarray:
-        """Bytes around the anchors of the picked pieces; zero outside their windows."""
-        padded = np.concatenate([np.zeros(self.slots - 1, np.uint8), self.body, np.zeros(self.window, np.uint8)])
-        view = np.lib.stride_tricks.sliding_window_view(padded, self.width)
-        rows = view[self.at[self.head[pick]]].copy()
+    def _bytes(self, which: np.ndarray) -> np.ndarray:
+        """Bytes around the anchors of pieces; zero outside their windows."""
+        if self.padded is None:
+            self.padded = np.concatenate([np.zeros(self.slots - 1, np.uint8), self.body, np.zeros(self.window, np.uint8)])
+        rows = np.lib.stride_tricks.sliding_window_view(self.padded, self.width)[self.at[which]]
         column = np.arange(self.width, dtype=np.uint8)
-        lo, hi = self.lo[self.head[pick]].astype(np.uint8)[:, None], self.hi[self.head[pick]].astype(np.uint8)[:, None]
+        lo, hi = self.lo[which].astype(np.uint8)[:, None], self.hi[which].astype(np.uint8)[:, None]
         rows[(column < lo) | (column >= hi + np.uint8(self.window))] = 0
         return rows
 
+    def rows(self, pick: np.ndarray) -> np.ndarray:
+        """Bytes of the picked distinct pieces."""
+        return self._bytes(self.head[pick])
+
 
 def _words_at(rows: np.ndarray, r: np.ndarray, c: np.ndarray, depth: int) -> np.ndarray:
     """Big-endian 64-bit words of the depth bytes from column c of row r (rows are padded wide enough)."""
@@ -254,8 +264,7 @@ def dedup(documents: DataFrame, window: int = 50, carry: list[str] = (), as_text
     """
     if not 26 <= window <= ANCHOR + 62:
         raise ValueError("window must be 26 to 82 bytes")
-    blocks = B.make(documents, lambda data: (data, len(data)), b"", list(carry))
-    total = B.total_bytes(blocks)
+    blocks, total = B.make(documents, lambda data: (data, len(data)), b"", list(carry))
     anchor_ranges, piece_ranges = _ranges(total)
     drop = np.uint64(64 - min(64, max(32, math.ceil(math.log2(total + 2)) + 10)))  # asked anchors may be live falsely once in thousands
 
@@ -313,7 +322,13 @@ def dedup(documents: DataFrame, window: int = 50, carry: list[str] = (), as_text
         key = B.mix((lo * 64 + hi).astype(np.uint64))
         for k in range(padded.shape[1]):
             key = B.mix(key ^ padded[:, k])
-        order, first, group = B.groups(key)
+        order, _, _ = B.groups(key)
+        # hashes only bring together what the bytes then decide; equal pieces that a chance match parts are sorted apart, with the same result
+        new = np.ones(len(order), bool)
+        new[1:] = (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1]) | (padded[order][1:] != padded[order][:-1]).any(axis=1)
+        first = np.flatnonzero(new)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
         head = order[first]
         least = np.minimum.reduceat(doc[order], first)
         mask = earlier_starts(rows[head], lo[head], hi[head], least, window)[group]
@@ -341,7 +356,7 @@ def dedup(documents: DataFrame, window: int = 50, carry: list[str] = (), as_text
     pieces = spool(B.meet(blocks, live, send_pieces, B.SENT), "pieces", "none")
     sorted_ = pieces.where("range >= 0").groupBy("range").applyInArrow(sort_range, B.VERDICT)
     asked_for = pieces.where("range < 0").selectExpr("block_id", "range", "n", "payload as bits")
-    return B.meet(blocks, sorted_.unionByName(asked_for), remove, RESULT.replace("kept binary", "kept string") if as_text else RESULT)
+    return B.meet(blocks, sorted_.unionByName(asked_for), remove, B.with_extra(RESULT.replace("kept binary", "kept string") if as_text else RESULT, "extra", B.extra_kind(blocks)))
 
 
 def _result(p: _Pieces, mask: np.ndarray, as_text: bool) -> pa.Table:
@@ -373,9 +388,9 @@ def _result(p: _Pieces, mask: np.ndarray, as_text: bool) -> pa.Table:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     return pa.table({
         "doc_id": pa.array(p.doc_ids, pa.int64()),
-        "extra": pa.array(p.extras, pa.string()),
         "n_bytes": pa.array(p.sizes),
         "n_removed": pa.array(removed, pa.int64()),
         "spans": pa.array(spans, kind),
         "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
+        "extra": p.extras,
     })

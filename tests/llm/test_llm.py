@@ -44,6 +44,14 @@ def key(rows):
     return sorted(rows, key=str)
 
 
+def B_ROWS(docs):
+    """All documents as one block."""
+    import pyarrow as pa
+
+    made, _ = blocks.make(docs.coalesce(1), lambda data: (data, len(data)), b"", [])
+    return pa.Table.from_pylist([r.asDict() for r in made.collect()], schema=pa.schema([("block_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("extras", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("n_bytes", pa.int64()), ("body", pa.binary())]))
+
+
 @pytest.mark.parametrize("block_bytes", [blocks.BLOCK_BYTES, 3000])
 def test_suffix_dedup(docs, monkeypatch, block_bytes):
     monkeypatch.setattr(blocks, "BLOCK_BYTES", block_bytes)
@@ -62,8 +70,30 @@ def test_suffix_dedup(docs, monkeypatch, block_bytes):
                 gone[k : k + 50] = True
         runs = int(np.diff(np.r_[False, gone].astype(int)).clip(0).sum())
         want.append((i, len(b), int(gone.sum()), runs, np.frombuffer(b, np.uint8)[~gone].tobytes()))
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in suffix.dedup(docs, carry=["lang", "extra"]).collect()]
-    assert key(got) == key(want)
+    rows = suffix.dedup(docs, carry=["lang", "extra"]).collect()
+    assert key((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in rows) == key(want)
+    assert {tuple(r["extra"]) for r in rows} == {("en", "e")}
+
+
+def test_carried_columns_come_back_as_they_were(spark):
+    d = spark.sql("SELECT id AS doc_id, repeat('text ', 30) AS text, timestamp'2024-01-02 03:04:05.123456' AS at, double('NaN') AS x, CASE WHEN id > 3 THEN map('k', array(id, null)) END AS m, decimal(1.10) AS d FROM range(7)")
+    carry = ["at", "x", "m", "d", "doc_id"]
+    for found in (suffix.dedup(d, carry=carry), substring.dedup(d, carry=carry)):
+        assert found.schema["extra"].dataType.fieldNames() == carry
+        assert key(map(str, (r["extra"] for r in found.collect()))) == key(map(str, d.select(*carry).collect()))
+
+
+def test_equal_hashes_of_different_bytes_remove_nothing(docs, monkeypatch):
+    want = {(r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in suffix.dedup(docs).collect()}
+    table, verdicts = [], B_ROWS(docs)
+    for mix in (lambda h: h & np.uint64(7), lambda h: h * np.uint64(0)):
+        monkeypatch.setattr(blocks, "mix", mix)
+        p = suffix._Pieces(verdicts, 50)
+        same = {}
+        for k in range(len(p.at)):
+            same.setdefault(int(p.group[k]), set()).add((int(p.lo[k]), int(p.hi[k]), p._bytes(np.array([k])).tobytes()))
+        table.append(max(map(len, same.values())))
+    assert table == [1, 1] and want
 
 
 def test_suffix_order_is_that_of_the_suffixes(monkeypatch):
