@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from heliograph.llm import decontaminate, language, packing, simhash, suffix
@@ -42,10 +41,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     left = suffix.dedup(docs, carry=others, as_text=True).withColumnRenamed("kept", "text")
     left = left.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
-    extra = F.from_json("extra", StructType([docs.schema[c] for c in others])).alias("e")
-    left = left.select("doc_id", "text", extra)
     new = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return left.select(*(new[c].alias(c) if c in new else F.col(f"e.{c}") for c in docs.columns))
+    return left.select(*(new[c].alias(c) if c in new else F.col(f"extra.{c}") for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
