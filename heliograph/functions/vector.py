@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK = 4096
+#: Rows of a block: two of them and the scores between them are what a task holds.
+BLOCK = 4096
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -24,85 +25,126 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(F.size(a) != F.size(b), None).when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def _units(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
+def _matrix(table: pa.Table) -> np.ndarray:
+    """Vectors of a group, all of one length, with length 1 each (zero stays zero)."""
+    x = np.array(table["vector"].combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def scores(queries: DataFrame, nodes: DataFrame, k: int | None = None, least: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def unit_rows(table: pa.Table) -> np.ndarray:
+    """As _matrix, for rows that may have no vector or one of another length than most: those are zero."""
+    rows = table["vector"].to_pylist()
+    size = max((len(v) for v in rows if v is not None), default=1)
+    x = np.zeros((len(rows), size))
+    for k, v in enumerate(rows):
+        if v is not None and len(v) == size and None not in v and np.isfinite(v).all():
+            x[k] = v
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.round(a @ b.T, 9)  # equal vectors score alike in any block
+
+
+def whole(vector: str = "vector") -> Column:
+    """The vector has every component, and they are finite."""
+    return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def meet(queries: DataFrame, nodes: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, within: list[str] = (), block: int = BLOCK, upper: bool = False) -> DataFrame:
+    """run(some queries, some nodes) once for every block of queries with every block of nodes of the same vector length (and the same values of within).
+
+    Rows hold `vector` (those with a null or infinite component take no part) and whatever run needs. Blocks are dealt by a
+    hash and hold about `block` rows, so a group's size is bounded, and nothing passes through the driver. upper: queries
+    and nodes are the same rows, and each pair of blocks meets once.
+    """
+    keys = [*within, "__length"]
+    row = lambda rows: rows.withColumn("vector", F.col("vector").cast("array<double>")).where(whole()).withColumn("__length", F.size("vector"))
+    q, n = row(queries), row(nodes)
+    count = lambda rows, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    blocks = count(q, "__of_queries").join(count(n, "__of_nodes"), keys)
+    if not within:
+        blocks = F.broadcast(blocks)  # a row for each length of vectors
+    own = lambda size: F.pmod(F.xxhash64("vector", *([F.col("id")] if "id" in queries.columns and "id" in nodes.columns else [])), F.col(size)).cast("int")
+    q, n = (rows.join(blocks, keys) for rows in (q, n))
+    q = q.withColumn("__a", own("__of_queries")).withColumn("__b", F.explode(F.sequence(F.col("__a") if upper else F.lit(0), F.col("__of_nodes") - 1)))
+    n = n.withColumn("__b", own("__of_nodes")).withColumn("__a", F.explode(F.sequence(F.lit(0), F.col("__b") if upper else F.col("__of_queries") - 1)))
+    kinds = {c: k for c, k in (x.split() for x in schema.split(", "))}
+
+    def both(a: pa.Table, b: pa.Table) -> pa.Table:
+        if a.num_rows and b.num_rows:
+            return run(a, b)
+        return pa.table({c: pa.array([], ARROW[k]) for c, k in kinds.items()})
+
+    at = [*keys, "__a", "__b"]
+    q, n = (rows.select(*(F.col(c).alias(c) for c in rows.columns if not c.startswith("__of_"))) for rows in (q, n))  # apart, even if both are the same rows
+    return q.groupBy(*at).cogroup(n.groupBy(*at)).applyInArrow(both, schema)
+
+
+def scores(queries: DataFrame, nodes: DataFrame, k: int | None = None, least: float | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score) for queries and nodes (id, vector): of each query its k best nodes, or all of at least a score.
 
-    Queries go out in blocks of bounded size and meet every row of nodes; each task returns what its own
-    rows add to a block's answers, so no pair below the bar leaves a task. Null vectors take no part.
+    Each block of queries meets each block of nodes in a task, which returns what its rows add to the answers, so no pair
+    below the bar leaves a task. Null vectors take no part; an id that occurs in several rows of queries is asked once for
+    each different vector, and rows of nodes with one id are a candidate each.
     """
-    spark = nodes.sparkSession
-    queries = queries.where("vector is not null").select(F.col("id"), F.col("vector").cast("array<double>"))
-    nodes = nodes.where("vector is not null").select(F.col("id"), F.col("vector").cast("array<double>"))
-    kind = dict(nodes.dtypes)["id"]
-    blocks = max(1, math.ceil(queries.count() / block))
-    found = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()  # about block rows
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r["id"] for r in rows], _units([r["vector"] for r in rows])))
-        part = nodes.mapInArrow(_matcher(shared, k, least), f"query_id {kind}, id {kind}, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return nodes.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
+    kind, node_kind = dict(queries.dtypes)["id"], dict(nodes.dtypes)["id"]
+    asked = queries.select("id", "vector").distinct().withColumn("ask", F.xxhash64("id", "vector"))
+
+    def run(q: pa.Table, n: pa.Table) -> pa.Table:
+        score = _cosines(_matrix(q), _matrix(n))
+        good = np.ones(score.shape, bool) if least is None else score >= least
+        if k is not None and score.shape[1] > k:
+            good &= score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        i, j = np.nonzero(good)
+        return pa.table({"ask": q["ask"].take(i), "query_id": q["id"].take(i), "id": n["id"].take(j), "score": pa.array(score[i, j])})
+
+    found = meet(asked, nodes.select("id", "vector"), run, f"ask bigint, query_id {kind}, id {node_kind}, score double", block=block)
     if k is None:
-        return found
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return found.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
-
-
-def _matcher(shared, k: int | None, least: float | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                own = part.column(0).to_pylist()
-                score = np.round(q @ _units(part.column(1).to_pylist()).T, 9)  # equal vectors score alike in any batch
-                good = np.ones(score.shape, bool) if least is None else score >= least
-                if k is not None and score.shape[1] > k:
-                    edge = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-                    good &= score >= edge
-                i, j = np.nonzero(good)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i]), pa.array([own[x] for x in j]), pa.array(score[i, j])], ["query_id", "id", "score"])
-
-    return run
-
-
-def connections(queries: list, nodes: DataFrame, least: float) -> DataFrame:
-    """(src, dst) between queries (rows of id and vector, which are among nodes) and nodes (id, vector): not every pair at a cosine of least or more, but of each node one pair with every group of queries that it is near to, which connects the same rows."""
+        return found.drop("ask")
+    nth = F.row_number().over(Window.partitionBy("ask", "query_id").orderBy(F.col("score").desc(), "id"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth", "ask")
+
+
+def score_bins(queries: DataFrame, nodes: DataFrame, thresholds: list[float], block: int = BLOCK) -> DataFrame:
+    """(same, bin, n): how many pairs of a query and another node (id, vector, label) have equal labels or not, by the number of thresholds (ascending) that their score reaches. Pairs are counted where they are compared."""
+
+    def run(q: pa.Table, n: pa.Table) -> pa.Table:
+        at = np.searchsorted(np.array(thresholds), _cosines(_matrix(q), _matrix(n)), side="right")
+        a, b = ({c: np.array(t[c].to_pylist(), object) for c in ("id", "label")} for t in (q, n))
+        same = (a["label"][:, None] == b["label"][None, :]).astype(bool)
+        other = (a["id"][:, None] != b["id"][None, :]).astype(bool)
+        counts = [(s, k, int(c)) for s in (False, True) for k, c in enumerate(np.bincount(at[(same == s) & other], minlength=len(thresholds) + 1))]
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("same", "bin", "n"), zip(*counts), (pa.bool_(), pa.int32(), pa.int64()))})
+
+    found = meet(queries.select("id", "vector", "label"), nodes.select("id", "vector", "label"), run, "same boolean, bin int, n bigint", block=block)
+    return found.groupBy("same", "bin").agg(F.sum("n").alias("n"))
+
+
+def connections(nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(src, dst) that connect what pairs of nodes (id, vector) at a cosine of least or more connect: not every pair, but of each node one pair with every group of a block that it is near to, where a group is connected within its block."""
     kind = dict(nodes.dtypes)["id"]
-    ids, q = [r["id"] for r in queries], _units([r["vector"] for r in queries])
-    near = np.concatenate([np.round(q[at : at + 256] @ q.T, 9) >= least for at in range(0, len(q), 256)])
-    group = np.full(len(q), -1)
-    for first in range(len(q)):
-        front = np.array([first]) if group[first] < 0 else []
-        while len(front):
-            group[front] = first
-            front = np.nonzero(near[front].any(0) & (group < 0))[0]
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, q, group))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, group = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                own = part.column(0).to_pylist()
-                i, j = np.nonzero(np.round(q @ _units(part.column(1).to_pylist()).T, 9) >= least)
-                pairs = np.unique(j * len(q) + group[i]).tolist()
-                ends = [(ids[k % len(q)], own[k // len(q)]) for k in pairs]
-                ends = [e for e in ends if e[0] != e[1]]
-                if ends:
-                    yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends])], ["src", "dst"])
-
-    return nodes.mapInArrow(run, f"src {kind}, dst {kind}")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        x = _matrix(a)
+        near = _cosines(x, x) >= least
+        group = np.full(len(x), -1)
+        for first in range(len(x)):
+            front = np.array([first]) if group[first] < 0 else []
+            while len(front):
+                group[front] = first
+                front = np.nonzero(near[front].any(0) & (group < 0))[0]
+        own, far = a["id"].to_pylist(), b["id"].to_pylist()
+        i, j = np.nonzero(_cosines(x, _matrix(b)) >= least)
+        pairs = np.unique(j * len(x) + group[i])
+        ends = [(own[k % len(x)], far[k // len(x)]) for k in pairs.tolist()]
+        ends = [e for e in ends if e[0] != e[1]]
+        return pa.table({c: pa.array([e[k] for e in ends], ARROW[kind]) for k, c in enumerate(("src", "dst"))})
+
+    rows = nodes.select("id", "vector")
+    return meet(rows, rows, run, f"src {kind}, dst {kind}", block=block, upper=True)
 
 
 def embedding_text(statement: Column, assumptions: Column) -> Column:

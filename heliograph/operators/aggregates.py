@@ -24,7 +24,8 @@ def reconcile(nodes: DataFrame, counters: dict[str, DataFrame]) -> DataFrame:
 
 
 def degree_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, citation_count (edges in) and reference_count (edges out)."""
+    """id, citation_count (distinct edges in) and reference_count (distinct edges out)."""
+    edges = edges.select("src", "dst").distinct()
     into = edges.groupBy("dst").agg(F.count("*").alias("citation_count")).withColumnRenamed("dst", "id")
     out = edges.groupBy("src").agg(F.count("*").alias("reference_count")).withColumnRenamed("src", "id")
     return nodes.select("id").join(into, "id", "left").join(out, "id", "left").fillna(0, ["citation_count", "reference_count"])
@@ -73,8 +74,14 @@ def progress(jobs: DataFrame, batch: str, status: str = "status") -> DataFrame:
 
 def threshold_sweep(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     """pairs: score and same. Confusion counts, precision, recall and F1 at every threshold; zero where a denominator is."""
-    hit = lambda t, same, over: F.count_if((F.col("same") == same) & ((F.col("score") >= t) == over))
-    row = pairs.agg(F.array(*(F.struct(F.lit(t).alias("threshold"), hit(t, True, True).alias("tp"), hit(t, False, True).alias("fp"), hit(t, False, False).alias("tn"), hit(t, True, False).alias("fn")) for t in thresholds)).alias("rows"))
+    reached = sum((F.when(F.col("score") >= t, 1).otherwise(0) for t in thresholds), F.lit(0))
+    return sweep_of_bins(pairs.groupBy("same", reached.cast("int").alias("bin")).agg(F.count("*").alias("n")), thresholds)
+
+
+def sweep_of_bins(bins: DataFrame, thresholds: list[float]) -> DataFrame:
+    """The same from counts (same, bin, n), where bin is the number of thresholds (ascending) that a score reaches."""
+    hit = lambda k, same, over: F.coalesce(F.sum(F.when((F.col("same") == same) & ((F.col("bin") > k) == over), F.col("n"))), F.lit(0))
+    row = bins.agg(F.array(*(F.struct(F.lit(t).alias("threshold"), hit(k, True, True).alias("tp"), hit(k, False, True).alias("fp"), hit(k, False, False).alias("tn"), hit(k, True, False).alias("fn")) for k, t in enumerate(thresholds))).alias("rows"))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     p, r = F.col("precision"), F.col("recall")
     return (

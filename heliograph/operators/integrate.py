@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..scratch import keep
+from . import resolve as E
 
 
 def mentions(extracted: DataFrame) -> DataFrame:
@@ -39,84 +39,84 @@ def integrate(found: DataFrame, routes: DataFrame, decisions: DataFrame) -> tupl
     return edges, made.drop("mention"), done.where("fate = 'human_review'").select("mention", "concept")
 
 
-def merge_in_order(entities: DataFrame, threshold: float, block: str = "block") -> DataFrame:
-    """Sequential merging within blocks: by ordinal each entity (id, vector) joins the nearest kept one at the threshold or more, else is kept.
-
-    The result depends on the order, as with inserts one after another. A block is a bounded unit by
-    contract (one paper's or one source batch's entities), and only what was kept is compared.
-    Returns id and keep_id.
-    """
-    kind = dict(entities.dtypes)["id"]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ordinal", "id"])
-        x = np.array(rows["vector"].tolist(), np.float64)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        kept, out = [], []
-        for k, own in enumerate(rows["id"]):
-            score = np.round(x[kept] @ x[k], 9) if kept else np.zeros(0)
-            if len(score) and score.max() >= threshold:
-                out.append(rows["id"].iloc[kept[int(score.argmax())]])
-            else:
-                kept.append(k)
-                out.append(own)
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "keep_id": out})
-
-    return entities.where("vector is not null").select("id", "vector", "ordinal", block).groupBy(block).applyInPandas(run, f"id {kind}, keep_id {kind}")
-
-
-def merge_all_in_order(entities: DataFrame, threshold: float, size: int = V.QUERY_BLOCK) -> DataFrame:
-    """merge_in_order over all entities (id, vector, ordinal): each is compared with every one kept before it, wherever that stands.
-
-    Entities pass in order, about size at a time: tasks find the nearest of what was kept before for all of them, then the
-    few thousand are folded among themselves and what they leave is kept. Vectors that are null, zero or not finite merge with nothing.
-    Returns id and keep_id.
+def _fold(threshold: float, kind: str) -> Callable[[pa.Table], pa.Table]:
+    """Rows in order (fixed ones first): each joins the nearest kept one at the threshold or more, of equals the one kept first, else is kept. best and best_score are what it found among those kept before this table."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("turn", "ascending"), ("ordinal", "ascending"), ("id", "ascending")])
+        ids, fixed = rows["id"].to_pylist(), np.array(rows["turn"].to_pylist()) == 0
+        found, score = rows["best"].to_pylist(), rows["best_score"].to_pylist()
+        x = V.unit_rows(rows)
+        held, at, out = np.empty_like(x), [], []
+        for k, own in enumerate(ids):
+            near, how = found[k], score[k]
+            if at and not fixed[k] and x[k].any():
+                s = np.round(held[: len(at)] @ x[k], 9)
+                b = int(s.argmax())
+                if s[b] >= threshold and (near is None or s[b] > how):
+                    near, how = ids[at[b]], float(s[b])
+            if fixed[k] or near is None:
+                near, how = own, None
+                held[len(at)] = x[k]
+                at.append(k)
+            out.append((own, near, len(at) if near == own else 0))
+        return pa.table({"id": pa.array([o[0] for o in out], V.ARROW[kind]), "keep_id": pa.array([o[1] for o in out], V.ARROW[kind]), "nth": pa.array([o[2] for o in out], pa.int64())})
+
+    return run
+
+
+def merge_in_order(entities: DataFrame, threshold: float, size: int = V.BLOCK) -> DataFrame:
+    """Sequential merging: in the order of `ordinal`, each entity (id, vector) joins the nearest kept one at a cosine of the threshold or more, else is kept itself.
+
+    The result depends on the order, as with inserts one after another; rows with `fixed` (if there is such a column) were
+    there before and are kept whatever they are near to. Entities that no chain of near ones connects cannot meet, so each
+    connected group is folded for itself, in one task if it has at most `size` rows. The rows of larger groups go in order,
+    `size` at a time: a task folds them, and then all rows that follow look for their nearest among what it kept.
+    Vectors that are null, zero or not finite merge with nothing. Returns id and keep_id.
     """
     if threshold <= 0:
         raise ValueError(f"threshold must be above 0; got {threshold}")
-    spark = entities.sparkSession
-    rows = keep(entities.select("ordinal", "id", F.col("vector").cast("array<double>").alias("vector")), "entities")
-    kind = dict(rows.dtypes)["id"]
-    parts = max(1, -(-rows.count() // size))
-    kept = out = None
-    start = 0
-    ordered = rows.repartitionByRange(parts, "ordinal", "id").sortWithinPartitions("ordinal", "id").toLocalIterator()
-    while some := list(islice(ordered, size)):
-        ids = [r["id"] for r in some]
-        at = [i for i, r in enumerate(some) if r["vector"] is not None and np.isfinite(np.array(r["vector"], np.float64)).all()]
-        near: dict[int, tuple[float, int, object]] = {}
-        if kept is not None and at:
-            block = spark.createDataFrame([(start + i, some[i]["vector"]) for i in at], "id long, vector array<double>")
-            best = V.scores(block, kept.select("id", "vector"), 1, threshold, block=2 * size)
-            name = kept.select("id", "own")
-            near = {r["query_id"] - start: (r["score"], -r["id"], r["own"]) for r in best.join(name, "id").collect()}
-        x = np.zeros((len(some), len(some[at[0]]["vector"]) if at else 1))
-        for i in at:
-            x[i] = some[i]["vector"]
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        fresh, ends = [], []
-        held = np.empty_like(x)
-        for i in range(len(some)):
-            found = near.get(i)
-            if fresh:
-                score = np.round(held[: len(fresh)] @ x[i], 9)
-                k = int(score.argmax())
-                if score[k] >= threshold and (found is None or score[k] > found[0]):  # of equals the first kept
-                    found = (float(score[k]), 0, ids[fresh[k]])
-            if found is None:
-                held[len(fresh)] = x[i]
-                fresh.append(i)
-            ends.append(ids[i] if found is None else found[2])
-        part = keep(spark.createDataFrame(list(zip(ids, ends)), f"id {kind}, keep_id {kind}"), "merged")
-        out = part if out is None else out.unionByName(part)
-        new = [(start + i, ids[i], some[i]["vector"]) for i in fresh if x[i].any()]
-        if new:
-            part = keep(spark.createDataFrame(new, f"id long, own {kind}, vector array<double>"), "kept")
-            kept = part if kept is None else kept.unionByName(part)
-        start += len(some)
-    return rows.select("id", F.col("id").alias("keep_id")) if out is None else out
+    fixed = F.coalesce("fixed", F.lit(False)) if "fixed" in entities.columns else F.lit(False)
+    kind = dict(entities.dtypes)["id"]
+    rows = entities.select("id", F.col("vector").cast("array<double>").alias("vector"), "ordinal", F.when(fixed, 0).otherwise(1).alias("turn"))
+    grouped = keep(E.near_groups(rows, threshold, size), "groups")
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("size"))
+    sized = keep(grouped.join(sizes, "component").withColumns({"best": F.lit(None).cast(kind), "best_score": F.lit(None).cast("double")}), "sized")
+    fold, schema = _fold(threshold, kind), f"id {kind}, keep_id {kind}, nth bigint"
+    alone = sized.where("size = 1").select("id", F.col("id").alias("keep_id"))
+    small = sized.where((F.col("size") > 1) & (F.col("size") <= size)).drop("size").groupBy("component").applyInArrow(fold, schema)
+    out = alone.unionByName(small.select("id", "keep_id"))
+    rest = sized.where(F.col("size") > size).drop("size", "component")
+    order = ("turn", "ordinal", "id")
+    while True:
+        some = keep(rest.orderBy(*order).limit(size), "turn")
+        last = some.agg(F.max(F.struct(*order)).alias("m")).first()["m"]
+        if last is None:
+            return out
+        done = keep(some.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fold, schema), "folded")
+        out = out.unionByName(done.select("id", "keep_id"))
+        kept = done.where("nth > 0").join(some.select("id", "vector"), "id")
+        after = rest.where(F.struct(*order) > F.struct(*(F.lit(last[c]).cast(dict(rest.dtypes)[c]) for c in order)))
+        names = kept.select(F.col("nth").alias("near_id"), F.col("id").alias("near"))
+        near = V.scores(after.select("id", "vector"), kept.select(F.col("nth").alias("id"), "vector"), 1, threshold)
+        near = near.select(F.col("query_id").alias("id"), F.col("id").alias("near_id"), F.col("score").alias("near_score")).join(names, "near_id")
+        better = F.col("near_score").isNotNull() & (F.col("best_score").isNull() | (F.col("near_score") > F.col("best_score")))
+        new = {"best": F.when(better, F.col("near")).otherwise(F.col("best")), "best_score": F.when(better, F.col("near_score")).otherwise(F.col("best_score"))}
+        rest = keep(after.join(near, "id", "left").select(*(new[c].alias(c) if c in new else F.col(c) for c in after.columns)), "rest")
+
+
+def create_or_merge(state: DataFrame, incoming: DataFrame, threshold: float, most_aliases: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(new state, outcome): incoming entities one after another, each merged into the nearest entity at the threshold or more, which may be an incoming one that came before, or created.
+
+    state and incoming: id, name, aliases, vector and any further columns; incoming has `ordinal` too. A merge is that of
+    resolve.merge_into; the kept vector stays. outcome: id, entity_id, created. Thresholds above 1 merge nothing.
+    """
+    both = state.select("id", "vector", F.lit(0).cast("long").alias("ordinal"), F.lit(True).alias("fixed")).unionByName(incoming.select("id", "vector", F.col("ordinal").cast("long").alias("ordinal"), F.lit(False).alias("fixed")))
+    outcome = keep(merge_in_order(both, threshold).join(incoming.select("id"), "id"), "merges") if threshold <= 1 else incoming.select("id", F.col("id").alias("keep_id"))
+    made = incoming.join(outcome.where("id = keep_id").select("id"), "id")
+    merged = incoming.withColumnRenamed("id", "own").join(outcome.where("id <> keep_id").withColumnRenamed("id", "own"), "own").withColumnRenamed("keep_id", "id").drop("own")
+    canon = state.unionByName(made.select(*(c for c in incoming.columns if c in state.columns)), allowMissingColumns=True)
+    return E.merge_into(canon, merged, "id", most_aliases), outcome.select("id", F.col("keep_id").alias("entity_id"), (F.col("id") == F.col("keep_id")).alias("created"))
 
 
 def import_outcome(known: Column, failed: Column, update: bool) -> Column:
@@ -143,12 +143,39 @@ def skippable(papers: DataFrame, taxonomy_hash: str) -> DataFrame:
     return papers.where((F.col("taxonomy_hash") == taxonomy_hash) & ~F.coalesce("extraction_incomplete", F.lit(False)))
 
 
-def batches(rows: Iterator, size: int) -> Iterator[list]:
-    part: list = []
-    for r in rows:
-        part.append(r)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part
+def has_footprint(papers: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Papers (doi) from which something was extracted (edges src, dst)."""
+    return papers.join(extracted.select(F.col("dst").alias("doi")), "doi", "left_semi")
+
+
+def problem_mentions(found: DataFrame, as_of: Column) -> DataFrame:
+    """Extracted problems (paper, ordinal, statement, quoted_text, confidence, section, assumptions, constraints, datasets, metrics, baselines) as rows of schema.NODES["mention"]."""
+    m = mentions(found).drop("section").withColumnRenamed("paper", "paper_doi")
+    more = found.select(F.col("paper").alias("paper_doi"), F.col("statement"), F.col("ordinal"), "section", *(c for c in ("assumptions", "constraints", "datasets", "metrics", "baselines") if c in found.columns))
+    ids = more.withColumn("id", F.substring(F.sha2(F.concat_ws("\x1f", "paper_doi", F.col("ordinal").cast("string"), "statement"), 256), 1, 16)).drop("paper_doi", "statement", "ordinal").dropDuplicates(["id"])
+    return m.dropDuplicates(["id"]).join(ids, "id").withColumn("section", F.coalesce("section", F.lit("Unknown"))).withColumns({"created_at": as_of, "updated_at": as_of})
+
+
+def extraction_metadata(papers: DataFrame, runs: DataFrame) -> DataFrame:
+    """Papers (doi) with what their latest extraction run (doi, ordinal, taxonomy_hash, failed array<string>) tells: hash, failed extractors as comma-separated text, and whether it is incomplete."""
+    last = runs.groupBy("doi").agg(F.max_by(F.struct("taxonomy_hash", "failed"), "ordinal").alias("r"))
+    row = last.select("doi", F.col("r.taxonomy_hash").alias("taxonomy_hash"), F.array_join(F.array_sort(F.coalesce("r.failed", F.array().cast("array<string>"))), ",").alias("failed_extractors"), (F.size(F.coalesce("r.failed", F.array().cast("array<string>"))) > 0).alias("extraction_incomplete"))
+    return papers.drop("taxonomy_hash", "failed_extractors", "extraction_incomplete").join(row, "doi", "left")
+
+
+def import_papers(papers: DataFrame, found: DataFrame, update: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(papers, outcomes): found records by DOI are created, or update known ones with what they tell, or are skipped; those without a DOI are errors. papers and found: doi and attributes; outcomes: doi, outcome, message.
+
+    A DOI that was found more than once counts once, by the first `ordinal` if there is one.
+    """
+    at = [F.col("ordinal")] if "ordinal" in found.columns else []
+    same = [c for c in papers.columns if c in found.columns and c != "doi"]
+    one = found.where("doi is not null and doi <> ''").groupBy("doi").agg(F.min_by(F.struct(*same), F.struct(*at, F.struct(*(F.col(c).cast("string") for c in same)))).alias("f"))
+    known = papers.select("doi", F.lit(True).alias("known")).distinct()
+    outcome = one.join(known, "doi", "left").select("doi", import_outcome(F.coalesce("known", F.lit(False)), F.lit(False), update).alias("outcome"), F.lit(None).cast("string").alias("message"))
+    bad = found.where("doi is null or doi = ''").select(F.lit(None).cast("string").alias("doi"), F.lit("error").alias("outcome"), F.lit("no DOI").alias("message"))
+    new = one.join(known, "doi", "left_anti").select("doi", "f.*")
+    out = papers.join(one, "doi", "left") if update else papers
+    value = {c: F.coalesce(F.col(f"f.{c}"), F.col(c)) for c in same} if update else {}
+    out = out.select(*(value[c].alias(c) if c in value else F.col(c) for c in papers.columns))
+    return out.unionByName(new, allowMissingColumns=True), outcome.unionByName(bad)

@@ -292,9 +292,8 @@ b AS (SELECT *, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0
 SELECT threshold, tp, fp, tn, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM b""", graph=False)
 def calibration_sweep(spark: SparkSession, d: str) -> DataFrame:
     queries, rows = _vectors(spark, d)
-    pairs = V.scores(queries, rows, least=-2.0).where("query_id <> id")
-    labelled = pairs.join(queries.select(F.col("id").alias("query_id"), F.col("label").alias("l")), "query_id").join(rows.select("id", "label"), "id").select((F.col("l") == F.col("label")).alias("same"), "score")
-    return A.threshold_sweep(labelled, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]).select("threshold", "tp", "fp", "tn", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+    marks = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
+    return A.sweep_of_bins(V.score_bins(queries, rows, marks), marks).select("threshold", "tp", "fp", "tn", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @query(f"SELECT threshold, f1 FROM ({{sweep}}) WHERE f1 > 0 ORDER BY f1 DESC, precision DESC, threshold DESC LIMIT 1", graph=False)
@@ -693,7 +692,7 @@ def mention_integration(spark: SparkSession, d: str) -> DataFrame:
 def sequential_merge(spark: SparkSession, d: str) -> DataFrame:
     """Order-dependent merging has no plain SQL form; tests hold it against a loop."""
     _, rows = _vectors(spark, d)
-    return I.merge_all_in_order(rows.select("id", "vector", F.col("id").alias("ordinal")), 0.35)
+    return I.merge_in_order(rows.select("id", "vector", F.col("id").alias("ordinal")), 0.35)
 
 
 @query("""WITH o AS (SELECT user_id % 7 AS trace_id, event_id AS paper, CASE WHEN event_id % 11 = 0 THEN 'error' WHEN event_id % 3 = 0 AND user_id % 2 = 0 THEN 'updated' WHEN event_id % 3 = 0 THEN 'skipped' ELSE 'created' END AS outcome FROM events)

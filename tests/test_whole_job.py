@@ -92,9 +92,9 @@ def test_merging_in_order_reaches_everything_kept_before(spark):
 
     rows = _vectors()
     frame = spark.createDataFrame([(i, v, i) for i, v in rows], "id long, vector array<double>, ordinal long").repartition(3)
-    for size in (4096, 64):
-        assert {r["id"]: r["keep_id"] for r in I.merge_all_in_order(frame, 0.8, size).collect()} == _folded(rows, 0.8)
-    assert I.merge_all_in_order(frame.limit(0), 0.8).count() == 0
+    for size in (4096, 40):
+        assert {r["id"]: r["keep_id"] for r in I.merge_in_order(frame, 0.8, size).collect()} == _folded(rows, 0.8)
+    assert I.merge_in_order(frame.limit(0), 0.8).count() == 0
 
 
 def test_registered_merge_has_no_blocks(spark, tmp_path):
