@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import parallelism, with_row
+from .common import spool, with_row
 
 HIDDEN = 8
 STEPS = 128
@@ -183,16 +183,15 @@ def train(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[ByteBiGRU, list[
 
     Every language gives its share of different samples, those with the least hashes of their text; copies count once.
     """
-    rows = fit_windows(labelled).withColumn("h", F.xxhash64("windows"))
+    rows = spool(fit_windows(labelled).withColumn("h", F.xxhash64("windows")), "samples")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     langs, share = sorted(counts), quota(list(counts.values()), max_fit)
-    # the least hashes of parts of a language first, so that no task sees a whole language
-    part = F.pmod(F.xxhash64("h"), F.lit(parallelism(labelled.sparkSession)))
-    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "windows"))
-    some = rows.withColumn("part", part).withColumn("nth", least("lang", "part")).where(F.col("nth") <= share)
-    some = some.withColumn("nth", least("lang")).where(F.col("nth") <= share)
+    # the least hashes of each part of a language, so few that every task keeps no more of its own rows
+    parts = max(1, share // 64)
+    nth = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("h"), F.lit(parts))).orderBy("h", "windows"))
+    some = rows.withColumn("nth", nth).where(F.col("nth") <= share // parts)
     of = {lang: k for k, lang in enumerate(langs)}
     got = sorted((bytes(w), of[r["lang"]]) for r in some.select("lang", "windows").collect() for w in r["windows"])
     model = ByteBiGRU(len(langs))

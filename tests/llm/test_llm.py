@@ -485,7 +485,7 @@ def test_language_learns_from_every_language_and_from_copies_once(spark, monkeyp
     model, langs = language.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), 400)
     assert langs == sorted({lang for t, lang in rows if t and lang is not None}) and "" in langs and model.k == 123
     per = np.bincount(seen["label"], minlength=123) // language.WINDOWS
-    assert per[langs.index("aa")] == 1 and per[langs.index("bb")] == 400 - 122 and set(per.tolist()) == {1, 278}
+    assert per[langs.index("aa")] == 1 and sorted(per.tolist())[:-1] == [1] * 122 and 240 <= per[langs.index("bb")] <= 400 - 122
     assert len(seen["label"]) <= language.WINDOWS * 400
 
 
