@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Lines that are page furniture (case-insensitive).
-PAGE_FURNITURE = r"(?i)^(\s*\d+\s*|\s*-\s*\d+\s*-\s*|\s*Page\s+\d+\s*(of\s+\d+)?\s*|\s*arXiv:\d{4}\.\d{4,5}.*|\s*Preprint\..*|\s*Under review.*|\s*Proceedings of.*)$"
+# Beginnings of lines that are page furniture (in lower case).
+FURNITURE = ("preprint.", "under review", "proceedings of")
 # Kinds of constraint, and the words that lead to one if none is named.
 CONSTRAINTS = ("computational", "data", "methodological", "theoretical")
 CONSTRAINT_HINTS = (("computational", ("compute", "gpu", "memory")), ("data", ("dataset", "annotation")), ("methodological", ("method", "algorithm")), ("theoretical", ("theory",)))
 
 
+def page_furniture(line: Column) -> Column:
+    """Whether a trimmed line is a page number ("7", "- 7 -", "Page 7 of 9"), an archive stamp or a running title."""
+    low = F.lower(line)
+    number = F.regexp_replace(low, r"^(page\s+|-\s*)|(\s*of\s+\d+|\s*-)$", "")
+    titled = F.array_max(F.array(*(low.startswith(x) for x in FURNITURE)))
+    return (number.rlike(r"^\d+$") & (~low.contains("of") | low.startswith("page")) & (low.startswith("-") == low.endswith("-"))) | low.rlike(r"^arxiv:\d{4}\.\d{4,5}") | titled
+
+
 def constraint_type(value: Column) -> Column:
     v = F.trim(F.lower(value))
     out = F.when(v.isin(*CONSTRAINTS), v)

@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
-import re
-from functools import reduce
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-# Section types in the order in which they are tried, with the headings that name them (case-insensitive).
-NUMBER = r"(\d+\.?\s*)?"
-SECTIONS = (
-    ("abstract", r"(abstract|summary)"),
-    ("introduction", NUMBER + r"(introduction|overview)"),
-    ("related_work", NUMBER + r"(related\s+work|prior\s+work|literature\s+review|related\s+research)"),
-    ("background", NUMBER + r"(background|preliminaries|problem\s+(statement|formulation|definition))"),
-    ("methods", NUMBER + r"(method(s|ology)?|approach|(our\s+)?(proposed\s+)?(method|approach|framework|model)|techniques?|algorithm)"),
-    ("experiments", NUMBER + r"(experiment(s|al)?\s*(setup|settings)?|evaluation|empirical\s+(study|evaluation|analysis)|(experimental\s+)?setup)"),
-    ("results", NUMBER + r"(results?|(experimental\s+)?results?\s+(and\s+)?(analysis|discussion)?|findings)"),
-    ("discussion", NUMBER + r"(discussion|analysis|interpretation)"),
-    ("limitations", NUMBER + r"(limitations?\s+(and\s+)?(future\s+work|directions)?|(current\s+|potential\s+)?limitations?|(potential\s+)?weakness(es)?|threats?\s+to\s+validity)"),
-    ("future_work", NUMBER + r"(future\s+(work|directions?|research)|directions?\s+for\s+future\s+(work|research)|open\s+(problems?|questions?|issues?)|next\s+steps?)"),
-    ("conclusion", NUMBER + r"(conclusions?|concluding\s+remarks?|conclusions?\s+(and\s+)?(future\s+work)?|summary\s+and\s+conclusions?)"),
-    ("acknowledgments", r"acknowledge?ments?"),
-    ("references", r"(references?|bibliography|(cited\s+)?literature)"),
-    ("appendix", r"(appendix\s*[a-z]?|appendices|supplementary\s+(material|information))"),
-)
+# Section types, with the headings that name them (in lower case, with single spaces).
+HEADINGS = {
+    "abstract": ("abstract", "summary"),
+    "introduction": ("introduction", "overview"),
+    "related_work": ("related work", "prior work", "literature review", "related research"),
+    "background": ("background", "preliminaries", "problem statement", "problem formulation", "problem definition"),
+    "methods": ("method", "methods", "methodology", "approach", "technique", "techniques", "algorithm"),
+    "experiments": ("experiment", "experiments", "experimental", "evaluation", "empirical study", "empirical evaluation", "empirical analysis", "setup", "experimental setup"),
+    "results": ("result", "results", "findings"),
+    "discussion": ("discussion", "analysis", "interpretation"),
+    "limitations": ("limitation", "limitations", "current limitation", "current limitations", "potential limitation", "potential limitations", "weakness", "weaknesses", "potential weakness", "potential weaknesses", "threat to validity", "threats to validity"),
+    "future_work": ("future work", "future direction", "future directions", "future research", "directions for future work", "directions for future research", "direction for future work", "direction for future research", "next step", "next steps"),
+    "conclusion": ("conclusion", "conclusions", "concluding remark", "concluding remarks", "summary and conclusion", "summary and conclusions"),
+    "acknowledgments": ("acknowledgments", "acknowledgment", "acknowledgements", "acknowledgement"),
+    "references": ("references", "reference", "bibliography", "literature", "cited literature"),
+    "appendix": ("appendix", "appendices", "supplementary material", "supplementary information"),
+}
+# Section types whose headings bear no number.
+UNNUMBERED = ("abstract", "acknowledgments", "references", "appendix")
+
+
+def _headings() -> dict[str, str]:
+    """Every heading with its type. Some types also name their headings by a rule."""
+    more = {
+        "methods": [f"{a}{b}{c}" for a in ("", "our ") for b in ("", "proposed ") for c in ("method", "approach", "framework", "model")],
+        "experiments": [f"{a} {b}" for a in ("experiment", "experiments", "experimental") for b in ("setup", "settings", "setting")],
+        "results": [f"{a}{b}{c}" for a in ("", "experimental ") for b in ("result", "results") for c in ("", " and analysis", " and discussion", " analysis", " discussion")],
+        "limitations": [f"{a} and {b}" for a in ("limitation", "limitations") for b in ("future work", "directions")],
+        "future_work": [f"open {a}{b}" for a in ("problem", "question", "issue") for b in ("", "s")],
+        "conclusion": [f"{a} and future work" for a in ("conclusion", "conclusions")],
+        "appendix": [f"appendix{gap}{letter}" for gap in ("", " ") for letter in "abcdefghijklmnopqrstuvwxyz"],
+    }
+    return {h: kind for kind in reversed(HEADINGS) for h in (*more.get(kind, ()), *HEADINGS[kind])}
+
+
 # The lower, the likelier a section holds problems.
 PRIORITY = {
     "limitations": 1, "future_work": 2, "discussion": 3, "conclusion": 4, "introduction": 5, "results": 6, "experiments": 7, "methods": 8,
@@ -56,41 +74,86 @@ def normal_space(text: Column) -> Column:
     return F.regexp_replace(lines, r"(?m)[ \t]+$", "")
 
 
-def clean(text: Column, min_line: int = 3, drop: str | None = None) -> Column:
-    """Drop short lines (blank ones stay) and those that match drop, rejoin broken words, collapse white space, trim."""
-    lines = F.split(text, "\n")
-    good = lambda x: (F.length(F.trim(x)) >= min_line) | (F.trim(x) == "")
+@F.pandas_udf(StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFC")
+
+
+def nfc(text: Column) -> Column:
+    """Unicode in composed form; only texts that are not plain ASCII leave the JVM."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
+def clean(text: Column, min_line: int = 3, drop: Callable[[Column], Column] | None = None) -> Column:
+    """Compose accents, drop short lines (blank ones stay) and those for which drop holds, rejoin broken words, collapse white space, trim."""
+    kept = nfc(text)
     if drop is not None:
-        lines = F.filter(lines, lambda x: ~F.trim(x).rlike(drop))
-    kept = F.array_join(F.filter(lines, good), "\n")
+        kept = F.array_join(F.filter(F.split(kept, "\n"), lambda x: ~drop(F.trim(x))), "\n")
+    if min_line > 1:  # a line of 1 to min_line - 1 characters between blanks
+        inner = rf"(?:[^\n]{{0,{min_line - 3}}}[^ \n])?" if min_line > 2 else ""
+        kept = F.regexp_replace(kept, rf"(?md)^ *[^ \n]{inner} *(?:\n|\z)", "")
     return F.regexp_replace(normal_space(dehyphenate(kept)), r"(?U)^\s+|\s+$", "")
 
 
 def section_type(line: Column) -> Column:
-    """The first section type whose heading the whole line is, else null."""
-    at = F.trim(line)
-    return reduce(lambda out, s: out.when(at.rlike(rf"(?i)^({s[1]})\s*$"), s[0]), SECTIONS[1:], F.when(at.rlike(rf"(?i)^({SECTIONS[0][1]})\s*$"), SECTIONS[0][0]))
+    """The section type that the whole line names, perhaps after a number, else null."""
+    plain = F.lower(F.regexp_replace(F.trim(line), r"\s+", " "))
+    table = F.create_map(*(F.lit(x) for kv in _headings().items() for x in kv))
+    bare = F.trim(F.regexp_replace(plain, r"^\d+\.? ?", ""))
+    numbered = F.element_at(table, bare)
+    return F.coalesce(F.element_at(table, plain), F.when((bare != plain) & ~numbered.isin(*UNNUMBERED), numbered))
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
+def _cut(text: Column, max_heading: int, min_words: int) -> Column:
+    """Sections of a text as an array, found in one pass over its lines; a text without any long enough is one `unknown` section."""
+    head = "struct<title:string,section_type:string,start_char:int,size:int>"
+    none = F.array().cast(f"array<{head}>")
+
+    def step(at: Column, line: Column) -> Column:
+        kind = F.when(F.length(F.trim(line)).between(1, max_heading), section_type(line))
+        new = F.struct(F.trim(line).alias("title"), kind.alias("section_type"), at["at"].alias("start_char"), F.length(line).alias("size"))
+        return F.struct((at["at"] + F.length(line) + 1).alias("at"), F.when(kind.isNotNull(), F.concat(at["heads"], F.array(new))).otherwise(at["heads"]).alias("heads"))
+
+    heads = F.aggregate(F.split(text, "\n"), F.struct(F.lit(0).alias("at"), none.alias("heads")), step, lambda at: at["heads"])
+    body = lambda h, end: F.regexp_replace(F.substring(text, h["start_char"] + h["size"] + 1, end - h["start_char"] - h["size"]), r"(?U)^\s+|\s+$", "")
+    ends = F.concat(F.transform(F.slice(heads, 2, F.greatest(F.lit(1), F.size(heads))), lambda h: h["start_char"]), F.array(F.length(text)))
+    cut = F.zip_with(heads, F.slice(ends, 1, F.greatest(F.lit(1), F.size(heads))), lambda h, end: F.struct(h["section_type"].alias("section_type"), h["title"].alias("title"), body(h, end).alias("content"), h["start_char"].alias("start_char")))
+    long = F.filter(F.when(F.size(heads) > 0, cut).otherwise(F.slice(cut, 1, 0)), lambda s: F.size(words(s["content"])) >= min_words)
+    whole = F.array(F.struct(F.lit("unknown").alias("section_type"), F.lit("").alias("title"), text.alias("content"), F.lit(0).alias("start_char")))
+    return F.when(text.isNotNull(), F.when(F.size(long) > 0, long).otherwise(whole))
+
+
 def segment(documents: DataFrame, key: str = "doc_id", text: str = "text", max_heading: int = 100, min_words: int = 20) -> DataFrame:
     """(key, section_type, title, content, start_char): texts cut at their headings, short sections left out; a text without any is one `unknown` section.
 
-    Lines of a text are a row each only while they may be headings, so a long text is never held as many rows.
+    Every row is cut for itself, whatever its key; null texts have no section.
     """
-    lines = F.split(text, "\n")
-    starts = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i")))
-    heads = F.filter(starts, lambda s: (F.length(F.trim(s["line"])).between(1, max_heading)) & section_type(s["line"]).isNotNull())
-    before = lambda i: F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    h = documents.select(key, text, F.inline(F.transform(heads, lambda s: F.struct(F.trim(s["line"]).alias("title"), section_type(s["line"]).alias("section_type"), before(s["i"]).alias("start_char"), F.length(s["line"]).alias("size")))))
-    end = F.coalesce(F.lead("start_char").over(Window.partitionBy(key).orderBy("start_char")), F.length(text))
-    body = F.regexp_replace(F.substring(F.col(text), F.col("start_char") + F.col("size") + 1, end - F.col("start_char") - F.col("size")), r"(?U)^\s+|\s+$", "")
-    cut = h.select(key, "section_type", "title", body.alias("content"), "start_char").where(F.size(words(F.col("content"))) >= min_words)
-    rest = documents.where(F.col(text).isNotNull()).join(cut.select(key).distinct(), key, "left_anti")
-    return cut.unionByName(rest.select(key, F.lit("unknown").alias("section_type"), F.lit("").alias("title"), F.col(text).alias("content"), F.lit(0).alias("start_char")))
+    return documents.select(key, F.inline(_cut(F.col(text), max_heading, min_words)))
+
+
+def segment_with_abstract(documents: DataFrame, key: str = "doc_id", text: str = "text", max_heading: int = 100, min_words: int = 20) -> DataFrame:
+    """As segment(), but an abstract at the very beginning that runs up to an introduction is a section of its own, and what follows it is cut."""
+    lead = r"(?is)^(?:abstract\s*[:\-]?\s*)(.*?)(?=\n\s*(?:\d+\.?\s*)?(?:introduction|1\.|I\.))"
+    body = F.regexp_replace(F.regexp_extract(text, lead, 1), r"(?U)^\s+|\s+$", "")
+    rows = documents.withColumn("__lead", F.when(F.col(text).rlike(lead) & (F.size(words(body)) >= min_words), F.length(F.regexp_extract(text, lead, 0))).otherwise(0))
+    first = F.array(F.struct(F.lit("abstract").alias("section_type"), F.lit("Abstract").alias("title"), body.alias("content"), F.lit(0).alias("start_char")))
+    rest = F.transform(_cut(F.expr(f"substring({text}, __lead + 1)"), max_heading, min_words), lambda s: F.struct(s["section_type"].alias("section_type"), s["title"].alias("title"), s["content"].alias("content"), (s["start_char"] + F.col("__lead")).alias("start_char")))
+    return rows.select(key, F.inline(F.when(F.col("__lead") > 0, F.concat(first, rest)).otherwise(rest)))
+
+
+# Sections that entity extractors read.
+ENTITY_SECTIONS = ("abstract", "introduction", "methods", "experiments")
+
+
+def extractor_text(sections: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, text): the sections that entity extractors read, stripped and joined in the order of the text; empty where a text has none."""
+    body = F.regexp_replace("content", r"(?U)^\s+|\s+$", "")
+    wanted = F.when(F.col("section_type").isin(*ENTITY_SECTIONS) & (body != ""), F.struct("start_char", body.alias("content")))
+    return sections.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(wanted)), lambda s: s["content"]), "\n\n").alias("text"))
 
 
 def priority(section: Column) -> Column:
@@ -126,9 +189,25 @@ def share_in(a: Column, context: Column) -> Column:
     return F.size(F.array_intersect(x, words(F.lower(context)))) / F.greatest(F.lit(1), F.size(x))
 
 
-def best_relations(relations: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """Of relations with the same ends (first 50 characters) and type the most confident, the first of equals."""
-    k = [F.substring("source", 1, 50), F.substring("target", 1, 50), F.col("relation")]
+def cue_relations(documents: DataFrame, problems: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.3) -> DataFrame:
+    """(key, source, target, relation, confidence, evidence, ordinal) of texts and their problems (key, ordinal, statement).
+
+    At the first place of every cue the two first problems more than `least` of whose words stand around it are related, at
+    a confidence of 0.6. A context keeps the least two of its matches, so a text with many problems is no large group.
+    """
+    hits = cue_hits(documents, key, text).withColumn("hit", F.xxhash64(key, "relation", "cue", "context"))
+    near = hits.join(problems.select(key, F.col("ordinal").alias("at"), "statement"), key).where(share_in(F.col("statement"), F.col("context")) > least)
+    nth = F.row_number().over(Window.partitionBy(key, "relation", "cue", "context").orderBy("at", "statement"))
+    two = near.withColumn("nth", nth).where("nth <= 2").groupBy(key, "relation", "cue", "context").agg(
+        F.count("*").alias("n"), F.min_by(F.substring("statement", 1, 100), "nth").alias("source"), F.max_by(F.substring("statement", 1, 100), "nth").alias("target"))
+    order = {c: i for i, c in enumerate(c for cs in CUES.values() for c in cs)}
+    place = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))[F.col("cue")]
+    return two.where("n = 2").select(key, "source", "target", "relation", F.lit(0.6).alias("confidence"), F.trim("context").alias("evidence"), place.alias("ordinal"))
+
+
+def best_relations(relations: DataFrame, ordinal: str = "ordinal", within: list[str] = ()) -> DataFrame:
+    """Of relations (of the same text, by the columns within) with the same ends (first 50 characters) and type the most confident, the first of equals."""
+    k = [*within, F.substring("source", 1, 50), F.substring("target", 1, 50), F.col("relation")]
     nth = F.row_number().over(Window.partitionBy(*k).orderBy(F.col("confidence").desc(), ordinal))
     return relations.withColumn("nth", nth).where("nth = 1").drop("nth").withColumn("stored_type", F.when(F.col("relation").isin(*STORED), F.col("relation")))
 
@@ -141,11 +220,7 @@ def surfaces(name: Column, aliases: Column, deny: tuple[str, ...], least: int =
 
 def alias_links(mentions: DataFrame, entities: DataFrame, on: str) -> DataFrame:
     """(mention_id, entity_id): an entity of the same paper (column on) whose surface stands in the mention as whole words."""
-    quoted = F.transform("surfaces", lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E")))
+    quoted = F.transform("surfaces", lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
     pattern = F.concat(F.lit(r"(?iU)\b("), F.array_join(quoted, "|"), F.lit(r")\b"))
     rows = entities.where(F.size("surfaces") > 0).withColumn("pattern", pattern)
     return mentions.join(rows, on).where("text rlike pattern").select("mention_id", "entity_id").distinct()
-
-
-def plain_pattern(terms: list[str]) -> str:
-    return "|".join(map(re.escape, terms))

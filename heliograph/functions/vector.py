@@ -57,8 +57,9 @@ def meet(queries: DataFrame, nodes: DataFrame, run: Callable[[pa.Table, pa.Table
     """run(some queries, some nodes) once for every block of queries with every block of nodes of the same vector length (and the same values of within).
 
     Rows hold `vector` (those with a null or infinite component take no part) and whatever run needs. Blocks are dealt by a
-    hash and hold about `block` rows, so a group's size is bounded, and nothing passes through the driver. upper: queries
-    and nodes are the same rows, and each pair of blocks meets once.
+    hash and hold about `block` rows, so a group's size is bounded, and nothing passes through the driver; values of within
+    that have no more rows than that share a group, in which run is called for each. upper: queries and nodes are the same
+    rows, and each pair of blocks meets once.
     """
     keys = [*within, "__length"]
     row = lambda rows: rows.withColumn("vector", F.col("vector").cast("array<double>")).where(whole()).withColumn("__length", F.size("vector"))
@@ -71,14 +72,27 @@ def meet(queries: DataFrame, nodes: DataFrame, run: Callable[[pa.Table, pa.Table
     q, n = (rows.join(blocks, keys) for rows in (q, n))
     q = q.withColumn("__a", own("__of_queries")).withColumn("__b", F.explode(F.sequence(F.col("__a") if upper else F.lit(0), F.col("__of_nodes") - 1)))
     n = n.withColumn("__b", own("__of_nodes")).withColumn("__a", F.explode(F.sequence(F.lit(0), F.col("__b") if upper else F.col("__of_queries") - 1)))
-    kinds = {c: k for c, k in (x.split() for x in schema.split(", "))}
+    none = pa.schema([(c, ARROW[k]) for c, k in (x.split() for x in schema.split(", "))]).empty_table()
+
+    def parts(table: pa.Table) -> dict[tuple, list[int]]:
+        out: dict[tuple, list[int]] = {}
+        for k, key in enumerate(zip(*(table[c].to_pylist() for c in keys))):
+            out.setdefault(key, []).append(k)
+        return out
 
     def both(a: pa.Table, b: pa.Table) -> pa.Table:
-        if a.num_rows and b.num_rows:
-            return run(a, b)
-        return pa.table({c: pa.array([], ARROW[k]) for c, k in kinds.items()})
+        if not within:
+            return run(a, b) if a.num_rows and b.num_rows else none
+        of_a, of_b = parts(a), parts(b)
+        return pa.concat_tables([none, *(run(a.take(k), b.take(of_b[key])) for key, k in of_a.items() if key in of_b)])
 
     at = [*keys, "__a", "__b"]
+    if within:
+        cells = max(1, -(-max(q.count(), n.count()) // block))
+        one = (F.col("__of_queries") <= 1) & (F.col("__of_nodes") <= 1)
+        cell = F.when(one, F.pmod(F.xxhash64(*keys), F.lit(cells))).otherwise(F.xxhash64(*keys)).alias("__cell")
+        q, n = q.select("*", cell), n.select("*", cell)
+        at = ["__cell", "__a", "__b"]
     q, n = (rows.select(*(F.col(c).alias(c) for c in rows.columns if not c.startswith("__of_"))) for rows in (q, n))  # apart, even if both are the same rows
     return q.groupBy(*at).cogroup(n.groupBy(*at)).applyInArrow(both, schema)
 

@@ -45,14 +45,18 @@ def completeness(papers: DataFrame, failed: str = "failed_extractors") -> DataFr
 
 
 def sanity(graph: Graph, orphans: dict[str, tuple[str, str]]) -> DataFrame:
-    """(check_name, n, passed): nodes of a label without an outgoing edge of a type, and totals, which must not be zero."""
+    """(check_name, n, passed): nodes of a label without an outgoing edge of a type, and totals, which must not be zero. Every node table is read once, with all its checks."""
+    one = lambda name, n, ok: F.struct(F.lit(name).alias("check_name"), n.alias("n"), ok.alias("passed"))
     rows = []
-    for name, (label, kind) in orphans.items():
-        alone = graph.nodes[label].select("id").join(graph.edges[kind].select(F.col("src").alias("id")), "id", "left_anti")
-        rows.append(alone.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), "n", (F.col("n") == 0).alias("passed")))
-    for kind, items in (("nodes", graph.nodes), ("edges", graph.edges)):
-        for label, df in items.items():
-            rows.append(df.agg(F.count("*").alias("n")).select(F.lit(f"{kind}_{label}").alias("check_name"), "n", (F.col("n") > 0).alias("passed")))
+    for label, nodes in graph.nodes.items():
+        mine = {name: kind for name, (of, kind) in orphans.items() if of == label}
+        for kind in mine.values():
+            nodes = nodes.join(graph.edges[kind].select(F.col("src").alias("id")).distinct().withColumn(f"__{kind}", F.lit(True)), "id", "left")
+        checks = [(f"nodes_{label}", F.count("*"), True), *((name, F.count_if(F.col(f"__{kind}").isNull()), False) for name, kind in mine.items())]
+        got = nodes.agg(*(n.alias(name) for name, n, _ in checks))
+        rows.append(got.select(F.inline(F.array(*(one(name, F.col(name), (F.col(name) > 0) if total else (F.col(name) == 0)) for name, _, total in checks)))))
+    for kind, edges in graph.edges.items():
+        rows.append(edges.agg(F.count("*").alias("n")).select(F.lit(f"edges_{kind}").alias("check_name"), "n", (F.col("n") > 0).alias("passed")))
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -105,3 +109,20 @@ def duplicates_of(rows: DataFrame, *key: str) -> DataFrame:
 
 def current_version(spark: SparkSession, versions: DataFrame) -> DataFrame:
     return versions.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))
+
+
+def with_version(spark: SparkSession, versions: DataFrame, version: int, at: Column) -> DataFrame:
+    """versions with one more row, unless that version or a later one is there."""
+    new = spark.range(1).select(F.lit(version).alias("version"), at.alias("applied_at"))
+    return versions.unionByName(new.join(versions.where(F.col("version") >= version).limit(1).select(F.lit(1).alias("v")), F.lit(True), "left_anti"), allowMissingColumns=True)
+
+
+def usage(calls: DataFrame, *by: str) -> DataFrame:
+    """Sums of token usage (prompt_tokens, completion_tokens); their sum where a call tells no total_tokens."""
+    total = F.coalesce("total_tokens", F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0)))
+    return calls.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens")), F.coalesce(F.sum(total), F.lit(0)).alias("total_tokens"))
+
+
+def report_lines(sweep: DataFrame) -> DataFrame:
+    """A threshold sweep as lines of text, by threshold."""
+    return sweep.orderBy("threshold").select(F.format_string("%.2f  tp %d  fp %d  tn %d  fn %d  p %.3f  r %.3f  f1 %.3f", "threshold", "tp", "fp", "tn", "fn", "precision", "recall", "f1").alias("line"))

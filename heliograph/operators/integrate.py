@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vector as V
 from ..scratch import keep
 from . import resolve as E
+from . import search as S
 
 
 def mentions(extracted: DataFrame) -> DataFrame:
@@ -65,21 +67,25 @@ def _fold(threshold: float, kind: str) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def merge_in_order(entities: DataFrame, threshold: float, size: int = V.BLOCK) -> DataFrame:
+def merge_in_order(entities: DataFrame, threshold: float, size: int = V.BLOCK, block: str | None = None) -> DataFrame:
     """Sequential merging: in the order of `ordinal`, each entity (id, vector) joins the nearest kept one at a cosine of the threshold or more, else is kept itself.
 
     The result depends on the order, as with inserts one after another; rows with `fixed` (if there is such a column) were
     there before and are kept whatever they are near to. Entities that no chain of near ones connects cannot meet, so each
     connected group is folded for itself, in one task if it has at most `size` rows. The rows of larger groups go in order,
     `size` at a time: a task folds them, and then all rows that follow look for their nearest among what it kept.
+    With `block`, rows only meet those with the same value of that column, which by contract are few (one paper's entities).
     Vectors that are null, zero or not finite merge with nothing. Returns id and keep_id.
     """
     if threshold <= 0:
         raise ValueError(f"threshold must be above 0; got {threshold}")
     fixed = F.coalesce("fixed", F.lit(False)) if "fixed" in entities.columns else F.lit(False)
     kind = dict(entities.dtypes)["id"]
-    rows = entities.select("id", F.col("vector").cast("array<double>").alias("vector"), "ordinal", F.when(fixed, 0).otherwise(1).alias("turn"))
+    rows = entities.select("id", F.col("vector").cast("array<double>").alias("vector"), "ordinal", F.when(fixed, 0).otherwise(1).alias("turn"), *([F.col(block).alias("block")] if block else []))
     grouped = keep(E.near_groups(rows, threshold, size), "groups")
+    if block:
+        none = {"best": F.lit(None).cast(kind), "best_score": F.lit(None).cast("double")}
+        return grouped.withColumns(none).groupBy("block", "component").applyInArrow(_fold(threshold, kind), f"id {kind}, keep_id {kind}, nth bigint").select("id", "keep_id")
     sizes = grouped.groupBy("component").agg(F.count("*").alias("size"))
     sized = keep(grouped.join(sizes, "component").withColumns({"best": F.lit(None).cast(kind), "best_score": F.lit(None).cast("double")}), "sized")
     fold, schema = _fold(threshold, kind), f"id {kind}, keep_id {kind}, nth bigint"
@@ -119,6 +125,20 @@ def create_or_merge(state: DataFrame, incoming: DataFrame, threshold: float, mos
     return E.merge_into(canon, merged, "id", most_aliases), outcome.select("id", F.col("keep_id").alias("entity_id"), (F.col("id") == F.col("keep_id")).alias("created"))
 
 
+def relations(texts: DataFrame, problems: DataFrame, key: str = "doc_id", text: str = "text", similar: float = 0.7, least: float = 0.5) -> DataFrame:
+    """(key, source, target, relation, confidence, evidence, method) between the problems (key, ordinal, statement) of texts: from cues in the text, and from statements with like words; of each pair and type the most confident, of `least` or more.
+
+    Statements with the same words are one for the second, and `same_words` leads from the first of them to the others.
+    """
+    cues = T.cue_relations(texts, problems, key, text).withColumn("method", F.lit("textual_cue"))
+    first = problems.groupBy(key, "ordinal").agg(F.min("statement").alias("statement"))
+    near = S.similar_texts(first, key, "ordinal", "statement", similar)
+    named = near.join(first.select(key, F.col("ordinal").alias("source"), F.substring("statement", 1, 100).alias("s")), [key, "source"]).join(first.select(key, F.col("ordinal").alias("target"), F.substring("statement", 1, 100).alias("t")), [key, "target"])
+    like = named.select(key, F.col("s").alias("source"), F.col("t").alias("target"), "relation", F.col("score").alias("confidence"), F.format_string("word overlap %.2f", "score").alias("evidence"), (1000 + F.col("source")).cast("int").alias("ordinal"), F.lit("semantic_similarity").alias("method"))
+    found = cues.unionByName(like).where(F.col("confidence") >= least).withColumn("ordinal", F.struct("ordinal", "source", "target"))
+    return T.best_relations(found, within=[key]).drop("ordinal", "stored_type")
+
+
 def import_outcome(known: Column, failed: Column, update: bool) -> Column:
     return F.when(failed, "error").when(known & F.lit(update), "updated").when(known, "skipped").otherwise("created")
 

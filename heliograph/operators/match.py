@@ -46,18 +46,20 @@ def bfs(edges: DataFrame, anchors: DataFrame, depth: int, direction: str = "out"
 
     fan_out is a limit of the traversal itself: so many neighbours of a node, least `order` (else least id) first.
     """
-    steps = {"out": edges.select("src", "dst"), "in": edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))}
-    step = steps[direction] if direction in steps else steps["out"].unionByName(steps["in"]).distinct()
+    by = edges.select("src", "dst", *([order.alias("__order")] if order is not None else []))
+    ranks = [F.col("__order"), F.col("dst")] if order is not None else [F.col("dst")]
+    turned = by.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *by.columns[2:])
+    step = {"out": by, "in": turned}[direction] if direction in ("out", "in") else by.unionByName(turned)
+    if fan_out is not None:  # once for all depths; repeated edges share a rank
+        nth = F.dense_rank().over(Window.partitionBy("src").orderBy(*ranks))
+        step = step.withColumn("nth", nth).where(F.col("nth") <= fan_out)
+    step = step.select("src", "dst")
     if depth > 1:
         step = keep(step, "steps")  # read again at every depth
     seen = anchors.select("id").distinct().withColumn("depth", F.lit(0))
     front = seen
     for d in range(1, depth + 1):
-        found = front.select(F.col("id").alias("src")).join(step, "src")
-        if fan_out is not None:
-            nth = F.row_number().over(Window.partitionBy("src").orderBy(*([order] if order is not None else []), "dst"))
-            found = found.withColumn("nth", nth).where(F.col("nth") <= fan_out)
-        found = found.select(F.col("dst").alias("id")).distinct()
+        found = front.select(F.col("id").alias("src")).join(step, "src").select(F.col("dst").alias("id")).distinct()
         front = keep(found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)), "front")
         seen = seen.unionByName(front)
         if front.isEmpty():

@@ -104,7 +104,7 @@ def collisions(entities: DataFrame) -> DataFrame:
 def ambiguous(entities: DataFrame, least: float = 0.85) -> DataFrame:
     """(pair, paper, surface, trigger, kind, id): the members of every pair or triple of entities that one paper tells under several kinds.
 
-    entities: paper, id, kind, name, aliases, vector (of the name), ordinal. A shared surface, trimmed and lower-cased,
+    entities: paper, id (unique in its paper), kind, name, aliases, vector (of the name), ordinal. A shared surface, trimmed and lower-cased,
     takes the first entity of each kind ("exact" if it is the name of one, else "alias"). Names of different kinds that no
     shared surface has paired are held against each other by cosine ("embedding"); equal names of a kind count once, as
     their first entity. Null vectors are near to nothing.
@@ -112,12 +112,13 @@ def ambiguous(entities: DataFrame, least: float = 0.85) -> DataFrame:
     name = F.lower(F.trim("name"))
     surface = F.explode(F.array_distinct(F.filter(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: F.lower(F.trim(x))), lambda x: x != "")))
     told = entities.select("paper", "id", "kind", "ordinal", name.alias("own"), surface.alias("surface"))
-    shared = collisions(entities).select("paper", "surface", F.when("exact", "exact").otherwise("alias").alias("trigger"))
+    shared = collisions(entities).select("paper", "surface", F.when(F.col("exact"), "exact").otherwise("alias").alias("trigger"))
     first = told.groupBy("paper", "surface", "kind").agg(F.min_by("id", F.struct("ordinal", "id")).alias("id"))
-    cheap = first.join(shared, ["paper", "surface"]).withColumn("pair", F.xxhash64("paper", "surface", "trigger"))
+    cheap = keep(first.join(shared, ["paper", "surface"]).withColumn("pair", F.xxhash64("paper", "surface", "trigger")), "cheap")
     paired = cheap.select("paper", "id").distinct()
     left = entities.where(F.col("kind").isin(*KINDS)).join(paired, ["paper", "id"], "left_anti").withColumn("low", name)
     reps = left.groupBy("paper", "kind", "low").agg(F.min_by(F.struct("id", "name", "vector"), F.struct("ordinal", "id")).alias("r")).select("paper", "kind", "r.id", "r.name", "r.vector")
+    reps = keep(reps, "reps")
     of = {k: n for n, k in enumerate(KINDS)}
     kind_ = dict(entities.dtypes)["id"]
 
@@ -131,7 +132,7 @@ def ambiguous(entities: DataFrame, least: float = 0.85) -> DataFrame:
     ends = ends.select("pair", "paper", "surface", F.lit("embedding").alias("trigger"), F.explode(F.array("id", "other")).alias("id"))
     fuzzy = ends.join(reps.select("paper", "id", "kind"), ["paper", "id"])
     columns = ["pair", "paper", "surface", "trigger", "kind", "id"]
-    return cheap.select(*columns).unionByName(fuzzy.select(*columns))
+    return keep(cheap.select(*columns).unionByName(fuzzy.select(*columns)), "ambiguous")
 
 
 def normalize(entities: DataFrame, pairs: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -64,6 +64,24 @@ def export(topics: DataFrame) -> DataFrame:
     return topics.where("level = 'domain'").select("id", "name").join(mid.withColumnRenamed("parent_id", "id"), "id", "left")
 
 
+def flatten(topics: DataFrame) -> DataFrame:
+    """(path, level, id) of every topic of a three-level taxonomy, paths being names from the root."""
+    up = topics.select(F.col("id").alias("up_id"), F.col("name").alias("up_name"), F.col("parent_id").alias("up_parent"))
+    top = topics.select(F.col("id").alias("top_id"), F.col("name").alias("top_name"))
+    rows = topics.join(up, F.col("parent_id") == F.col("up_id"), "left").join(top, F.col("up_parent") == F.col("top_id"), "left")
+    return rows.select(F.concat_ws("/", "top_name", "up_name", "name").alias("path"), "level", "id")
+
+
+def to_text(topics: DataFrame) -> DataFrame:
+    """(id, text): each domain with its subtree as indented YAML text, children by name."""
+    line = lambda depth, name, level: F.concat(F.lit("  " * (2 * depth) + "- name: "), F.to_json(F.struct(name.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(name.alias("v")))) - 6), F.lit("\n" + "  " * (2 * depth) + f"  level: {level}"))
+    inside = lambda depth, items: F.when(F.size(items) > 0, F.concat(F.lit("\n" + "  " * (2 * depth) + "  children:\n"), F.array_join(items, "\n"))).otherwise(F.lit(""))
+    none = F.array().cast("array<string>")
+    leaves = lambda a: F.transform(F.coalesce(a["subtopics"], F.array().cast("array<struct<name:string,id:string>>")), lambda s: line(2, s["name"], "subtopic"))
+    areas = F.transform("areas", lambda a: F.concat(line(1, a["name"], "area"), inside(1, leaves(a))))
+    return export(topics).select("id", F.concat(line(0, F.col("name"), "domain"), inside(0, F.coalesce(areas, none))).alias("text"))
+
+
 def digest(tree: list[dict]) -> str:
     """Hash of a taxonomy that does not depend on the order of keys or on how missing children are written."""
 

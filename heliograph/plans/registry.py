@@ -12,6 +12,7 @@ from ..functions import scalars as X
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import aggregates as A
+from ..operators import batch as B
 from ..operators import integrate as I
 from ..operators import match as M
 from ..operators import reads as R
@@ -87,8 +88,9 @@ def related_both_ways(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p.id, count(c.dst) AS n_refs, CAST(count(CASE WHEN t.year < p.year THEN 1 END) AS BIGINT) AS n_older FROM paper p LEFT JOIN cites c ON c.src = p.id LEFT JOIN paper t ON t.id = c.dst GROUP BY p.id")
 def references_of_papers(spark: SparkSession, d: str) -> DataFrame:
     g = load(spark, d)
-    rows = M.hop(g.nodes["paper"].select("id", "year"), g.edges["cites"], g.nodes["paper"].select("id", F.col("year").alias("ref_year")), "left")
-    return rows.groupBy(F.col("src").alias("id")).agg(F.count("dst").alias("n_refs"), F.count_if(F.col("ref_year") < F.col("year")).alias("n_older"))
+    papers = g.nodes["paper"].select("id", "year")
+    by = M.hop(papers, g.edges["cites"], papers.withColumnRenamed("year", "ref_year")).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_refs"), F.count_if(F.col("ref_year") < F.col("year")).alias("n_older"))
+    return papers.select("id").join(by, "id", "left").fillna(0, ["n_refs", "n_older"])
 
 
 @query("SELECT id FROM paper WHERE id NOT IN (SELECT dst FROM cites) AND id NOT IN (SELECT dst FROM extracted)")
@@ -306,16 +308,15 @@ ORACLE_SQL["calibration_recommend"] = ORACLE_SQL["calibration_recommend"].format
 
 # --- resolution ---------------------------------------------------------------------------------------------------
 
-_COMPONENTS = _VEC.replace("WITH v", "WITH RECURSIVE v", 1) + """, e AS (SELECT query_id AS src, id AS dst FROM near WHERE score >= 0.38 AND query_id <> id),
+_COMPONENTS = _VEC.replace("WITH v", "WITH RECURSIVE v", 1).replace("WHERE q.id % 20 = 0", "WHERE q.id < n.id") + """, e AS (SELECT query_id AS src, id AS dst FROM near WHERE score >= 0.38),
 b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), reach AS (SELECT src AS id, src AS other FROM b UNION SELECT reach.id, b.dst FROM reach JOIN b ON b.src = reach.other),
 comp AS (SELECT v.id, v.label, coalesce(min(reach.other), v.id) AS component FROM v LEFT JOIN reach ON reach.id = v.id GROUP BY v.id, v.label)
 """
 
 
 def _dedup(spark: SparkSession, d: str) -> DataFrame:
-    queries, rows = _vectors(spark, d)
-    pairs = V.scores(queries, rows, least=0.38).where("query_id <> id").select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
-    return E.groups(pairs, rows.select("id", "label"))
+    _, rows = _vectors(spark, d)
+    return E.near_groups(rows, 0.38).select("id", "label", "component")
 
 
 @query(_COMPONENTS + "SELECT id, component FROM comp", graph=False)
@@ -329,26 +330,6 @@ def canonical_of_components(spark: SparkSession, d: str) -> DataFrame:
     return E.canonical(named)
 
 
-_ALL_COMPONENTS = _COMPONENTS.replace("WHERE q.id % 20 = 0", "WHERE q.id < n.id")
-
-
-def _dedup_all(spark: SparkSession, d: str) -> DataFrame:
-    _, rows = _vectors(spark, d)
-    return E.near_groups(rows, 0.38).select("id", "label", "component")
-
-
-@query(_ALL_COMPONENTS + "SELECT id, component FROM comp", graph=False)
-def dedup_components_all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """dedup_components over all pairs of rows; that one starts from every twentieth row, as its SQL does."""
-    return _dedup_all(spark, d).select("id", "component")
-
-
-@query(_ALL_COMPONENTS + ", named AS (SELECT id, component, 'topic ' || id AS name FROM comp) SELECT component, first(id ORDER BY length(name) DESC, id) AS keep_id, count(*) AS members FROM named GROUP BY component", graph=False)
-def canonical_of_components_all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    named = _dedup_all(spark, d).withColumn("name", F.concat(F.lit("topic "), "id")).withColumn("created_at", F.lit(0))
-    return E.canonical(named)
-
-
 @query("""WITH kept AS (SELECT c.id, 'N' || (n.n_nationkey - n.n_nationkey % 5) || substr(c.id, position('-' IN c.id)) AS keep_id FROM topic c JOIN nation n ON c.parent_id = 'N' || n.n_nationkey WHERE c.level = 'subtopic')
 SELECT DISTINCT b.src, coalesce(k.keep_id, b.dst) AS dst FROM belongs b LEFT JOIN kept k ON k.id = b.dst""")
 def topic_merge_rewire(spark: SparkSession, d: str) -> DataFrame:
@@ -384,9 +365,78 @@ def canonical_merge_matrix(spark: SparkSession, d: str) -> DataFrame:
     return E.merge_into(canon, incoming).select("id", "name", "architecture", "is_canonical")
 
 
+@query("""SELECT p_partkey % 700 AS id, first(CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE 'kept ' || p_partkey % 700 END ORDER BY CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1 END, p_partkey) AS name, first(p_brand ORDER BY p_partkey) FILTER (p_size > 25) AS architecture, CAST(first(p_size ORDER BY p_partkey) AS INTEGER) AS year_introduced,
+count(*) AS n_incoming, bool_or(p_partkey % 4 = 0) AS is_canonical, array_to_string(list_sort(list_distinct(list_concat(list(p_name), list(p_type), ['kept ' || any_value(p_partkey % 700)]))), '|') AS every FROM part GROUP BY p_partkey % 700""", graph=False)
+def merge_many_into_one(spark: SparkSession, d: str) -> DataFrame:
+    """Several incoming entities a canonical one; `every` is its name and its aliases."""
+    part = table(spark, d, "part")
+    incoming = part.selectExpr("p_partkey % 700 AS id", "p_name AS name", "array(p_type) AS aliases", "CASE WHEN p_size > 25 THEN p_brand ELSE '' END AS architecture", "p_size AS year_introduced", "p_partkey % 4 = 0 AS is_canonical", "p_partkey AS ordinal")
+    canon = part.selectExpr("p_partkey % 700 AS id").distinct().selectExpr("id", "'kept ' || id AS name", "CAST(NULL AS array<string>) AS aliases", "CAST(NULL AS STRING) AS architecture", "CAST(NULL AS INT) AS year_introduced", "false AS is_canonical")
+    merged = E.merge_into(canon, incoming, most_aliases=1000).join(incoming.groupBy("id").agg(F.count("*").alias("n_incoming")), "id")
+    return merged.select("id", "name", "architecture", "year_introduced", "n_incoming", "is_canonical", F.array_join(F.array_sort(F.array_union("aliases", F.array("name"))), "|").alias("every"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_name AS name, p_type AS description, p_brand AS brand, p_partkey % 40 = 0 AS fixed FROM part),
+k AS (SELECT brand, first(id ORDER BY fixed DESC, id) AS keep_id FROM p GROUP BY brand), m AS (SELECT p.id, CASE WHEN fixed THEN p.id ELSE keep_id END AS entity_id, fixed, name, description FROM p JOIN k USING (brand))
+SELECT e.entity_id, o.name, count(*) FILTER (NOT e.fixed AND e.id <> e.entity_id) AS n_merged, bool_or(NOT e.fixed AND e.id = e.entity_id) AS created, coalesce(CASE WHEN NOT o.fixed THEN o.description END, first(e.description ORDER BY e.id) FILTER (e.id <> e.entity_id)) AS description,
+array_to_string(list_sort(list_distinct(list(e.name) FILTER (e.name <> o.name)))[1:20], '|') AS aliases FROM m e JOIN m o ON o.id = e.entity_id GROUP BY e.entity_id, o.name, o.fixed, o.description""", graph=False)
+def create_or_merge_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with a unit vector for each brand: every fortieth is there before, the others come in order."""
+    brand = F.substring("p_brand", 7, 9).cast("int")
+    vector = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.when(i == brand, 1.0).otherwise(0.0))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit(None).cast("array<string>").alias("aliases"), F.col("p_type").alias("description"), vector.alias("vector"))
+    state = rows.where("id % 40 = 0").withColumn("description", F.lit(None).cast("string"))
+    new, outcome = I.create_or_merge(state, rows.where("id % 40 <> 0").withColumn("ordinal", F.col("id")), 0.9)
+    n = outcome.groupBy(F.col("entity_id").alias("id")).agg(F.count_if(~F.col("created")).alias("n_merged"), F.bool_or("created").alias("created"))
+    rows = new.join(n, "id", "left").fillna(0, ["n_merged"]).fillna(False, ["created"])
+    return rows.select(F.col("id").alias("entity_id"), "name", "n_merged", "created", "description", F.array_join("aliases", "|").alias("aliases"))
+
+
+_PAIRED = """WITH e AS (SELECT l_orderkey AS paper, l_linenumber AS ordinal, l_orderkey * 10 + l_linenumber AS id, CASE l_linenumber % 3 WHEN 0 THEN 'model' WHEN 1 THEN 'method' ELSE 'concept' END AS kind, lower(p_name) AS name, lower(p_type) AS alias, p_brand AS brand FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber) JOIN part ON p_partkey = l_partkey),
+s AS (SELECT DISTINCT paper, kind, id, ordinal, name, unnest([name, alias]) AS surface FROM e),
+c AS (SELECT paper, surface, bool_or(name = surface) AS exact FROM s GROUP BY paper, surface HAVING count(DISTINCT kind) >= 2),
+cheap AS (SELECT paper, surface, CASE WHEN exact THEN 'exact' ELSE 'alias' END AS trigger, kind, first(id ORDER BY ordinal, id) AS id FROM s JOIN c USING (paper, surface) GROUP BY paper, surface, exact, kind),
+l AS (SELECT paper, kind, name, first(id ORDER BY ordinal, id) AS id, first(brand ORDER BY ordinal, id) AS brand FROM e WHERE (paper, id) NOT IN (SELECT (paper, id) FROM cheap) GROUP BY paper, kind, name),
+near AS (SELECT a.paper, a.name AS surface, a.kind AS ak, a.id AS aid, b.kind AS bk, b.id AS bid FROM l a JOIN l b ON a.paper = b.paper AND a.brand = b.brand AND a.kind < b.kind AND (a.kind, b.kind) <> ('method', 'model') UNION ALL SELECT a.paper, a.name, a.kind, a.id, b.kind, b.id FROM l a JOIN l b ON a.paper = b.paper AND a.brand = b.brand AND a.kind = 'model' AND b.kind = 'method'),
+pairs AS (SELECT paper, surface, trigger, kind, id, paper || surface || trigger AS pair FROM cheap UNION ALL SELECT paper, surface, 'embedding', ak, aid, aid || '-' || bid FROM near UNION ALL SELECT paper, surface, 'embedding', bk, bid, aid || '-' || bid FROM near)
+"""
+
+
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders as entities of three kinds, with a unit vector for each brand."""
+    brand = F.substring("p_brand", 7, 9).cast("int")
+    vector = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.when(i == brand, 1.0).otherwise(0.0))
+    kind = F.expr("CASE l_linenumber % 3 WHEN 0 THEN 'model' WHEN 1 THEN 'method' ELSE 'concept' END")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    rows = lines.join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    return rows.select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("ordinal"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), kind.alias("kind"), F.lower("p_name").alias("name"), F.array(F.lower("p_type")).alias("aliases"), vector.alias("vector"))
+
+
+@query(_PAIRED + "SELECT paper, surface, trigger, kind, id FROM pairs", graph=False)
+def ambiguous_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return E.ambiguous(_entities(spark, d)).select("paper", "surface", "trigger", "kind", "id")
+
+
+@query(_PAIRED + """, k AS (SELECT pair, paper, surface, trigger, list_sort(list(DISTINCT kind)) AS kinds FROM pairs GROUP BY pair, paper, surface, trigger),
+d AS (SELECT *, CASE WHEN paper % 2 = 0 THEN kinds[1] END AS picked FROM k),
+gone AS (SELECT DISTINCT p.paper, p.id FROM pairs p JOIN d USING (pair) WHERE picked IS NOT NULL AND kind <> picked)
+SELECT 'left' AS what, count(*) AS n FROM e WHERE (paper, id) NOT IN (SELECT (paper, id) FROM gone) UNION ALL SELECT 'resolved', count(*) FROM d WHERE picked IS NOT NULL
+UNION ALL SELECT 'rejected', count(*) FROM d WHERE picked IS NULL UNION ALL SELECT 'dropped_kinds', CAST(sum(len(kinds) - 1) AS BIGINT) FROM d WHERE picked IS NOT NULL UNION ALL SELECT 'papers', count(DISTINCT paper) FROM d""", graph=False)
+def cross_entity_normalization(spark: SparkSession, d: str) -> DataFrame:
+    """Papers with even keys get a decision for the first kind of every pair, the others a doubtful one."""
+    entities = _entities(spark, d)
+    pairs = E.ambiguous(entities)
+    told = pairs.groupBy("pair", "paper").agg(F.min("kind").alias("picked"))
+    decisions = told.select("pair", "picked", F.when(F.col("paper") % 2 == 0, 0.9).otherwise(0.5).alias("confidence"), F.lit("doubtful").alias("reason"))
+    left, audit = E.normalize(entities, pairs, decisions)
+    n = lambda df, k: df.agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n")
+    dropped = audit.agg(F.sum(F.size("dropped_kinds")).cast("long").alias("n")).select(F.lit("dropped_kinds").alias("what"), "n")
+    return n(left, "left").unionByName(n(audit.where("picked is not null"), "resolved")).unionByName(n(audit.where("picked is null"), "rejected")).unionByName(dropped).unionByName(n(E.audit_json(audit), "papers"))
+
+
 # --- text ----------------------------------------------------------------------------------------------------------
 
-_LINES = "SELECT doc_id, replace(replace(text, '. ', '.' || chr(10)), 'the ', 'the-' || chr(10)) AS text FROM documents"
+_LINES = "SELECT doc_id, replace(replace(nfc_normalize(text), '. ', '.' || chr(10)), 'the ', 'the-' || chr(10)) AS text FROM documents"
 
 
 def _lined(spark: SparkSession, d: str) -> DataFrame:
@@ -421,6 +471,21 @@ def segment_sections(spark: SparkSession, d: str) -> DataFrame:
     return T.segment(_sectioned(spark, d)).select("doc_id", "section_type", "start_char", F.md5("content").alias("hash"))
 
 
+@query(r"""WITH s AS (SELECT doc_id, 'Abstract: ' || text AS lead, length(text) AS n, text, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, 'abstract' AS section_type, 0 AS start_char, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS hash FROM s WHERE words >= 20
+UNION ALL SELECT doc_id, 'introduction', CAST(n + 11 AS INTEGER), md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) FROM s WHERE words >= 20
+UNION ALL SELECT doc_id, 'unknown', 0, md5('Abstract: ' || text || chr(10) || 'Introduction' || chr(10) || text) FROM s WHERE words < 20""", graph=False)
+def sections_with_abstract(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as an abstract before an introduction of the same text."""
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.lit("Abstract: "), "text", F.lit("\nIntroduction\n"), "text").alias("text"))
+    return T.segment_with_abstract(rows).select("doc_id", "section_type", "start_char", F.md5("content").alias("hash"))
+
+
+@query(_SECTIONS + ", j AS (SELECT doc_id, string_agg(content, chr(10) || chr(10) ORDER BY start_char) FILTER (section_type = 'introduction' AND content <> '') AS t FROM o GROUP BY doc_id) SELECT doc_id, md5(coalesce(t, '')) AS hash FROM j", graph=False)
+def entity_section_text(spark: SparkSession, d: str) -> DataFrame:
+    return T.extractor_text(T.segment(_sectioned(spark, d))).select("doc_id", F.md5("text").alias("hash"))
+
+
 @query(_SECTIONS + """, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE section_type WHEN 'limitations' THEN 1 WHEN 'introduction' THEN 5 ELSE 50 END, start_char) AS n FROM o WHERE length(content) >= 100)
 SELECT doc_id, section_type, CAST(n AS INTEGER) AS nth FROM r WHERE n <= 1""", graph=False)
 def section_priority(spark: SparkSession, d: str) -> DataFrame:
@@ -442,7 +507,7 @@ _WORDSET = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'),
 
 @query(f"""SELECT a.conv_id, a.turn, round(CASE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN 0 ELSE CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) END, 9) AS score
 FROM (SELECT conv_id, turn, {_WORDSET.format("text")} AS x FROM conversations) a JOIN (SELECT conv_id, turn, {_WORDSET.format("text")} AS y FROM conversations) b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""", graph=False)
-def jaccard_relations(spark: SparkSession, d: str) -> DataFrame:
+def jaccard_of_neighbours(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("text"), F.col("after")), 9).alias("score"))
@@ -452,8 +517,8 @@ def jaccard_relations(spark: SparkSession, d: str) -> DataFrame:
 p AS (SELECT a.conv_id, least(a.turn, b.turn) AS source, greatest(a.turn, b.turn) AS target, CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / len(list_distinct(list_concat(a.s, b.s))) AS score FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.s < b.s)
 SELECT conv_id, source, target, 'related_to' AS relation, round(score, 9) AS score FROM p WHERE score >= 0.7::DOUBLE
 UNION ALL SELECT DISTINCT w.conv_id, r.turn, w.turn, 'same_words', 1.0::DOUBLE FROM w JOIN r ON r.conv_id = w.conv_id AND r.s = w.s WHERE w.turn <> r.turn""", graph=False)
-def jaccard_relations_all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All similar turns of a conversation; jaccard_relations scores each turn against the next one only, as its SQL does."""
+def jaccard_relations(spark: SparkSession, d: str) -> DataFrame:
+    """All similar turns of a conversation; jaccard_of_neighbours is the score of each turn and the next one."""
     return S.similar_texts(table(spark, d, "conversations"), "conv_id", "turn").withColumn("score", F.round("score", 9))
 
 
@@ -464,6 +529,27 @@ def relation_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return T.best_relations(rows).select("source", "target", "relation", "ordinal", "stored_type")
 
 
+_WORDS = r"list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda x: x <> '')"
+
+
+@query(f"""WITH c(relation, cue, o) AS (SELECT relation, cue, row_number() OVER () - 1 FROM (VALUES {_CUES}) v(relation, cue)), t AS (SELECT conv_id, text || ' This builds on and questions it.' AS text FROM conversations WHERE turn = 0 AND text IS NOT NULL),
+h AS (SELECT conv_id, relation, cue, o, substr(text, greatest(1, instr(lower(text), cue) - 100), least(length(text) + 1, instr(lower(text), cue) + length(cue) + 100) - greatest(1, instr(lower(text), cue) - 100)) AS context FROM t JOIN c ON contains(lower(text), cue)),
+p AS (SELECT conv_id, turn, text AS statement, list_sort(list_distinct({_WORDS.format("text")})) AS s FROM conversations WHERE text IS NOT NULL),
+m AS (SELECT h.*, p.turn, p.statement, row_number() OVER (PARTITION BY h.conv_id, relation, cue ORDER BY turn, statement) AS n FROM h JOIN p ON p.conv_id = h.conv_id WHERE CAST(len(list_intersect(s, {_WORDS.format("context")})) AS DOUBLE) / greatest(1, len(s)) > 0.3),
+cues AS (SELECT conv_id, relation, o, first(left(statement, 100) ORDER BY n) AS source, first(left(statement, 100) ORDER BY n DESC) AS target, 0.6::DOUBLE AS confidence FROM m WHERE n <= 2 GROUP BY conv_id, relation, cue, o HAVING count(*) = 2),
+r AS (SELECT conv_id, s, first(statement ORDER BY turn) AS statement, min(turn) AS turn FROM p WHERE len(s) > 0 GROUP BY conv_id, s),
+near AS (SELECT a.conv_id, 'related_to' AS relation, 1000 + a.turn AS o, left(a.statement, 100) AS source, left(b.statement, 100) AS target, CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / len(list_distinct(list_concat(a.s, b.s))) AS confidence FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.turn < b.turn),
+same AS (SELECT DISTINCT p.conv_id, 'same_words' AS relation, 1000 + r.turn AS o, left(r.statement, 100) AS source, left(p.statement, 100) AS target, 1.0::DOUBLE AS confidence FROM p JOIN r ON r.conv_id = p.conv_id AND r.s = p.s AND r.turn <> p.turn),
+al AS (SELECT * FROM cues UNION ALL SELECT * FROM near WHERE confidence >= 0.7 UNION ALL SELECT * FROM same),
+best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, left(source, 50), left(target, 50), relation ORDER BY confidence DESC, o, source, target) AS n FROM al WHERE confidence >= 0.5)
+SELECT conv_id, relation, md5(source) AS source, md5(target) AS target, round(confidence, 9) AS confidence FROM best WHERE n = 1""", graph=False)
+def relations_of_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A conversation's first turn is the text, all its turns are the problems."""
+    c = table(spark, d, "conversations").where("text is not null")
+    texts = c.where("turn = 0").select("conv_id", F.concat("text", F.lit(" This builds on and questions it.")).alias("text"))
+    return I.relations(texts, c.select("conv_id", F.col("turn").alias("ordinal"), F.col("text").alias("statement")), "conv_id").select("conv_id", "relation", F.md5("source").alias("source"), F.md5("target").alias("target"), F.round("confidence", 9).alias("confidence"))
+
+
 @query(r"""WITH m AS (SELECT conv_id, conv_id * 100 + turn AS mention_id, text FROM conversations), w AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, '[A-Za-z]{9,}')) AS word FROM conversations WHERE turn = 0)
 SELECT DISTINCT mention_id, conv_id || ':' || word AS entity_id FROM m JOIN w USING (conv_id) WHERE lower(word) NOT IN ('which', 'people') AND regexp_matches(lower(text), '(^|[^\pL\pN\pM_])' || lower(word) || '($|[^\pL\pN\pM_])')""", graph=False)
 def alias_linker(spark: SparkSession, d: str) -> DataFrame:
@@ -520,6 +606,63 @@ def candidate_pdf_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_join(P.pdf_urls(url, pre), "|").alias("urls"))
 
 
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), o AS (SELECT p, s, row_number() OVER (PARTITION BY p ORDER BY s) AS position FROM a)
+SELECT '10.1/' || p AS src, 'Supplier ' || s AS name, position AS author_position, s % 3 = 0 AS known FROM o""", graph=False)
+def author_order(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers of a part as its authors, in the order of their keys; every third one is known before, by one of two ids."""
+    some = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    outside = lambda k: F.when(k % 2 == 0, F.create_map(F.lit("semantic_scholar"), F.concat(F.lit("s"), k))).otherwise(F.create_map(F.lit("orcid"), F.concat(F.lit("0000-"), k)))
+    author = lambda k: F.struct(F.concat(F.lit("Supplier "), k).alias("name"), F.lit(0).alias("position"), F.array().cast("array<string>").alias("affiliations"), outside(k).alias("external_ids"))
+    lists = some.groupBy("l_partkey").agg(F.transform(F.array_sort(F.collect_list("l_suppkey")), author).alias("authors"))
+    listed = P.paper_authors(lists.select(F.concat(F.lit("10.1/"), "l_partkey").alias("doi"), "authors"))
+    s = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.concat(F.lit("known "), "s_suppkey").alias("id"), F.concat(F.lit("Supplier "), "s_suppkey").alias("name"), F.array().cast("array<string>").alias("affiliations"), F.when(F.col("s_suppkey") % 2 != 0, F.concat(F.lit("0000-"), "s_suppkey")).alias("orcid"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("s"), "s_suppkey")).alias("semantic_scholar_id"))
+    authors, edges = P.link_authors(s, listed)
+    return edges.join(authors.select(F.col("id").alias("dst"), "name"), "dst").select("src", "name", F.col("author_position").cast("long").alias("author_position"), F.col("dst").startswith("known").alias("known"))
+
+
+@query("""WITH l AS (SELECT l_orderkey % 500 AS src, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_partkey END AS p FROM lineitem), known AS (SELECT DISTINCT src FROM l WHERE src % 2 = 0), r AS (SELECT l.* FROM l JOIN known USING (src)),
+new AS (SELECT p, min('10.2/' || src) AS src FROM r WHERE p IS NOT NULL AND p % 5 <> 0 GROUP BY p)
+SELECT '10.2/' || src AS src, count(*) AS n_references, count(*) FILTER (p IS NULL) AS skipped_no_doi, count(DISTINCT p) FILTER (p % 3 <> 0 OR src % 4 <> 0) AS edges_created, (SELECT count(*) FROM new WHERE new.src = '10.2/' || r.src) AS stubs_created FROM r GROUP BY r.src
+UNION ALL SELECT 'again', (SELECT count(*) FROM r), (SELECT count(*) FROM r WHERE p IS NULL), 0, 0""", graph=False)
+def citation_population(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders as references; papers of even sources are known, with every fifth part, and some edges. The second run creates nothing."""
+    lines = table(spark, d, "lineitem")
+    refs = lines.select(F.concat(F.lit("10.2/"), F.col("l_orderkey") % 500).alias("src"), F.when(F.col("l_linenumber") != 7, F.concat(F.lit("10.1/"), "l_partkey")).alias("doi"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("year"))
+    known = lines.where("l_orderkey % 500 % 2 = 0").selectExpr("'10.2/' || l_orderkey % 500 AS doi").distinct().unionByName(lines.where("l_partkey % 5 = 0").selectExpr("'10.1/' || l_partkey AS doi").distinct())
+    papers = known.select("doi", F.lit("known").alias("title"), F.lit(False).alias("is_stub"))
+    cites = lines.where("l_partkey % 3 = 0 AND l_orderkey % 500 % 4 = 0 AND l_linenumber <> 7").selectExpr("'10.2/' || l_orderkey % 500 AS src", "'10.1/' || l_partkey AS dst").distinct()
+    papers, cites, report = P.populate_citations(papers, cites, refs)
+    again = P.populate_citations(papers, cites, refs)[2]
+    total = again.agg(*(F.sum(c).cast("long").alias(c) for c in ("n_references", "skipped_no_doi", "edges_created", "stubs_created"))).select(F.lit("again").alias("src"), "*")
+    return report.unionByName(total)
+
+
+@query("""SELECT '10.1/' || p_partkey AS doi, p_name AS title, CASE WHEN p_size > 20 THEN 1990 + p_size ELSE 2024 END AS year, 's' || p_partkey AS semantic_scholar_id, 1 AS n_authors FROM part WHERE p_partkey % 10 <> 0""", graph=False)
+def graph_papers(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr(
+        "CASE WHEN p_partkey % 10 <> 0 THEN '10.1/' || p_partkey END AS doi", "p_name AS title", "CASE WHEN p_size > 20 THEN CAST(1990 + p_size AS INT) END AS year", "p_brand AS venue", "CAST(NULL AS STRING) AS abstract", "CAST(NULL AS STRING) AS pdf_url",
+        "map('S2', 's' || p_partkey) AS external_ids", "array(named_struct('name', p_brand)) AS authors")
+    return P.graph_papers(rows, 2024).select("doi", "title", "year", "semantic_scholar_id", F.size("authors").alias("n_authors"))
+
+
+@query("""SELECT CASE WHEN p_partkey % 3 = 0 THEN 'updated' ELSE 'created' END AS outcome, count(*) AS n, count(DISTINCT p_name) AS names FROM part WHERE p_partkey % 7 <> 0 GROUP BY 1 UNION ALL SELECT 'error', count(*), 0 FROM part WHERE p_partkey % 7 = 0""", graph=False)
+def import_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Records found twice; every third paper is there before, every seventh record has no DOI."""
+    found = table(spark, d, "part").selectExpr("CASE WHEN p_partkey % 7 <> 0 THEN '10.1/' || p_partkey END AS doi", "p_name AS title", "p_partkey AS ordinal")
+    papers = found.where("ordinal % 3 = 0 AND doi IS NOT NULL").select("doi", F.lit("old").alias("title"))
+    new, outcomes = I.import_papers(papers, found.unionByName(found.where("doi is not null").withColumn("title", F.lit("later")).withColumn("ordinal", F.col("ordinal") + 1_000_000_000)), True)
+    return outcomes.join(new, "doi", "left").groupBy("outcome").agg(F.count("*").alias("n"), F.count_distinct("title").alias("names"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 < 3 THEN p_name END AS name, CAST(p_size AS INTEGER) AS size FROM part""", graph=False)
+def decoded_json(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as JSON text, as text of that text, and once more."""
+    once = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").cast("int").alias("size")))
+    again = lambda c: F.regexp_replace(F.regexp_replace(F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"')), "\n", " "), "\t", " ")
+    value = F.when(F.col("p_partkey") % 3 == 0, once).when(F.col("p_partkey") % 3 == 1, again(once)).otherwise(again(again(once)))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), P.decode_json(value, "name string, size int").alias("r")).select("id", "r.name", "r.size")
+
+
 # --- state and review ------------------------------------------------------------------------------------------------
 
 
@@ -620,6 +763,52 @@ def review_resolution(spark: SparkSession, d: str) -> DataFrame:
     return Q.resolve(reviews, decisions).select("mention_id", "status", "resolution")
 
 
+@query("""WITH r AS (SELECT user_id % 40 AS src, event_id % 60 AS dst, CASE event_id % 4 WHEN 0 THEN 'extends' WHEN 1 THEN 'contradicts' WHEN 2 THEN 'depends_on' ELSE 'reframes' END AS relation, value, event_id AS o FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY src, dst, relation ORDER BY o) AS n FROM r),
+k AS (SELECT DISTINCT src, dst, relation FROM r WHERE src < 5 AND dst < 50 AND src <> dst),
+j AS (SELECT f.*, CASE WHEN f.dst >= 50 THEN 'not_found' WHEN f.src = f.dst THEN 'self' WHEN k.src IS NOT NULL OR n > 1 THEN 'exists' ELSE 'linked' END AS reason FROM f LEFT JOIN k ON k.src = f.src AND k.dst = f.dst AND k.relation = f.relation)
+SELECT reason, relation, count(*) AS n, round(sum(CASE WHEN reason = 'linked' THEN value END), 4) AS confidence FROM j GROUP BY reason, relation""", graph=False)
+def typed_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations with a confidence: new ones are linked, others rejected with a reason."""
+    e = table(spark, d, "events")
+    new = e.selectExpr("user_id % 40 AS src", "event_id % 60 AS dst", "CASE event_id % 4 WHEN 0 THEN 'extends' WHEN 1 THEN 'contradicts' WHEN 2 THEN 'depends_on' ELSE 'reframes' END AS relation", "value AS confidence", "event_id AS ordinal")
+    have = new.where("src < 5 AND dst < 50 AND src <> dst").select("src", "dst", "relation", F.lit(None).cast("double").alias("confidence")).distinct()
+    ids = spark.range(60)
+    edges, rejects = U.related(have, new, ids, ids.where("id < 50"))
+    linked = edges.where("confidence is not null").groupBy("relation").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence")).withColumn("reason", F.lit("linked"))
+    return linked.unionByName(rejects.groupBy("reason", "relation").agg(F.count("*").alias("n")).withColumn("confidence", F.lit(None).cast("double")))
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 3 = 0 AS given, event_id % 5 = 0 AS taken FROM events) SELECT event_id AS mention_id, CASE WHEN event_id % 8 = 1 THEN 'resolved' WHEN given AND NOT taken THEN 'assigned' ELSE 'pending' END AS status, CASE WHEN event_id % 8 <> 1 AND given AND NOT taken THEN 'second' END AS assigned_to FROM e""", graph=False)
+def review_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Every third review is given to two people one after the other, every fifth goes back."""
+    e = table(spark, d, "events")
+    reviews = e.selectExpr("event_id AS mention_id", "CASE WHEN event_id % 8 = 1 THEN 'resolved' ELSE 'pending' END AS status")
+    given = e.where("event_id % 3 = 0").select(F.col("event_id").alias("mention_id"), F.explode(F.array(F.struct(F.lit("first").alias("user_id"), F.lit(2).alias("ordinal")), F.struct(F.lit("second").alias("user_id"), F.lit(3).alias("ordinal")))).alias("g")).select("mention_id", "g.*")
+    assigned = Q.assign(reviews, given, F.lit("2024-01-01").cast("timestamp"))
+    return Q.unassign(assigned, e.where("event_id % 5 = 0").selectExpr("event_id AS mention_id")).select("mention_id", "status", "assigned_to")
+
+
+@query("""WITH c AS (SELECT user_id AS id, count(*) AS n FROM events GROUP BY user_id) SELECT id, CASE WHEN n IN (5, 10, 25, 50) AND id % 3 <> 0 THEN 'new' ELSE 'old' END AS canonical_statement, CAST(1 + (n IN (5, 10, 25, 50) AND id % 3 <> 0)::INTEGER AS INTEGER) AS version FROM c""", graph=False)
+def refined_concepts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").cast("int").alias("mention_count"))
+    rows = c.withColumns({"canonical_statement": F.lit("old"), "version": F.lit(1), "last_refined_at_count": F.lit(0), "human_edited": F.col("id") % 3 == 0, "updated_at": F.lit(None).cast("timestamp")})
+    return Q.refined(rows, c.select("id", F.lit("new").alias("statement")), F.lit("2024-01-01").cast("timestamp")).select("id", "canonical_statement", "version")
+
+
+@query("""WITH j AS (SELECT event_id, user_id % 20 AS b, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' ELSE 'failed' END AS s, event_id % 5 AS attempts FROM events)
+SELECT CAST(b AS VARCHAR) AS batch_id, least(10, count(*) FILTER (s = 'pending')) AS n_next, count(*) FILTER (s = 'pending' OR s = 'in_progress' OR (s = 'failed' AND attempts < 3)) AS n_again FROM j GROUP BY b""", graph=False)
+def batch_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs are created from sources, then updated by what became of them."""
+    e = table(spark, d, "events")
+    now = F.lit("2024-01-01").cast("timestamp")
+    jobs = B.create(e.selectExpr("CAST(event_id AS STRING) AS source"), "all", now).withColumn("batch_id", F.lit(None).cast("string"))
+    change = e.selectExpr("CAST(event_id AS STRING) AS source", "CAST(user_id % 20 AS STRING) AS batch_id", "CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' ELSE 'failed' END AS status", "CAST(event_id % 5 AS INT) AS attempts")
+    jobs = B.update(jobs, change.join(jobs.select("job_id", "source"), "source").drop("source"), now)
+    n = lambda rows, name: rows.groupBy("batch_id").agg(F.count("*").alias(name))
+    return n(jobs, "all").join(n(B.pending(jobs), "n_next"), "batch_id", "left").join(n(B.resume(jobs), "n_again"), "batch_id", "left").fillna(0, ["n_next", "n_again"]).select("batch_id", "n_next", "n_again")
+
+
 # --- schema, taxonomy, integration -----------------------------------------------------------------------------------
 
 
@@ -661,6 +850,11 @@ def taxonomy_export(spark: SparkSession, d: str) -> DataFrame:
     return tree.select("id", "name", F.size("areas").cast("long").alias("n_areas"), F.array_join(names, ",").alias("areas"), total.alias("n_subtopics"))
 
 
+@query("SELECT t.id, t.level, concat_ws('/', d.name, a.name, t.name) AS path FROM topic t LEFT JOIN topic a ON a.id = t.parent_id LEFT JOIN topic d ON d.id = a.parent_id")
+def taxonomy_paths(spark: SparkSession, d: str) -> DataFrame:
+    return Y.flatten(load(spark, d).nodes["topic"])
+
+
 @query("""SELECT 'parent' AS problem, count(*) AS n FROM topic WHERE level = 'subtopic' UNION ALL SELECT 'level', count(*) FROM topic WHERE level = 'area' AND id LIKE '%3'""")
 def taxonomy_checks(spark: SparkSession, d: str) -> DataFrame:
     t = load(spark, d).nodes["topic"]

@@ -80,7 +80,7 @@ def pages(spark: SparkSession, path: str, to_pages: Callable[[bytes], list[str]]
 
 
 def full_text(pages_: DataFrame, key: str = "path") -> DataFrame:
-    """Texts of non-blank pages in order, their size, and whether the file looks scanned."""
+    """Texts of non-blank pages in order, their characters and words, and whether the file looks scanned."""
     ordered = F.transform(F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("page_number", "text")))), lambda x: x["text"])
     n = F.coalesce(F.sum(F.length("text")), F.lit(0))
-    return pages_.groupBy(key).agg(F.array_join(ordered, "\n\n").alias("text"), n.alias("chars"), ((n < 100) & (F.count("page_number") > 0)).alias("scanned"))
+    return pages_.groupBy(key).agg(F.array_join(ordered, "\n\n").alias("text"), n.alias("chars"), F.coalesce(F.sum(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))), F.lit(0)).alias("words"), ((n < 100) & (F.count("page_number") > 0)).alias("scanned"))

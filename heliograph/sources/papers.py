@@ -46,6 +46,10 @@ def preprint_pdf(value: Column) -> Column:
     return F.concat(F.lit("https://arxiv.org/pdf/"), F.regexp_replace(value, r"v\d+$", ""), F.lit(".pdf"))
 
 
+def preprint_page(value: Column) -> Column:
+    return F.concat(F.lit("https://arxiv.org/abs/"), preprint_id(value))
+
+
 def abstract_of(index: Column) -> Column:
     """Text of an inverted index (word -> places): words by place, of a place's words the last entered, gaps skipped."""
     entries = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
@@ -116,6 +120,68 @@ def stubs(references: DataFrame, papers: DataFrame) -> DataFrame:
     return new.join(papers.select("doi"), "doi", "left_anti").withColumn("is_stub", F.lit(True))
 
 
+def graph_papers(records: DataFrame, as_of_year: int) -> DataFrame:
+    """Records in normal form as rows of the graph's papers; those without a DOI have none. A missing year is as_of_year."""
+    outside = lambda *names: F.coalesce(*(F.col("external_ids")[n] for n in names))
+    return records.where("doi is not null and doi <> ''").select(
+        "doi", "title", F.transform("authors", lambda a: a["name"]).alias("authors"), "venue", F.coalesce("year", F.lit(as_of_year)).alias("year"), "abstract",
+        outside("arxiv", "ArXiv").alias("arxiv_id"), outside("openalex", "OpenAlex").alias("openalex_id"), outside("semantic_scholar", "S2").alias("semantic_scholar_id"), "pdf_url",
+    )
+
+
+def paper_authors(records: DataFrame) -> DataFrame:
+    """(doi, position, name, affiliations, orcid, semantic_scholar_id): the authors of records with a DOI, one row each, positions from 1 in the order of the list."""
+    a = records.where("doi is not null and doi <> ''").select("doi", F.posexplode("authors").alias("i", "a"))
+    outside = lambda *names: F.nullif(F.coalesce(*(F.col("a.external_ids")[n] for n in names)), F.lit(""))
+    return a.select("doi", (F.col("i") + 1).alias("position"), "a.name", "a.affiliations", outside("orcid", "ORCID").alias("orcid"), outside("semantic_scholar", "s2").alias("semantic_scholar_id"))
+
+
+def link_authors(authors: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(authors, edges): listed authors (of paper_authors()) are the known ones with their citation-index id, else with their ORCID, else new ones; edges lead from papers to them with author_position.
+
+    New authors with one id are one; those without any id are one for each place in a list. Of a paper's places for one
+    author the first counts. authors: id, name, affiliations, orcid, semantic_scholar_id; ids of new ones follow from theirs.
+    """
+    by = lambda rows, c, name: rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("id").alias(name))
+    place = F.concat_ws("\x1f", "doi", F.col("position").cast("string"))
+    made = F.substring(F.sha2(F.coalesce(F.concat(F.lit("s2:"), "semantic_scholar_id"), F.concat(F.lit("orcid:"), "orcid"), F.concat(F.lit("at:"), place)), 256), 1, 16)
+    found = listed.join(by(authors, "semantic_scholar_id", "id1"), "semantic_scholar_id", "left").join(by(authors, "orcid", "id2"), "orcid", "left").withColumn("known", F.coalesce("id1", "id2"))
+    own = found.where("known is null").withColumn("id", made)
+    # an entry with an ORCID only is the new author with that ORCID and a citation-index id, if there is one
+    told = by(own.where("semantic_scholar_id is not null"), "orcid", "id3")
+    own = own.join(told, "orcid", "left").withColumn("id", F.when(F.col("semantic_scholar_id").isNull(), F.coalesce("id3", "id")).otherwise(F.col("id")))
+    first = F.min_by(F.struct("name", "affiliations"), F.struct("doi", "position"))
+    new = own.groupBy("id").agg(first.alias("f"), F.max("orcid").alias("orcid"), F.max("semantic_scholar_id").alias("semantic_scholar_id"))
+    rows = new.select("id", F.col("f.name").alias("name"), F.col("f.affiliations").alias("affiliations"), "orcid", "semantic_scholar_id")
+    ends = found.where("known is not null").select("doi", F.col("known").alias("id"), "position").unionByName(own.select("doi", "id", "position"))
+    edges = ends.groupBy(F.col("doi").alias("src"), F.col("id").alias("dst")).agg(F.min("position").alias("author_position"))
+    return authors.unionByName(rows.select(*(c for c in rows.columns if c in authors.columns)), allowMissingColumns=True), edges
+
+
+def populate_citations(papers: DataFrame, cites: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(papers, cites, report) after the references (src, doi, title, year) of papers: those without a DOI are dropped, unknown ones become stubs, and every pair is an edge once.
+
+    Citing papers that are not known link nothing. report: src, n_references, skipped_no_doi, edges_created, stubs_created
+    (a stub counts for the least paper that names it). Running it again creates nothing.
+    """
+    known = references.join(papers.select(F.col("doi").alias("src")).distinct(), "src", "left_semi")
+    good = known.where("doi is not null and doi <> ''")
+    new = stubs(good.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled)"))), papers)
+    pairs = good.select("src", F.col("doi").alias("dst")).distinct()
+    fresh = pairs.join(cites.select("src", "dst"), ["src", "dst"], "left_anti")
+    count = lambda rows, name: rows.groupBy("src").agg(F.count("*").alias(name))
+    named = pairs.join(new.select(F.col("doi").alias("dst")), "dst", "left_semi").groupBy("dst").agg(F.min("src").alias("src"))
+    report = known.groupBy("src").agg(F.count("*").alias("n_references"), F.count_if(F.col("doi").isNull() | (F.col("doi") == "")).alias("skipped_no_doi"))
+    report = report.join(count(fresh, "edges_created"), "src", "left").join(count(named, "stubs_created"), "src", "left").fillna(0, ["edges_created", "stubs_created"])
+    return papers.unionByName(new.select(*(c for c in new.columns if c in papers.columns)), allowMissingColumns=True), cites.unionByName(fresh, allowMissingColumns=True), report
+
+
+def decode_json(value: Column, schema: str) -> Column:
+    """JSON text as the schema; text that was encoded as text again, up to twice more, is decoded first. Null where it does not fit."""
+    once = lambda v: F.coalesce(F.when(F.trim(v).startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")), v)
+    return F.from_json(once(once(value)), schema)
+
+
 def cache_key(source: str, operation: str, **params: Column) -> Column:
     """Non-null parameters in the order of their names; long keys are hashed."""
     parts = F.concat_ws(":", F.lit(source), F.lit(operation), *(F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), v.cast("string"))) for k, v in sorted(params.items())))

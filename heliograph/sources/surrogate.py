@@ -67,8 +67,8 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
         {
             "subtopic_of": topics.where("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst")),
             "belongs_to": orders.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(key("O", "o_orderkey").alias("src"), segment.alias("dst")),
-            "extracted_from": lines.select(key("O", "l_orderkey").alias("src"), key("10.1/", "l_partkey").alias("dst")).distinct(),
+            "extracted_from": lines.select("l_orderkey", "l_partkey").distinct().select(key("O", "l_orderkey").alias("src"), key("10.1/", "l_partkey").alias("dst")),
             "authored_by": lines.groupBy("l_partkey", "l_suppkey").agg(F.min("l_linenumber").alias("author_position")).select(key("10.1/", "l_partkey").alias("src"), key("A", "l_suppkey").alias("dst"), "author_position"),
-            "cites": lines.select("l_partkey", following.alias("n")).where("n is not null").select(key("10.1/", "l_partkey").alias("src"), key("10.1/", "n").alias("dst")).distinct(),
+            "cites": lines.select("l_partkey", following.alias("n")).where("n is not null").distinct().select(key("10.1/", "l_partkey").alias("src"), key("10.1/", "n").alias("dst")),
         },
     )

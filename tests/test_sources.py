@@ -1,6 +1,7 @@
 """Connectors, taxonomy, model hooks and integration, on records made by hand."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from heliograph import schema as C
@@ -70,7 +71,7 @@ def test_pages_of_files(spark, tmp_path):
     assert got(pages.where("error is not null"), "error") == [("ValueError: unreadable",)]
     text = K.full_text(pages.where("error is null")).collect()[0]
     assert text["text"] == "one\n\nPage 2 of 9\nneu-\nral text" and text["scanned"]
-    clean = spark.createDataFrame([(text["text"],)], "t string").select(T.clean(F.col("t"), drop=X.PAGE_FURNITURE)).first()[0]
+    clean = spark.createDataFrame([(text["text"],)], "t string").select(T.clean(F.col("t"), drop=X.page_furniture)).first()[0]
     assert clean == "one\n\nneural text"
 
 
@@ -102,7 +103,7 @@ def test_models_plug_in_and_fail_by_row(spark):
 def test_merging_in_order(spark):
     x = np.random.default_rng(5).normal(size=(60, 4))
     rows = [(i, v.tolist(), i, i % 3) for i, v in enumerate(x)]
-    found = dict(got(I.merge_in_order(spark.createDataFrame(rows, "id long, vector array<double>, ordinal long, block long"), 0.8), "id", "keep_id"))
+    found = dict(got(I.merge_in_order(spark.createDataFrame(rows, "id long, vector array<double>, ordinal long, block long"), 0.8, block="block"), "id", "keep_id"))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     for b in range(3):
         kept = []
@@ -126,3 +127,44 @@ def test_waiting(spark):
     rows = spark.createDataFrame([("3", "x"), ("Wed, 1", "try again in 1.8s"), (None, "Try again in 20ms please"), (None, "no")], "h string, m string")
     assert [r[0] for r in rows.select(X.retry_after(F.col("h"), F.col("m"))).collect()] == [3.0, 1.8, 0.02, None]
     assert [r[0] for r in spark.range(8).select(X.backoff(F.col("id"))).collect()] == [1, 2, 4, 8, 16, 32, 60, 60]
+
+
+def test_seeds(spark):
+    from heliograph.sources import seeds
+
+    m = seeds.models(spark, [{"name": " A ", "aliases": None, "year_introduced": 2017}, {"name": "B"}])
+    assert got(m, "name", "aliases", "year_introduced") == [("A", [], 2017), ("B", [], None)]
+    for bad in ([{"name": ""}], [{"name": "a"}, {"name": "A "}]):
+        with pytest.raises(ValueError):
+            seeds.models(spark, bad)
+    assert got(seeds.pairs(spark, [{"a": "x", "b": "y", "label": "same"}]), "a", "b", "label") == [("x", "y", "same")]
+    with pytest.raises(ValueError):
+        seeds.pairs(spark, [{"a": "x", "b": "y", "label": "maybe"}])
+    assert seeds.denied(["Model", {"term": " data "}, {"reason": "none"}], "MODEL") == ("data", "model")
+
+
+def test_authors_are_found_by_either_id(spark):
+    person = "struct<name:string,position:int,affiliations:array<string>,external_ids:map<string,string>>"
+    lists = [("10.1/a", [("N1", 0, [], {"semantic_scholar": "s1"}), ("N2", 0, [], {"orcid": "0000-2"}), ("N3", 0, [], {})]), ("10.1/b", [("N1 again", 0, [], {"semantic_scholar": "s1", "orcid": "0000-1"}), ("K", 0, [], {"orcid": "0000-9"}), ("N1 third", 0, [], {"orcid": "0000-1"})]), (None, [("X", 0, [], {})])]
+    records = spark.createDataFrame(lists, f"doi string, authors array<{person}>")
+    known = spark.createDataFrame([("k", "Known", [], "0000-9", None)], "id string, name string, affiliations array<string>, orcid string, semantic_scholar_id string")
+    authors, edges = P.link_authors(known, P.paper_authors(records))
+    names = {r["id"]: r["name"] for r in authors.collect()}
+    assert sorted(names.values()) == ["Known", "N1", "N2", "N3"]
+    assert sorted((r["src"], names[r["dst"]], r["author_position"]) for r in edges.collect()) == [("10.1/a", "N1", 1), ("10.1/a", "N2", 2), ("10.1/a", "N3", 3), ("10.1/b", "Known", 2), ("10.1/b", "N1", 1)]
+
+
+def test_json_in_json(spark):
+    import json
+
+    once = json.dumps({"name": 'a "quoted" \\ name'})
+    rows = [(k, x) for k, x in enumerate((once, json.dumps(once), json.dumps(json.dumps(once)), "not json", None))]
+    found = spark.createDataFrame(rows, "k int, v string").select("k", P.decode_json(F.col("v"), "name string")["name"].alias("n"))
+    assert [r["n"] for r in found.orderBy("k").collect()] == ['a "quoted" \\ name'] * 3 + [None, None]
+
+
+def test_taxonomy_as_text(spark):
+    t = Y.load(spark.createDataFrame([], "id string, name string, level string, parent_id string, description string"), Y.parse(spark, TREE))
+    assert {r["path"] for r in Y.flatten(t).collect()} == {r["path"] for r in Y.parse(spark, TREE).collect()}
+    lines = [r["text"] for r in Y.to_text(t).collect()][0].split("\n")
+    assert lines[0] == '- name: "Computing"' and '    - name: "Vision"' in lines and '        - name: "Tracking"' in lines
