@@ -2,8 +2,11 @@
 
 Every document is cut into non-overlapping reference blocks of (window + 1) // 2 words; any window holds a
 whole one. All rolling spans of that length probe the index of reference blocks (by hash ranges, one entry
-a text block). Hits are extended word by word to all windows around them, and every window that an
-extension reaches is held against all others of its words, which leaves maximal exact repeats.
+a text block). Hits are extended to all windows around them; windows of one text block are compared by
+their bytes, those of different text blocks are brought together by 128-bit digests, each with the one before
+it only, so that no group grows with its copies. Windows in a row with the same partner are one maximal
+repeat: its words go to the partner's text block and are compared there with the partner's own, byte by byte,
+and only what is equal is removed. A digest that two different windows share is an error, not a removal.
 
 Words part at ASCII white space and stay unchanged. Null or empty texts have no words; rows with equal
 doc_ids are different documents (so repeated rows remove each other's words); null doc_ids are kept;
@@ -13,11 +16,10 @@ other columns are ignored; an empty table gives no rows. Texts shorter than a wi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import blocks as B
@@ -73,6 +75,112 @@ def _candidates(words: _Words, window: int, hit_first: np.ndarray, hit: np.ndarr
     return first[words.doc[first] == words.doc[first + window - 1]]
 
 
+CLAIMS = "range int, block_id long, n int, payload binary"
+REPEATS = "block_id long, other long, n int, payload binary"
+FOUND = "block_id long, range int, n int, payload binary"
+
+
+def _digest(words: bytes) -> int:
+    from xxhash import xxh3_128_intdigest
+
+    return xxh3_128_intdigest(words, 42)
+
+
+def _arrays(n: int, data: bytes, *kinds: str) -> list[np.ndarray]:
+    """Arrays of n values each that lie one after another."""
+    raw, at, out = B.unpack(data), 0, []
+    for kind in kinds:
+        size = n * np.dtype(kind).itemsize
+        out.append(np.frombuffer(raw[at : at + size], kind))
+        at += size
+    return out
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)})
+
+
+def _classes(words: _Words, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Which of the windows at these first words are equal, by their bytes: a class for each, where a class begins, its bytes."""
+    body, known = words.body.tobytes(), {}
+    of = [known.setdefault(body[a:b], len(known)) for a, b in zip(words.start[at].tolist(), words.stop[at + window - 1].tolist())]
+    group = np.array(of, np.int64)
+    first = at[np.unique(group, return_index=True)[1]] if len(at) else at
+    return group, first, list(known)
+
+
+def _with_the_one_before(table: pa.Table) -> pa.Table:
+    """Of windows (digest, block, first word) with one digest, each after the first with the one before it: rows for the block of the later one."""
+    ns, data = (table[c].to_pylist() for c in ("n", "payload"))
+    parts = [_arrays(n, d, "<u8", "<u8", "<i4") for n, d in zip(ns, data)]
+    high, low, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    block = np.repeat(table["block_id"].to_numpy(), ns)
+    order = np.lexsort((block, low, high))
+    same = np.flatnonzero((high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1]))
+    before, after = order[same], order[same + 1]
+    by = np.argsort(block[after], kind="stable")
+    before, after = before[by], after[by]
+    cuts = np.r_[0, np.flatnonzero(np.diff(block[after])) + 1, len(after)] if len(after) else [0]
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        payload = b"".join([at[after[a:b]].tobytes(), at[before[a:b]].tobytes(), block[before[a:b]].astype("<i8").tobytes()])
+        rows.append((table["range"][0].as_py(), int(block[after[a]]), int(b - a), B.pack(payload)))
+    return _table(CLAIMS, rows)
+
+
+def _repeats(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Maximal runs of windows with partners in a row, with their words, for the partners' blocks."""
+
+    def run(block: pa.Table, claims: pa.Table) -> pa.Table:
+        if not claims.num_rows:
+            return _table(REPEATS, [])
+        words = _Words(block)
+        parts = [_arrays(n, d, "<i4", "<i4", "<i8") for n, d in zip(claims["n"].to_pylist(), claims["payload"].to_pylist())]
+        own, far, other = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3))
+        order = np.lexsort((own, own - far, other))
+        own, far, other = own[order], far[order], other[order]
+        new = np.r_[True, (other[1:] != other[:-1]) | (own[1:] != own[:-1] + 1) | (far[1:] != far[:-1] + 1)]
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(own)])
+        body = words.body.tobytes()
+        starts, stops = words.start[own[first]], words.stop[own[first] + size + window - 2]
+        rows, cuts = [], np.r_[0, np.flatnonzero(np.diff(other[first])) + 1, len(first)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            some = slice(a, b)
+            said = b"".join(body[x:y] for x, y in zip(starts[some].tolist(), stops[some].tolist()))
+            head = [own[first[some]].astype("<i4"), far[first[some]].astype("<i4"), size[some].astype("<i4"), (stops - starts)[some].astype("<i8")]
+            rows.append((int(other[first[a]]), words.block_id, b - a, B.pack(b"".join(x.tobytes() for x in head) + said)))
+        return _table(REPEATS, rows)
+
+    return run
+
+
+def _compared(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Runs whose words are those of the partner, for both blocks."""
+
+    def run(block: pa.Table, repeats: pa.Table) -> pa.Table:
+        if not repeats.num_rows:
+            return _table(FOUND, [])
+        words = _Words(block)
+        body, rows, mine = words.body.tobytes(), [], []
+        for other, n, data in zip(repeats["other"].to_pylist(), repeats["n"].to_pylist(), repeats["payload"].to_pylist()):
+            own, far, size, length = _arrays(n, data, "<i4", "<i4", "<i4", "<i8")
+            said = B.unpack(data)[20 * n :]
+            ends = np.cumsum(length)
+            starts, stops = words.start[far], words.stop[far + size + window - 2]
+            for a, b, x, y in zip((ends - length).tolist(), ends.tolist(), starts.tolist(), stops.tolist()):
+                if said[a:b] != body[x:y]:
+                    raise ValueError("two different windows have one digest; take another seed")
+            rows.append((other, 0, n, B.pack(own.tobytes() + size.tobytes())))
+            mine.append((far, size))
+        far, size = (np.concatenate(x) for x in zip(*mine))
+        return _table(FOUND, [*rows, (words.block_id, 0, len(far), B.pack(far.tobytes() + size.tobytes()))])
+
+    return run
+
+
 def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> DataFrame:
     """Remove every word covered by a window of words that also starts anywhere else."""
     size = (window + 1) // 2
@@ -98,38 +206,48 @@ def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> Data
         twice = (np.diff(np.r_[first, len(values)]) > 1) | np.logical_or.reduceat(many[order], first)
         return (twice & np.logical_or.reduceat(index[order], first))[group]
 
-    def windows(words: _Words, verdicts: pa.Table) -> tuple[np.ndarray, ...]:
-        first, _, _, _, group = probes(words)
-        at = _candidates(words, window, first, B.verdict(verdicts)[group] if len(first) else np.zeros(0, bool), size)
-        _, hashes = words.grams(window, at)
-        return at, *_distinct(hashes)
-
     def ask_windows(block: pa.Table, verdicts: pa.Table) -> pa.Table:
         words = _Words(block)
-        at, values, many, _, group = windows(words, verdicts)
-        rows = list(B.send(words.block_id, values, ranges, many))
-        where = B.pack(at.astype("<i4").tobytes())
-        return pa.Table.from_batches([B.sent_batch([*rows, (-1, words.block_id, len(at), where)])])
-
-    def judge_windows(values: np.ndarray, owner: np.ndarray, many: np.ndarray) -> np.ndarray:
-        order, first, group = B.groups(values)
-        return ((np.diff(np.r_[first, len(values)]) > 1) | np.logical_or.reduceat(many[order], first))[group]
+        first, _, _, _, group = probes(words)
+        at = _candidates(words, window, first, B.verdict(verdicts)[group] if len(first) else np.zeros(0, bool), size)
+        group, begin, said = _classes(words, at, window)
+        digests = [_digest(s) for s in said]
+        high, low = (np.array([d >> k & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64) for k in (64, 0))
+        order = np.argsort(high, kind="stable")
+        high, low, begin_ = high[order], low[order], begin[order].astype("<i4")
+        cuts, rows = B.range_cuts(high, ranges), []
+        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            if a < b:
+                rows.append((k, words.block_id, b - a, B.pack(high[a:b].tobytes() + low[a:b].tobytes() + begin_[a:b].tobytes())))
+        known = B.pack(at.astype("<i4").tobytes() + group.astype("<i4").tobytes())
+        return _table(CLAIMS, [*rows, (-1, words.block_id, len(at), known)])
 
-    def remove(block: pa.Table, verdicts: pa.Table) -> pa.Table:
+    def remove(block: pa.Table, found: pa.Table) -> pa.Table:
         words = _Words(block)
-        rows = sorted(zip(*(verdicts[c].to_pylist() for c in ("range", "n", "bits"))))
-        at = np.frombuffer(B.unpack(rows[0][2]), "<i4").astype(np.int64) if rows and rows[0][0] == -1 else np.zeros(0, np.int64)
-        bits = B.verdict(verdicts.filter(pc.greater_equal(verdicts["range"], 0)))
-        _, hashes = words.grams(window, at)
-        first = at[bits[_distinct(hashes)[3]]] if len(at) else at
-        return _result(words, first, window)
+        hit = np.zeros(len(words.start) + 1, np.int64)
+        at = group = np.zeros(0, np.int64)
+        for kind, n, data in zip(*(found[c].to_pylist() for c in ("range", "n", "payload"))):
+            if kind < 0:
+                at, group = (x.astype(np.int64) for x in _arrays(n, data, "<i4", "<i4"))
+            else:
+                begin, many = _arrays(n, data, "<i4", "<i4")
+                np.add.at(hit, begin, 1)
+                np.add.at(hit, begin + many, -1)
+        if not len(at):
+            return _result(words, at, window)
+        members = np.bincount(group)
+        begin = at[np.unique(group, return_index=True)[1]]
+        repeated = (members > 1) | (np.cumsum(hit[:-1])[begin] > 0)
+        return _result(words, at[repeated[group]], window)
 
     sent = blocks.mapInArrow(ask_probes, B.SENT)
     hits = B.judged(sent, judge_probes, 2)
-    asked = spool(B.meet(blocks, hits, ask_windows, B.SENT), "windows", "none")
-    repeats = B.judged(asked.where("range >= 0"), judge_windows, 1)
-    places = asked.where("range < 0").selectExpr("block_id", "range", "n", "payload as bits")
-    return B.meet(blocks, repeats.unionByName(places), remove, B.with_extra(RESULT, "extra", B.extra_kind(blocks)))
+    asked = spool(B.meet(blocks, hits, ask_windows, CLAIMS), "windows", "none")
+    claims = asked.where("range >= 0").groupBy("range").applyInArrow(_with_the_one_before, CLAIMS)
+    repeats = B.meet(blocks, claims, _repeats(window), REPEATS)
+    equal = B.meet(blocks, repeats, _compared(window), FOUND)
+    known = asked.where("range < 0").select("block_id", "range", "n", "payload")
+    return B.meet(blocks, equal.unionByName(known), remove, B.with_extra(RESULT, "extra", B.extra_kind(blocks)))
 
 
 def _result(words: _Words, first: np.ndarray, window: int) -> pa.Table:

@@ -136,6 +136,13 @@ def test_substring_dedup(docs, monkeypatch, block_bytes):
     assert key(got) == key(want)
 
 
+def test_windows_with_one_digest_are_no_repeat(docs, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(substring, "_digest", lambda words: 7)
+    with pytest.raises(Exception, match="one digest"):
+        substring.dedup(docs).collect()
+
+
 def test_dedup_of_empty_tables(none):
     assert suffix.dedup(none).count() == 0
     assert substring.dedup(none).count() == 0
