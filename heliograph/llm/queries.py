@@ -77,6 +77,28 @@ QUERIES = {
 _ESC = "replace(replace(replace(replace(replace(replace(replace({0}, chr(92), chr(92)||chr(92)), '<s>', '<'||chr(92)||'s>'), '</s>', '<'||chr(92)||'/s>'), '[INST]', '['||chr(92)||'INST]'), '[/INST]', '['||chr(92)||'/INST]'), '<<SYS>>', '<'||chr(92)||'<SYS>>'), '<</SYS>>', '<'||chr(92)||'</SYS>>')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, doc_id, s, substr(h, 2 * s + 1, 2098) AS p FROM (SELECT r, doc_id, h, unnest(generate_series(0, length(h) // 2 - 1, 1000)) AS s FROM d WHERE length(h) >= 100)),
+w AS (SELECT r, doc_id, s + j AS i, substr(p, 2 * j + 1, 100) AS g FROM (SELECT r, doc_id, s, p, unnest(generate_series(0, least(1000, length(p) // 2 - 49) - 1)) AS j FROM c WHERE length(p) >= 100)),
+least AS (SELECT g, min(doc_id) AS m FROM w GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM w JOIN least USING (g) WHERE m < doc_id),
+runs AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM hit),
+spans AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY r, run),
+ends AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT r, max(b), NULL FROM spans GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a) AS k FROM ends JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce((length(h) - length(k)) // 2, 0) AS BIGINT) AS n_removed, CAST(coalesce(s.n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM spans GROUP BY r) s USING (r)""",
+    "op2_substring": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM g JOIN twice USING (g)),
+runs AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 35 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM hit),
+spans AS (SELECT r, min(i) AS a, max(i) + 35 AS b FROM runs GROUP BY r, run),
+ends AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 1) AS a, a AS b FROM spans UNION ALL SELECT r, max(b), NULL FROM spans GROUP BY r),
+kept AS (SELECT r, flatten(list(w[a : coalesce(b, len(w) + 1) - 1] ORDER BY a)) AS k FROM ends JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(CASE WHEN k IS NULL THEN 0 ELSE len(w) - len(k) END AS BIGINT) AS n_removed, sha256(array_to_string(coalesce(k, w), ' ')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
     "op7_chat": f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
