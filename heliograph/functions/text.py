@@ -108,23 +108,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
-def _cut(text: Column, max_heading: int, min_words: int) -> Column:
-    """Sections of a text as an array, found in one pass over its lines; a text without any long enough is one `unknown` section."""
-    head = "struct<title:string,section_type:string,start_char:int,size:int>"
-    none = F.array().cast(f"array<{head}>")
+def _sections(rows: DataFrame, max_heading: int, min_words: int) -> DataFrame:
+    """rows (__text, ...) with __cut, the sections of the text as an array; a text without any long enough is one `unknown` section. One pass over a text's lines finds its headings; each step is a projection of its own, so that nothing is worked out twice."""
+    none = F.array().cast("array<struct<title:string,section_type:string,start_char:int,size:int>>")
+    text = F.col("__text")
 
     def step(at: Column, line: Column) -> Column:
         kind = F.when(F.length(F.trim(line)).between(1, max_heading), section_type(line))
-        new = F.struct(F.trim(line).alias("title"), kind.alias("section_type"), at["at"].alias("start_char"), F.length(line).alias("size"))
-        return F.struct((at["at"] + F.length(line) + 1).alias("at"), F.when(kind.isNotNull(), F.concat(at["heads"], F.array(new))).otherwise(at["heads"]).alias("heads"))
+        add = F.transform(F.array_compact(F.array(kind)), lambda k: F.struct(F.trim(line).alias("title"), k.alias("section_type"), at["at"].alias("start_char"), F.length(line).alias("size")))
+        return F.struct((at["at"] + F.length(line) + 1).alias("at"), F.concat(at["heads"], add).alias("heads"))
 
+    # only lines that may be headings are looked at; the others are counted
     heads = F.aggregate(F.split(text, "\n"), F.struct(F.lit(0).alias("at"), none.alias("heads")), step, lambda at: at["heads"])
     body = lambda h, end: F.regexp_replace(F.substring(text, h["start_char"] + h["size"] + 1, end - h["start_char"] - h["size"]), r"(?U)^\s+|\s+$", "")
-    ends = F.concat(F.transform(F.slice(heads, 2, F.greatest(F.lit(1), F.size(heads))), lambda h: h["start_char"]), F.array(F.length(text)))
-    cut = F.zip_with(heads, F.slice(ends, 1, F.greatest(F.lit(1), F.size(heads))), lambda h, end: F.struct(h["section_type"].alias("section_type"), h["title"].alias("title"), body(h, end).alias("content"), h["start_char"].alias("start_char")))
-    long = F.filter(F.when(F.size(heads) > 0, cut).otherwise(F.slice(cut, 1, 0)), lambda s: F.size(words(s["content"])) >= min_words)
+    end = lambda i: F.coalesce(F.get("__heads", i + 1)["start_char"], F.length(text))
+    cut = F.transform("__heads", lambda h, i: F.struct(h["section_type"].alias("section_type"), h["title"].alias("title"), body(h, end(i)).alias("content"), h["start_char"].alias("start_char")))
     whole = F.array(F.struct(F.lit("unknown").alias("section_type"), F.lit("").alias("title"), text.alias("content"), F.lit(0).alias("start_char")))
-    return F.when(text.isNotNull(), F.when(F.size(long) > 0, long).otherwise(whole))
+    found = rows.select("*", heads.alias("__heads")).select("*", F.filter(cut, lambda s: F.size(words(s["content"])) >= min_words).alias("__long"))
+    return found.select("*", F.when(text.isNotNull(), F.when(F.size("__long") > 0, F.col("__long")).otherwise(whole)).alias("__cut"))
 
 
 def segment(documents: DataFrame, key: str = "doc_id", text: str = "text", max_heading: int = 100, min_words: int = 20) -> DataFrame:
@@ -132,17 +133,19 @@ def segment(documents: DataFrame, key: str = "doc_id", text: str = "text", max_h
 
     Every row is cut for itself, whatever its key; null texts have no section.
     """
-    return documents.select(key, F.inline(_cut(F.col(text), max_heading, min_words)))
+    return _sections(documents.select(key, F.col(text).alias("__text")), max_heading, min_words).select(key, F.inline("__cut"))
 
 
 def segment_with_abstract(documents: DataFrame, key: str = "doc_id", text: str = "text", max_heading: int = 100, min_words: int = 20) -> DataFrame:
     """As segment(), but an abstract at the very beginning that runs up to an introduction is a section of its own, and what follows it is cut."""
     lead = r"(?is)^(?:abstract\s*[:\-]?\s*)(.*?)(?=\n\s*(?:\d+\.?\s*)?(?:introduction|1\.|I\.))"
     body = F.regexp_replace(F.regexp_extract(text, lead, 1), r"(?U)^\s+|\s+$", "")
-    rows = documents.withColumn("__lead", F.when(F.col(text).rlike(lead) & (F.size(words(body)) >= min_words), F.length(F.regexp_extract(text, lead, 0))).otherwise(0))
-    first = F.array(F.struct(F.lit("abstract").alias("section_type"), F.lit("Abstract").alias("title"), body.alias("content"), F.lit(0).alias("start_char")))
-    rest = F.transform(_cut(F.expr(f"substring({text}, __lead + 1)"), max_heading, min_words), lambda s: F.struct(s["section_type"].alias("section_type"), s["title"].alias("title"), s["content"].alias("content"), (s["start_char"] + F.col("__lead")).alias("start_char")))
-    return rows.select(key, F.inline(F.when(F.col("__lead") > 0, F.concat(first, rest)).otherwise(rest)))
+    rows = documents.select(key, F.col(text).alias("__all"), body.alias("__body"), F.length(F.regexp_extract(text, lead, 0)).alias("__size"))
+    rows = rows.select("*", F.when(F.size(words(F.col("__body"))) >= min_words, F.col("__size")).otherwise(0).alias("__lead"))
+    cut = _sections(rows.select("*", F.expr("substring(__all, __lead + 1)").alias("__text")), max_heading, min_words)
+    first = F.array(F.struct(F.lit("abstract").alias("section_type"), F.lit("Abstract").alias("title"), F.col("__body").alias("content"), F.lit(0).alias("start_char")))
+    rest = F.transform("__cut", lambda s: F.struct(s["section_type"].alias("section_type"), s["title"].alias("title"), s["content"].alias("content"), (s["start_char"] + F.col("__lead")).alias("start_char")))
+    return cut.select(key, F.inline(F.when(F.col("__lead") > 0, F.concat(first, rest)).otherwise(rest)))
 
 
 # Sections that entity extractors read.
