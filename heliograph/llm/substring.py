@@ -3,7 +3,7 @@
 Every document is cut into non-overlapping reference blocks of (window + 1) // 2 words; any window holds a
 whole one. All rolling spans of that length probe the index of reference blocks (by hash ranges, one entry
 a text block). Hits are extended to all windows around them; windows of one text block are compared by
-their bytes, those of different text blocks are brought together by 128-bit digests, each with the one before
+their bytes, those of different text blocks are brought together by digests of 72 to 128 bits, each with the one before
 it only, so that no group grows with its copies. Windows in a row with the same partner are one maximal
 repeat: its words go to the partner's text block and are compared there with the partner's own, byte by byte,
 and only what is equal is removed. A digest that two different windows share is an error, not a removal.
@@ -86,14 +86,24 @@ def _digest(words: bytes) -> int:
     return xxh3_128_intdigest(words, 42)
 
 
-def _arrays(n: int, data: bytes, *kinds: str) -> list[np.ndarray]:
-    """Arrays of n values each that lie one after another."""
+def _put(*columns: np.ndarray, more: bytes = b"") -> bytes:
+    """Columns of equal length as byte planes, which leaves little of small values and steady steps, and further bytes."""
+    return B.pack(b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns if len(c)) + more)
+
+
+def _get(n: int, data: bytes, *kinds: str) -> tuple[list[np.ndarray], bytes]:
+    """What _put() packed: n values of each kind, and the rest."""
     raw, at, out = B.unpack(data), 0, []
     for kind in kinds:
-        size = n * np.dtype(kind).itemsize
-        out.append(np.frombuffer(raw[at : at + size], kind))
-        at += size
-    return out
+        wide = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n).T).view(kind).reshape(-1))
+        at += n * wide
+    return out, raw[at:]
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences, from the first value on; np.cumsum takes them back."""
+    return np.diff(values, prepend=values.dtype.type(0))
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
@@ -114,19 +124,20 @@ def _classes(words: _Words, at: np.ndarray, window: int) -> tuple[np.ndarray, np
 def _with_the_one_before(table: pa.Table) -> pa.Table:
     """Of windows (digest, block, first word) with one digest, each after the first with the one before it: rows for the block of the later one."""
     ns, data = (table[c].to_pylist() for c in ("n", "payload"))
-    parts = [_arrays(n, d, "<u8", "<u8", "<i4") for n, d in zip(ns, data)]
-    high, low, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    parts = [_get(n, d, "<u8", "<u8", "<i4")[0] for n, d in zip(ns, data)]
+    high = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    low, at = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
     block = np.repeat(table["block_id"].to_numpy(), ns)
     order = np.lexsort((block, low, high))
     same = np.flatnonzero((high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1]))
     before, after = order[same], order[same + 1]
-    by = np.argsort(block[after], kind="stable")
+    by = np.lexsort((at[after], block[after]))
     before, after = before[by], after[by]
     cuts = np.r_[0, np.flatnonzero(np.diff(block[after])) + 1, len(after)] if len(after) else [0]
     rows = []
     for a, b in zip(cuts[:-1], cuts[1:]):
-        payload = b"".join([at[after[a:b]].tobytes(), at[before[a:b]].tobytes(), block[before[a:b]].astype("<i8").tobytes()])
-        rows.append((table["range"][0].as_py(), int(block[after[a]]), int(b - a), B.pack(payload)))
+        own, far = at[after[a:b]], at[before[a:b]]
+        rows.append((table["range"][0].as_py(), int(block[after[a]]), int(b - a), _put(_steps(own), far - own, _steps(block[before[a:b]].astype("<i8")))))
     return _table(CLAIMS, rows)
 
 
@@ -137,8 +148,9 @@ def _repeats(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if not claims.num_rows:
             return _table(REPEATS, [])
         words = _Words(block)
-        parts = [_arrays(n, d, "<i4", "<i4", "<i8") for n, d in zip(claims["n"].to_pylist(), claims["payload"].to_pylist())]
-        own, far, other = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(3))
+        parts = [_get(n, d, "<i4", "<i4", "<i8")[0] for n, d in zip(claims["n"].to_pylist(), claims["payload"].to_pylist())]
+        own, other = (np.concatenate([np.cumsum(p[k], dtype=np.int64) for p in parts]) for k in (0, 2))
+        far = own + np.concatenate([p[1] for p in parts])
         order = np.lexsort((own, own - far, other))
         own, far, other = own[order], far[order], other[order]
         new = np.r_[True, (other[1:] != other[:-1]) | (own[1:] != own[:-1] + 1) | (far[1:] != far[:-1] + 1)]
@@ -151,7 +163,7 @@ def _repeats(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             some = slice(a, b)
             said = b"".join(body[x:y] for x, y in zip(starts[some].tolist(), stops[some].tolist()))
             head = [own[first[some]].astype("<i4"), far[first[some]].astype("<i4"), size[some].astype("<i4"), (stops - starts)[some].astype("<i8")]
-            rows.append((int(other[first[a]]), words.block_id, b - a, B.pack(b"".join(x.tobytes() for x in head) + said)))
+            rows.append((int(other[first[a]]), words.block_id, b - a, _put(*head, more=said)))
         return _table(REPEATS, rows)
 
     return run
@@ -166,17 +178,16 @@ def _compared(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         words = _Words(block)
         body, rows, mine = words.body.tobytes(), [], []
         for other, n, data in zip(repeats["other"].to_pylist(), repeats["n"].to_pylist(), repeats["payload"].to_pylist()):
-            own, far, size, length = _arrays(n, data, "<i4", "<i4", "<i4", "<i8")
-            said = B.unpack(data)[20 * n :]
+            (own, far, size, length), said = _get(n, data, "<i4", "<i4", "<i4", "<i8")
             ends = np.cumsum(length)
             starts, stops = words.start[far], words.stop[far + size + window - 2]
             for a, b, x, y in zip((ends - length).tolist(), ends.tolist(), starts.tolist(), stops.tolist()):
                 if said[a:b] != body[x:y]:
                     raise ValueError("two different windows have one digest; take another seed")
-            rows.append((other, 0, n, B.pack(own.tobytes() + size.tobytes())))
+            rows.append((other, 0, n, _put(own, size)))
             mine.append((far, size))
         far, size = (np.concatenate(x) for x in zip(*mine))
-        return _table(FOUND, [*rows, (words.block_id, 0, len(far), B.pack(far.tobytes() + size.tobytes()))])
+        return _table(FOUND, [*rows, (words.block_id, 0, len(far), _put(far.astype("<i4"), size.astype("<i4")))])
 
     return run
 
@@ -189,6 +200,9 @@ def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> Data
     ranges = B.ranges_for(count)
     drop = np.uint64(64 - min(64, max(32, math.ceil(math.log2(count + 2)) + 12)))  # probes may hit falsely once in 4096
 
+    # bits of a digest beyond the first 64: two different windows share one with a chance below one in 2 ** 16 over the whole run
+    spare = np.uint64((1 << max(8, min(64, 2 * math.ceil(math.log2(count + 2)) + 16 - 64))) - 1)
+
     def probes(words: _Words) -> tuple[np.ndarray, ...]:
         first, hashes = words.grams(size)
         hashes = hashes >> drop << drop
@@ -214,12 +228,12 @@ def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> Data
         digests = [_digest(s) for s in said]
         high, low = (np.array([d >> k & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64) for k in (64, 0))
         order = np.argsort(high, kind="stable")
-        high, low, begin_ = high[order], low[order], begin[order].astype("<i4")
+        high, low, begin_ = high[order], (low & spare)[order], begin[order].astype("<i4")
         cuts, rows = B.range_cuts(high, ranges), []
         for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
             if a < b:
-                rows.append((k, words.block_id, b - a, B.pack(high[a:b].tobytes() + low[a:b].tobytes() + begin_[a:b].tobytes())))
-        known = B.pack(at.astype("<i4").tobytes() + group.astype("<i4").tobytes())
+                rows.append((k, words.block_id, b - a, _put(_steps(high[a:b]), low[a:b], begin_[a:b])))
+        known = _put(_steps(at.astype("<i4")), _steps(group.astype("<i4")))
         return _table(CLAIMS, [*rows, (-1, words.block_id, len(at), known)])
 
     def remove(block: pa.Table, found: pa.Table) -> pa.Table:
@@ -228,9 +242,9 @@ def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> Data
         at = group = np.zeros(0, np.int64)
         for kind, n, data in zip(*(found[c].to_pylist() for c in ("range", "n", "payload"))):
             if kind < 0:
-                at, group = (x.astype(np.int64) for x in _arrays(n, data, "<i4", "<i4"))
+                at, group = (np.cumsum(x, dtype=np.int64) for x in _get(n, data, "<i4", "<i4")[0])
             else:
-                begin, many = _arrays(n, data, "<i4", "<i4")
+                begin, many = _get(n, data, "<i4", "<i4")[0]
                 np.add.at(hit, begin, 1)
                 np.add.at(hit, begin + many, -1)
         if not len(at):

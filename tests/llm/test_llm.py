@@ -143,6 +143,23 @@ def test_windows_with_one_digest_are_no_repeat(docs, monkeypatch):
         substring.dedup(docs).collect()
 
 
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op2_substring", "op7_chat", "op9_decontaminate"])
+def test_query_against_its_sql(spark, name):
+    import os
+
+    from heliograph.llm import queries
+
+    duckdb, data = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no sample tables")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name]).df()
+    got = queries.QUERIES[name](spark, data).toPandas()[list(want.columns)]
+    assert key(map(str, got.values.tolist())) == key(map(str, want.values.tolist()))
+
+
 def test_dedup_of_empty_tables(none):
     assert suffix.dedup(none).count() == 0
     assert substring.dedup(none).count() == 0
