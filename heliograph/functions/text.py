@@ -64,14 +64,28 @@ CUES = {
 STORED = ("extends", "contradicts", "depends_on", "reframes")
 
 
+#: White space in Unicode.
+BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANK))
+
+
 def dehyphenate(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)(\w+)-\s*\n\s*([a-z])", "$1$2")
+    """A word that a hyphen cuts at the end of a line goes on with the small letter on the next; the pattern begins with the hyphen, so nothing else in a text is tried. A letter that one match has taken does not begin another."""
+    return F.regexp_replace(text, r"(?U)(?!\G)-(?<=\w-)\s*\n\s*([a-z])", "$1")
 
 
 def normal_space(text: Column) -> Column:
-    one = F.regexp_replace(text, r"[ \t]+", " ")
+    one = F.regexp_replace(text, r"[ \t]{2,}|\t", " ")  # a single blank stays as it is
     lines = F.regexp_replace(one, r"\n{3,}", "\n\n")
-    return F.regexp_replace(lines, r"(?m)[ \t]+$", "")
+    return F.regexp_replace(lines, r"(?m) $", "")
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 @F.pandas_udf(StringType())
@@ -92,16 +106,18 @@ def clean(text: Column, min_line: int = 3, drop: Callable[[Column], Column] | No
     if min_line > 1:  # a line of 1 to min_line - 1 characters between blanks
         inner = rf"(?:[^\n]{{0,{min_line - 3}}}[^ \n])?" if min_line > 2 else ""
         kept = F.regexp_replace(kept, rf"(?md)^ *[^ \n]{inner} *(?:\n|\z)", "")
-    return F.regexp_replace(normal_space(dehyphenate(kept)), r"(?U)^\s+|\s+$", "")
+    return strip(normal_space(dehyphenate(kept)))
 
 
 def section_type(line: Column) -> Column:
     """The section type that the whole line names, perhaps after a number, else null."""
-    plain = F.lower(F.regexp_replace(F.trim(line), r"\s+", " "))
-    table = F.create_map(*(F.lit(x) for kv in _headings().items() for x in kv))
-    bare = F.trim(F.regexp_replace(plain, r"^\d+\.? ?", ""))
-    numbered = F.element_at(table, bare)
-    return F.coalesce(F.element_at(table, plain), F.when((bare != plain) & ~numbered.isin(*UNNUMBERED), numbered))
+    names = _headings()
+    table = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    most = max(map(len, names)) + 12  # with a number before it
+    kind = lambda h: F.when(F.length(h) <= most, F.element_at(table, h))
+    bare = lambda h: F.when(F.substring(h, 1, 1).between("0", "9"), F.trim(F.regexp_replace(h, r"^\d+\.? ?", "")))
+    numbered = lambda h: let(kind(bare(h)), lambda k: F.when(~k.isin(*UNNUMBERED), k))
+    return let(F.lower(F.regexp_replace(F.trim(line), r"\s{2,}|[^\S ]", " ")), lambda h: F.coalesce(kind(h), numbered(h)))
 
 
 def words(text: Column) -> Column:
@@ -120,7 +136,7 @@ def _sections(rows: DataFrame, max_heading: int, min_words: int) -> DataFrame:
 
     # only lines that may be headings are looked at; the others are counted
     heads = F.aggregate(F.split(text, "\n"), F.struct(F.lit(0).alias("at"), none.alias("heads")), step, lambda at: at["heads"])
-    body = lambda h, end: F.regexp_replace(F.substring(text, h["start_char"] + h["size"] + 1, end - h["start_char"] - h["size"]), r"(?U)^\s+|\s+$", "")
+    body = lambda h, end: strip(F.substring(text, h["start_char"] + h["size"] + 1, end - h["start_char"] - h["size"]))
     end = lambda i: F.coalesce(F.get("__heads", i + 1)["start_char"], F.length(text))
     cut = F.transform("__heads", lambda h, i: F.struct(h["section_type"].alias("section_type"), h["title"].alias("title"), body(h, end(i)).alias("content"), h["start_char"].alias("start_char")))
     whole = F.array(F.struct(F.lit("unknown").alias("section_type"), F.lit("").alias("title"), text.alias("content"), F.lit(0).alias("start_char")))
@@ -139,7 +155,7 @@ def segment(documents: DataFrame, key: str = "doc_id", text: str = "text", max_h
 def segment_with_abstract(documents: DataFrame, key: str = "doc_id", text: str = "text", max_heading: int = 100, min_words: int = 20) -> DataFrame:
     """As segment(), but an abstract at the very beginning that runs up to an introduction is a section of its own, and what follows it is cut."""
     lead = r"(?is)^(?:abstract\s*[:\-]?\s*)(.*?)(?=\n\s*(?:\d+\.?\s*)?(?:introduction|1\.|I\.))"
-    body = F.regexp_replace(F.regexp_extract(text, lead, 1), r"(?U)^\s+|\s+$", "")
+    body = strip(F.regexp_extract(text, lead, 1))
     rows = documents.select(key, F.col(text).alias("__all"), body.alias("__body"), F.length(F.regexp_extract(text, lead, 0)).alias("__size"))
     rows = rows.select("*", F.when(F.size(words(F.col("__body"))) >= min_words, F.col("__size")).otherwise(0).alias("__lead"))
     cut = _sections(rows.select("*", F.expr("substring(__all, __lead + 1)").alias("__text")), max_heading, min_words)
@@ -154,7 +170,7 @@ ENTITY_SECTIONS = ("abstract", "introduction", "methods", "experiments")
 
 def extractor_text(sections: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, text): the sections that entity extractors read, stripped and joined in the order of the text; empty where a text has none."""
-    body = F.regexp_replace("content", r"(?U)^\s+|\s+$", "")
+    body = strip(F.col("content"))
     wanted = F.when(F.col("section_type").isin(*ENTITY_SECTIONS) & (body != ""), F.struct("start_char", body.alias("content")))
     return sections.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(wanted)), lambda s: s["content"]), "\n\n").alias("text"))
 

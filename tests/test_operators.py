@@ -106,6 +106,7 @@ def test_sections_at_the_first_and_last_line(spark):
 
 def test_text_functions(spark):
     assert one(spark, T.dehyphenate(F.lit("neu-\n  ral café-\nx Up-\nDown"))) == "neural caféx Up-\nDown"
+    assert one(spark, T.dehyphenate(F.lit("a-\nb-\nc -\nd e--\nf"))) == "ab-\nc -\nd e--\nf"
     assert one(spark, T.clean(F.lit(" a\n\n\n\nlonger   line\t \nab\nCONFIDENTIAL 12\n"), drop=lambda x: x.rlike(r"^CONF"))) == "longer line"
     assert one(spark, T.jaccard(F.lit("A b  c"), F.lit("a d"))) == 0.25
     assert one(spark, T.jaccard(F.lit(""), F.lit(" "))) == 0.0
