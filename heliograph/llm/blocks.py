@@ -1,7 +1,8 @@
 """Blocks of whole documents, and a way to ask of hashes held in blocks which ones occur elsewhere.
 
 Documents are packed as they stand into blocks of a few MB (zstd), kept as a table bucketed by block, so
-that verdicts on a block meet its text without moving the text again. A question is asked in three steps:
+that verdicts on a block meet its text without moving the text again. A text that is larger than a block is cut
+into parts, a block each, which overlap so that every window lies whole in the part that it begins in. A question is asked in three steps:
 every block sends its distinct hashes, once each and delta-coded, to hash ranges; a range judges them; the
 verdict goes back to the block as bits. A hash that a third of all rows share is one entry a block.
 """
@@ -17,15 +18,17 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from .common import new_table, parallelism, wide_rows
+from .common import spool as keep
 
 BLOCK_BYTES = 2 << 20
 #: Bytes of text in a bucket of blocks, and how many buckets there are at most (Spark's own limit).
 BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 100_000
 RANGE_VALUES = 1_000_000
-SCHEMA = "block_id long, doc_ids array<long>, sizes array<long>, n_bytes long, body binary"
+SCHEMA = "block_id long, doc_ids array<long>, sizes array<long>, n_bytes long, body binary, doc_key long, start long, own long"
 SENT = "range int, block_id long, n int, payload binary"
 VERDICT = "block_id long, range int, n int, bits binary"
 
@@ -48,38 +51,53 @@ def with_extra(ddl: str, field: str, kind: DataType) -> StructType:
     return StructType([*StructType.fromDDL(ddl), StructField(field, kind)])
 
 
-def make(documents: DataFrame, normal: Callable[[bytes], tuple[bytes, int]], joint: bytes, carry: list[str]) -> tuple[DataFrame, int]:
-    """The table of blocks, and the bytes of all texts. normal: a text's bytes -> (bytes to keep, size); empty ones are not joined into the body.
+def make(documents: DataFrame, normal: Callable[[bytes], tuple[bytes, int]], joint: bytes, carry: list[str], cut: Callable[[bytes, int], Iterator[tuple[int, int, bytes, int]]]) -> tuple[DataFrame, int, bool]:
+    """The table of blocks, the bytes of all texts, and whether one may have parts. normal: a text's bytes -> (bytes to keep, size); empty ones are not joined into the body.
 
-    The columns in carry go along as they are, as one struct for each document.
+    cut: what is kept of a long text, and the bytes that a part should have -> parts as (start, own size, bytes, size with
+    the overlap). A part is a block with doc_key (the same for the parts of a text), start and own. The columns in carry go
+    along as they are, as one struct for each document.
     """
     spark = documents.sparkSession
     wide_rows(spark)
     extra = F.struct(*carry) if carry else F.lit(None).cast("string")
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), extra.alias("extra"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block_bytes = BLOCK_BYTES
+    total, long = rows.agg(F.sum(F.octet_length("text")), F.coalesce(F.bool_or(F.octet_length("text") > block_bytes), F.lit(False))).first()
+    total = total or 0
     schema = with_extra(SCHEMA, "extras", ArrayType(rows.schema["extra"].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
         ids, extras, sizes, bodies, held = [], [], [], [], 0
 
-        def out() -> pa.RecordBatch:
-            nonlocal made, ids, extras, sizes, bodies, held
-            body = joint.join(bodies)
-            cols = [[base + made], [ids], [sizes], [len(body)], [pack(body)]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            more = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(extras))
+        def block(ids: list, sizes: list, body: bytes, extra: pa.Array, *part: int | None) -> pa.RecordBatch:
+            nonlocal made
+            cols = [[base + made], [ids], [sizes], [len(body)], [pack(body)], *([x] for x in part)]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            more = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), extra)
             made += 1
-            ids, extras, sizes, bodies, held = [], [], [], [], 0
             return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), more], schema.names)
 
+        def out() -> pa.RecordBatch:
+            nonlocal ids, extras, sizes, bodies, held
+            now = block(ids, sizes, joint.join(bodies), pa.concat_arrays(extras), None, None, None)
+            ids, extras, sizes, bodies, held = [], [], [], [], 0
+            return now
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 begin = 0
                 for k, (doc_id, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                     data, size = normal((text or "").encode("utf-8", "surrogatepass"))
+                    if len(data) > block_bytes:
+                        if begin < k:
+                            extras.append(part.column(2).slice(begin, k - begin))
+                        begin, doc_key = k + 1, base + made
+                        for start, own, piece, n in cut(data, block_bytes):
+                            yield block([doc_id], [n], piece, part.column(2).slice(k, 1), doc_key, start, own)
+                        continue
                     ids.append(doc_id)
                     sizes.append(size)
                     if data:
@@ -97,7 +115,7 @@ def make(documents: DataFrame, normal: Callable[[bytes], tuple[bytes, int]], joi
     n, name = max(parallelism(spark), min(MOST_BUCKETS, math.ceil(total / BUCKET_BYTES))), new_table(spark, "blocks")
     packed = rows.mapInArrow(run, schema).repartition(n, "block_id")
     packed.write.bucketBy(n, "block_id").option("compression", "none").format("parquet").saveAsTable(name)
-    return spark.table(name), total
+    return spark.table(name), total, long
 
 
 class Rolling:
@@ -219,5 +237,29 @@ def opened(table: pa.Table) -> tuple[int, list, pa.Array, np.ndarray, np.ndarray
     return one["block_id"].as_py(), one["doc_ids"].values.to_pylist(), one["extras"].values, one["sizes"].values.to_numpy(), np.frombuffer(unpack(one["body"].as_py()), np.uint8)
 
 
+def finished(blocks: DataFrame, found: DataFrame, remove: Callable, part: Callable, assemble: Callable, schema: StructType, long: bool) -> DataFrame:
+    """Rows of all documents: remove(block, found) makes those of whole documents; part(block, found) what assemble() makes a document of, from all its parts."""
+    if not long:
+        return meet(blocks, found, remove, schema)
+    found = keep(found, "found")
+    kind = StructType([*StructType.fromDDL(PART), StructField("extra", extra_kind(blocks))])
+    parts = meet(blocks.where("doc_key is not null"), found, lambda b, f: part(b, f) if b.num_rows else _none(kind), kind)
+    whole = meet(blocks.where("doc_key is null"), found, lambda b, f: remove(b, f) if b.num_rows else _none(schema), schema)
+    return whole.unionByName(parts.groupBy("doc_key").applyInArrow(assemble, schema))
+
+
+PART = "doc_key long, start long, doc_id long, body binary, spans array<struct<start:long,stop:long>>"
+
+
+def part_row(table: pa.Table, doc_id: int | None, body: bytes, spans: list[dict], extra: pa.Array) -> pa.Table:
+    """A part's own text, and the spans (in its document) that its windows remove."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    return pa.table({"doc_key": table["doc_key"][:1], "start": table["start"][:1], "doc_id": pa.array([doc_id], pa.int64()), "body": pa.array([body], pa.binary()), "spans": pa.array([spans], kind), "extra": extra})
+
+
+def _none(schema: StructType) -> pa.Table:
+    return to_arrow_schema(schema).empty_table()
+
+
 def extra_kind(blocks: DataFrame) -> DataType:
     return blocks.schema["extras"].dataType.elementType

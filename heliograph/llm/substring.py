@@ -10,7 +10,8 @@ and only what is equal is removed. A digest that two different windows share is
 
 Words part at ASCII white space and stay unchanged. Null or empty texts have no words; rows with equal
 doc_ids are different documents (so repeated rows remove each other's words); null doc_ids are kept;
-other columns are ignored; an empty table gives no rows. Texts shorter than a window lose nothing.
+other columns are ignored; an empty table gives no rows. Texts shorter than a window lose nothing; texts larger
+than a block go through in parts.
 """
 
 from __future__ import annotations
@@ -32,8 +33,18 @@ class _Words:
     """The words of a block: where each starts and stops, and which document it is of."""
 
     def __init__(self, table: pa.Table):
-        self.block_id, self.doc_ids, self.extras, self.sizes, body = B.opened(table)
-        self.body = body
+        self.block_id, self.doc_ids, self.extras, sizes, body = B.opened(table)
+        self._read(body, sizes)
+
+    @classmethod
+    def of(cls, text: bytes) -> _Words:
+        """The words of one document."""
+        words = cls.__new__(cls)
+        words._read(np.frombuffer(text, np.uint8), np.array([text.count(b" ") + 1]))
+        return words
+
+    def _read(self, body: np.ndarray, sizes: np.ndarray) -> None:
+        self.body, self.sizes = body, sizes
         space = np.flatnonzero(body == 32)
         n = int(self.sizes.sum())
         self.start = np.r_[0, space + 1][:n]
@@ -195,7 +206,7 @@ def _compared(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> DataFrame:
     """Remove every word covered by a window of words that also starts anywhere else."""
     size = (window + 1) // 2
-    blocks, total = B.make(documents, _normal, b" ", list(carry))
+    blocks, total, long = B.make(documents, _normal, b" ", list(carry), _parts(window))
     count = total / 5.0
     ranges = B.ranges_for(count)
     drop = np.uint64(64 - min(64, max(32, math.ceil(math.log2(count + 2)) + 12)))  # probes may hit falsely once in 4096
@@ -236,7 +247,7 @@ def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> Data
         known = _put(_steps(at.astype("<i4")), _steps(group.astype("<i4")))
         return _table(CLAIMS, [*rows, (-1, words.block_id, len(at), known)])
 
-    def remove(block: pa.Table, found: pa.Table) -> pa.Table:
+    def repeated(block: pa.Table, found: pa.Table) -> tuple[_Words, np.ndarray]:
         words = _Words(block)
         hit = np.zeros(len(words.start) + 1, np.int64)
         at = group = np.zeros(0, np.int64)
@@ -248,11 +259,30 @@ def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> Data
                 np.add.at(hit, begin, 1)
                 np.add.at(hit, begin + many, -1)
         if not len(at):
-            return _result(words, at, window)
+            return words, _gone(words, at, window)
         members = np.bincount(group)
         begin = at[np.unique(group, return_index=True)[1]]
-        repeated = (members > 1) | (np.cumsum(hit[:-1])[begin] > 0)
-        return _result(words, at[repeated[group]], window)
+        twice = (members > 1) | (np.cumsum(hit[:-1])[begin] > 0)
+        return words, _gone(words, at[twice[group]], window)
+
+    def remove(block: pa.Table, found: pa.Table) -> pa.Table:
+        words, gone = repeated(block, found)
+        return _result(words.doc_ids, words.extras, words, gone)
+
+    def part(block: pa.Table, found: pa.Table) -> pa.Table:
+        words, gone = repeated(block, found)
+        at, own = block["start"][0].as_py(), block["own"][0].as_py()
+        edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).tolist()
+        return B.part_row(block, words.doc_ids[0], words.body[: words.stop[own - 1]].tobytes(), [{"start": a + at, "stop": b + at} for a, b in zip(edge[::2], edge[1::2])], words.extras)
+
+    def assemble(parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by("start")
+        words = _Words.of(b" ".join(parts["body"].to_pylist()))
+        gone = np.zeros(len(words.start), bool)
+        for spans in parts["spans"].to_pylist():
+            for s in spans:
+                gone[s["start"] : s["stop"]] = True
+        return _result([parts["doc_id"][0].as_py()], parts["extra"].combine_chunks()[:1], words, gone)
 
     sent = blocks.mapInArrow(ask_probes, B.SENT)
     hits = B.judged(sent, judge_probes, 2)
@@ -261,15 +291,32 @@ def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> Data
     repeats = B.meet(blocks, claims, _repeats(window), REPEATS)
     equal = B.meet(blocks, repeats, _compared(window), FOUND)
     known = asked.where("range < 0").select("block_id", "range", "n", "payload")
-    return B.meet(blocks, equal.unionByName(known), remove, B.with_extra(RESULT, "extra", B.extra_kind(blocks)))
+    return B.finished(blocks, equal.unionByName(known), remove, part, assemble, B.with_extra(RESULT, "extra", B.extra_kind(blocks)), long)
+
 
+def _parts(window: int) -> Callable[[bytes, int], Iterator[tuple[int, int, bytes, int]]]:
+    def cut(data: bytes, size: int) -> Iterator[tuple[int, int, bytes, int]]:
+        stop = np.r_[np.flatnonzero(np.frombuffer(data, np.uint8) == 32), len(data)]
+        start, at = np.r_[0, stop[:-1] + 1], 0
+        while at < len(stop):
+            own = max(1, int(np.searchsorted(stop, start[at] + size, side="right")) - at)
+            last = min(len(stop), at + own + window - 1)
+            yield at, own, data[start[at] : stop[last - 1]], last - at
+            at += own
 
-def _result(words: _Words, first: np.ndarray, window: int) -> pa.Table:
+    return cut
+
+
+def _gone(words: _Words, first: np.ndarray, window: int) -> np.ndarray:
+    """Which words of a block the windows at these first words cover."""
     n = len(words.start)
     cover = np.zeros(n + 1, np.int64)
     np.add.at(cover, first, 1)
     np.add.at(cover, first + window, -1)
-    gone = np.cumsum(cover[:-1]) > 0
+    return np.cumsum(cover[:-1]) > 0
+
+
+def _result(doc_ids: list, extras: pa.Array, words: _Words, gone: np.ndarray) -> pa.Table:
     ends = np.cumsum(words.sizes)
     removed, spans, kept = [], [], []
     body = words.body.tobytes()
@@ -288,10 +335,10 @@ def _result(words: _Words, first: np.ndarray, window: int) -> pa.Table:
         kept.append(b" ".join(body[words.start[a + x] : words.stop[a + y - 1]] for x, y in parts))
     kind = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
     return pa.table({
-        "doc_id": pa.array(words.doc_ids, pa.int64()),
-        "n_words": pa.array(words.sizes),
+        "doc_id": pa.array(doc_ids, pa.int64()),
+        "n_words": pa.array(words.sizes, pa.int64()),
         "n_removed": pa.array(removed, pa.int64()),
         "spans": pa.array(spans, kind),
         "kept": pa.array(kept, pa.binary()),
-        "extra": words.extras,
+        "extra": extras,
     })

@@ -14,14 +14,14 @@ Stage by stage:
 
 Null or empty texts have no bytes; documents with equal doc_ids never remove each other's bytes; a null
 doc_id counts as larger than any other; other columns are ignored; an empty table gives no rows; texts
-shorter than the window lose nothing. Bytes are removed wherever the window says, so what is left need not
+shorter than the window lose nothing; texts larger than a block go through in parts. Bytes are removed wherever the window says, so what is left need not
 be whole characters; `kept` is binary for that reason.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -264,7 +264,7 @@ def dedup(documents: DataFrame, window: int = 50, carry: list[str] = (), as_text
     """
     if not 26 <= window <= ANCHOR + 62:
         raise ValueError("window must be 26 to 82 bytes")
-    blocks, total = B.make(documents, lambda data: (data, len(data)), b"", list(carry))
+    blocks, total, long = B.make(documents, lambda data: (data, len(data)), b"", list(carry), _parts(window))
     anchor_ranges, piece_ranges = _ranges(total)
     drop = np.uint64(64 - min(64, max(32, math.ceil(math.log2(total + 2)) + 10)))  # asked anchors may be live falsely once in thousands
 
@@ -339,7 +339,7 @@ def dedup(documents: DataFrame, window: int = 50, carry: list[str] = (), as_text
         bits = [B.pack(np.ascontiguousarray(mask[a:b].view(np.uint8).reshape(-1, 8).T).tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
         return pa.table({"block_id": table["block_id"], "range": table["range"], "n": table["n"], "bits": pa.array(bits, pa.binary())})
 
-    def remove(block: pa.Table, verdicts: pa.Table) -> pa.Table:
+    def masked(block: pa.Table, verdicts: pa.Table) -> tuple[_Pieces, np.ndarray]:
         p = _Pieces(block, window)
         rows = sorted(zip(*(verdicts[c].to_pylist() for c in ("range", "n", "bits"))))
         mask = np.zeros(len(p.head), np.uint64)
@@ -349,17 +349,51 @@ def dedup(documents: DataFrame, window: int = 50, carry: list[str] = (), as_text
             got = [np.ascontiguousarray(np.frombuffer(B.unpack(b), np.uint8).reshape(8, n).T).view(np.uint64).reshape(-1) for _, n, b in rows[1:]]
             if got:
                 mask[pick] = np.concatenate(got)
-        return _result(p, mask, as_text)
+        return p, _gone(p, mask)
+
+    def remove(block: pa.Table, verdicts: pa.Table) -> pa.Table:
+        p, gone = masked(block, verdicts)
+        return _result(p.doc_ids, p.extras, p.sizes, p.body, gone, as_text)
+
+    def part(block: pa.Table, verdicts: pa.Table) -> pa.Table:
+        p, gone = masked(block, verdicts)
+        at, own = block["start"][0].as_py(), block["own"][0].as_py()
+        return B.part_row(block, p.doc_ids[0], p.body[:own].tobytes(), [{"start": a + at, "stop": b + at} for a, b in _runs(gone)], p.extras)
+
+    def assemble(parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by("start")
+        body = np.frombuffer(b"".join(parts["body"].to_pylist()), np.uint8)
+        gone = np.zeros(len(body), bool)
+        for spans in parts["spans"].to_pylist():
+            for s in spans:
+                gone[s["start"] : s["stop"]] = True
+        return _result([parts["doc_id"][0].as_py()], parts["extra"].combine_chunks()[:1], np.array([len(body)]), body, gone, as_text)
 
     sent = blocks.mapInArrow(ask_anchors, B.SENT)
     live = B.judged(sent, judge_anchors, 1)
     pieces = spool(B.meet(blocks, live, send_pieces, B.SENT), "pieces", "none")
     sorted_ = pieces.where("range >= 0").groupBy("range").applyInArrow(sort_range, B.VERDICT)
     asked_for = pieces.where("range < 0").selectExpr("block_id", "range", "n", "payload as bits")
-    return B.meet(blocks, sorted_.unionByName(asked_for), remove, B.with_extra(RESULT.replace("kept binary", "kept string") if as_text else RESULT, "extra", B.extra_kind(blocks)))
+    schema = B.with_extra(RESULT.replace("kept binary", "kept string") if as_text else RESULT, "extra", B.extra_kind(blocks))
+    return B.finished(blocks, sorted_.unionByName(asked_for), remove, part, assemble, schema, long)
+
+
+def _parts(window: int) -> Callable[[bytes, int], Iterator[tuple[int, int, bytes, int]]]:
+    def cut(data: bytes, size: int) -> Iterator[tuple[int, int, bytes, int]]:
+        for at in range(0, len(data), size):
+            piece = data[at : at + size + window - 1]
+            yield at, min(size, len(data) - at), piece, len(piece)
 
+    return cut
 
-def _result(p: _Pieces, mask: np.ndarray, as_text: bool) -> pa.Table:
+
+def _runs(gone: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
+    return list(zip(edge[::2], edge[1::2]))
+
+
+def _gone(p: _Pieces, mask: np.ndarray) -> np.ndarray:
+    """Which bytes of a block go."""
     n, window = len(p.body), p.window
     cover = np.zeros(n + 1, np.int32)
     if len(p.at):
@@ -371,26 +405,28 @@ def _result(p: _Pieces, mask: np.ndarray, as_text: bool) -> pa.Table:
             start = p.at[on] - (p.slots - 1) + k  # all distinct
             cover[start] += 1
             cover[start + window] -= 1
-    gone = np.cumsum(cover[:-1]) > 0
-    ends = np.cumsum(p.sizes)
+    return np.cumsum(cover[:-1]) > 0
+
+
+def _result(doc_ids: list, extras: pa.Array, sizes: np.ndarray, body: np.ndarray, gone: np.ndarray, as_text: bool) -> pa.Table:
+    ends = np.cumsum(sizes)
     removed, spans, kept = [], [], []
-    for a, b in zip((ends - p.sizes).tolist(), ends.tolist()):
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
         out = gone[a:b]
         count = int(np.count_nonzero(out))
         removed.append(count)
         if not count:
             spans.append([])
-            kept.append(p.body[a:b].tobytes())
+            kept.append(body[a:b].tobytes())
             continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8))).tolist()
-        spans.append([{"start": x, "stop": y} for x, y in zip(edge[::2], edge[1::2])])
-        kept.append(p.body[a:b][~out].tobytes())
+        spans.append([{"start": x, "stop": y} for x, y in _runs(out)])
+        kept.append(body[a:b][~out].tobytes())
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     return pa.table({
-        "doc_id": pa.array(p.doc_ids, pa.int64()),
-        "n_bytes": pa.array(p.sizes),
+        "doc_id": pa.array(doc_ids, pa.int64()),
+        "n_bytes": pa.array(sizes, pa.int64()),
         "n_removed": pa.array(removed, pa.int64()),
         "spans": pa.array(spans, kind),
         "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
-        "extra": p.extras,
+        "extra": extras,
     })

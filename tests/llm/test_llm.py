@@ -48,7 +48,7 @@ def B_ROWS(docs):
     """All documents as one block."""
     import pyarrow as pa
 
-    made, _ = blocks.make(docs.coalesce(1), lambda data: (data, len(data)), b"", [])
+    made, _, _ = blocks.make(docs.coalesce(1), lambda data: (data, len(data)), b"", [], suffix._parts(50))
     return pa.Table.from_pylist([r.asDict() for r in made.collect()], schema=pa.schema([("block_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("extras", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())), ("n_bytes", pa.int64()), ("body", pa.binary())]))
 
 
@@ -75,6 +75,28 @@ def test_suffix_dedup(docs, monkeypatch, block_bytes):
     assert {tuple(r["extra"]) for r in rows} == {("en", "e")}
 
 
+def test_parts_of_long_texts():
+    data = bytes(RNG.integers(97, 123, 1000).astype(np.uint8))
+    parts = list(suffix._parts(50)(data, 300))
+    assert [(a, o, n) for a, o, _, n in parts] == [(0, 300, 349), (300, 300, 349), (600, 300, 349), (900, 100, 100)]
+    assert b"".join(p[:o] for _, o, p, _ in parts) == data
+    words = [b"w" * int(k) for k in RNG.integers(1, 60, 200)]
+    cut = list(substring._parts(35)(b" ".join(words), 400))
+    assert sum(o for _, o, _, _ in cut) == 200 and all(p.split() == words[a : a + o + 34] and len(p.split()) == n for a, o, p, n in cut)
+    assert all(len(b" ".join(words[a : a + o])) <= 400 for a, o, _, _ in cut) and b" ".join(b" ".join(p.split()[:o]) for _, o, p, _ in cut) == b" ".join(words)
+    assert [o for _, o, _, _ in substring._parts(35)(b"x" * 900 + b" y", 400)] == [1, 1]
+
+
+def test_long_texts_with_carried_columns(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 500)
+    shared = prose(200)
+    d = spark.createDataFrame([(1, prose(300) + " " + shared, "a"), (2, "b " + shared + " " + prose(300), "b"), (3, "short", "c"), (None, "x" * 3000, None)], "doc_id long, text string, extra string")
+    for found in (suffix.dedup(d, carry=["extra"], as_text=True), substring.dedup(d, carry=["extra"])):
+        rows = {r["doc_id"]: r for r in found.collect()}
+        assert len(rows) == 4 and {k: r["extra"]["extra"] for k, r in rows.items()} == {1: "a", 2: "b", 3: "c", None: None}
+        assert rows[2]["n_removed"] >= 200 and len(rows[2]["spans"]) == 1
+
+
 def test_carried_columns_come_back_as_they_were(spark):
     d = spark.sql("SELECT id AS doc_id, repeat('text ', 30) AS text, timestamp'2024-01-02 03:04:05.123456' AS at, double('NaN') AS x, CASE WHEN id > 3 THEN map('k', array(id, null)) END AS m, decimal(1.10) AS d FROM range(7)")
     carry = ["at", "x", "m", "d", "doc_id"]
