@@ -67,3 +67,23 @@ def extract(rows: DataFrame, text: str, f: Callable[[str], list[dict]], schema:
 
     done = rows.select("id", text).mapInPandas(run, f"id {kind}, items array<struct<{schema}>>, error string")
     return done.where("error is null").select("id", F.inline("items")), done.where("error is not null").select("id", "error")
+
+
+def describe(rows: DataFrame, name: str, f: Callable[[str], str], check: Callable[[str, str], bool], into: str = "description") -> DataFrame:
+    """Fill empty descriptions with those that f gives for a name and that pass a check of name and description; a row at which either fails stays without. rows have an id."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, value in zip(b["id"], b[name]):
+                try:
+                    told = f(value)
+                    out.append((key, told if told and check(value, told) else None))
+                except Exception:  # noqa: BLE001  a model's failure is data here
+                    out.append((key, None))
+            yield pd.DataFrame(out, columns=["id", "told"])
+
+    empty = rows.where(F.col(into).isNull() | (F.trim(into) == ""))
+    told = empty.select("id", name).dropDuplicates(["id"]).mapInPandas(run, f"id {kind}, told string")
+    return rows.join(told, "id", "left").withColumn(into, F.coalesce("told", into)).select(*rows.columns)

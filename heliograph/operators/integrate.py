@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import models as G
 from ..functions import text as T
 from ..functions import vector as V
 from ..scratch import keep
@@ -139,6 +141,22 @@ def relations(texts: DataFrame, problems: DataFrame, key: str = "doc_id", text:
     return T.best_relations(found, within=[key]).drop("ordinal", "stored_type")
 
 
+def process_texts(documents: DataFrame, extractor: Callable[[str], list[dict]], key: str = "doc_id", text: str = "text", top_n: int = 3, least: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sections, problems, relations, failures) of texts with different keys.
+
+    Texts are cut into sections, extractor turns the likeliest of them into problems (mappings of statement, quoted_text
+    and confidence), those of enough confidence are related with one another. problems: key, ordinal, section, statement,
+    quoted_text, confidence; failures: key, section, error.
+    """
+    sections = keep(T.segment_with_abstract(documents, key, text), "sections")
+    some = T.top_sections(sections, key, top_n).select(F.concat_ws("\x1f", F.col(key).cast("string"), F.col("nth").cast("string")).alias("id"), key, F.col("section_type").alias("section"), "nth", "content")
+    items, failures = G.extract(some, "content", extractor, "statement string, quoted_text string, confidence double")
+    found = items.where((F.col("confidence") >= least) & (F.trim("statement") != "")).join(some.drop("content"), "id")
+    at = F.row_number().over(Window.partitionBy(key).orderBy("nth", "statement"))
+    problems = keep(found.select(key, at.alias("ordinal"), "section", "statement", F.coalesce("quoted_text", "statement").alias("quoted_text"), "confidence"), "problems")
+    return sections, problems, relations(documents, problems, key, text), failures.join(some.drop("content", "nth"), "id").drop("id")
+
+
 def import_outcome(known: Column, failed: Column, update: bool) -> Column:
     return F.when(failed, "error").when(known & F.lit(update), "updated").when(known, "skipped").otherwise("created")
 

@@ -306,6 +306,30 @@ def calibration_recommend(spark: SparkSession, d: str) -> DataFrame:
 ORACLE_SQL["calibration_recommend"] = ORACLE_SQL["calibration_recommend"].format(sweep=ORACLE_SQL["calibration_sweep"])
 
 
+@query("""SELECT a.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""", graph=False)
+def cosine_of_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    nxt = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
+    return rows.join(nxt, "vec_id").select(F.col("vec_id").alias("id"), F.round(V.cosine("embedding", "after"), 6).alias("score"))
+
+
+@query("""SELECT p_partkey AS id, md5(CASE WHEN p_size % 3 > 0 THEN p_name || ' Assumptions: ' || array_to_string([p_brand, p_type, p_name, p_brand][1:least(3, p_size % 5)], '; ') ELSE p_name END) AS problem, md5(CASE WHEN p_size > 25 THEN p_brand || ': ' || p_type ELSE p_brand END) AS entity FROM part WHERE p_size % 5 > 0 OR p_size % 3 = 0""", graph=False)
+def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").where("p_size % 5 > 0 OR p_size % 3 = 0")
+    assumed = F.when(F.col("p_size") % 3 > 0, F.slice(F.array("p_brand", "p_type", "p_name", "p_brand"), 1, (F.col("p_size") % 5).cast("int")))
+    problem = V.embedding_text(F.col("p_name"), F.coalesce(assumed, F.array().cast("array<string>")))
+    return rows.select(F.col("p_partkey").alias("id"), F.md5(problem).alias("problem"), F.md5(V.named_text(F.col("p_brand"), F.when(F.col("p_size") > 25, F.col("p_type")))).alias("entity"))
+
+
+@query("""WITH m AS (SELECT src AS id, min(dst) AS paper FROM extracted GROUP BY src),
+b AS (SELECT DISTINCT x.id AS mention, k.dst AS concept FROM m x JOIN cites c ON c.src = x.paper JOIN m y ON y.paper = c.dst AND y.id <> x.id JOIN belongs k ON k.src = y.id) SELECT concept, count(*) AS n FROM b GROUP BY concept""")
+def citation_boosts(spark: SparkSession, d: str) -> DataFrame:
+    """How many mentions each concept is boosted for, as a paper that theirs cites mentions it."""
+    g = load(spark, d)
+    mentions = g.edges["extracted_from"].groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("paper"))
+    return S.citation_boost(mentions, g.edges["cites"], g.edges["belongs_to"].withColumnRenamed("dst", "concept")).groupBy("concept").agg(F.count("*").alias("n"))
+
+
 # --- resolution ---------------------------------------------------------------------------------------------------
 
 _COMPONENTS = _VEC.replace("WITH v", "WITH RECURSIVE v", 1).replace("WHERE q.id % 20 = 0", "WHERE q.id < n.id") + """, e AS (SELECT query_id AS src, id AS dst FROM near WHERE score >= 0.38),
@@ -809,6 +833,45 @@ def batch_jobs(spark: SparkSession, d: str) -> DataFrame:
     return n(jobs, "all").join(n(B.pending(jobs), "n_next"), "batch_id", "left").join(n(B.resume(jobs), "n_again"), "batch_id", "left").fillna(0, ["n_next", "n_again"]).select("batch_id", "n_next", "n_again")
 
 
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'deprecated' ELSE o_orderstatus END AS status FROM orders""", graph=False)
+def soft_deleted(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").selectExpr("o_orderkey AS id", "o_orderstatus AS status")
+    gone = rows.where("id % 5 = 0").select("id")
+    return U.soft_delete(rows, gone.unionByName(gone))
+
+
+@query("""WITH s AS (SELECT user_id AS m, event_id AS c, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) AS n, max(value) OVER (PARTITION BY user_id) AS top FROM events),
+e AS (SELECT m, string_agg(CAST(c AS VARCHAR), ',' ORDER BY n) AS suggested, any_value(top) AS top FROM s WHERE n <= 5 GROUP BY m), p AS (SELECT *, CAST(greatest(1, least(10, 5 + trunc((1 - top) * 5))) AS INTEGER) AS priority FROM e)
+SELECT m AS mention_id, suggested, priority, CASE WHEN priority <= 3 THEN 'high' WHEN priority <= 6 THEN 'medium' ELSE 'low' END AS word, strftime(TIMESTAMP '2024-01-01' + to_hours(CASE WHEN priority <= 3 THEN 24 WHEN priority <= 6 THEN 168 ELSE 720 END), '%Y-%m-%d %H:%M:%S') AS sla FROM p""", graph=False)
+def review_enqueue(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    found = Q.enqueue(e.select(F.col("user_id").alias("id")).distinct(), e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), F.col("value").alias("score")), F.lit("2024-01-01").cast("timestamp"))
+    ids = F.array_join(F.transform("suggested", lambda x: x["id"].cast("string")), ",")
+    return found.select("mention_id", ids.alias("suggested"), "priority", Q.word(F.col("priority")).alias("word"), F.date_format("sla_deadline", "yyyy-MM-dd HH:mm:ss").alias("sla"))
+
+
+@query("""SELECT CAST(user_id % 10 AS BIGINT) AS client, CAST(sum(event_id % 100) AS BIGINT) AS prompt_tokens, CAST(sum(event_id % 7) AS BIGINT) AS completion_tokens, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE event_id % 100 + event_id % 7 END) AS BIGINT) AS total_tokens FROM events GROUP BY user_id % 10""", graph=False)
+def token_usage(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "events").selectExpr("user_id % 10 AS client", "event_id % 100 AS prompt_tokens", "event_id % 7 AS completion_tokens", "CASE WHEN event_id % 3 = 0 THEN 1 END AS total_tokens")
+    return A.usage(calls, "client")
+
+
+@query("""SELECT conv_id, turn, CAST(floor((coalesce(length(text), 0) + length(role)) / 4) + 100 AS BIGINT) AS tokens, CASE WHEN length('s:op:a=' || conv_id || ':b=' || text) > 200 THEN 's:op:' || substr(md5('s:op:a=' || conv_id || ':b=' || text), 1, 16) ELSE coalesce('s:op:a=' || conv_id || ':b=' || text, 's:op:a=' || conv_id) END AS cache_key FROM conversations""", graph=False)
+def call_estimates(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", X.tokens_estimate(F.col("text"), F.col("role"), 100).cast("long").alias("tokens"), P.cache_key("s", "op", b=F.col("text"), a=F.col("conv_id")).alias("cache_key"))
+
+
+@query("""SELECT doc_id FROM labels WHERE doc_id % 2 = 0 AND quality = 1""", graph=False)
+def skippable_papers(spark: SparkSession, d: str) -> DataFrame:
+    """Papers extracted under the present taxonomy; the last of two runs counts."""
+    l = table(spark, d, "labels")
+    runs = l.select(F.col("doc_id").alias("doi"), F.lit(1).alias("ordinal"), F.lit("old").alias("taxonomy_hash"), F.array(F.lit("models")).alias("failed"))
+    later = l.select(F.col("doc_id").alias("doi"), F.lit(2).alias("ordinal"), F.when(F.col("doc_id") % 2 == 0, "now").otherwise("other").alias("taxonomy_hash"), F.when(F.col("quality") == 0, F.array(F.lit("topics"))).alias("failed"))
+    papers = I.extraction_metadata(l.select(F.col("doc_id").alias("doi")).distinct(), runs.unionByName(later))
+    return I.skippable(papers, "now").select(F.col("doi").alias("doc_id"))
+
+
 # --- schema, taxonomy, integration -----------------------------------------------------------------------------------
 
 

@@ -168,3 +168,32 @@ def test_taxonomy_as_text(spark):
     assert {r["path"] for r in Y.flatten(t).collect()} == {r["path"] for r in Y.parse(spark, TREE).collect()}
     lines = [r["text"] for r in Y.to_text(t).collect()][0].split("\n")
     assert lines[0] == '- name: "Computing"' and '    - name: "Vision"' in lines and '        - name: "Tracking"' in lines
+
+
+def test_texts_to_problems_and_relations(spark):
+    like = "a very long open problem of sparse graphs and slow walks"
+    body = f"We list things here. {like} in theory. {like} in practice. " + "filler words " * 20
+    rows = [(1, f"Abstract: {'short talk ' * 15}\n1. Introduction\n{'intro text ' * 30}\nLimitations\n{body}"), (2, "Limitations\n" + "fail " * 40), (3, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def extractor(text):
+        if text.startswith("fail"):
+            raise ValueError("no answer")
+        return [{"statement": s.strip(), "quoted_text": None, "confidence": 0.9 if "problem" in s else 0.2} for s in text.split(". ")]
+
+    sections, problems, related, failures = I.process_texts(d, extractor)
+    assert got(sections, "doc_id", "section_type") == [(1, "abstract"), (1, "introduction"), (1, "limitations"), (2, "limitations")]
+    assert got(problems, "section", "statement") == [("limitations", f"{like} in practice"), ("limitations", f"{like} in theory")]
+    assert got(related, "relation", "source", "target") == [("related_to", f"{like} in practice", f"{like} in theory")]
+    assert got(failures, "doc_id", "section", "error") == [(2, "limitations", "ValueError: no answer")]
+
+
+def test_descriptions_are_checked(spark):
+    d = spark.createDataFrame([(1, "a", None), (2, "b", "has one"), (3, "c", " "), (4, "d", "")], "id long, name string, description string")
+
+    def f(name):
+        if name == "d":
+            raise ValueError("no answer")
+        return f"about {name}"
+
+    assert got(G.describe(d, "name", f, lambda name, told: name != "c"), "id", "description") == [(1, "about a"), (2, "has one"), (3, " "), (4, "")]
