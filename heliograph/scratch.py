@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 _MADE: dict[str, list[str]] = {}
 _TABLES: dict[str, list[str]] = {}
+_OPTIONS: dict[str, dict[str, str | None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,8 +45,16 @@ def keep(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_option(spark: SparkSession, key: str, value: str) -> None:
+    """Set a session option until clear(), which puts back what it was."""
+    _OPTIONS.setdefault(spark.sparkContext.applicationId, {}).setdefault(key, spark.conf.get(key, None))
+    spark.conf.set(key, value)
+
+
 def clear(spark: SparkSession) -> int:
-    """Remove every folder and table that this application's operators made and give their number. Call it when their results are written."""
+    """Remove every folder and table that this application's operators made, put back the session options that they set, and give the number of folders and tables. Call it when their results are written."""
+    for key, old in _OPTIONS.pop(spark.sparkContext.applicationId, {}).items():
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
     paths, tables = (made.pop(spark.sparkContext.applicationId, []) for made in (_MADE, _TABLES))
     for name in tables:
         spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")

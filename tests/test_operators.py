@@ -258,12 +258,16 @@ def test_edges_keep_their_properties(spark):
 def test_scratch_can_be_cleared(spark):
     from heliograph import scratch
 
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    scratch.set_option(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    scratch.set_option(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "6")
     kept = scratch.keep(spark.range(3), "x")
     path = kept.inputFiles()[0]
     assert scratch.clear(spark) >= 1
     import os
 
     assert not os.path.exists(path.removeprefix("file://"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
 def test_streamed_batches_make_versions(spark, tmp_path):
