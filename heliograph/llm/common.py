@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..scratch import keep as spool
-from ..scratch import new_dir, new_table
+from ..scratch import new_dir, new_table, set_option
 
 __all__ = ["id_text", "new_dir", "new_table", "parallelism", "spool", "table", "wide_rows", "with_row"]
 
@@ -17,7 +17,7 @@ WIDE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "256", "spark.sql.exec
 
 def wide_rows(spark: SparkSession) -> None:
     for key, value in WIDE_ROWS.items():
-        spark.conf.set(key, value)
+        set_option(spark, key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
