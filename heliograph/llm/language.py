@@ -189,7 +189,7 @@ def train(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[ByteBiGRU, list[
         return None
     langs, share = sorted(counts), quota(list(counts.values()), max_fit)
     # the least hashes of each part of a language, so few that every task keeps no more of its own rows
-    parts = max(1, share // 64)
+    parts = max(1, share // 16)
     nth = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("h"), F.lit(parts))).orderBy("h", "windows"))
     some = rows.withColumn("nth", nth).where(F.col("nth") <= share // parts)
     of = {lang: k for k, lang in enumerate(langs)}
