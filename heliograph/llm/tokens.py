@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from itertools import filterfalse, islice
 
 import numpy as np
 
@@ -39,8 +39,8 @@ class WordEncoder:
         """Ids of letters-only words, encoded as running text: each with its space (sep " ") or as the start of a line (sep newline)."""
         out: list[bytes] = []
         step = 1 if sep == " " else 2  # a newline is a word of its own
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
+        for at in range(0, len(words), 200):  # short runs stay in the processor's caches
+            part = words[at : at + 200]
             e = self.tokenizer.encode(sep + sep.join(part), add_special_tokens=False)
             ids, of = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
             if len(ids) and of[-1] == step * len(part) - 1:
@@ -51,11 +51,14 @@ class WordEncoder:
                 out += self._direct([sep.strip(" ") and w or " " + w for w in part])
         return out
 
-    def _learn(self, cuts: list[str]) -> None:
+    def _learn(self, cuts: set[str]) -> None:
         """Enter cuts, each as it stands after its space. Marked keys: \0 for tails, \1 for words that begin a line."""
         cache, other, made = self.cache, [], []
         spaced, lines, tails = {}, {}, {}
         for cut in cuts:
+            if cut.isalpha():  # most of them
+                spaced[cut] = None
+                continue
             m = _PARTS.fullmatch(cut)
             if m is None or not m[1].isalpha() or (m[3] and not m[3].isalpha()):
                 other.append(cut)
@@ -106,15 +109,14 @@ class WordEncoder:
             if len(self.cache) > self.cache_entries:
                 for k in list(islice(reversed(self.cache), self.cache_entries // 3)):  # the frequent words came early
                     del self.cache[k]
-            need: set[str] = set()
-            for c in cuts:
-                need.update(c[1:])
+            missing: set[str] = set()
             cache = self.cache
-            missing = [k for k in need if k not in cache]
+            for c in cuts:
+                missing.update(filterfalse(cache.__contains__, islice(c, 1, None)))
             if missing:
                 self._learn(missing)
             heads = self._direct([c[0] for c in cuts])
-            out += [h + b"".join(map(cache.__getitem__, c[1:])) for h, c in zip(heads, cuts)]
+            out += [h + b"".join(map(cache.__getitem__, islice(c, 1, None))) for h, c in zip(heads, cuts)]
         return out
 
 
