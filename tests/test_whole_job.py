@@ -47,9 +47,9 @@ def test_registered_groups_use_every_row(spark, tmp_path):
     x[33], x[51] = x[21], x[21] + 0.01  # no id divisible by 20
     d = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     d.write.parquet(str(tmp_path / "embeddings.parquet"))
-    found = {r["id"]: r["component"] for r in registry.QUERIES["dedup_components_all_pairs"](spark, str(tmp_path)).collect()}
+    found = {r["id"]: r["component"] for r in registry.QUERIES["dedup_components"](spark, str(tmp_path)).collect()}
     assert found[33] == found[51] == found[21] <= 21
-    one = registry.QUERIES["canonical_of_components_all_pairs"](spark, str(tmp_path)).where(F.col("component") == found[21]).first()
+    one = registry.QUERIES["canonical_of_components"](spark, str(tmp_path)).where(F.col("component") == found[21]).first()
     assert one["members"] >= 3
 
 
