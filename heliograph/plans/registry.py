@@ -558,7 +558,7 @@ _WORDS = r"list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda x: x <>
 
 @query(f"""WITH c(relation, cue, o) AS (SELECT relation, cue, row_number() OVER () - 1 FROM (VALUES {_CUES}) v(relation, cue)), t AS (SELECT conv_id, text || ' This builds on and questions it.' AS text FROM conversations WHERE turn = 0 AND text IS NOT NULL),
 h AS (SELECT conv_id, relation, cue, o, substr(text, greatest(1, instr(lower(text), cue) - 100), least(length(text) + 1, instr(lower(text), cue) + length(cue) + 100) - greatest(1, instr(lower(text), cue) - 100)) AS context FROM t JOIN c ON contains(lower(text), cue)),
-p AS (SELECT conv_id, turn, text AS statement, list_sort(list_distinct({_WORDS.format("text")})) AS s FROM conversations WHERE text IS NOT NULL),
+q AS (SELECT conv_id, turn, 'This builds on and questions it ' || turn % 3 AS statement FROM conversations WHERE text IS NOT NULL), p AS (SELECT *, list_sort(list_distinct({_WORDS.format("statement")})) AS s FROM q),
 m AS (SELECT h.*, p.turn, p.statement, row_number() OVER (PARTITION BY h.conv_id, relation, cue ORDER BY turn, statement) AS n FROM h JOIN p ON p.conv_id = h.conv_id WHERE CAST(len(list_intersect(s, {_WORDS.format("context")})) AS DOUBLE) / greatest(1, len(s)) > 0.3),
 cues AS (SELECT conv_id, relation, o, first(left(statement, 100) ORDER BY n) AS source, first(left(statement, 100) ORDER BY n DESC) AS target, 0.6::DOUBLE AS confidence FROM m WHERE n <= 2 GROUP BY conv_id, relation, cue, o HAVING count(*) = 2),
 r AS (SELECT conv_id, s, first(statement ORDER BY turn) AS statement, min(turn) AS turn FROM p WHERE len(s) > 0 GROUP BY conv_id, s),
@@ -568,10 +568,10 @@ al AS (SELECT * FROM cues UNION ALL SELECT * FROM near WHERE confidence >= 0.7 U
 best AS (SELECT *, row_number() OVER (PARTITION BY conv_id, left(source, 50), left(target, 50), relation ORDER BY confidence DESC, o, source, target) AS n FROM al WHERE confidence >= 0.5)
 SELECT conv_id, relation, md5(source) AS source, md5(target) AS target, round(confidence, 9) AS confidence FROM best WHERE n = 1""", graph=False)
 def relations_of_texts(spark: SparkSession, d: str) -> DataFrame:
-    """A conversation's first turn is the text, all its turns are the problems."""
+    """A conversation's first turn is the text; every turn tells a problem, in three wordings."""
     c = table(spark, d, "conversations").where("text is not null")
     texts = c.where("turn = 0").select("conv_id", F.concat("text", F.lit(" This builds on and questions it.")).alias("text"))
-    return I.relations(texts, c.select("conv_id", F.col("turn").alias("ordinal"), F.col("text").alias("statement")), "conv_id").select("conv_id", "relation", F.md5("source").alias("source"), F.md5("target").alias("target"), F.round("confidence", 9).alias("confidence"))
+    return I.relations(texts, c.select("conv_id", F.col("turn").alias("ordinal"), F.concat(F.lit("This builds on and questions it "), F.col("turn") % 3).alias("statement")), "conv_id").select("conv_id", "relation", F.md5("source").alias("source"), F.md5("target").alias("target"), F.round("confidence", 9).alias("confidence"))
 
 
 @query(r"""WITH m AS (SELECT conv_id, conv_id * 100 + turn AS mention_id, text FROM conversations), w AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, '[A-Za-z]{9,}')) AS word FROM conversations WHERE turn = 0)
