@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, language, packing, quality, simhash, substring, suffix, token_files
+from . import ann, chat, decontaminate, importance, language, lm, packing, quality, simhash, substring, suffix, token_files, whitening
 from .common import table
 
 
@@ -60,6 +60,20 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long's range is null."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_substring": op2_substring,
@@ -71,6 +85,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_decontaminate": op9_decontaminate,
     "op10_language": op10_language,
+    "op11_lm_score": op11_lm_score,
+    "op12_importance": op12_importance,
+    "op13_whitening": op13_whitening,
 }
 
 #: What the template adds and escapes, restated in SQL for op7.
@@ -130,4 +147,27 @@ hi AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CA
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+    "op12_importance": r"""
+WITH crc AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(k, generate_series(1, 8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM (SELECT unnest(generate_series(0, 255)) AS k))),
+words AS (
+  SELECT src, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT 'd' AS src, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark)),
+f AS (
+  SELECT src, r, unnest(w) AS f FROM words
+  UNION ALL SELECT src, r, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM words WHERE len(w) > 1),
+counted AS (SELECT src, r, f, count(*) AS n FROM f GROUP BY src, r, f),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)),
+b AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(generate_series(1, length(h), 2), lambda i: 16 * (instr('0123456789ABCDEF', substr(h, i, 1)) - 1) + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) % 10000 AS b
+  FROM hexed, crc),
+n AS (SELECT src, r, b, sum(n) AS n FROM counted JOIN b USING (f) GROUP BY src, r, b),
+s AS (SELECT b, coalesce(sum(n) FILTER (src = 'd'), 0) AS s, coalesce(sum(n) FILTER (src = 't'), 0) AS t FROM n GROUP BY b),
+total AS (SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM s),
+g AS (SELECT b, CAST(floor(1000 * ln((CAST(s.t + 1 AS DOUBLE) * (total.s + 10000)) / (CAST(s.s + 1 AS DOUBLE) * (total.t + 10000)))) AS BIGINT) AS g FROM s, total),
+w AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * g) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight FROM n JOIN g USING (b) WHERE src = 'd' GROUP BY r),
+h AS (SELECT r, doc_id, len(w) AS n_words, CAST(list_reduce(list_prepend(0, list_transform(generate_series(1, 8), lambda i: instr('0123456789abcdef', substr(sha256('7:' || doc_id), i, 1)) - 1)), lambda a, x: a * 16 + x) AS DOUBLE) AS h FROM words WHERE src = 'd'),
+scored AS (SELECT r, doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM h LEFT JOIN w USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS of FROM scored WHERE n_words >= 20 AND score IS NOT NULL)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CAST(CASE WHEN rank <= 25 * of // 100 THEN rank END AS BIGINT) AS rank FROM scored LEFT JOIN ranked USING (r)""",
 }
