@@ -2,9 +2,12 @@
 
 Vectors are dealt to shards of bounded size by a hash. In a shard, equal vectors are one node; greedy
 searches from the medoid propose neighbours for a node, relaxed distance pruning keeps diverse ones, and
-edges are added both ways. A shard's graph is a file in the shared folder. Queries are rows of a table: each
-meets every shard of its length in tasks that open the shard's file, beam search finds candidates, distances
-are computed exactly in double precision, and the nearest of all shards are merged. The driver sees counts only.
+edges are added both ways. A shard's graph is a file in the shared folder, and so is a block of queries: tasks get
+pairs of paths, every block with every shard of its length. Beam search finds candidates, distances are
+computed exactly in double precision, and the nearest of all shards are merged. The driver sees counts only. Searches
+work in single precision, or in double precision in a shard whose vectors differ in size by more than TAME; both
+take differences, so vectors close together are told apart wherever they lie. A query whose beam holds fewer rows than
+it asks for is held against its whole shard.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; vectors of different
 length have no distance, so each length is searched for itself; null ids take no part; rows with equal ids
@@ -34,32 +37,55 @@ EXPAND = 4
 ALPHA = 1.2
 QUERY_BLOCK = 4096
 BATCH = 256
+#: The largest vector of a shard, from their median, in median ones, up to which single precision serves.
+TAME = 1e4
 FOUND = "query_row long, query_id long, row long, vec_id long, score double"
 
 
-def squares(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Squared distances of queries[i] to each of points[i, :]."""
-    d = points - queries[:, None, :]
-    return np.einsum("ijk,ijk->ij", d, d)
+def distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Distances of queries[i] to each of points[i, :] or, if it has two dimensions, to each of points."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = points - queries[:, None, :]
+        out = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+        for i, j in np.argwhere(~((out > 1e-150) & (out < 1e150))):  # squares that are too large or too small for a double
+            part = np.abs(points[i, j] / 2 - queries[i] / 2) if points.ndim == 3 else np.abs(points[j] / 2 - queries[i] / 2)
+            top = part.max(initial=0.0)
+            out[i, j] = 2 * (top * np.sqrt(((part / top) ** 2).sum())) if top > 0 else 0.0
+    return out
 
 
 class Space:
-    """Vectors in single precision, for what only has to be near: searches and pruning."""
+    """Vectors moved to their median and scaled, for what only has to be near: searches and pruning."""
 
     def __init__(self, vectors: np.ndarray):
-        self.x = (vectors - vectors.mean(0)).astype(np.float32)
-        self.norm = np.einsum("ij,ij->i", self.x, self.x)
+        top = float(np.abs(vectors).max(initial=0.0))
+        self.shift = -int(np.frexp(top)[1]) if top else 0
+        scaled = np.ldexp(vectors, self.shift)
+        self.centre = np.median(scaled, axis=0)
+        x = scaled - self.centre
+        self.norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        self.kind = np.float32 if self.norm.max(initial=0.0) <= TAME * np.median(self.norm[self.norm > 0], axis=0, keepdims=True).max(initial=0.0) else np.float64
+        self.x = x.astype(self.kind)
+
+    def placed(self, queries: np.ndarray) -> np.ndarray:
+        """Other vectors in this space; those far outside are moved to where their distances can be squared."""
+        with np.errstate(over="ignore"):
+            moved = np.ldexp(queries, self.shift) - self.centre
+        most = 1e15 if self.kind is np.float32 else 1e140
+        return np.clip(moved, -most, most).astype(self.kind)
 
     def near(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Squared distances to nodes[i, :], but for the queries' own norms."""
-        return self.norm[nodes] - 2 * np.matmul(self.x[nodes], queries[:, :, None])[:, :, 0]
+        """Squared distances to nodes[i, :]."""
+        d = self.x[nodes]
+        d -= queries[:, None, :]
+        return np.einsum("ijk,ijk->ij", d, d)
 
 
 def beam_search(space: Space, edges: np.ndarray, start: int, queries: np.ndarray, beam: int) -> np.ndarray:
     """Nodes of each query's beam (-1: nothing); edges holds -1 where a node has fewer. EXPAND nodes of a beam are opened at a time."""
     n, q = len(edges), len(queries)
     ids = np.full((q, beam), -1, np.int64)
-    dist = np.full((q, beam), np.inf, np.float32)
+    dist = np.full((q, beam), np.inf, space.kind)
     open_ = np.zeros((q, beam), bool)
     seen = np.zeros((q, n + 1), bool)  # the last column stands for -1
     seen[:, -1] = seen[:, start] = True
@@ -80,7 +106,7 @@ def beam_search(space: Space, edges: np.ndarray, start: int, queries: np.ndarray
         near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
         fresh = ~seen[rows[:, None], near]
         seen[rows[:, None], near] = True
-        d = np.where(fresh, space.near(queries[rows], near), np.inf).astype(np.float32)
+        d = np.where(fresh, space.near(queries[rows], near), np.inf).astype(space.kind)
         all_ids, all_dist = np.concatenate([ids[rows], np.where(fresh, near, -1)], 1), np.concatenate([dist[rows], d], 1)
         all_open = np.concatenate([open_[rows], fresh], 1)
         keep = np.argpartition(all_dist, beam - 1, axis=1)[:, :beam]
@@ -91,10 +117,10 @@ def prune(space: Space, nodes: np.ndarray, pool: np.ndarray, degree: int, alpha:
     """Diverse neighbours of nodes out of their pools (-1: nothing): a kept one rules out those that are alpha times nearer to it."""
     pool = np.sort(np.where(pool == nodes[:, None], -1, pool), axis=1)
     pool[:, 1:][pool[:, 1:] == pool[:, :-1]] = -1
-    points, norm = space.x[pool], space.norm[pool]
-    far = np.maximum(space.near(space.x[nodes], pool) + space.norm[nodes][:, None], 0)
+    points = space.x[pool] - space.x[nodes][:, None, :]  # as seen from the node
+    far = np.einsum("ijk,ijk->ij", points, points)
+    between = alpha * alpha * np.maximum(far[:, :, None] + far[:, None, :] - 2 * np.matmul(points, points.transpose(0, 2, 1)), 0)
     far[pool < 0] = np.inf
-    between = alpha * alpha * np.maximum(norm[:, :, None] + norm[:, None, :] - 2 * np.matmul(points, points.transpose(0, 2, 1)), 0)
     out = np.full((len(nodes), degree), -1, np.int64)
     row = np.arange(len(nodes))
     for k in range(min(degree, pool.shape[1])):
@@ -158,15 +184,17 @@ class Graph:
 
     def search(self, rows: np.ndarray, queries: np.ndarray, k: int, beam: int) -> list[tuple[np.ndarray, ...]]:
         """For each query the rows, ids and distances of its k nearest of this shard but itself."""
-        space = Space(self.vectors)
-        shifted = (queries - self.vectors.mean(0)).astype(np.float32)
+        space, n = Space(self.vectors), len(self.vectors)
+        placed, all_nodes = space.placed(queries), np.arange(n)
+        beam = beam if space.kind is np.float32 else 2 * beam  # vectors of very different sizes are harder to search
         out = []
         for at in range(0, len(queries), BATCH):
-            nodes = beam_search(space, self.edges, self.medoid, shifted[at : at + BATCH], min(beam, len(self.vectors)))
-            exact = squares(queries[at : at + BATCH], self.vectors[nodes])
-            exact[nodes < 0] = np.inf
-            for own, near, far in zip(rows[at : at + BATCH], nodes, exact):
-                near, far = near[np.isfinite(far)], np.sqrt(far[np.isfinite(far)])
+            nodes = beam_search(space, self.edges, self.medoid, placed[at : at + BATCH], min(beam, n))
+            exact = distances(queries[at : at + BATCH], self.vectors[nodes])
+            for i, (own, near, far) in enumerate(zip(rows[at : at + BATCH], nodes, exact), at):
+                near, far = near[near >= 0], far[near >= 0]
+                if len(near) < min(k + 1, n):
+                    near, far = all_nodes, distances(queries[i : i + 1], self.vectors)[0]
                 some = np.argsort(far, kind="stable")[: k + 1]  # each holds a row at least, and one of them may be the query
                 last = far[some[-1]]
                 some = np.flatnonzero(far <= last)
@@ -197,16 +225,9 @@ def index(vectors: DataFrame, keep: int, shard_size: int = SHARD) -> DataFrame:
     out_dir = new_dir(spark, "graphs")
 
     def run(table: pa.Table) -> pa.Table:
-        from pyarrow import fs
-
         ids, rows = table["vec_id"].to_numpy(), table["row"].to_numpy()
-        graph = Graph(ids, rows, np.array(table["vector"].combine_chunks().flatten()).reshape(len(ids), -1), keep)
-        store, root = fs.FileSystem.from_uri(out_dir)
-        store.create_dir(root)
-        name = uuid.uuid4().hex
-        with store.open_output_stream(f"{root}/{name}") as f:
-            f.write(pickle.dumps(graph))
-        return pa.table({"length": table["length"][:1], "shard": table["shard"][:1], "path": pa.array([f"{out_dir}/{name}"])})
+        path = _write(Graph(ids, rows, np.array(table["vector"].combine_chunks().flatten()).reshape(len(ids), -1), keep), out_dir)
+        return pa.table({"length": table["length"][:1], "shard": table["shard"][:1], "path": pa.array([path])})
 
     # a task for each shard: their number is known, so adaptive execution does not put several into one
     apart = dealt.repartitionByRange(int(shards), "length", "shard")
@@ -216,39 +237,64 @@ def index(vectors: DataFrame, keep: int, shard_size: int = SHARD) -> DataFrame:
 _OPEN: dict[str, Graph] = {}
 
 
+def _read(uri: str) -> object:
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as f:
+        return pickle.loads(f.read())
+
+
+def _write(value: object, folder: str) -> str:
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root)
+    name = uuid.uuid4().hex
+    with store.open_output_stream(f"{root}/{name}") as f:
+        f.write(pickle.dumps(value))
+    return f"{folder}/{name}"
+
+
 def _graph(uri: str) -> Graph:
     """The last graph that this worker process opened stays open."""
     if uri not in _OPEN:
-        from pyarrow import fs
-
         _OPEN.clear()
-        store, path = fs.FileSystem.from_uri(uri)
-        with store.open_input_file(path) as f:
-            _OPEN[uri] = pickle.loads(f.read())
+        _OPEN[uri] = _read(uri)
     return _OPEN[uri]
 
 
+def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """length and path of the file (rows, ids, vectors) of each block of queries."""
+    folder = new_dir(queries.sparkSession, "queries")
+    sizes = queries.groupBy("length").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = queries.join(sizes, "length").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
+
+    def run(table: pa.Table) -> pa.Table:
+        vectors = np.array(table["vector"].combine_chunks().flatten()).reshape(table.num_rows, -1)
+        path = _write((table["row"].to_numpy(), table["vec_id"].to_numpy(), vectors), folder)
+        return pa.table({"length": table["length"][:1], "asked": pa.array([path])})
+
+    return spool(dealt.groupBy("length", "block").applyInArrow(run, "length int, asked string"), "query-blocks")
+
+
 def search(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int = QUERY_BEAM, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score (distance) of the k nearest candidates of each query row (of usable()) other than itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path = np.array(batch.column("path").to_pylist(), object)
-            for cut in np.split(np.arange(batch.num_rows), np.flatnonzero(path[1:] != path[:-1]) + 1) if batch.num_rows else ():
-                part = batch.slice(int(cut[0]), len(cut))
-                rows, ids = part.column("row").to_numpy(), part.column("vec_id").to_numpy()
-                found = _graph(path[cut[0]]).search(rows, np.array(part.column("vector").flatten()).reshape(len(cut), -1), k, beam)
+            for path, asked in zip(batch.column("path").to_pylist(), batch.column("asked").to_pylist()):
+                rows, ids, vectors = _read(asked)
+                found = _graph(path).search(rows, vectors, k, beam)
                 size = [len(f[0]) for f in found]
                 if sum(size):
                     near, near_id, score = (np.concatenate([f[c] for f in found]) for c in range(3))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.repeat(rows, size), np.repeat(ids, size), near, near_id, score)], [c.split()[0] for c in FOUND.split(", ")])
 
-    blocks = max(1, -(-queries.count() // block))
-    pairs = max(1, graphs.count() * blocks)  # of a shard and a block of queries: a pair is a share of a task's work
-    last = graphs.groupBy("length").agg(F.max("shard").alias("last"))
-    meet = queries.join(last, "length").withColumn("shard", F.explode(F.sequence(F.lit(0), "last"))).join(graphs, ["length", "shard"])
-    meet = meet.repartition(min(pairs, 64 * parallelism(graphs.sparkSession)), "path", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-    meet = meet.select("path", "row", "vec_id", "vector").sortWithinPartitions("path")
+    blocks = query_blocks(queries, block)
+    pairs = max(1, graphs.count() * blocks.count())  # of a shard and a block of queries: a pair is a share of a task's work
+    meet = graphs.select("length", "path").join(blocks, "length").select("path", "asked")
+    meet = meet.repartition(min(pairs, 64 * parallelism(graphs.sparkSession)), "path", "asked").sortWithinPartitions("path")
     found = meet.mapInArrow(run, FOUND)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id", "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

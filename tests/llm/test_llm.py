@@ -281,6 +281,42 @@ def test_ann_recall_without_any_clusters(n, width):
     assert np.mean([ann.recall(f[1].tolist(), w.tolist()) for f, w in zip(found, np.argsort(d, axis=1)[:, :10])]) >= 0.95
 
 
+@pytest.mark.parametrize("kind", ["1e6", "1e12", "1e30", "1e200", "scales", "clusters", "crowd"])
+def test_ann_recall_with_outliers_and_mixed_scales(spark, kind):
+    rng, n = np.random.default_rng(9), 2000
+    x = rng.normal(size=(n, 32))
+    if kind == "scales":
+        x *= 10.0 ** rng.integers(-6, 7, n)[:, None]
+    elif kind == "clusters":
+        x = rng.normal(size=(8, 32))[rng.integers(0, 8, n)] * 1e6 + x
+    elif kind == "crowd":
+        x[: n // 3] = 1 + x[: n // 3] * 1e-5
+    else:
+        x[17, 3] = float(kind)
+    x = x.astype(np.float32).astype(float) if kind != "1e200" else x
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    vectors = ann.usable(rows)
+    found = ann.search(ann.index(vectors, 11, shard_size=1000), vectors.where("vec_id % 40 = 0 or vec_id = 17"), block=30).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == {*range(0, n, 40), 17} and {len(g) for g in got.values()} == {10}
+    hits = []
+    for q, g in got.items():
+        with np.errstate(over="ignore"):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert all(s == pytest.approx(math.dist(x[v], x[q]), rel=1e-12) for v, s in g)
+        d[q] = np.inf
+        if q != 17:
+            hits.append(ann.recall([v for v, _ in g], np.lexsort((np.arange(n), d))[:10].tolist()))
+    assert np.mean(hits) >= 0.95
+
+
+def test_distances_neither_overflow_nor_vanish():
+    a, b = np.array([[1e200, 0.0], [1e-200, 0.0], [1.0, 2.0]]), np.array([[-1e200, 0.0], [0.0, 0.0], [1.0, 2.0]])
+    assert np.allclose(ann.distances(a, b), [[2e200, 1e200, 1e200], [1e200, 1e-200, math.sqrt(5)], [1e200, math.sqrt(5), 0]], rtol=1e-12)
+
+
 def test_quality(spark, docs, none):
     junk = lambda: " | ".join(RNG.choice(WORDS, 80).tolist()) + "!!! ###"
     rows = [(i, prose(90) if i % 4 else junk()) for i in range(600)] + [(9001, None), (9002, "")]
@@ -530,20 +566,33 @@ def test_language_learns_from_every_language_and_from_copies_once(spark, monkeyp
     rows += [(f"rare {i}", f"r{i:03}") for i in range(120)] + [("", "void"), (None, "void"), ("no name for it", ""), ("nothing to learn", None)]
     model, langs = language.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), 400)
     assert langs == sorted({lang for t, lang in rows if t and lang is not None}) and "" in langs and model.k == 123
-    per = np.bincount(seen["label"], minlength=123) // language.WINDOWS
-    assert per[langs.index("aa")] == 1 and sorted(per.tolist())[:-1] == [1] * 122 and 240 <= per[langs.index("bb")] <= 400 - 122
-    assert len(seen["label"]) <= language.WINDOWS * 400
+    per = np.bincount(seen["label"], minlength=123)
+    assert per[langs.index("aa")] == 2  # one text in two sequences
+    assert per[langs.index("bb")] == 400 - 122 and sorted(per.tolist())[:-2] == [1] * 121
+
 
+def test_language_keeps_every_row_below_the_bound_and_exact_shares_above(spark):
+    rows = [(f"{lang} text {i % n}", lang) for lang, n in (("aa", 385), ("bb", 444), ("cc", 3)) for i in range(n + 50)]
+    d = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    size = lambda most: {r["lang"]: r["count"] for r in language.sample(d, most).groupBy("lang").count().collect()}
+    assert size(832) == size(5000) == {"aa": 385, "bb": 444, "cc": 3}
+    assert size(600) == {"aa": 298, "bb": 298, "cc": 3} and size(103) == {"aa": 50, "bb": 50, "cc": 3} and size(2) == {"aa": 1, "bb": 1, "cc": 1}
+    assert language.sample(d, 103).distinct().count() == 103
 
-def test_language_learns_from_the_whole_of_a_text(spark):
+
+def test_language_learns_from_the_whole_of_a_text(spark, monkeypatch):
     head = "the same opening words for all of them, whatever follows " * 4
     made = {"aa": "kalo mira tuva sene", "bb": "schlo pfurz krach btz"}
     text = lambda l, i: head + " ".join(RNG.choice(made[l].split(), 300).tolist()) + str(i)
     rows = [(i, text(l, i), l) for i in range(120) for l in [sorted(made)[i % 2]]]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    one = language.fit_windows(d.where("doc_id = 4")).first()["windows"]
-    size, found = len(rows[4][1].encode()), [rows[4][1].encode().index(bytes(w)) for w in one]
-    assert all(len(w) == language.FIT_STEPS for w in one) and all(k * (size - 48) // 3 <= at + 1 <= (k + 1) * size // 3 + 1 for k, at in enumerate(found))
+    seen = {}
+    with monkeypatch.context() as m:
+        m.setattr(language.ByteBiGRU, "fit", lambda self, data, sizes, label, **_: seen.update(data=data, sizes=sizes, label=label))
+        _, langs = language.train(d.select("text", "lang"))
+    assert seen["sizes"].sum() == sum(len(t.encode()) for _, t, _ in rows)
+    joined = {lang: b"".join(bytes(x[:n]) for x, n, k in zip(seen["data"], seen["sizes"], seen["label"]) if langs[k] == lang) for lang in langs}
+    assert all(t.encode() in joined[lang] for _, t, lang in rows)
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(d).collect()}
     assert sum(got[i] == l for i, _, l in rows) >= 0.95 * len(rows)
 
