@@ -1,10 +1,10 @@
 """Operator 10: language ID with a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on the driver, from a bounded sample of
-labelled rows (MAX_FIT documents, a documented parameter, shared out evenly over all languages), of each of
-which it learns WINDOWS sequences, one from a random place in each equal part of the whole text. Prediction
-runs in tasks: whole texts are cut into sequences of STEPS bytes, every position is labelled, and a document
-pools the probabilities of all its positions.
+labelled rows (MAX_FIT documents, a documented parameter, shared out evenly over all languages), from the whole of
+each text, cut into sequences of FIT_STEPS bytes, every one of which it sees. Prediction runs in tasks: whole texts are
+cut into sequences of STEPS bytes, every position is labelled, and a document pools the probabilities of all
+its positions.
 
 Null texts and texts without a letter are `und` with score 0; rows with a null language are not learned
 from (an empty one is a language); repeated rows are judged each for itself; a null doc_id is never held out and never learned from;
@@ -23,13 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import spool, with_row
+from .common import with_row
 
 HIDDEN = 8
 STEPS = 128
-FIT_STEPS = 48
-WINDOWS = 3
-MAX_FIT = 8000
+FIT_STEPS = 64
+MAX_FIT = 1500
 #: Sequences times languages that are worked on at once, so that memory does not grow with the number of languages.
 CELLS = 1 << 16
 UNKNOWN = "und"
@@ -118,11 +117,13 @@ class ByteBiGRU:
         return loss, g
 
     def fit(self, data: np.ndarray, sizes: np.ndarray, label: np.ndarray, rounds: int = 260, batch: int = 256, rate: float = 0.02, seed: int = 11) -> None:
-        """Adam over random batches; data is (sequence, time), label the class of each sequence."""
+        """Adam over batches in random order, as many rounds as it takes to see every sequence, or more; data is (sequence, time), label the class of each sequence."""
         rng = np.random.default_rng(seed)
+        rounds = max(rounds, -(-len(data) // batch))
+        order = np.concatenate([rng.permutation(len(data)) for _ in range(-(-rounds * batch // len(data)))])
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         for i in range(1, rounds + 1):
-            some = rng.integers(0, len(data), min(batch, len(data)))
+            some = order[(i - 1) * batch : i * batch]
             live = (np.arange(data.shape[1])[:, None] < sizes[some]).astype(bool)
             g, total, cut = {k: np.zeros_like(v) for k, v in self.p.items()}, max(1, int(live.sum())), max(8, CELLS // self.k)
             for at in range(0, len(some), cut):
@@ -167,37 +168,35 @@ def quota(counts: list[int], most: int) -> int:
     return max(1, *counts)
 
 
-def fit_windows(labelled: DataFrame) -> DataFrame:
-    """lang and windows (WINDOWS runs of FIT_STEPS bytes, or shorter texts whole) of rows that teach something, each different sample once."""
-    data = F.encode("text", "UTF-8")
-    size = F.octet_length("text")
-    places = F.greatest(F.lit(1), size - FIT_STEPS + 1)
-    rows = labelled.where("lang is not null and text is not null and text <> ''").withColumn("h", F.xxhash64("text"))
-    first = [F.floor(places * k / WINDOWS) + F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.lit(1), F.floor(places / WINDOWS))) for k in range(WINDOWS)]
-    windows = F.array(*(F.substring(data, F.least(at + 1, places).cast("int"), F.lit(FIT_STEPS)) for at in first))
-    return rows.select("lang", windows.alias("windows")).distinct()
+def sample(labelled: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
+    """lang and text (whole, each once in a language) of at most max_fit rows that teach something, or one of each language if those are more.
 
-
-def train(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[ByteBiGRU, list[str]] | None:
-    """labelled: text and lang. Learns from at most max_fit documents, or one of each language if those are more.
-
-    Every language gives its share of different samples, those with the least hashes of their text; copies count once.
+    Every language gives the same share of its texts, those with the least hashes, and all of them if it has no more
+    than that. Where it has more, only about twice the share is sorted.
     """
-    rows = spool(fit_windows(labelled).withColumn("h", F.xxhash64("windows")), "samples")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    spark = labelled.sparkSession
+    rows = labelled.where("lang is not null and text is not null and text <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
     if not counts:
+        return rows.select("lang", "text")
+    share = quota(list(counts.values()), max_fit)
+    reach = lambda n: 2**63 - 1 if n <= 2 * (share + 64) else int(2 * (share + 64) / n * 2**64) - 2**63
+    cuts = spark.createDataFrame([(lang, reach(n)) for lang, n in counts.items()], "lang string, most long")
+    some = rows.join(cuts, "lang").where("h <= most").select("lang", "h", "text").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    return some.withColumn("nth", nth).where(F.col("nth") <= share).select("lang", "text")
+
+
+def train(labelled: DataFrame, max_fit: int = MAX_FIT) -> tuple[ByteBiGRU, list[str]] | None:
+    """labelled: text and lang. Learns from sample(); null where there is nothing to learn from."""
+    got = sorted((r["lang"], r["text"].encode("utf-8", "surrogatepass")) for r in sample(labelled, max_fit).collect())
+    if not got:
         return None
-    langs, share = sorted(counts), quota(list(counts.values()), max_fit)
-    # the least hashes of each part of a language, so few that every task keeps no more of its own rows
-    parts = max(1, share // 16)
-    nth = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("h"), F.lit(parts))).orderBy("h", "windows"))
-    some = rows.withColumn("nth", nth).where(F.col("nth") <= share // parts)
+    langs = sorted({lang for lang, _ in got})
     of = {lang: k for k, lang in enumerate(langs)}
-    got = sorted((bytes(w), of[r["lang"]]) for r in some.select("lang", "windows").collect() for w in r["windows"])
+    data, live, owner = sequences([text for _, text in got], FIT_STEPS)
     model = ByteBiGRU(len(langs))
-    sizes = np.array([len(w) for w, _ in got])
-    data = np.frombuffer(b"".join(w.ljust(FIT_STEPS, b"\0") for w, _ in got), np.uint8).reshape(-1, FIT_STEPS)
-    model.fit(data, sizes, np.array([k for _, k in got]))
+    model.fit(np.ascontiguousarray(data.T), live.sum(0), np.array([of[lang] for lang, _ in got])[owner])
     return model, langs
 
 
