@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
-from .common import new_table, parallelism, wide_rows
+from .common import new_dir, new_table, parallelism, wide_rows
 from .common import spool as keep
 
 BLOCK_BYTES = 2 << 20
@@ -114,7 +114,7 @@ def make(documents: DataFrame, normal: Callable[[bytes], tuple[bytes, int]], joi
 
     n, name = max(parallelism(spark), min(MOST_BUCKETS, math.ceil(total / BUCKET_BYTES))), new_table(spark, "blocks")
     packed = rows.mapInArrow(run, schema).repartition(n, "block_id")
-    packed.write.bucketBy(n, "block_id").option("compression", "none").format("parquet").saveAsTable(name)
+    packed.write.bucketBy(n, "block_id").option("compression", "none").option("path", new_dir(spark, "blocks")).format("parquet").saveAsTable(name)
     return spark.table(name), total, long
 
 

@@ -91,10 +91,10 @@ REPEATS = "block_id long, other long, n int, payload binary"
 FOUND = "block_id long, range int, n int, payload binary"
 
 
-def _digest(words: bytes) -> int:
+def _digest(words: bytes, seed: int = 42) -> int:
     from xxhash import xxh3_128_intdigest
 
-    return xxh3_128_intdigest(words, 42)
+    return xxh3_128_intdigest(words, seed)
 
 
 def _put(*columns: np.ndarray, more: bytes = b"") -> bytes:
@@ -203,8 +203,8 @@ def _compared(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> DataFrame:
-    """Remove every word covered by a window of words that also starts anywhere else."""
+def dedup(documents: DataFrame, window: int = 35, carry: list[str] = (), seed: int = 42) -> DataFrame:
+    """Remove every word covered by a window of words that also starts anywhere else. seed: of the windows' digests."""
     size = (window + 1) // 2
     blocks, total, long = B.make(documents, _normal, b" ", list(carry), _parts(window))
     count = total / 5.0
@@ -236,7 +236,7 @@ def dedup(documents: DataFrame, window: int = 35, carry: list[str] = ()) -> Data
         first, _, _, _, group = probes(words)
         at = _candidates(words, window, first, B.verdict(verdicts)[group] if len(first) else np.zeros(0, bool), size)
         group, begin, said = _classes(words, at, window)
-        digests = [_digest(s) for s in said]
+        digests = [_digest(s, seed) for s in said]
         high, low = (np.array([d >> k & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64) for k in (64, 0))
         order = np.argsort(high, kind="stable")
         high, low, begin_ = high[order], (low & spare)[order], begin[order].astype("<i4")
