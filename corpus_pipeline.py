@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from heliograph.llm import decontaminate, language, packing, simhash, suffix
 from heliograph.llm.common import spool, table
@@ -30,9 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
     found = simhash.near_duplicates(docs)
     stays = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id", "__text").orderBy("__text")
-    named = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text"))
-    kept = named.withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
+    kept = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
