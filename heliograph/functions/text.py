@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-# Section types, with the headings that name them (in lower case, with single spaces).
+# Section types, with the headings that name them (in lower case, with single spaces). An appendix may bear a letter, too.
 HEADINGS = {
     "abstract": ("abstract", "summary"),
     "introduction": ("introduction", "overview"),
     "related_work": ("related work", "prior work", "literature review", "related research"),
     "background": ("background", "preliminaries", "problem statement", "problem formulation", "problem definition"),
-    "methods": ("method", "methods", "methodology", "approach", "technique", "techniques", "algorithm"),
-    "experiments": ("experiment", "experiments", "experimental", "evaluation", "empirical study", "empirical evaluation", "empirical analysis", "setup", "experimental setup"),
-    "results": ("result", "results", "findings"),
+    "methods": ("method", "methods", "methodology", "approach", "technique", "techniques", "algorithm", "framework", "model", "our approach", "our framework", "our method", "our model", "our proposed approach", "our proposed framework", "our proposed method", "our proposed model", "proposed approach", "proposed framework", "proposed method", "proposed model"),
+    "experiments": ("experiment", "experiments", "experimental", "evaluation", "empirical study", "empirical evaluation", "empirical analysis", "setup", "experimental setup", "experiment setting", "experiment settings", "experiment setup", "experimental setting", "experimental settings", "experiments setting", "experiments settings", "experiments setup"),
+    "results": ("result", "results", "findings", "experimental result", "experimental result analysis", "experimental result and analysis", "experimental result and discussion", "experimental result discussion", "experimental results", "experimental results analysis", "experimental results and analysis", "experimental results and discussion", "experimental results discussion", "result analysis", "result and analysis", "result and discussion", "result discussion", "results analysis", "results and analysis", "results and discussion", "results discussion"),
     "discussion": ("discussion", "analysis", "interpretation"),
-    "limitations": ("limitation", "limitations", "current limitation", "current limitations", "potential limitation", "potential limitations", "weakness", "weaknesses", "potential weakness", "potential weaknesses", "threat to validity", "threats to validity"),
-    "future_work": ("future work", "future direction", "future directions", "future research", "directions for future work", "directions for future research", "direction for future work", "direction for future research", "next step", "next steps"),
-    "conclusion": ("conclusion", "conclusions", "concluding remark", "concluding remarks", "summary and conclusion", "summary and conclusions"),
+    "limitations": ("limitation", "limitations", "current limitation", "current limitations", "potential limitation", "potential limitations", "weakness", "weaknesses", "potential weakness", "potential weaknesses", "threat to validity", "threats to validity", "limitation and directions", "limitation and future work", "limitations and directions", "limitations and future work"),
+    "future_work": ("future work", "future direction", "future directions", "future research", "directions for future work", "directions for future research", "direction for future work", "direction for future research", "next step", "next steps", "open issue", "open issues", "open problem", "open problems", "open question", "open questions"),
+    "conclusion": ("conclusion", "conclusions", "concluding remark", "concluding remarks", "summary and conclusion", "summary and conclusions", "conclusion and future work", "conclusions and future work"),
     "acknowledgments": ("acknowledgments", "acknowledgment", "acknowledgements", "acknowledgement"),
     "references": ("references", "reference", "bibliography", "literature", "cited literature"),
     "appendix": ("appendix", "appendices", "supplementary material", "supplementary information"),
@@ -32,17 +32,9 @@ UNNUMBERED = ("abstract", "acknowledgments", "references", "appendix")
 
 
 def _headings() -> dict[str, str]:
-    """Every heading with its type. Some types also name their headings by a rule."""
-    more = {
-        "methods": [f"{a}{b}{c}" for a in ("", "our ") for b in ("", "proposed ") for c in ("method", "approach", "framework", "model")],
-        "experiments": [f"{a} {b}" for a in ("experiment", "experiments", "experimental") for b in ("setup", "settings", "setting")],
-        "results": [f"{a}{b}{c}" for a in ("", "experimental ") for b in ("result", "results") for c in ("", " and analysis", " and discussion", " analysis", " discussion")],
-        "limitations": [f"{a} and {b}" for a in ("limitation", "limitations") for b in ("future work", "directions")],
-        "future_work": [f"open {a}{b}" for a in ("problem", "question", "issue") for b in ("", "s")],
-        "conclusion": [f"{a} and future work" for a in ("conclusion", "conclusions")],
-        "appendix": [f"appendix{gap}{letter}" for gap in ("", " ") for letter in "abcdefghijklmnopqrstuvwxyz"],
-    }
-    return {h: kind for kind in reversed(HEADINGS) for h in (*more.get(kind, ()), *HEADINGS[kind])}
+    """Every heading with its type."""
+    lettered = {f"appendix{gap}{letter}": "appendix" for gap in ("", " ") for letter in "abcdefghijklmnopqrstuvwxyz"}
+    return lettered | {h: kind for kind, of in HEADINGS.items() for h in of}
 
 
 # The lower, the likelier a section holds problems.
@@ -124,24 +116,30 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
+def _starts() -> str:
+    """A place where a line begins as headings do, perhaps with a number before."""
+    first = sorted({h.split()[0] for h in _headings()})
+    return rf"(?mdiu)^(?= *(?:\d+\.?[^\S\n]*)?(?:{'|'.join(first)})(?:[^\S\n]|$))"
+
+
 def _sections(rows: DataFrame, max_heading: int, min_words: int) -> DataFrame:
-    """rows (__text, ...) with __cut, the sections of the text as an array; a text without any long enough is one `unknown` section. One pass over a text's lines finds its headings; each step is a projection of its own, so that nothing is worked out twice."""
+    """rows (k, t) with cut, the sections of the text t as an array; a text without any long enough is one `unknown` section. The text is split where lines begin like headings, so only those are looked at closer; each step is a projection of its own, so that nothing is worked out twice."""
     none = F.array().cast("array<struct<title:string,section_type:string,start_char:int,size:int>>")
-    text = F.col("__text")
+    text = F.col("t")
 
-    def step(at: Column, line: Column) -> Column:
+    def step(at: Column, piece: Column) -> Column:
+        line = F.substring_index(piece, "\n", 1)
         kind = F.when(F.length(F.trim(line)).between(1, max_heading), section_type(line))
         add = F.transform(F.array_compact(F.array(kind)), lambda k: F.struct(F.trim(line).alias("title"), k.alias("section_type"), at["at"].alias("start_char"), F.length(line).alias("size")))
-        return F.struct((at["at"] + F.length(line) + 1).alias("at"), F.concat(at["heads"], add).alias("heads"))
+        return F.struct((at["at"] + F.length(piece)).alias("at"), F.concat(at["heads"], add).alias("heads"))
 
-    # only lines that may be headings are looked at; the others are counted
-    heads = F.aggregate(F.split(text, "\n"), F.struct(F.lit(0).alias("at"), none.alias("heads")), step, lambda at: at["heads"])
+    heads = F.aggregate("pieces", F.struct(F.lit(0).alias("at"), none.alias("heads")), step, lambda at: at["heads"])
     body = lambda h, end: strip(F.substring(text, h["start_char"] + h["size"] + 1, end - h["start_char"] - h["size"]))
-    end = lambda i: F.coalesce(F.get("__heads", i + 1)["start_char"], F.length(text))
-    cut = F.transform("__heads", lambda h, i: F.struct(h["section_type"].alias("section_type"), h["title"].alias("title"), body(h, end(i)).alias("content"), h["start_char"].alias("start_char")))
+    end = lambda i: F.coalesce(F.get("heads", i + 1)["start_char"], F.length(text))
+    cut = F.transform("heads", lambda h, i: F.struct(h["section_type"].alias("section_type"), h["title"].alias("title"), body(h, end(i)).alias("content"), h["start_char"].alias("start_char")))
     whole = F.array(F.struct(F.lit("unknown").alias("section_type"), F.lit("").alias("title"), text.alias("content"), F.lit(0).alias("start_char")))
-    found = rows.select("*", heads.alias("__heads")).select("*", F.filter(cut, lambda s: F.size(words(s["content"])) >= min_words).alias("__long"))
-    return found.select("*", F.when(text.isNotNull(), F.when(F.size("__long") > 0, F.col("__long")).otherwise(whole)).alias("__cut"))
+    found = rows.select("*", F.split("t", _starts()).alias("pieces")).select("*", heads.alias("heads")).select("*", F.filter(cut, lambda s: F.size(words(s["content"])) >= min_words).alias("long"))
+    return found.select("*", F.when(text.isNotNull(), F.when(F.size("long") > 0, F.col("long")).otherwise(whole)).alias("cut"))
 
 
 def segment(documents: DataFrame, key: str = "doc_id", text: str = "text", max_heading: int = 100, min_words: int = 20) -> DataFrame:
@@ -149,19 +147,36 @@ def segment(documents: DataFrame, key: str = "doc_id", text: str = "text", max_h
 
     Every row is cut for itself, whatever its key; null texts have no section.
     """
-    return _sections(documents.select(key, F.col(text).alias("__text")), max_heading, min_words).select(key, F.inline("__cut"))
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return _sections(rows, max_heading, min_words).select(F.col("k").alias(key), F.inline("cut"))
+
+
+# How the line after an abstract begins, in lower case; a number may stand before the word.
+AFTER_ABSTRACT = ("introduction", "1.", "i.")
 
 
 def segment_with_abstract(documents: DataFrame, key: str = "doc_id", text: str = "text", max_heading: int = 100, min_words: int = 20) -> DataFrame:
     """As segment(), but an abstract at the very beginning that runs up to an introduction is a section of its own, and what follows it is cut."""
-    lead = r"(?is)^(?:abstract\s*[:\-]?\s*)(.*?)(?=\n\s*(?:\d+\.?\s*)?(?:introduction|1\.|I\.))"
-    body = strip(F.regexp_extract(text, lead, 1))
-    rows = documents.select(key, F.col(text).alias("__all"), body.alias("__body"), F.length(F.regexp_extract(text, lead, 0)).alias("__size"))
-    rows = rows.select("*", F.when(F.size(words(F.col("__body"))) >= min_words, F.col("__size")).otherwise(0).alias("__lead"))
-    cut = _sections(rows.select("*", F.expr("substring(__all, __lead + 1)").alias("__text")), max_heading, min_words)
-    first = F.array(F.struct(F.lit("abstract").alias("section_type"), F.lit("Abstract").alias("title"), F.col("__body").alias("content"), F.lit(0).alias("start_char")))
-    rest = F.transform("__cut", lambda s: F.struct(s["section_type"].alias("section_type"), s["title"].alias("title"), s["content"].alias("content"), (s["start_char"] + F.col("__lead")).alias("start_char")))
-    return cut.select(key, F.inline(F.when(F.col("__lead") > 0, F.concat(first, rest)).otherwise(rest)))
+    word = AFTER_ABSTRACT[0]
+
+    def follows(line: Column) -> Column:
+        low = F.lower(strip(line))
+        unnumbered = strip(F.ltrim(strip(F.ltrim(low, F.lit("0123456789"))), F.lit(".")))
+        numbered = F.substring(low, 1, 1).between("0", "9") & F.startswith(unnumbered, F.lit(word))
+        return numbered | F.exists(F.array(*map(F.lit, AFTER_ABSTRACT)), lambda m: F.startswith(low, m))
+
+    opening = F.regexp_extract(F.col("whole"), r"(?i)^abstract\s*[:\-]?\s*", 0)
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("whole")).select("*", opening.alias("opening"))
+    lines = F.when(F.col("opening") != "", F.split(F.expr("substring(whole, length(opening) + 1)"), "\n"))
+    rows = rows.select("*", lines.alias("lines"))
+    at = F.array_min(F.filter(F.transform("lines", lambda line, i: F.when((i > 0) & follows(line), i)), lambda i: i.isNotNull()))
+    rows = rows.select("*", F.array_join(F.slice("lines", 1, at), "\n").alias("before")).select("*", strip(F.col("before")).alias("body"))
+    lead = F.when(F.size(words(F.col("body"))) >= min_words, F.length("opening") + F.length("before")).otherwise(0)
+    rows = rows.select("k", "whole", "body", lead.alias("lead")).select("*", F.expr("substring(whole, lead + 1)").alias("t"))
+    cut = _sections(rows, max_heading, min_words)
+    first = F.array(F.struct(F.lit("abstract").alias("section_type"), F.lit("Abstract").alias("title"), F.col("body").alias("content"), F.lit(0).alias("start_char")))
+    rest = F.transform("cut", lambda s: F.struct(s["section_type"].alias("section_type"), s["title"].alias("title"), s["content"].alias("content"), (s["start_char"] + F.col("lead")).alias("start_char")))
+    return cut.select(F.col("k").alias(key), F.inline(F.when(F.col("lead") > 0, F.concat(first, rest)).otherwise(rest)))
 
 
 # Sections that entity extractors read.

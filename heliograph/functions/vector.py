@@ -19,17 +19,29 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _scaled(a: Column | str) -> Column:
+    """The vector by its largest component, so that no square overflows or vanishes; a zero vector as it is."""
+    return F.transform(F.array(a), lambda v: F.transform(v, lambda x: x.cast("double") / F.coalesce(F.nullif(F.array_max(F.transform(v, lambda y: F.abs(y.cast("double")))), F.lit(0.0)), F.lit(1.0))))[0]
+
+
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Zero where a norm is zero; null where a vector is null or lengths differ."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(F.size(a) != F.size(b), None).when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
+    both = F.array(F.struct(_scaled(a).alias("a"), _scaled(b).alias("b")))
+    norm = lambda v: F.sqrt(dot(v["a"], v["a"])) * F.sqrt(dot(v["b"], v["b"]))
+    return F.when(F.size(a) == F.size(b), F.transform(both, lambda v: F.when(norm(v) == 0, 0.0).otherwise(dot(v["a"], v["b"]) / norm(v)))[0])
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
     """Vectors of a group, all of one length, with length 1 each (zero stays zero)."""
-    x = np.array(table["vector"].combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1)
+    return _units(np.array(table["vector"].combine_chunks().flatten(), np.float64).reshape(table.num_rows, -1))
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows by their length; by their largest component first, so that no square overflows or vanishes."""
+    top = np.abs(x).max(1, keepdims=True, initial=0.0)
+    x = np.divide(x, top, out=np.zeros_like(x), where=top > 0)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return np.divide(x, norm, out=x, where=norm > 0)
 
 
 def unit_rows(table: pa.Table) -> np.ndarray:
@@ -40,8 +52,7 @@ def unit_rows(table: pa.Table) -> np.ndarray:
     for k, v in enumerate(rows):
         if v is not None and len(v) == size and None not in v and np.isfinite(v).all():
             x[k] = v
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return _units(x)
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -117,8 +117,12 @@ def create_or_merge(state: DataFrame, incoming: DataFrame, threshold: float, mos
     """(new state, outcome): incoming entities one after another, each merged into the nearest entity at the threshold or more, which may be an incoming one that came before, or created.
 
     state and incoming: id, name, aliases, vector and any further columns; incoming has `ordinal` too. A merge is that of
-    resolve.merge_into; the kept vector stays. outcome: id, entity_id, created. Thresholds above 1 merge nothing.
+    resolve.merge_into; the kept vector stays. outcome: id, entity_id, created. Thresholds above 1 merge nothing. Raises if an
+    incoming id is in the state already or comes twice, as the outcome tells entities apart by their ids.
     """
+    ids = state.select("id", F.lit(0).alias("n")).distinct().unionByName(incoming.select("id", F.lit(1).alias("n")))
+    if not ids.groupBy("id").agg(F.count("*").alias("rows"), F.max("n").alias("new")).where("rows > 1 and new = 1").isEmpty():
+        raise ValueError("an incoming id is in the state, or comes twice")
     both = state.select("id", "vector", F.lit(0).cast("long").alias("ordinal"), F.lit(True).alias("fixed")).unionByName(incoming.select("id", "vector", F.col("ordinal").cast("long").alias("ordinal"), F.lit(False).alias("fixed")))
     outcome = keep(merge_in_order(both, threshold).join(incoming.select("id"), "id"), "merges") if threshold <= 1 else incoming.select("id", F.col("id").alias("keep_id"))
     made = incoming.join(outcome.where("id = keep_id").select("id"), "id")
@@ -168,14 +172,21 @@ def best_full_text(candidates: DataFrame, least: int = 250) -> DataFrame:
     return by.select("paper", "text", F.when(F.col("text").isNull(), F.coalesce("error", F.lit("too_short"))).alias("failure"))
 
 
-def rows_per_run(outcomes: DataFrame) -> DataFrame:
-    """One report per run (trace_id): counts of outcomes and the errors by paper."""
-    return outcomes.groupBy("trace_id").agg(
+def rows_per_run(outcomes: DataFrame, most_errors: int = 100) -> DataFrame:
+    """One report per run (trace_id): counts of outcomes, and messages by paper of its first errors, most_errors at most. errors_of_runs() has them all."""
+    one = F.row_number().over(Window.partitionBy("trace_id", "outcome").orderBy("paper", "message"))
+    shown = F.when((F.col("outcome") == "error") & (F.col("nth") <= most_errors), F.struct("paper", "message"))
+    return outcomes.withColumn("nth", one).groupBy("trace_id").agg(
         *(F.count_if(F.col("outcome") == o).alias(o) for o in ("created", "updated", "skipped", "error")),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("outcome") == "error", F.struct("paper", "message"))))).alias("errors"),
+        F.map_from_entries(F.array_sort(F.collect_list(shown))).alias("errors"),
     )
 
 
+def errors_of_runs(outcomes: DataFrame) -> DataFrame:
+    """(trace_id, paper, message): every error of every run, a row each."""
+    return outcomes.where("outcome = 'error'").select("trace_id", "paper", "message")
+
+
 def skippable(papers: DataFrame, taxonomy_hash: str) -> DataFrame:
     """Papers whose extraction is complete under the present taxonomy."""
     return papers.where((F.col("taxonomy_hash") == taxonomy_hash) & ~F.coalesce("extraction_incomplete", F.lit(False)))

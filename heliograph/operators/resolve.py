@@ -114,7 +114,7 @@ def ambiguous(entities: DataFrame, least: float = 0.85) -> DataFrame:
     told = entities.select("paper", "id", "kind", "ordinal", name.alias("own"), surface.alias("surface"))
     shared = collisions(entities).select("paper", "surface", F.when(F.col("exact"), "exact").otherwise("alias").alias("trigger"))
     first = told.groupBy("paper", "surface", "kind").agg(F.min_by("id", F.struct("ordinal", "id")).alias("id"))
-    cheap = keep(first.join(shared, ["paper", "surface"]).withColumn("pair", F.xxhash64("paper", "surface", "trigger")), "cheap")
+    cheap = keep(first.join(shared, ["paper", "surface"]).withColumn("pair", F.to_json(F.struct("paper", "surface", "trigger"))), "cheap")
     paired = cheap.select("paper", "id").distinct()
     left = entities.where(F.col("kind").isin(*KINDS)).join(paired, ["paper", "id"], "left_anti").withColumn("low", name)
     reps = left.groupBy("paper", "kind", "low").agg(F.min_by(F.struct("id", "name", "vector"), F.struct("ordinal", "id")).alias("r")).select("paper", "kind", "r.id", "r.name", "r.vector")
@@ -128,7 +128,7 @@ def ambiguous(entities: DataFrame, least: float = 0.85) -> DataFrame:
         return pa.table({"id": a["id"].take(i), "other": b["id"].take(j)})
 
     near = V.meet(reps, reps, run, f"id {kind_}, other {kind_}", within=["paper"])
-    ends = near.join(reps.select("id", "paper", F.col("name").alias("surface")), "id").withColumn("pair", F.xxhash64("paper", "id", "other"))
+    ends = near.join(reps.select("id", "paper", F.col("name").alias("surface")), "id").withColumn("pair", F.to_json(F.struct("paper", "id", "other")))
     ends = ends.select("pair", "paper", "surface", F.lit("embedding").alias("trigger"), F.explode(F.array("id", "other")).alias("id"))
     fuzzy = ends.join(reps.select("paper", "id", "kind"), ["paper", "id"])
     columns = ["pair", "paper", "surface", "trigger", "kind", "id"]

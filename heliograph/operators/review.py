@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .state import one_per_key
 
@@ -27,8 +28,9 @@ def escalation(rounds: Column, max_rounds: Column, evaluator: Column, certainty:
 
 def enqueue(mentions: DataFrame, suggestions: DataFrame, now: Column, most: int = 5) -> DataFrame:
     """A pending review for each mention (id): its best suggestions (query_id, id, score), priority and deadline."""
-    best = F.slice(F.sort_array(F.collect_list(F.struct("score", "id")), False), 1, most)
-    s = suggestions.groupBy(F.col("query_id").alias("mention_id")).agg(best.alias("suggested"), F.max("score").alias("top"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id")))
+    best = F.sort_array(F.collect_list(F.struct("score", "id")), False)
+    s = suggestions.withColumn("nth", nth).where(F.col("nth") <= most).groupBy(F.col("query_id").alias("mention_id")).agg(best.alias("suggested"), F.max("score").alias("top"))
     p = priority(F.col("top"))
     return (
         mentions.select(F.col("id").alias("mention_id")).join(s, "mention_id", "left")

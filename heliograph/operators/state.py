@@ -28,7 +28,7 @@ def insert(state: DataFrame, delta: DataFrame, ordinal: str = "ordinal") -> tupl
     """(new state, rejects): a row is rejected if its id or its trimmed lower-case statement exists, in the state or earlier in the delta."""
     nth = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(ordinal))
     d = delta.withColumn("s", normal_statement()).withColumn("n1", nth("id")).withColumn("n2", nth("s"))
-    d = d.join(state.select("id", F.lit(True).alias("k1")), "id", "left").join(state.select(normal_statement().alias("s"), F.lit(True).alias("k2")).distinct(), "s", "left")
+    d = d.join(state.select("id", F.lit(True).alias("k1")).distinct(), "id", "left").join(state.select(normal_statement().alias("s"), F.lit(True).alias("k2")).distinct(), "s", "left")
     bad = (F.col("n1") > 1) | (F.col("n2") > 1) | F.col("k1").isNotNull() | F.col("k2").isNotNull()
     return state.unionByName(d.where(~bad).select(*state.columns)), d.where(bad).select(*delta.columns)
 

@@ -413,7 +413,7 @@ def create_or_merge_entities(spark: SparkSession, d: str) -> DataFrame:
     new, outcome = I.create_or_merge(state, rows.where("id % 40 <> 0").withColumn("ordinal", F.col("id")), 0.9)
     n = outcome.groupBy(F.col("entity_id").alias("id")).agg(F.count_if(~F.col("created")).alias("n_merged"), F.bool_or("created").alias("created"))
     rows = new.join(n, "id", "left").fillna(0, ["n_merged"]).fillna(False, ["created"])
-    return rows.select(F.col("id").alias("entity_id"), "name", "n_merged", "created", "description", F.array_join("aliases", "|").alias("aliases"))
+    return rows.select(F.col("id").alias("entity_id"), "name", "n_merged", "created", "description", F.when(F.size("aliases") > 0, F.array_join("aliases", "|")).alias("aliases"))
 
 
 _PAIRED = """WITH e AS (SELECT l_orderkey AS paper, l_linenumber AS ordinal, l_orderkey * 10 + l_linenumber AS id, CASE l_linenumber % 3 WHEN 0 THEN 'model' WHEN 1 THEN 'method' ELSE 'concept' END AS kind, lower(p_name) AS name, lower(p_type) AS alias, p_brand AS brand FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber) JOIN part ON p_partkey = l_partkey),

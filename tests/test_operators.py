@@ -258,6 +258,7 @@ def test_edges_keep_their_properties(spark):
 def test_scratch_can_be_cleared(spark):
     from heliograph import scratch
 
+    scratch.clear(spark)  # what other tests have set
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     scratch.set_option(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     scratch.set_option(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "6")

@@ -1,4 +1,4 @@
-"""Every registered query with SQL against DuckDB, on the smallest tables."""
+"""Every registered query with SQL against DuckDB, on the two smallest sets of tables."""
 
 import os
 
@@ -6,7 +6,8 @@ import pytest
 
 from heliograph.plans import registry
 
-DATA = "/root/testdata/sf0.001"
+SIZES = ("sf0.001", "sf0.01")
+DATA = "/root/testdata"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -15,19 +16,24 @@ def duck():
     duckdb = pytest.importorskip("duckdb")
     if not os.path.isdir(DATA):
         pytest.skip("no sample tables")
-    con = duckdb.connect()
-    for t in TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    return con
+
+    def at(size):
+        con = duckdb.connect()
+        for t in TABLES:
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{size}/{t}.parquet'")
+        return con
+
+    return {size: at(size) for size in SIZES}
 
 
 def rows(df, columns):
     return sorted(map(str, df[columns].astype(object).where(df[columns].notna(), None).values.tolist()))
 
 
+@pytest.mark.parametrize("size", SIZES)
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
-def test_query(spark, duck, name):
-    got, want = registry.QUERIES[name](spark, DATA).toPandas(), duck.sql(registry.ORACLE_SQL[name]).df()
+def test_query(spark, duck, name, size):
+    got, want = registry.QUERIES[name](spark, f"{DATA}/{size}").toPandas(), duck[size].sql(registry.ORACLE_SQL[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     assert rows(got, columns) == rows(want, columns)
