@@ -144,6 +144,14 @@ def test_fit_sample_is_bounded_and_of_whole_different_texts(spark):
     assert len(lm.sample(rows, v, 100)) == 40
 
 
+def test_common_words_are_the_most_frequent_ones(spark):
+    rows = [(f"w{k:03}".encode(), 1 + k * k) for k in range(200)] + [(b"x" * 300, 10**6)]
+    v = lm.vocabulary_of(spark.createDataFrame(rows, "word binary, c long").repartition(4), 10, 50)
+    assert v.total == sum(c for _, c in rows) and v.distinct == 201 and 40 <= len(v.words) <= 50
+    assert v.words == [w for w, _ in sorted(rows[:-1], key=lambda r: -r[1])][: len(v.words)] and v.counts[0] == 1 + 199 * 199
+    assert len(lm.vocabulary_of(spark.createDataFrame(rows, "word binary, c long"), 10, 1000).words) == 200
+
+
 # --- importance resampling ---------------------------------------------------------------------------------------------
 
 
