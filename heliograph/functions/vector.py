@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import keep
+
 #: Rows of a block: two of them and the scores between them are what a task holds.
 BLOCK = 4096
 ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -55,8 +57,12 @@ def unit_rows(table: pa.Table) -> np.ndarray:
     return _units(x)
 
 
+def rounded(scores: np.ndarray) -> np.ndarray:
+    return np.round(scores, 9)  # equal vectors score alike in any block
+
+
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.round(a @ b.T, 9)  # equal vectors score alike in any block
+    return rounded(a @ b.T)
 
 
 def whole(vector: str = "vector") -> Column:
@@ -111,28 +117,77 @@ def meet(queries: DataFrame, nodes: DataFrame, run: Callable[[pa.Table, pa.Table
 def scores(queries: DataFrame, nodes: DataFrame, k: int | None = None, least: float | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score) for queries and nodes (id, vector): of each query its k best nodes, or all of at least a score.
 
-    Each block of queries meets each block of nodes in a task, which returns what its rows add to the answers, so no pair
-    below the bar leaves a task. Null vectors take no part; an id that occurs in several rows of queries is asked once for
-    each different vector, and rows of nodes with one id are a candidate each.
+    Queries that fit into a block go to all tasks, each of which reads its nodes once and returns what they add to the
+    answers. More queries are cut into blocks of near ones, as nodes are, and only blocks that may hold an answer meet
+    (angles.py). Null vectors take no part; an id that occurs in several rows of queries is asked once for each
+    different vector, and rows of nodes with one id are a candidate each.
     """
-    kind, node_kind = dict(queries.dtypes)["id"], dict(nodes.dtypes)["id"]
-    asked = queries.select("id", "vector").distinct().withColumn("ask", F.xxhash64("id", "vector"))
-
-    def run(q: pa.Table, n: pa.Table) -> pa.Table:
-        score = _cosines(_matrix(q), _matrix(n))
-        good = np.ones(score.shape, bool) if least is None else score >= least
-        if k is not None and score.shape[1] > k:
-            good &= score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-        i, j = np.nonzero(good)
-        return pa.table({"ask": q["ask"].take(i), "query_id": q["id"].take(i), "id": n["id"].take(j), "score": pa.array(score[i, j])})
-
-    found = meet(asked, nodes.select("id", "vector"), run, f"ask bigint, query_id {kind}, id {node_kind}, score double", block=block)
+    from . import angles
+
+    if k is None and least is None:
+        raise ValueError("k or least is needed")
+    asked = queries.select("id", F.col("vector").cast("array<double>").alias("vector")).where(whole()).distinct()
+    few = asked.limit(block + 1).collect()
+    if len(few) <= block:
+        found = _scan([(r["id"], r["vector"]) for r in few], dict(queries.dtypes)["id"], nodes.select("id", "vector"), k, least)
+    else:
+        numbered = keep(asked, "asked").withColumn("ask", F.monotonically_increasing_id())
+        found = angles.nearest(keep(numbered, "asked"), nodes.select("id", "vector"), k, least, block)
     if k is None:
         return found.drop("ask")
     nth = F.row_number().over(Window.partitionBy("ask", "query_id").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth", "ask")
 
 
+def _scan(asked: list[tuple], kind: str, nodes: DataFrame, k: int | None, least: float | None) -> DataFrame:
+    """(ask, query_id, id, score): a block of queries against all nodes, read once. Of each query a task returns the k best of its own rows, with equals of the last."""
+    node_kind = dict(nodes.dtypes)["id"]
+    of: dict[int, list[int]] = {}
+    for at, (_, v) in enumerate(asked):
+        of.setdefault(len(v), []).append(at)
+    x = {size: _units(np.array([asked[at][1] for at in rows], np.float64).reshape(len(rows), -1)) for size, rows in of.items()}
+    ids = pa.array([i for i, _ in asked], ARROW[kind])
+    schema = f"ask bigint, query_id {kind}, id {node_kind}, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray, pa.Array]] = {}  # ask, score and id of the best so far
+
+        def best(size: int, ask: np.ndarray, score: np.ndarray, node: pa.Array) -> None:
+            if size in held:
+                old = held[size]
+                ask, score, node = np.r_[old[0], ask], np.r_[old[1], score], pa.concat_arrays([old[2], node])
+            order = np.lexsort((-score, ask))
+            first = np.searchsorted(ask[order], ask[order])
+            bar = score[order][np.minimum(first + k - 1, np.searchsorted(ask[order], ask[order], side="right") - 1)]
+            stay = order[score[order] >= bar]
+            held[size] = ask[stay], score[stay], node.take(pa.array(stay))
+
+        def out(ask: np.ndarray, score: np.ndarray, node: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ask), ids.take(pa.array(ask)), node, pa.array(score)], ["ask", "query_id", "id", "score"])
+
+        for batch in batches:
+            length = batch.column("length").to_numpy()
+            for size in np.unique(length).tolist():
+                at = np.flatnonzero(length == size)
+                y = _units(np.array(batch.column("vector").take(pa.array(at)).flatten(), np.float64).reshape(len(at), -1))
+                score = _cosines(x[size], y)
+                good = np.ones(score.shape, bool) if least is None else score >= least
+                if k is not None and score.shape[1] > k:
+                    good &= score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                i, j = np.nonzero(good)
+                ask, node = np.array(of[size], np.int64)[i], batch.column("id").take(pa.array(at[j]))
+                if k is None:
+                    yield out(ask, score[i, j], node)
+                else:
+                    best(size, ask, score[i, j], node)
+        for ask, score, node in held.values():
+            yield out(ask, score, node)
+
+    rows = nodes.withColumn("vector", F.col("vector").cast("array<double>")).where(whole()).withColumn("length", F.size("vector"))
+    rows = rows.where(F.col("length").isin(*of)) if of else rows.limit(0)
+    return rows.select("id", "vector", "length").mapInArrow(run, schema)
+
+
 def score_bins(queries: DataFrame, nodes: DataFrame, thresholds: list[float], block: int = BLOCK) -> DataFrame:
     """(same, bin, n): how many pairs of a query and another node (id, vector, label) have equal labels or not, by the number of thresholds (ascending) that their score reaches. Pairs are counted where they are compared."""
 
@@ -149,11 +204,13 @@ def score_bins(queries: DataFrame, nodes: DataFrame, thresholds: list[float], bl
 
 
 def connections(nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(src, dst) that connect what pairs of nodes (id, vector) at a cosine of least or more connect: not every pair, but of each node one pair with every group of a block that it is near to, where a group is connected within its block."""
+    """(src, dst) that connect what pairs of nodes (id, vector) at a cosine of least or more connect: not every pair, but of each node one pair with every group of a block that it is near to, where a group is connected within its block. Only blocks that may hold such a pair meet (angles.py)."""
+    from . import angles
+
     kind = dict(nodes.dtypes)["id"]
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        x = _matrix(a)
+        x = angles.unit(a)
         near = _cosines(x, x) >= least
         group = np.full(len(x), -1)
         for first in range(len(x)):
@@ -162,14 +219,16 @@ def connections(nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame
                 group[front] = first
                 front = np.nonzero(near[front].any(0) & (group < 0))[0]
         own, far = a["id"].to_pylist(), b["id"].to_pylist()
-        i, j = np.nonzero(_cosines(x, _matrix(b)) >= least)
+        i, j = np.nonzero(_cosines(x, angles.unit(b)) >= least)
         pairs = np.unique(j * len(x) + group[i])
         ends = [(own[k % len(x)], far[k // len(x)]) for k in pairs.tolist()]
         ends = [e for e in ends if e[0] != e[1]]
         return pa.table({c: pa.array([e[k] for e in ends], ARROW[kind]) for k, c in enumerate(("src", "dst"))})
 
-    rows = nodes.select("id", "vector")
-    return meet(rows, rows, run, f"src {kind}, dst {kind}", block=block, upper=True)
+    rows = keep(angles.usable(nodes.select("id", "vector")), "vectors")
+    pivots = angles.pivots_of(rows, block)
+    blocks = angles.index(rows, pivots, block)
+    return angles.meet(angles.block_pairs(blocks, blocks, pivots, angles.bar_of(least), upper=True), run, f"src {kind}, dst {kind}")
 
 
 def embedding_text(statement: Column, assumptions: Column) -> Column:
