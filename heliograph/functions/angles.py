@@ -267,3 +267,16 @@ def nearest(asked: DataFrame, rows: DataFrame, k: int | None, least: float | Non
         return pa.table({"ask": x["ask"].take(i), "query_id": x["id"].take(i), "id": y["id"].take(j), "score": pa.array(score[i, j])})
 
     return meet(block_pairs(a, b, pivots, bar), run, f"ask bigint, query_id {kind}, id {node_kind}, score double")
+
+
+def join(a: DataFrame, b: DataFrame, least: float, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = V.BLOCK, upper: bool = False) -> DataFrame:
+    """run(some rows of a, some rows of b) so that every two rows (id, vector, ...) at a cosine of least or more are together once. upper: a and b are the same rows, and each pair of blocks meets once."""
+    if max(a.limit(block + 1).count(), b.limit(block + 1).count()) <= block:
+        return V.meet(a, b, run, schema, block=block)
+    left = keep(usable(a), "vectors")
+    right = left if upper else keep(usable(b), "vectors")
+    pivots = pivots_of(right, block)
+    if not pivots:
+        return a.sparkSession.createDataFrame([], schema)
+    blocks = index(left.where(F.col("length").isin(*pivots)), pivots, block)
+    return meet(block_pairs(blocks, blocks if upper else index(right, pivots, block), pivots, bar_of(least), upper), run, schema)

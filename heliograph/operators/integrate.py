@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import angles as A
 from ..functions import models as G
 from ..functions import text as T
 from ..functions import vector as V
@@ -69,48 +71,98 @@ def _fold(threshold: float, kind: str) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _settle(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """What a run of rows, in order, tells of itself: a row near a kept one before it is merged; one that is blocked, or near an undecided one before it, stays undecided; any other is kept."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        x, blocked = V.unit_rows(rows), rows["blocked"].to_pylist()
+        state = np.zeros(len(x), np.int8)  # 0 undecided, 1 kept, 2 merged
+        for r in range(len(x)):
+            near = state[:r][V.rounded(x[:r] @ x[r]) >= threshold]
+            state[r] = 2 if (near == 1).any() else 0 if blocked[r] or (near == 0).any() else 1
+        return pa.table({"id": rows["id"], "state": pa.array(state.astype(np.int32))})
+
+    return run
+
+
+def first_greedy(nodes: DataFrame, threshold: float, size: int = V.BLOCK) -> tuple[DataFrame, int]:
+    """(kept, rounds): ids (long, their order) of the nodes (id, vector, fixed; different vectors with a direction) that stay when each goes, in order, if a kept one before it is near, and fixed ones stay whatever they are near to.
+
+    That is the first maximal set without near pairs. Many nodes are decided at once: in a round, every run of `size` nodes in order goes as
+    far as it can without those before it, and what is near to newly kept nodes is merged everywhere. Only nodes with an undecided near
+    one in an earlier run wait, so the first run that has any is always decided; when no more than `size` are left, one task settles them.
+    """
+    kept = [keep(nodes.where("fixed").select("id", "vector"), "kept")]
+    rest = keep(nodes.where("not fixed").select("id", "vector"), "rest")
+
+    def without(rows: DataFrame, near: DataFrame) -> DataFrame:
+        """rows that are near to none of `near`."""
+        hit = A.join(rows, near, threshold, lambda x, y: pa.table({"id": x["id"].filter(pa.array((V._cosines(V._matrix(x), V._matrix(y)) >= threshold).any(1)))}), "id bigint", size)
+        return rows.join(hit.distinct(), "id", "left_anti")
+
+    def waiting(x: pa.Table, y: pa.Table) -> pa.Table:
+        near = V._cosines(V._matrix(x), V._matrix(y)) >= threshold
+        of_x, of_y = (np.array(t["run"]) for t in (x, y))
+        later, earlier = (near & (of_y[None, :] < of_x[:, None])).any(1), (near & (of_x[:, None] < of_y[None, :])).any(0)
+        return pa.table({"id": pa.concat_arrays([t["id"].combine_chunks().filter(pa.array(w)) for t, w in ((x, later), (y, earlier))])})
+
+    if not kept[0].isEmpty():
+        rest = keep(without(rest, kept[0]), "rest")
+    rounds = 0
+    while left := rest.count():
+        rounds += 1
+        if left <= size:
+            runs = rest.withColumn("run", F.lit(0).cast("long")).withColumn("blocked", F.lit(False))
+        else:
+            runs = keep(rest.withColumn("run", F.floor(F.col("id") / size)), "runs")
+            hit = A.join(runs, runs, threshold, waiting, "id bigint", size, upper=True).distinct().withColumn("blocked", F.lit(True))
+            runs = runs.join(hit, "id", "left").fillna(False, ["blocked"])
+        settled = runs.withColumn("length", F.size("vector")).groupBy("length", "run").applyInArrow(_settle(threshold), "id bigint, state int")
+        settled = keep(settled.join(rest, "id"), "settled")
+        new = settled.where("state = 1").select("id", "vector")
+        kept.append(new)
+        rest = keep(without(settled.where("state = 0").select("id", "vector"), new), "rest") if left > size else rest.limit(0)
+    return reduce(DataFrame.unionByName, kept), rounds
+
+
 def merge_in_order(entities: DataFrame, threshold: float, size: int = V.BLOCK, block: str | None = None) -> DataFrame:
     """Sequential merging: in the order of `ordinal`, each entity (id, vector) joins the nearest kept one at a cosine of the threshold or more, else is kept itself.
 
     The result depends on the order, as with inserts one after another; rows with `fixed` (if there is such a column) were
-    there before and are kept whatever they are near to. Entities that no chain of near ones connects cannot meet, so each
-    connected group is folded for itself, in one task if it has at most `size` rows. The rows of larger groups go in order,
-    `size` at a time: a task folds them, and then all rows that follow look for their nearest among what it kept.
-    With `block`, rows only meet those with the same value of that column, which by contract are few (one paper's entities).
-    Vectors that are null, zero or not finite merge with nothing. Returns id and keep_id.
+    there before and are kept whatever they are near to. Which rows are kept is found in a few rounds over all rows
+    (first_greedy()); then every other row looks for its nearest among those that were kept before it. With `block`, rows only
+    meet those with the same value of that column, which by contract are few (one paper's entities). Vectors that are null, zero
+    or not finite merge with nothing. Returns id and keep_id.
     """
     if threshold <= 0:
         raise ValueError(f"threshold must be above 0; got {threshold}")
     fixed = F.coalesce("fixed", F.lit(False)) if "fixed" in entities.columns else F.lit(False)
     kind = dict(entities.dtypes)["id"]
     rows = entities.select("id", F.col("vector").cast("array<double>").alias("vector"), "ordinal", F.when(fixed, 0).otherwise(1).alias("turn"), *([F.col(block).alias("block")] if block else []))
-    grouped = keep(E.near_groups(rows, threshold, size), "groups")
     if block:
         none = {"best": F.lit(None).cast(kind), "best_score": F.lit(None).cast("double")}
-        return grouped.withColumns(none).groupBy("block", "component").applyInArrow(_fold(threshold, kind), f"id {kind}, keep_id {kind}, nth bigint").select("id", "keep_id")
-    sizes = grouped.groupBy("component").agg(F.count("*").alias("size"))
-    sized = keep(grouped.join(sizes, "component").withColumns({"best": F.lit(None).cast(kind), "best_score": F.lit(None).cast("double")}), "sized")
-    fold, schema = _fold(threshold, kind), f"id {kind}, keep_id {kind}, nth bigint"
-    alone = sized.where("size = 1").select("id", F.col("id").alias("keep_id"))
-    small = sized.where((F.col("size") > 1) & (F.col("size") <= size)).drop("size").groupBy("component").applyInArrow(fold, schema)
-    out = alone.unionByName(small.select("id", "keep_id"))
-    rest = sized.where(F.col("size") > size).drop("size", "component")
-    order = ("turn", "ordinal", "id")
-    while True:
-        some = keep(rest.orderBy(*order).limit(size), "turn")
-        last = some.agg(F.max(F.struct(*order)).alias("m")).first()["m"]
-        if last is None:
-            return out
-        done = keep(some.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fold, schema), "folded")
-        out = out.unionByName(done.select("id", "keep_id"))
-        kept = done.where("nth > 0").join(some.select("id", "vector"), "id")
-        after = rest.where(F.struct(*order) > F.struct(*(F.lit(last[c]).cast(dict(rest.dtypes)[c]) for c in order)))
-        names = kept.select(F.col("nth").alias("near_id"), F.col("id").alias("near"))
-        near = V.scores(after.select("id", "vector"), kept.select(F.col("nth").alias("id"), "vector"), 1, threshold)
-        near = near.select(F.col("query_id").alias("id"), F.col("id").alias("near_id"), F.col("score").alias("near_score")).join(names, "near_id")
-        better = F.col("near_score").isNotNull() & (F.col("best_score").isNull() | (F.col("near_score") > F.col("best_score")))
-        new = {"best": F.when(better, F.col("near")).otherwise(F.col("best")), "best_score": F.when(better, F.col("near_score")).otherwise(F.col("best_score"))}
-        rest = keep(after.join(near, "id", "left").select(*(new[c].alias(c) if c in new else F.col(c) for c in after.columns)), "rest")
+        return rows.withColumns(none).groupBy("block").applyInArrow(_fold(threshold, kind), f"id {kind}, keep_id {kind}, nth bigint").select("id", "keep_id")
+    # numbers in order, with gaps between the parts of a sort
+    ordered = keep(rows.orderBy("turn", "ordinal", "id").select("id", "vector", "turn").withColumn("at", F.monotonically_increasing_id()), "ordered")
+    able = keep(ordered.where(V.whole() & F.exists("vector", lambda x: x != 0)), "able")
+    nodes = able.groupBy("vector").agg(F.min("at").alias("id"), (F.min("turn") == 0).alias("fixed"))
+    first, _ = first_greedy(keep(nodes, "nodes"), threshold, size)
+    first = keep(first, "first")
+    stays = first.select("id").unionByName(able.where("turn = 0").select(F.col("at").alias("id"))).distinct().withColumnRenamed("id", "at")
+    others = able.join(stays, "at", "left_anti").select(F.col("at").alias("id"), "vector")
+
+    def nearest(x: pa.Table, y: pa.Table) -> pa.Table:
+        y = y.sort_by("id")
+        score = np.where(np.array(y["id"])[None, :] < np.array(x["id"])[:, None], V._cosines(V._matrix(x), V._matrix(y)), -2.0)
+        best = score.argmax(1)  # of equals the one kept first
+        good = np.flatnonzero(score[np.arange(len(best)), best] >= threshold)
+        return pa.table({"at": x["id"].take(pa.array(good)), "near": y["id"].take(pa.array(best[good])), "score": pa.array(score[good, best[good]])})
+
+    found = A.join(keep(others, "others"), first, threshold, nearest, "at bigint, near bigint, score double", size)
+    found = found.groupBy("at").agg(F.min_by("near", F.struct(-F.col("score"), F.col("near"))).alias("near"))
+    merged = found.join(ordered.select(F.col("at").alias("near"), F.col("id").alias("keep_id")), "near").select("at", "keep_id")
+    return ordered.join(merged, "at", "left").select("id", F.coalesce("keep_id", "id").alias("keep_id"))
 
 
 def create_or_merge(state: DataFrame, incoming: DataFrame, threshold: float, most_aliases: int = 20) -> tuple[DataFrame, DataFrame]:

@@ -104,3 +104,43 @@ def test_registered_merge_has_no_blocks(spark, tmp_path):
     spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     found = {r["id"]: r["keep_id"] for r in registry.QUERIES["sequential_merge"](spark, str(tmp_path)).collect()}
     assert found == _folded(rows, 0.35) and found[190] == found[5]
+
+
+def test_one_connected_group_is_merged_in_a_few_rounds(spark):
+    """A chain of 20 000 rows around a circle, each near the next ones only, in mixed order: one group, and no turn for each block of it."""
+    from heliograph.operators import integrate as I
+
+    n, step = 20_000, 2 * np.pi / 20_000
+    angle = np.random.default_rng(2).permutation(n) * step
+    x = np.stack([np.cos(angle), np.sin(angle)], 1)
+    threshold = float(np.cos(2.5 * step))
+    place = np.round(angle / step).astype(int)
+    kept, want = {}, {}
+    for i, p in enumerate(place.tolist()):
+        near = [(abs(d), kept[(p + d) % n]) for d in (-2, -1, 0, 1, 2) if (p + d) % n in kept]
+        if not near:
+            kept[p] = i
+        want[i] = min(near)[1] if near else i
+    rows = spark.createDataFrame([(i, v.tolist(), i) for i, v in enumerate(x)], "id long, vector array<double>, ordinal long").repartition(6)
+    found = {r["id"]: r["keep_id"] for r in I.merge_in_order(rows, threshold, 2048).collect()}
+    # cosines of neighbours differ by less than what scores are rounded to, so any kept one within reach may be the nearest
+    assert {i for i in found if found[i] == i} == set(kept.values())
+    reach = lambda a, b: min((place[a] - place[b]) % n, (place[b] - place[a]) % n)
+    assert all(reach(i, k) <= 2 and k <= i for i, k in found.items())
+    nodes = rows.select("id", "vector", F.lit(False).alias("fixed"))
+    _, rounds = I.first_greedy(nodes, threshold, 2048)
+    assert rounds <= 5
+
+
+def test_one_crowd_and_an_ordered_chain(spark):
+    from heliograph.operators import integrate as I
+
+    rng = np.random.default_rng(5)
+    crowd = rng.normal(size=(1, 16)) + 0.25 * rng.normal(size=(900, 16))
+    line = [[float(np.cos(t)), float(np.sin(t)), *[0.0] * 14] for t in np.arange(300) * 0.02]
+    rows = [(i, list(map(float, v)), i) for i, v in enumerate([*crowd, *line])]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>, ordinal long").repartition(4)
+    want = _folded([(i, v) for i, v, _ in rows], 0.9995)
+    assert {r["id"]: r["keep_id"] for r in I.merge_in_order(frame, 0.9995, 100).collect()} == want
+    want = _folded([(i, v) for i, v, _ in rows], 0.93)
+    assert {r["id"]: r["keep_id"] for r in I.merge_in_order(frame, 0.93, 128).collect()} == want
