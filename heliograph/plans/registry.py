@@ -21,7 +21,11 @@ from ..operators import review as Q
 from ..operators import search as S
 from ..operators import state as U
 from ..operators import taxonomy as Y
+from ..scratch import keep, new_dir
+from ..sources import connectors as N
+from ..sources import lookups as L
 from ..sources import papers as P
+from ..sources import versioned as K
 from ..sources.surrogate import SQL, load, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -945,9 +949,14 @@ def mention_integration(spark: SparkSession, d: str) -> DataFrame:
     return n(edges, "instance_of").unionByName(n(made, "new_concept")).unionByName(n(up, "escalated"))
 
 
-@query(None, graph=False)
+@query("""WITH RECURSIVE v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS at, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
+near AS (SELECT b.at, a.at AS before, round(list_cosine_similarity(a.vector, b.vector), 9) AS score FROM v a JOIN v b ON a.at < b.at),
+close AS (SELECT * FROM near WHERE score >= 0.35),
+step AS (SELECT CAST(0 AS BIGINT) AS at, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS best
+UNION ALL SELECT s.at + 1, CASE WHEN min(c.before) IS NULL THEN list_append(s.kept, s.at + 1) ELSE s.kept END, first(c.before ORDER BY c.score DESC, c.before) FILTER (c.before IS NOT NULL)
+FROM step s LEFT JOIN close c ON c.at = s.at + 1 AND list_contains(s.kept, c.before) WHERE s.at < (SELECT count(*) FROM v) GROUP BY s.at, s.kept)
+SELECT v.id, coalesce(k.id, v.id) AS keep_id FROM step JOIN v ON v.at = step.at LEFT JOIN v k ON k.at = step.best""", graph=False)
 def sequential_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Order-dependent merging has no plain SQL form; tests hold it against a loop."""
     _, rows = _vectors(spark, d)
     return I.merge_in_order(rows.select("id", "vector", F.col("id").alias("ordinal")), 0.35)
 
@@ -967,3 +976,43 @@ def full_text_choice(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("paper"), F.col("turn").alias("ordinal"), "text", F.when(F.col("turn") % 2 == 0, "HTTP 404").otherwise("refused").alias("error"))
     best = I.best_full_text(c)
     return best.select("paper", F.md5("text").alias("hash"), F.when(F.col("failure").isNotNull(), X.download_failure(F.col("failure"))).alias("failure"))
+
+
+# --- providers, lookups and publications ------------------------------------------------------------------------------
+
+_PROVIDER = "heliograph.sources.providers.StoredRecords"
+
+
+@query("""WITH c AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY l_partkey), w AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT -n_nationkey - 1 FROM nation)
+SELECT CAST(k AS VARCHAR) AS id, p_name AS name, coalesce(p_size, 0) AS size, coalesce(c.n, 0) AS n_authors, CASE WHEN p_partkey IS NULL THEN 'not found' END AS error FROM w LEFT JOIN part ON p_partkey = k LEFT JOIN c ON l_partkey = k""", graph=False)
+def looked_up_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of a provider by id, and what belongs to each, in requests of 500 ids; ids that it does not know are failures."""
+    pairs = keep(table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct(), "authored").inputFiles()[0].rpartition("/")[0]
+    options = {"records": f"{d}/part.parquet", "key": "p_partkey", "kind.authors": pairs, "kind.authors.key": "l_partkey"}
+    wanted = table(spark, d, "part").where("p_partkey % 3 = 0").selectExpr("CAST(p_partkey AS STRING) AS id")
+    none = table(spark, d, "nation").selectExpr("CAST(-n_nationkey - 1 AS STRING) AS id")
+    found, failed = L.lookup(wanted.unionByName(none), _PROVIDER, options, "p_name string, p_size int")
+    authors, _ = L.lookup(wanted, _PROVIDER, options, "l_suppkey long", "authors")
+    rows = found.select("id", F.col("p_name").alias("name"), F.col("p_size").alias("size")).unionByName(failed, allowMissingColumns=True)
+    return rows.join(authors.groupBy("id").agg(F.count_distinct("l_suppkey").alias("n_authors")), "id", "left").fillna(0, ["size", "n_authors"])
+
+
+@query("""SELECT 'second' AS source, p_partkey AS id, p_name AS title FROM part WHERE contains(lower(p_name), 'o') AND p_size BETWEEN 10 AND 30 UNION ALL SELECT 'third', p_partkey, p_name FROM part WHERE contains(lower(p_name), 'o') AND p_size BETWEEN 10 AND 30""", graph=False)
+def records_of_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Three sources under one query, page by page; the filters are theirs to apply, and one source is not asked."""
+    options = {"records": f"{d}/part.parquet", "key": "p_partkey", "search": "p_name"}
+    rows = N.provider_records(spark, {k: (_PROVIDER, options) for k in ("first", "second", "third")}, "source string, p_partkey long, p_name string, p_size int", "O", page_size=500)
+    return rows.where("source IN ('second', 'third') AND p_size >= 10 AND p_size <= 30").select("source", F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+
+
+@query("""WITH o AS (SELECT event_type, event_id, CASE WHEN event_id % 11 = 0 THEN 'error' ELSE 'created' END AS outcome FROM events)
+SELECT event_type AS run, count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'error') AS error, count(*) FILTER (outcome = 'created') AS stored FROM o GROUP BY event_type""", graph=False)
+def published_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A run's report and the state that it made, published at once and read back from the same version."""
+    outcomes = table(spark, d, "events").select(F.col("event_type").alias("trace_id"), "event_id", F.when(F.col("event_id") % 11 == 0, "error").otherwise("created").alias("outcome"))
+    report = outcomes.groupBy(F.col("trace_id").alias("run")).agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("created", "error")))
+    path = new_dir(spark, "published")
+    K.publish(spark, path, {"state": outcomes.where("outcome = 'created'"), "report": report.limit(0)})
+    version = K.publish(spark, path, {"report": report})
+    stored = K.read(spark, path, "state", version).groupBy(F.col("trace_id").alias("run")).agg(F.count("*").alias("stored"))
+    return K.read(spark, path, "report", version).join(stored, "run", "left").fillna(0, ["stored"])
