@@ -252,9 +252,38 @@ def surfaces(name: Column, aliases: Column, deny: tuple[str, ...], least: int =
     return F.filter(all_, lambda x: x.isNotNull() & (F.length(x) >= least) & ~F.lower(x).isin(*deny))
 
 
+#: Words of a surface by which it is looked for; what follows them is checked then.
+NGRAM = 3
+_EDGE = "\x01"
+
+
+def _tokens(text: Column) -> Column:
+    """Runs of word characters, in small letters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+
+
+def _edged(text: Column) -> Column:
+    """A text in small letters with a mark at every word boundary, so that whole words are found as plain text."""
+    return F.regexp_replace(F.lower(F.replace(text, F.lit(_EDGE), F.lit(" "))), r"(?U)\b", _EDGE)
+
+
 def alias_links(mentions: DataFrame, entities: DataFrame, on: str) -> DataFrame:
-    """(mention_id, entity_id): an entity of the same paper (column on) whose surface stands in the mention as whole words."""
-    quoted = F.transform("surfaces", lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
-    pattern = F.concat(F.lit(r"(?iU)\b("), F.array_join(quoted, "|"), F.lit(r")\b"))
-    rows = entities.where(F.size("surfaces") > 0).withColumn("pattern", pattern)
-    return mentions.join(rows, on).where("text rlike pattern").select("mention_id", "entity_id").distinct()
+    """(mention_id, entity_id): an entity of the same paper (column on) whose surface stands in the mention as whole words.
+
+    Mentions and surfaces meet by their paper and the surface's first words, three at most, as mentions have them side by
+    side; then the whole surface is looked for between word boundaries. Surfaces without a letter or digit meet all mentions of
+    their paper. Case does not matter. Papers, texts and surfaces that are null link nothing.
+    """
+    none = F.array(F.lit(""))
+
+    def runs(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size("tokens") - (n - 1)), lambda i: F.array_join(F.slice("tokens", i, n), " "))
+        return F.when(F.size("tokens") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.concat(none, *map(runs, range(1, NGRAM + 1))))
+    m = mentions.where("text is not null").select(F.col(on).alias("paper"), "mention_id", F.col("text").alias("whole"))
+    known = entities.select(F.col(on).alias("paper"), "entity_id", F.explode(F.array_distinct("surfaces")).alias("surface")).where("surface is not null and surface <> ''")
+    known = known.withColumn("gram", F.array_join(F.slice(_tokens(F.col("surface")), 1, NGRAM), " ")).withColumn("edged", F.concat(F.lit(_EDGE), F.btrim(_edged(F.col("surface")), F.lit(_EDGE)), F.lit(_EDGE)))
+    texts = m.select("paper", "mention_id", _edged(F.col("whole")).alias("edged_text"), _tokens(F.col("whole")).alias("tokens"))
+    by_gram = texts.select("paper", "mention_id", "edged_text", F.explode(grams).alias("gram")).join(known, ["paper", "gram"])
+    return by_gram.where(F.contains("edged_text", "edged")).select("mention_id", "entity_id").distinct()

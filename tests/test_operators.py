@@ -287,3 +287,18 @@ def test_streamed_batches_make_versions(spark, tmp_path):
         ingest.maintain(more, str(tmp_path / "state"), merge, str(tmp_path / "cp2"), hold=2).awaitTermination()
         assert got(ingest.latest_state(spark, str(tmp_path / "state")), "id", "v") == [(0, 2), (1, 7)]
     assert len(list((tmp_path / "state").iterdir())) == 2
+
+
+def test_alias_links_are_those_of_a_pattern(spark):
+    import re
+
+    texts = ["We use Deep-Nets, deep nets and deepnets.", "C++ beats c+ here; x+++y", "naïve Bayes", "A GRU. a gru!", "", None, "the deep  nets", "été d'été", "foo.bar_baz", "a b c d e f", "\x01 odd \x01 text", "+++", "GRUs only"]
+    names = ["deep nets", "Deep-Nets", "C++", "+++", "naïve", "NAÏVE BAYES", "gru", "été", "d'été", "bar", "bar_baz", "foo.bar", "a b c d", "b c d e f", "c d e g", "odd", ".", "deep  nets", "[", r"\E"]
+    mentions = spark.createDataFrame([(p, f"m{p}{k}", t) for p in (1, 2) for k, t in enumerate(texts)] + [(None, "x", "gru")], "paper int, mention_id string, text string").repartition(3)
+    entities = spark.createDataFrame([(1, f"e{k}", [n]) for k, n in enumerate(names)] + [(2, "both", ["zzz", "gru", None, ""]), (2, "none", []), (2, "null", None), (None, "y", ["gru"])], "paper int, entity_id string, surfaces array<string>")
+    found = {tuple(r) for r in T.alias_links(mentions, entities, "paper").collect()}
+    hit = lambda name, t: t is not None and re.search(rf"\b(?:{re.escape(name)})\b", t, re.I)
+    want = {(f"m1{k}", f"e{j}") for k, t in enumerate(texts) for j, n in enumerate(names) if hit(n, t)} | {(f"m2{k}", "both") for k, t in enumerate(texts) if hit("gru", t)}
+    assert found == want and len(want) > 12
+    plan = T.alias_links(mentions, entities, "paper")._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
