@@ -31,6 +31,8 @@ FIT_STEPS = 64
 MAX_FIT = 1500
 #: Sequences times languages that are worked on at once, so that memory does not grow with the number of languages.
 CELLS = 1 << 16
+#: A table of so many languages goes to all tasks; a larger one is joined.
+MOST_BROADCAST = 1 << 14
 UNKNOWN = "und"
 RESULT = "doc_id long, lang_pred string, score double, shares array<double>"
 
@@ -182,6 +184,7 @@ def sample(labelled: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
     share = quota(list(counts.values()), max_fit)
     reach = lambda n: 2**63 - 1 if n <= 2 * (share + 64) else int(2 * (share + 64) / n * 2**64) - 2**63
     cuts = spark.createDataFrame([(lang, reach(n)) for lang, n in counts.items()], "lang string, most long")
+    cuts = F.broadcast(cuts) if len(counts) <= MOST_BROADCAST else cuts
     some = rows.join(cuts, "lang").where("h <= most").select("lang", "h", "text").distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return some.withColumn("nth", nth).where(F.col("nth") <= share).select("lang", "text")
