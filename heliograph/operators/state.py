@@ -93,6 +93,29 @@ def with_counter(nodes: DataFrame, edges: DataFrame, counter: str, end: str = "d
     return nodes.drop(counter).join(n, "id", "left").fillna(0, [counter])
 
 
+def edge_changes(edges: DataFrame, changes: DataFrame, ordinal: str = "ordinal") -> tuple[DataFrame, DataFrame]:
+    """(edges after, deltas) of links and unlinks (src, dst, linked, ordinal and properties) in one go. Of several changes of an edge the last counts.
+
+    deltas (src, dst, delta): 1 for an edge that is new, -1 for one that went; an edge that is linked again or that was not there to
+    unlink has none. Only edges that the changes name are looked at for it, however many there are. Edges that stay keep their properties.
+    """
+    more = [c for c in changes.columns if c in edges.columns and c not in ("src", "dst")]
+    last = changes.groupBy("src", "dst").agg(F.max_by(F.struct("linked", *more), F.struct(ordinal, "linked")).alias("c"))
+    there = edges.select("src", "dst").join(last.select("src", "dst"), ["src", "dst"], "left_semi").distinct().withColumn("there", F.lit(True))
+    judged = keep(last.join(there, ["src", "dst"], "left").withColumn("there", F.coalesce("there", F.lit(False))), "changes")
+    deltas = judged.where(F.col("c.linked") != F.col("there")).select("src", "dst", F.when(F.col("c.linked"), 1).otherwise(-1).cast("long").alias("delta"))
+    gone = judged.where("there and not c.linked").select("src", "dst")
+    new = judged.where("not there and c.linked").select("src", "dst", *(F.col(f"c.{c}").alias(c) for c in more))
+    return edges.join(gone, ["src", "dst"], "left_anti").select(*edges.columns).unionByName(new, allowMissingColumns=True), deltas
+
+
+def add_to_counter(nodes: DataFrame, deltas: DataFrame, counter: str, end: str = "dst") -> DataFrame:
+    """The counter with the deltas of edge_changes() added; nodes without any keep theirs, and a counter that is null counts from zero."""
+    by = deltas.groupBy(F.col(end).alias("id")).agg(F.sum("delta").alias("__delta"))
+    after = F.when(F.col("__delta").isNotNull(), F.coalesce(counter, F.lit(0)) + F.col("__delta")).otherwise(F.col(counter))
+    return nodes.join(by, "id", "left").select(*(after.alias(c) if c == counter else F.col(c) for c in nodes.columns))
+
+
 def promote(papers: DataFrame, full: DataFrame) -> DataFrame:
     """Full records overwrite stubs, keep their counters, and clear is_stub; known papers stay as they are, new ones are added. Several records of a DOI count once."""
     full = one_per_key(full, "doi")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as C
+from .. import stored as D
 from ..functions import scalars as X
 from ..functions import text as T
 from ..functions import vector as V
@@ -21,6 +22,7 @@ from ..operators import review as Q
 from ..operators import search as S
 from ..operators import state as U
 from ..operators import taxonomy as Y
+from ..graph import Graph
 from ..scratch import keep, new_dir
 from ..sources import connectors as N
 from ..sources import lookups as L
@@ -1016,3 +1018,44 @@ def published_runs(spark: SparkSession, d: str) -> DataFrame:
     version = K.publish(spark, path, {"report": report})
     stored = K.read(spark, path, "state", version).groupBy(F.col("trace_id").alias("run")).agg(F.count("*").alias("stored"))
     return K.read(spark, path, "report", version).join(stored, "run", "left").fillna(0, ["stored"])
+
+
+# --- the stored graph, and counters that follow changes ------------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, d: str) -> D.StoredGraph:
+    g = load(spark, d)
+    some = Graph({"paper": g.nodes["paper"].select("id", "year")}, {"cites": g.edges["cites"]})
+    return D.save(some, {"cites": {"dst": ("paper", ["year"])}})
+
+
+@query("""SELECT p.id, coalesce(i.n, 0) AS citation_count, coalesce(o.n, 0) AS reference_count FROM paper p
+LEFT JOIN (SELECT dst, count(*) AS n FROM cites GROUP BY dst) i ON i.dst = p.id LEFT JOIN (SELECT src, count(*) AS n FROM cites GROUP BY src) o ON o.src = p.id""")
+def stored_citation_counts(spark: SparkSession, d: str) -> DataFrame:
+    """citation_counts over bucketed tables: no shuffle of nodes or edges."""
+    return _stored(spark, d).degree_counts("paper", "cites")
+
+
+@query("SELECT p.id, count(c.dst) AS n_refs, CAST(count(CASE WHEN t.year < p.year THEN 1 END) AS BIGINT) AS n_older FROM paper p LEFT JOIN cites c ON c.src = p.id LEFT JOIN paper t ON t.id = c.dst GROUP BY p.id")
+def stored_references(spark: SparkSession, d: str) -> DataFrame:
+    """references_of_papers over bucketed tables: edges carry the year of the paper that they lead to."""
+    g = _stored(spark, d)
+    by = g.hop("paper", "cites").groupBy("id").agg(F.count("*").alias("n_refs"), F.count_if(F.col("dst_year") < F.col("year")).alias("n_older"))
+    return g.nodes("paper").select("id").join(by, "id", "left").fillna(0, ["n_refs", "n_older"])
+
+
+@query("""WITH c AS (SELECT src, dst, CAST(substr(src, 2) AS BIGINT) AS k FROM belongs), after AS (SELECT src, dst FROM c WHERE k % 7 > 1 AND k % 11 <> 0 UNION SELECT src, dst FROM c WHERE k % 7 = 1)
+SELECT t.id, count(a.src) AS problem_count FROM topic t LEFT JOIN after a ON a.dst = t.id GROUP BY t.id""")
+def counters_by_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Links and unlinks, mixed and repeated, added to counters that are never counted anew."""
+    g = load(spark, d)
+    k = F.substring("src", 2, 20).cast("long")
+    full = g.edges["belongs_to"].distinct()
+    old = full.where(k % 7 > 0)
+    off = old.where((k % 11 == 0)).select("src", "dst", F.lit(False).alias("linked"), F.lit(1).alias("ordinal"))
+    back = full.where(k % 7 == 1).select("src", "dst", F.lit(True).alias("linked"), F.lit(2).alias("ordinal"))
+    never = full.where(k % 7 == 0).select("src", "dst", F.lit(False).alias("linked"), F.lit(3).alias("ordinal"))
+    twice = full.where(k % 7 == 0).select("src", "dst", F.lit(True).alias("linked"), F.lit(1).alias("ordinal"))
+    counted = U.with_counter(g.nodes["topic"], old, "problem_count")
+    _, deltas = U.edge_changes(old, off.unionByName(back).unionByName(never).unionByName(twice))
+    return U.add_to_counter(counted, deltas, "problem_count").select("id", "problem_count")
