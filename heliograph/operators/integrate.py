@@ -16,6 +16,7 @@ from ..functions import models as G
 from ..functions import text as T
 from ..functions import vector as V
 from ..scratch import keep
+from ..sources import papers as P
 from . import resolve as E
 from . import search as S
 
@@ -183,6 +184,45 @@ def create_or_merge(state: DataFrame, incoming: DataFrame, threshold: float, mos
     return E.merge_into(canon, merged, "id", most_aliases), outcome.select("id", F.col("keep_id").alias("entity_id"), (F.col("id") == F.col("keep_id")).alias("created"))
 
 
+def create_or_merge_described(state: DataFrame, incoming: DataFrame, threshold: float, describe: Callable[[str], str], check: Callable[[str, str], bool], most_aliases: int = 20) -> tuple[DataFrame, DataFrame]:
+    """As create_or_merge(); entities that it touched and that still have no description get one that describe gives for the name and check accepts."""
+    new, outcome = create_or_merge(state, incoming, threshold, most_aliases)
+    new = keep(new, "merged")
+    touched = outcome.select(F.col("entity_id").alias("id")).distinct()
+    told = G.describe(new.join(touched, "id", "left_semi").select(*new.columns), "name", describe, check)
+    return told.unionByName(new.join(touched, "id", "left_anti").select(*new.columns)), outcome
+
+
+def paper_entities(documents: DataFrame, extractors: dict[str, Callable[[str], list[dict]]], key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(entities, failures) of texts with different keys: the sections that entity extractors read, once through all of them (kind -> function).
+
+    entities: id, paper (the key), kind, ordinal (in its kind), name, aliases, description; ones without a name are left out.
+    failures: paper, extractor, error.
+    """
+    sections = T.segment_with_abstract(documents, key, text)
+    texts = T.extractor_text(sections, key).select(F.col(key).alias("id"), "text")
+    done = keep(G.extract_all(texts, "text", extractors), "extracted")
+    item = "array<struct<name:string,aliases:array<string>,description:string>>"
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), G.result(k, item).alias("items")) for k in extractors))
+    rows = done.select(F.col("id").alias("paper"), F.inline(each)).select("paper", "kind", F.posexplode("items").alias("ordinal", "e")).where("trim(e.name) <> ''")
+    made = F.substring(F.sha2(F.concat_ws("\x1f", F.col("paper").cast("string"), "kind", F.col("ordinal").cast("string")), 256), 1, 16)
+    return rows.select(made.alias("id"), "paper", "kind", "ordinal", F.trim("e.name").alias("name"), "e.aliases", "e.description"), G.failures(done).withColumnRenamed("id", "paper")
+
+
+def integrate_entities(states: dict[str, DataFrame], entities: DataFrame, threshold: float) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(new states, edges) after a paper's or many papers' entities (of paper_entities(), with `vector`), kind by kind, in the order of papers and their entities: each is merged into a near one or created.
+
+    states: kind -> id, name, aliases, description, vector and more. edges: src (paper), dst (entity), kind, each once.
+    """
+    ordered = keep(entities.orderBy("paper", "ordinal", "id").withColumn("ordinal", F.monotonically_increasing_id()), "entities")
+    out, edges = {}, []
+    for kind, state in states.items():
+        mine = ordered.where(F.col("kind") == kind)
+        out[kind], outcome = create_or_merge(state, mine.select("id", "name", "aliases", "description", "vector", "ordinal"), threshold)
+        edges.append(outcome.join(mine.select("id", "paper"), "id").select(F.col("paper").alias("src"), F.col("entity_id").alias("dst"), F.lit(kind).alias("kind")).distinct())
+    return out, reduce(DataFrame.unionByName, edges)
+
+
 def relations(texts: DataFrame, problems: DataFrame, key: str = "doc_id", text: str = "text", similar: float = 0.7, least: float = 0.5) -> DataFrame:
     """(key, source, target, relation, confidence, evidence, method) between the problems (key, ordinal, statement) of texts: from cues in the text, and from statements with like words; of each pair and type the most confident, of `least` or more.
 
@@ -280,3 +320,18 @@ def import_papers(papers: DataFrame, found: DataFrame, update: bool = False) ->
     value = {c: F.coalesce(F.col(f"f.{c}"), F.col(c)) for c in same} if update else {}
     out = out.select(*(value[c].alias(c) if c in value else F.col(c) for c in papers.columns))
     return out.unionByName(new, allowMissingColumns=True), outcome.unionByName(bad)
+
+
+def import_author_papers(papers: DataFrame, authors: DataFrame, authored: DataFrame, records: DataFrame, who: DataFrame, as_of_year: int, update: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(papers, authors, authored, outcomes) after importing the records (in normal form) that list one of the authors in `who` (column semantic_scholar_id), with all their authors.
+
+    Outcomes are those of import_papers(); edges of authorship that are there stay as they are.
+    """
+    outside = lambda a: F.coalesce(a["external_ids"]["semantic_scholar"], a["external_ids"]["s2"])
+    listed = records.select("doi", F.explode("authors").alias("a")).select("doi", outside(F.col("a")).alias("semantic_scholar_id"))
+    mine = listed.join(who.select("semantic_scholar_id").distinct(), "semantic_scholar_id", "left_semi").select("doi").distinct()
+    found = keep(records.join(mine, "doi", "left_semi"), "authored")
+    new_papers, outcomes = import_papers(papers, P.graph_papers(found, as_of_year), update)
+    new_authors, edges = P.link_authors(authors, P.paper_authors(found))
+    fresh = edges.join(authored.select("src", "dst"), ["src", "dst"], "left_anti")
+    return new_papers, new_authors, authored.unionByName(fresh, allowMissingColumns=True), outcomes

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as C
 from .. import stored as D
+from ..functions import models as G
 from ..functions import scalars as X
 from ..functions import text as T
 from ..functions import vector as V
@@ -16,6 +17,7 @@ from ..operators import aggregates as A
 from ..operators import batch as B
 from ..operators import integrate as I
 from ..operators import match as M
+from ..operators import migrate as Z
 from ..operators import reads as R
 from ..operators import resolve as E
 from ..operators import review as Q
@@ -1059,3 +1061,40 @@ def counters_by_deltas(spark: SparkSession, d: str) -> DataFrame:
     counted = U.with_counter(g.nodes["topic"], old, "problem_count")
     _, deltas = U.edge_changes(old, off.unionByName(back).unionByName(never).unionByName(twice))
     return U.add_to_counter(counted, deltas, "problem_count").select("id", "problem_count")
+
+
+# --- several extractors in one pass, and a migration in steps ---------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT conv_id * 100 + turn AS id, text FROM conversations)
+SELECT id, CASE WHEN text IS NOT NULL THEN array_to_string(regexp_extract_all(text, '[0-9]+'), ',') END AS numbers, coalesce(length(text), -1) AS chars, coalesce(len(regexp_extract_all(text, '[^ ]+')), -1) AS words,
+CASE WHEN text IS NULL THEN 'no text' WHEN length(text) % 3 = 0 THEN 'ValueError: a third' ELSE 'ok' END AS last_status FROM t""", graph=False)
+def extractors_in_one_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Four extractors over each turn, one of which fails at a third of them; nested results stored as text and loaded again."""
+    import re
+
+    def third(text: str) -> list:
+        if len(text) % 3 == 0:
+            raise ValueError("a third")
+        return []
+
+    extractors = {"numbers": lambda t: [{"name": n} for n in re.findall("[0-9]+", t)], "sizes": lambda t: {"chars": len(t), "deep": {"words": [x for x in t.split(" ") if x]}}, "plain": len, "third": third}
+    done = G.extract_all(table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text"), "text", extractors)
+    back = P.loaded_properties(P.stored_properties(done), "id long, results variant, status map<string,string>")
+    numbers = F.transform(G.result("numbers", "array<struct<name:string>>"), lambda x: x["name"])
+    words = F.size(G.result("sizes.deep.words", "array<string>"))
+    chars = F.when(G.result("plain", "int") == G.result("sizes.chars", "int"), G.result("plain", "long"))
+    return back.select("id", F.array_join(numbers, ",").alias("numbers"), F.coalesce(chars, F.lit(-1)).alias("chars"), F.coalesce(words, F.lit(-1)).cast("long").alias("words"), F.element_at("status", "third").alias("last_status"))
+
+
+@query("""WITH n AS (SELECT o_orderpriority AS name, substr(sha256('migrated/' || o_orderpriority), 1, 16) AS id, length(o_orderpriority) % 2 AS parity, count(*) AS n FROM orders GROUP BY o_orderpriority)
+SELECT first(name ORDER BY length(name) DESC, id) AS name, CAST(sum(n) AS BIGINT) AS problem_count, count(*) AS members, CAST(4 AS BIGINT) AS steps FROM n GROUP BY parity""", graph=False)
+def migration_in_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Domain names to topics in four steps, each published with its entry in the ledger; names of even and of odd length are near one another."""
+    problems = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("domain"))
+    embed = lambda t: t.withColumn("vector", F.when(F.length("name") % 2 == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+    topics = spark.createDataFrame([], "id string, name string, level string, parent_id string")
+    tables, ledger = Z.run(spark, new_dir(spark, "migration"), Z.domains_to_topics(embed, 0.9), {"problems": problems, "topics": topics})
+    members = tables["merged"].groupBy(F.col("keep_id").alias("id")).agg((F.count("*") + 1).alias("members"))
+    steps = ledger.agg(F.count("*")).scalar()
+    return tables["topics"].join(members, "id", "left").fillna(1, ["members"]).select("name", "problem_count", "members", steps.alias("steps"))

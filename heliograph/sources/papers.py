@@ -176,6 +176,27 @@ def populate_citations(papers: DataFrame, cites: DataFrame, references: DataFram
     return papers.unionByName(new.select(*(c for c in new.columns if c in papers.columns)), allowMissingColumns=True), cites.unionByName(fresh, allowMissingColumns=True), report
 
 
+def stored_properties(rows: DataFrame) -> DataFrame:
+    """Rows as a property store takes them: structs, maps and arrays of them as JSON text (null stays null), plain values and lists as they are."""
+    nested = lambda t: "struct<" in t or "map<" in t or t == "variant" or "variant>" in t
+    return rows.select(*(F.to_json(c).alias(c) if nested(t) else F.col(c) for c, t in rows.dtypes))
+
+
+def loaded_properties(rows: DataFrame, schema: str) -> DataFrame:
+    """Rows of stored_properties() with the columns of schema again; JSON text that does not fit is null."""
+    from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
+
+    def value(f) -> Column:
+        kind = f.dataType
+        if isinstance(kind, VariantType):
+            return F.try_parse_json(f.name)
+        if isinstance(kind, StructType | MapType) or isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType | MapType):
+            return F.when(F.try_parse_json(f.name).isNotNull(), decode_json(F.col(f.name), kind.simpleString()))
+        return F.col(f.name).cast(kind)
+
+    return rows.select(*(value(f).alias(f.name) for f in StructType.fromDDL(schema) if f.name in rows.columns))
+
+
 def decode_json(value: Column, schema: str) -> Column:
     """JSON text as the schema; text that was encoded as text again, up to twice more, is decoded first. Null where it does not fit."""
     once = lambda v: F.coalesce(F.when(F.trim(v).startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")), v)
