@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from ..scratch import keep
+
 # Section types, with the headings that name them (in lower case, with single spaces). An appendix may bear a letter, too.
 HEADINGS = {
     "abstract": ("abstract", "summary"),
@@ -103,19 +105,31 @@ def clean(text: Column, min_line: int = 3, drop: Callable[[Column], Column] | No
 
 def section_type(line: Column) -> Column:
     """The section type that the whole line names, perhaps after a number, else null."""
-    names = _headings()
-    table = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    most = max(map(len, names)) + 12  # with a number before it
-    kind = lambda h: F.when(F.length(h) <= most, F.element_at(table, h))
-    bare = lambda h: F.when(F.substring(h, 1, 1).between("0", "9"), F.trim(F.regexp_replace(h, r"^\d+\.? ?", "")))
-    numbered = lambda h: let(kind(bare(h)), lambda k: F.when(~k.isin(*UNNUMBERED), k))
-    return let(F.lower(F.regexp_replace(F.trim(line), r"\s{2,}|[^\S ]", " ")), lambda h: F.coalesce(kind(h), numbered(h)))
+    of: dict[str, list[str]] = {}
+    for name, kind in _headings().items():
+        of.setdefault(kind, []).append(name)
+
+    def kind(h: Column, kinds: list[str]) -> Column:
+        out = F.when(h.isin(*of[kinds[0]]), kinds[0])
+        for k in kinds[1:]:
+            out = out.when(h.isin(*of[k]), k)
+        return out
+
+    plain = F.regexp_replace(F.trim(line), r"\s{2,}|[^\S ]", " ")
+    bare = lambda h: F.trim(F.regexp_replace(h, r"^\d+\.? ?", ""))
+    numbered = lambda h: F.when(F.substring(h, 1, 1).between("0", "9"), let(bare(h), lambda x: kind(x, [k for k in of if k not in UNNUMBERED]))).otherwise(kind(h, list(of)))
+    return let(F.lower(plain), numbered)
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
+def at_least(text: Column, n: int) -> Column:
+    """The text has n words or more; it is read no further than that."""
+    return text.rlike(rf"(?U)^\s*(?:\S+\s+){{{n - 1}}}\S") if n > 0 else text.isNotNull()
+
+
 def _starts() -> str:
     """A place where a line begins as headings do, perhaps with a number before."""
     first = sorted({h.split()[0] for h in _headings()})
@@ -138,17 +152,22 @@ def _sections(rows: DataFrame, max_heading: int, min_words: int) -> DataFrame:
     end = lambda i: F.coalesce(F.get("heads", i + 1)["start_char"], F.length(text))
     cut = F.transform("heads", lambda h, i: F.struct(h["section_type"].alias("section_type"), h["title"].alias("title"), body(h, end(i)).alias("content"), h["start_char"].alias("start_char")))
     whole = F.array(F.struct(F.lit("unknown").alias("section_type"), F.lit("").alias("title"), text.alias("content"), F.lit(0).alias("start_char")))
-    found = rows.select("*", F.split("t", _starts()).alias("pieces")).select("*", heads.alias("heads")).select("*", F.filter(cut, lambda s: F.size(words(s["content"])) >= min_words).alias("long"))
+    found = rows.select("*", F.split("t", _starts()).alias("pieces")).select("*", heads.alias("heads")).select("*", F.filter(cut, lambda s: at_least(s["content"], min_words)).alias("long"))
     return found.select("*", F.when(text.isNotNull(), F.when(F.size("long") > 0, F.col("long")).otherwise(whole)).alias("cut"))
 
 
+def _rows(cut: DataFrame, sections: Column, key: str) -> DataFrame:
+    """A row for each section. The outer form keeps the optimizer from working every section out once more in a filter below; nulls go afterwards."""
+    return cut.select(F.col("k").alias(key), F.inline_outer(sections)).where("section_type is not null")
+
+
 def segment(documents: DataFrame, key: str = "doc_id", text: str = "text", max_heading: int = 100, min_words: int = 20) -> DataFrame:
     """(key, section_type, title, content, start_char): texts cut at their headings, short sections left out; a text without any is one `unknown` section.
 
     Every row is cut for itself, whatever its key; null texts have no section.
     """
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return _sections(rows, max_heading, min_words).select(F.col("k").alias(key), F.inline("cut"))
+    return _rows(_sections(rows, max_heading, min_words), F.col("cut"), key)
 
 
 # How the line after an abstract begins, in lower case; a number may stand before the word.
@@ -171,12 +190,12 @@ def segment_with_abstract(documents: DataFrame, key: str = "doc_id", text: str =
     rows = rows.select("*", lines.alias("lines"))
     at = F.array_min(F.filter(F.transform("lines", lambda line, i: F.when((i > 0) & follows(line), i)), lambda i: i.isNotNull()))
     rows = rows.select("*", F.array_join(F.slice("lines", 1, at), "\n").alias("before")).select("*", strip(F.col("before")).alias("body"))
-    lead = F.when(F.size(words(F.col("body"))) >= min_words, F.length("opening") + F.length("before")).otherwise(0)
+    lead = F.when(at_least(F.col("body"), min_words), F.length("opening") + F.length("before")).otherwise(0)
     rows = rows.select("k", "whole", "body", lead.alias("lead")).select("*", F.expr("substring(whole, lead + 1)").alias("t"))
     cut = _sections(rows, max_heading, min_words)
     first = F.array(F.struct(F.lit("abstract").alias("section_type"), F.lit("Abstract").alias("title"), F.col("body").alias("content"), F.lit(0).alias("start_char")))
     rest = F.transform("cut", lambda s: F.struct(s["section_type"].alias("section_type"), s["title"].alias("title"), s["content"].alias("content"), (s["start_char"] + F.col("lead")).alias("start_char")))
-    return cut.select(F.col("k").alias(key), F.inline(F.when(F.col("lead") > 0, F.concat(first, rest)).otherwise(rest)))
+    return _rows(cut, F.when(F.col("lead") > 0, F.concat(first, rest)).otherwise(rest), key)
 
 
 # Sections that entity extractors read.
@@ -206,7 +225,7 @@ def cue_hits(documents: DataFrame, key: str = "doc_id", text: str = "text", arou
     low = F.lower(text)
     cues = F.array(*(F.struct(F.lit(k).alias("relation"), F.lit(c).alias("cue")) for k, cs in CUES.items() for c in cs))
     hit = F.filter(cues, lambda c: low.contains(c["cue"]))
-    one = documents.select(key, text, F.inline(hit))
+    one = documents.select(key, text, F.inline_outer(hit)).where("cue is not null")  # as in _rows()
     at = F.expr(f"instr(lower({text}), cue)")
     start = F.greatest(F.lit(1), at - around)
     return one.select(key, "relation", "cue", F.substring(F.col(text), start, F.least(F.length(text) + 1, at + F.length("cue") + around) - start).alias("context"))
@@ -271,19 +290,28 @@ def alias_links(mentions: DataFrame, entities: DataFrame, on: str) -> DataFrame:
     """(mention_id, entity_id): an entity of the same paper (column on) whose surface stands in the mention as whole words.
 
     Mentions and surfaces meet by their paper and the surface's first words, three at most, as mentions have them side by
-    side; then the whole surface is looked for between word boundaries. Surfaces without a letter or digit meet all mentions of
-    their paper. Case does not matter. Papers, texts and surfaces that are null link nothing.
+    side. A surface of one plain word is found by that; a longer one is then looked for in the text, between word
+    boundaries. Surfaces without a letter or digit meet all mentions of their paper. Case does not matter. Papers, texts and
+    surfaces that are null link nothing.
     """
-    none = F.array(F.lit(""))
+    m = mentions.where("text is not null").select(F.col(on).alias("paper"), "mention_id", F.col("text").alias("whole"))
+    known = entities.select(F.col(on).alias("paper"), "entity_id", F.explode(F.array_distinct("surfaces")).alias("surface")).where("surface is not null and surface <> ''")
+    known = known.select("paper", "entity_id", "surface", F.slice(_tokens(F.col("surface")), 1, NGRAM).alias("first"))
+    known = known.select("paper", "entity_id", "surface", F.size("first").alias("n"), F.array_join("first", " ").alias("gram"))
+    sizes = known.agg(F.max("n").alias("most"), F.bool_or(F.col("n") == 0).alias("bare")).first()
 
     def runs(n: int) -> Column:
+        if n == 1:
+            return F.col("tokens")
         every = F.transform(F.sequence(F.lit(1), F.size("tokens") - (n - 1)), lambda i: F.array_join(F.slice("tokens", i, n), " "))
         return F.when(F.size("tokens") >= n, every).otherwise(F.array().cast("array<string>"))
 
-    grams = F.array_distinct(F.concat(none, *map(runs, range(1, NGRAM + 1))))
-    m = mentions.where("text is not null").select(F.col(on).alias("paper"), "mention_id", F.col("text").alias("whole"))
-    known = entities.select(F.col(on).alias("paper"), "entity_id", F.explode(F.array_distinct("surfaces")).alias("surface")).where("surface is not null and surface <> ''")
-    known = known.withColumn("gram", F.array_join(F.slice(_tokens(F.col("surface")), 1, NGRAM), " ")).withColumn("edged", F.concat(F.lit(_EDGE), F.btrim(_edged(F.col("surface")), F.lit(_EDGE)), F.lit(_EDGE)))
-    texts = m.select("paper", "mention_id", _edged(F.col("whole")).alias("edged_text"), _tokens(F.col("whole")).alias("tokens"))
-    by_gram = texts.select("paper", "mention_id", "edged_text", F.explode(grams).alias("gram")).join(known, ["paper", "gram"])
-    return by_gram.where(F.contains("edged_text", "edged")).select("mention_id", "entity_id").distinct()
+    bare = [F.array(F.lit(""))] if sizes["bare"] else []
+    lists = [*bare, *map(runs, range(1, (sizes["most"] or 0) + 1))] or [F.array().cast("array<string>")]
+    grams = m.select("paper", "mention_id", _tokens(F.col("whole")).alias("tokens")).select("paper", "mention_id", F.explode_outer(F.array_distinct(F.concat(*lists))).alias("gram")).where("gram is not null")  # as in _rows()
+    met = keep(grams.join(known, ["paper", "gram"]).select("paper", "mention_id", "entity_id", "surface", (F.lower("surface") == F.col("gram")).alias("plain"), "n"), "met")
+    sure = (F.col("n") == 1) & F.col("plain")
+    edged = F.concat(F.lit(_EDGE), F.btrim(_edged(F.col("surface")), F.lit(_EDGE)), F.lit(_EDGE))
+    doubtful = met.where(~sure).select("paper", "mention_id", "entity_id", edged.alias("edged")).distinct()
+    checked = doubtful.join(m, ["paper", "mention_id"]).where(F.contains(_edged(F.col("whole")), F.col("edged")))
+    return met.where(sure).select("mention_id", "entity_id").unionByName(checked.select("mention_id", "entity_id")).distinct()

@@ -210,7 +210,7 @@ def connections(nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame
     kind = dict(nodes.dtypes)["id"]
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        x = angles.unit(a)
+        x = _matrix(a)
         near = _cosines(x, x) >= least
         group = np.full(len(x), -1)
         for first in range(len(x)):
@@ -219,16 +219,14 @@ def connections(nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame
                 group[front] = first
                 front = np.nonzero(near[front].any(0) & (group < 0))[0]
         own, far = a["id"].to_pylist(), b["id"].to_pylist()
-        i, j = np.nonzero(_cosines(x, angles.unit(b)) >= least)
+        i, j = np.nonzero(_cosines(x, _matrix(b)) >= least)
         pairs = np.unique(j * len(x) + group[i])
         ends = [(own[k % len(x)], far[k // len(x)]) for k in pairs.tolist()]
         ends = [e for e in ends if e[0] != e[1]]
         return pa.table({c: pa.array([e[k] for e in ends], ARROW[kind]) for k, c in enumerate(("src", "dst"))})
 
-    rows = keep(angles.usable(nodes.select("id", "vector")), "vectors")
-    pivots = angles.pivots_of(rows, block)
-    blocks = angles.index(rows, pivots, block)
-    return angles.meet(angles.block_pairs(blocks, blocks, pivots, angles.bar_of(least), upper=True), run, f"src {kind}, dst {kind}")
+    rows = nodes.select("id", "vector")
+    return angles.join(rows, rows, least, run, f"src {kind}, dst {kind}", block, upper=True)
 
 
 def embedding_text(statement: Column, assumptions: Column) -> Column:

@@ -94,8 +94,8 @@ def collisions(entities: DataFrame) -> DataFrame:
     Returns paper, surface, kinds (sorted) and exact (some entity has the surface as its name).
     """
     flags = sum((F.when(F.col("kind") == k, 1 << n).otherwise(0) for n, k in enumerate(KINDS)), F.lit(0))
-    surface = F.explode(F.filter(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
-    rows = entities.select("paper", flags.alias("flag"), F.lower(F.trim("name")).alias("name"), surface.alias("surface"))
+    surface = F.explode_outer(F.filter(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    rows = entities.select("paper", flags.alias("flag"), F.lower(F.trim("name")).alias("name"), surface.alias("surface")).where("surface is not null")  # outer: worked out once
     by = rows.groupBy("paper", "surface").agg(F.bit_or("flag").alias("flags"), F.bool_or(F.col("name") == F.col("surface")).alias("exact"))
     kinds = F.array_sort(F.array_compact(F.array(*(F.when(F.col("flags").bitwiseAND(F.lit(1 << n)) != 0, k) for n, k in enumerate(KINDS)))))
     return by.where(F.bit_count("flags") >= 2).select("paper", "surface", kinds.alias("kinds"), "exact")
@@ -110,8 +110,8 @@ def ambiguous(entities: DataFrame, least: float = 0.85) -> DataFrame:
     their first entity. Null vectors are near to nothing.
     """
     name = F.lower(F.trim("name"))
-    surface = F.explode(F.array_distinct(F.filter(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: F.lower(F.trim(x))), lambda x: x != "")))
-    told = entities.select("paper", "id", "kind", "ordinal", name.alias("own"), surface.alias("surface"))
+    surface = F.explode_outer(F.array_distinct(F.filter(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: F.lower(F.trim(x))), lambda x: x != "")))
+    told = entities.select("paper", "id", "kind", "ordinal", name.alias("own"), surface.alias("surface")).where("surface is not null")
     shared = collisions(entities).select("paper", "surface", F.when(F.col("exact"), "exact").otherwise("alias").alias("trigger"))
     first = told.groupBy("paper", "surface", "kind").agg(F.min_by("id", F.struct("ordinal", "id")).alias("id"))
     cheap = keep(first.join(shared, ["paper", "surface"]).withColumn("pair", F.to_json(F.struct("paper", "surface", "trigger"))), "cheap")
