@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources import versioned
+
 _TIMES = "created_at timestamp, updated_at timestamp"
 _EVIDENCE = "evidence struct<source_doi:string,source_title:string,section:string,quoted_text:string,char_offset_start:int,char_offset_end:int>"
 _PARTS = "assumptions array<struct<text:string,implicit:boolean,confidence:double>>, constraints array<struct<text:string,type:string,confidence:double>>, datasets array<struct<name:string,url:string,available:boolean,size:string>>, metrics array<struct<name:string,description:string,baseline_value:double>>, baselines array<struct<name:string,paper_doi:string,performance:map<string,double>>>"
@@ -51,3 +55,43 @@ def violations(rows: DataFrame, label: str) -> DataFrame:
     bad = rows.select(F.col(key).alias("key"), F.explode(broken).alias("rule"))
     twice = rows.groupBy(F.col(key).alias("key")).count().where("count > 1").select("key", F.lit("unique").alias("rule"))
     return bad.unionByName(twice)
+
+
+#: The version of NODES; a store of an older one gets the tables and columns that it lacks.
+VERSION = 1
+
+
+def initialize(spark: SparkSession, path: str, force: bool = False) -> bool:
+    """Give a store (of sources.versioned) an empty table for every label that it lacks, and every table the columns that it lacks, all at once. False if it is of this version already."""
+    have = versioned.manifest(spark, path)
+    now = versioned.read(spark, path, "schema_version").agg(F.max("version")).first()[0] if "schema_version" in have else 0
+    if now >= VERSION and not force:
+        return False
+    tables = {}
+    for label, ddl in NODES.items():
+        wanted = spark.createDataFrame([], ddl)
+        old = versioned.read(spark, path, label) if label in have else wanted
+        more = [f for f in wanted.schema if f.name not in old.columns]
+        if label not in have or more:
+            tables[label] = old.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in more))
+    applied = spark.range(1).select(F.lit(VERSION).alias("version"), F.current_timestamp().alias("applied_at"))
+    before = versioned.read(spark, path, "schema_version").where(F.col("version") != VERSION) if "schema_version" in have else applied.limit(0)
+    versioned.publish(spark, path, {**tables, "schema_version": before.unionByName(applied)})
+    return True
+
+
+def info(spark: SparkSession, path: str) -> DataFrame:
+    """(label, key, n_rows, columns, rules, version, target) of every table of a store."""
+    have = versioned.manifest(spark, path)
+    now = versioned.read(spark, path, "schema_version").agg(F.max("version")).first()[0] if "schema_version" in have else 0
+    rows = [(label, KEYS.get(label, "id"), t["rows"], [f["name"] for f in t["schema"]["fields"]], sorted(rules(label)), now, VERSION) for label, t in have.items() if label in NODES]
+    return spark.createDataFrame(rows, "label string, key string, n_rows long, columns array<string>, rules array<string>, version int, target int")
+
+
+def put(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> int:
+    """Publish new states of labels, if no row of them breaks a rule or a unique key; the new version. Raises with the first violations otherwise, and nothing changes."""
+    bad = reduce(DataFrame.unionByName, (violations(df, label).select(F.lit(label).alias("label"), F.col("key").cast("string").alias("key"), "rule") for label, df in tables.items()))
+    some = bad.orderBy("label", "key", "rule").limit(10).collect()
+    if some:
+        raise ValueError("; ".join(f"{r['label']} {r['key']}: {r['rule']}" for r in some))
+    return versioned.publish(spark, path, tables)

@@ -32,9 +32,9 @@ def best(score, k, least):
     return out
 
 
-@pytest.mark.parametrize("kind", ["clusters", "plain", "zeros"])
-@pytest.mark.parametrize("block", [4096, 64])
-@pytest.mark.parametrize("k, least", [(5, None), (None, 0.9), (3, 0.5)])
+@pytest.mark.parametrize("kind, block, k, least", [
+    ("clusters", 64, 5, None), ("plain", 64, 3, 0.5), ("zeros", 64, 5, None), ("zeros", 64, None, 0.9), ("plain", 4096, 5, None), ("zeros", 4096, 3, 0.5), ("clusters", 4096, None, 0.9),
+])
 def test_search_is_exact(spark, kind, block, k, least):
     x = clustered(400) if kind != "plain" else RNG.normal(size=(400, 8))
     q = x[:150] + (0.02 * RNG.normal(size=x[:150].shape) if kind == "plain" else 0)

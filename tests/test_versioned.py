@@ -62,3 +62,38 @@ def test_kinds_of_values_come_back(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", [1.5, None], {"k": 2}, datetime.datetime(2020, 1, 2, 3, 4, 5), datetime.date(2021, 1, 1), None), (2, None, None, None, None, None, (1, "x"))], "i int, s string, a array<double>, m map<string,int>, t timestamp, d date, r struct<x:int,y:string>")
     V.publish(spark, path, {"t": rows})
     assert sorted(map(str, V.read(spark, path, "t").collect())) == sorted(map(str, rows.collect()))
+
+
+def test_a_store_with_a_schema(spark, tmp_path):
+    from heliograph import schema as C
+
+    path = f"file://{tmp_path}/store"
+    assert C.initialize(spark, path) and not C.initialize(spark, path)
+    told = {r["label"]: r for r in C.info(spark, path).collect()}
+    assert set(told) == set(C.NODES) and {(r["n_rows"], r["version"]) for r in told.values()} == {(0, C.VERSION)} and told["paper"]["key"] == "doi"
+    topic = spark.createDataFrame([("t1", "Nets", "area", None), ("t2", "All", "domain", None)], "id string, name string, level string, parent_id string")
+    assert C.put(spark, path, {"topic": topic}) == 2
+    wrong = topic.unionByName(spark.createDataFrame([("t3", "X", "field", None), ("t1", "Nets", "area", None)], topic.schema))
+    with pytest.raises(ValueError, match="t1: unique; topic t3: level"):
+        C.put(spark, path, {"author": spark.createDataFrame([("a", "0000-1")], "id string, orcid string"), "topic": wrong})
+    assert V.versions(spark, path) == [1, 2] and V.read(spark, path, "topic").count() == 2
+    assert C.initialize(spark, path, force=True)  # the topics get the columns that they lack
+    assert set(V.read(spark, path, "topic").columns) == set(spark.createDataFrame([], C.NODES["topic"]).columns) and V.read(spark, path, "topic").count() == 2
+    assert V.read(spark, path, "schema_version").count() == 1
+
+
+def test_seed_models_load_again_and_again(spark):
+    from heliograph.sources import seeds
+
+    entries = [{"name": "GRU", "description": "gated", "aliases": ["gated unit"], "year_introduced": 2014}, {"name": "LSTM", "aliases": ["long memory"], "architecture": "recurrent"}, {"name": "Net", "description": "any"}]
+    place = {"GRU": [1.0, 0.0, 0.0], "LSTM": [0.0, 1.0, 0.0], "Net": [0.0, 0.0, 1.0]}
+    vector = F.element_at(F.create_map(*(x for n, v in place.items() for x in (F.lit(n), F.array(*map(F.lit, v))))), F.col("name"))
+    rows = seeds.models(spark, entries).withColumn("vector", vector)
+    state = spark.createDataFrame([("m", "lstm net", None, None, [0.0, 1.0, 0.01], False, None, None)], "id string, name string, description string, aliases array<string>, vector array<double>, is_canonical boolean, architecture string, year_introduced int")
+    for want in ((2, 1), (0, 3), (0, 3)):
+        state, report = seeds.load_models(state, rows)
+        assert tuple(report.first()) == want
+        state = spark.createDataFrame(state.collect(), state.schema)
+    got = {r["name"]: r for r in state.collect()}
+    assert set(got) == {"GRU", "LSTM", "Net"} and got["LSTM"]["id"] == "m" and got["LSTM"]["aliases"] == ["long memory", "lstm net"] and got["LSTM"]["architecture"] == "recurrent"
+    assert all(r["is_canonical"] for r in got.values()) and got["GRU"]["year_introduced"] == 2014
