@@ -1,8 +1,8 @@
 """Operator 8: token ids in Arrow files of equal-length sequences with masks.
 
-Documents are range-partitioned by doc_id; each task writes one Arrow IPC file whose record batches hold
-fixed-size lists (ids and mask), so any sequence is a slice of a memory-mapped buffer, and a second one
-with the documents of the file. Ids are 16 bits wide where the tokenizer's vocabulary allows, else 32; an
+Documents are range-partitioned by doc_id; each task writes Arrow IPC files of bounded size whose record batches hold
+fixed-size lists (ids and mask), so any sequence is a slice of a memory-mapped buffer, and beside each a second one
+with the documents of the file. Files are read back a record batch at a time, whatever the store. Ids are 16 bits wide where the tokenizer's vocabulary allows, else 32; an
 id that does not fit is an error. A task attempt writes
 files of its own and only those named in the manifest count, so retries and lost executors do no harm.
 
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import id_text, new_dir, parallelism, spool
 from .tokens import encoder
 
-MANIFEST = "part int, path string, docs_path string, n_docs long, n_tokens long"
+#: Ids after which a task begins another file; a document is never cut.
+FILE_TOKENS = 64 << 20
+MANIFEST = "part int, nth int, path string, docs_path string, n_docs long, n_tokens long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -53,8 +55,7 @@ def write(documents: DataFrame, tokenizer_path: str, out_dir: str, end_id: int =
         schema = pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         store, root = fs.FileSystem.from_uri(out_dir)
         store.create_dir(root)
-        name = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
-        sink = writer = None
+        nth, name, sink, writer = 0, "", None, None
         doc_ids, starts, lengths, held, held_n, total = [], [], [], [], 0, 0
 
         def put(last: bool) -> None:
@@ -71,13 +72,30 @@ def write(documents: DataFrame, tokenizer_path: str, out_dir: str, end_id: int =
                 writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=schema))
             held, held_n = [rest], len(rest)
 
+        def begin() -> None:
+            nonlocal name, sink, writer
+            name = f"{root}/part-{part:06d}-{nth:04d}-{uuid.uuid4().hex}"
+            sink = store.open_output_stream(f"{name}.arrow")
+            writer = pa.ipc.new_file(sink, schema)
+
+        def finish() -> pa.RecordBatch:
+            nonlocal nth, writer, doc_ids, starts, lengths, held, held_n, total
+            put(True)
+            writer.close()
+            sink.close()
+            with store.open_output_stream(f"{name}.docs.arrow") as f, pa.ipc.new_file(f, DOCS) as w:
+                w.write_batch(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], schema=DOCS))
+            row = {"part": [part], "nth": [nth], "path": [f"{name}.arrow"], "docs_path": [f"{name}.docs.arrow"], "n_docs": [len(doc_ids)], "n_tokens": [total]}
+            nth, writer = nth + 1, None
+            doc_ids, starts, lengths, held, held_n, total = [], [], [], [], 0, 0
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("docs_path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                if writer is None:
-                    sink = store.open_output_stream(f"{name}.arrow")
-                    writer = pa.ipc.new_file(sink, schema)
                 for doc_id, ids in zip(piece.column(0).to_pylist(), enc.encode([t or "" for t in piece.column(1).to_pylist()])):
+                    if writer is None:
+                        begin()
                     ids = narrowed(ids + end, dtype)
                     doc_ids.append(doc_id)
                     starts.append(total)
@@ -85,20 +103,16 @@ def write(documents: DataFrame, tokenizer_path: str, out_dir: str, end_id: int =
                     held.append(ids)
                     held_n += len(ids)
                     total += len(ids)
+                    if total >= FILE_TOKENS:
+                        yield finish()
                 if held_n >= seq_len * batch_sequences:
                     put(False)
         if writer is not None:
-            put(True)
-            writer.close()
-            sink.close()
-            with store.open_output_stream(f"{name}.docs.arrow") as f, pa.ipc.new_file(f, DOCS) as w:
-                w.write_batch(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], schema=DOCS))
-            row = {"part": [part], "path": [f"{name}.arrow"], "docs_path": [f"{name}.docs.arrow"], "n_docs": [len(doc_ids)], "n_tokens": [total]}
-            yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("docs_path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield finish()
 
     spark = documents.sparkSession
     ordered = id_text(documents).repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return spool(ordered.mapInArrow(run, MANIFEST), "manifest").orderBy("part")
+    return spool(ordered.mapInArrow(run, MANIFEST), "manifest").orderBy("part", "nth")
 
 
 def read(spark: SparkSession, out_dir: str, manifest: DataFrame, seq_len: int = 1024) -> DataFrame:
@@ -118,8 +132,16 @@ def read(spark: SparkSession, out_dir: str, manifest: DataFrame, seq_len: int =
             for path, docs_path, base in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 source = pa.memory_map(path) if local else store.open_input_file(path)
                 reader = pa.ipc.open_file(source)
-                values = [reader.get_batch(i).column(0).flatten().to_numpy(zero_copy_only=True) for i in range(reader.num_record_batches)]
-                ends = np.cumsum([0, *map(len, values)])
+                opened: dict[int, np.ndarray] = {}
+
+                def values(b: int, reader: pa.ipc.RecordBatchFileReader = reader, opened: dict[int, np.ndarray] = opened) -> np.ndarray:
+                    """The ids of one record batch; the last that was asked for stays."""
+                    if b not in opened:
+                        opened.clear()
+                        opened[b] = reader.get_batch(b).column(0).flatten().to_numpy(zero_copy_only=True)
+                    return opened[b]
+
+                size = max(1, len(values(0)))  # of every batch but the last
                 docs = pa.ipc.open_file(store.open_input_file(docs_path)).read_all()
                 ids, kept, held = [], 0, 0
                 starts, lengths = docs["start"].to_numpy(), docs["n_tokens"].to_numpy()
@@ -128,11 +150,12 @@ def read(spark: SparkSession, out_dir: str, manifest: DataFrame, seq_len: int =
                     return pa.RecordBatch.from_arrays([docs["doc_id"].slice(lo, hi - lo).combine_chunks(), pa.array(starts[lo:hi] + base), pa.array(lengths[lo:hi]), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
                 for k, (s, n) in enumerate(zip(starts.tolist(), lengths.tolist())):
-                    b, parts = int(np.searchsorted(ends, s, side="right")) - 1, []
+                    parts = []
                     while n:
-                        cut = values[b][s - ends[b] : s - ends[b] + n]
+                        b, at = divmod(s, size)
+                        cut = values(b)[at : at + n]
                         parts.append(cut.astype("<u4").tobytes())
-                        s, n, b = s + len(cut), n - len(cut), b + 1
+                        s, n = s + len(cut), n - len(cut)
                     ids.append(b"".join(parts))
                     held += len(ids[-1])
                     if held > 8 << 20:

@@ -421,7 +421,9 @@ def test_level_packer_chooses_the_least_sum_of_squares():
         assert int((p.level[1:10] ** 2).sum()) == min(options)
 
 
-def test_token_files(spark, docs, none):
+@pytest.mark.parametrize("file_tokens", [token_files.FILE_TOKENS, 3000])
+def test_token_files(spark, docs, none, monkeypatch, file_tokens):
+    monkeypatch.setattr(token_files, "FILE_TOKENS", file_tokens)
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     start, want = 0, []
     for i, t in order:
@@ -436,7 +438,15 @@ def test_token_files(spark, docs, none):
 def test_token_files_are_fixed_size_lists_with_masks(spark, docs, tmp_path):
     import pyarrow as pa
 
-    m = token_files.write(docs, bpe_path(), f"file://{tmp_path}", seq_len=64).collect()
+    token_files.FILE_TOKENS, whole = 2000, token_files.FILE_TOKENS
+    try:
+        m = token_files.write(docs, bpe_path(), f"file://{tmp_path}", seq_len=64, batch_sequences=4).collect()
+        back = token_files.read(spark, f"file://{tmp_path}", token_files.write(docs, bpe_path(), f"file://{tmp_path}", seq_len=64, batch_sequences=4), 64)
+        assert key((r["doc_id"], bytes(r["ids"])) for r in back.collect()) == key((i, np.array([*encode(t), 2], "<u4").tobytes()) for i, t in ROWS)
+    finally:
+        token_files.FILE_TOKENS = whole
+    assert len(m) > 4 and [(r["part"], r["nth"]) for r in m] == sorted((r["part"], r["nth"]) for r in m)
+    assert sum(r["n_docs"] for r in m) == len(ROWS)
     for row in m:
         with pa.memory_map(row["path"]) as f:
             t = pa.ipc.open_file(f).read_all()
