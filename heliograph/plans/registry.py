@@ -971,7 +971,8 @@ def ingestion_report(spark: SparkSession, d: str) -> DataFrame:
     known, failed = F.col("event_id") % 3 == 0, F.col("event_id") % 11 == 0
     outcome = F.when(F.col("user_id") % 2 == 0, I.import_outcome(known, failed, True)).otherwise(I.import_outcome(known, failed, False))
     rows = table(spark, d, "events").select((F.col("user_id") % 7).alias("trace_id"), F.col("event_id").cast("string").alias("paper"), outcome.alias("outcome"), F.lit("failed").alias("message"))
-    return I.rows_per_run(rows).withColumn("n_messages", F.size("errors")).drop("errors")
+    messages = I.errors_of_runs(rows).groupBy("trace_id").agg(F.count("*").cast("int").alias("n_messages"))
+    return I.rows_per_run(rows).drop("errors").join(messages, "trace_id", "left").fillna(0, ["n_messages"])
 
 
 @query("""WITH c AS (SELECT conv_id AS paper, turn AS ordinal, text, CASE WHEN turn % 2 = 0 THEN 'HTTP 404' ELSE 'refused' END AS error, coalesce(length(text), 0) >= 250 AS good FROM conversations)
