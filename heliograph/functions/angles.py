@@ -271,7 +271,7 @@ def nearest(asked: DataFrame, rows: DataFrame, k: int | None, least: float | Non
 
 def join(a: DataFrame, b: DataFrame, least: float, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = V.BLOCK, upper: bool = False) -> DataFrame:
     """run(some rows of a, some rows of b) so that every two rows (id, vector, ...) at a cosine of least or more are together once. upper: a and b are the same rows, and each pair of blocks meets once."""
-    if max(a.limit(block + 1).count(), b.limit(block + 1).count()) <= block:
+    if all(x.limit(block + 1).count() <= block for x in ((a,) if upper else (a, b))):
         return V.meet(a, b, run, schema, block=block, upper=upper)
     left = keep(usable(a), "vectors")
     right = left if upper else keep(usable(b), "vectors")

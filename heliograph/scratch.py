@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,7 +54,7 @@ def set_option(spark: SparkSession, key: str, value: str) -> None:
 
 
 def clear(spark: SparkSession) -> int:
-    """Remove every folder and table that this application's operators made, put back the session options that they set, and give the number of folders and tables. Call it when their results are written."""
+    """Remove every folder and table that this application's operators made, put back the session options that they set, and give the number of folders and tables. Call it when their results are written; scope() does it for a part of an application."""
     for key, old in _OPTIONS.pop(spark.sparkContext.applicationId, {}).items():
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
     paths, tables = (made.pop(spark.sparkContext.applicationId, []) for made in (_MADE, _TABLES))
@@ -62,3 +64,17 @@ def clear(spark: SparkSession) -> int:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return len(paths) + len(tables)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What operators make inside is removed at the end, and options that they set there are put back; what was made before, or outside, stays. Write a result before its scope ends. Scopes may lie in one another."""
+    app = spark.sparkContext.applicationId
+    outer = [(made, made.pop(app, None)) for made in (_MADE, _TABLES, _OPTIONS)]
+    try:
+        yield
+    finally:
+        clear(spark)
+        for made, before in outer:
+            if before is not None:
+                made[app] = before

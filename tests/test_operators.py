@@ -1,5 +1,6 @@
 """Edge cases of the operators: nulls, ties, cycles, empty tables, thresholds met exactly."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from heliograph.functions import scalars as X
@@ -271,6 +272,29 @@ def test_scratch_can_be_cleared(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_a_scope_removes_only_what_was_made_in_it(spark):
+    from heliograph import scratch
+
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    scratch.clear(spark)
+    before = spark.conf.get(option)
+    outside = scratch.keep(spark.range(3), "outside")
+    scratch.set_option(spark, option, "7")
+    with scratch.scope(spark):
+        inside = scratch.keep(spark.range(4), "inside").inputFiles()[0]
+        scratch.set_option(spark, option, "8")
+        with pytest.raises(ValueError), scratch.scope(spark):
+            inner = scratch.keep(spark.range(5), "inner").inputFiles()[0]
+            raise ValueError
+        import os
+
+        assert not os.path.exists(inner.removeprefix("file://")) and os.path.exists(inside.removeprefix("file://"))
+    assert not os.path.exists(inside.removeprefix("file://"))
+    assert outside.count() == 3 and spark.conf.get(option) == "7"
+    scratch.clear(spark)
+    assert spark.conf.get(option) == before
+
+
 def test_streamed_batches_make_versions(spark, tmp_path):
     from heliograph.streaming import ingest
 
