@@ -16,6 +16,7 @@ from ..functions import models as G
 from ..functions import text as T
 from ..functions import vector as V
 from ..scratch import keep
+from ..sources import connectors as N
 from ..sources import papers as P
 from . import resolve as E
 from . import search as S
@@ -253,6 +254,21 @@ def process_texts(documents: DataFrame, extractor: Callable[[str], list[dict]],
     return sections, problems, relations(documents, problems, key, text), failures.join(some.drop("content", "nth"), "id").drop("id")
 
 
+def process_urls(urls: DataFrame, fetch: Callable[[str], bytes], to_pages: Callable[[bytes], list[str]], extractor: Callable[[str], list[dict]], top_n: int = 3, least: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sections, problems, relations, failures) of documents behind addresses (column url), from fetching on; key: path. Pages are cleaned and joined before they are cut.
+
+    failures: path, section, error; section is null where a document could not be fetched or read, had no text, or looks scanned (then what
+    text it has goes on all the same).
+    """
+    found = keep(N.fetched_pages(urls, fetch, to_pages), "pages")
+    texts = keep(N.full_text(found.withColumn("text", T.clean(F.col("text")))), "texts")
+    sections, problems, related, failed = process_texts(texts.where("text <> ''").select("path", "text"), extractor, "path", "text", top_n, least)
+    none = F.lit(None).cast("string").alias("section")
+    unread = found.where("error is not null").select("path", none, "error")
+    bare = texts.join(unread.select("path"), "path", "left_anti").where("scanned or text = ''").select("path", none, F.when(F.col("text") == "", "no text").otherwise("looks scanned").alias("error"))
+    return sections, problems, related, failed.select("path", "section", "error").unionByName(unread).unionByName(bare)
+
+
 def import_outcome(known: Column, failed: Column, update: bool) -> Column:
     return F.when(failed, "error").when(known & F.lit(update), "updated").when(known, "skipped").otherwise("created")
 

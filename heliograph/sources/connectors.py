@@ -186,20 +186,31 @@ def atom_entries(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     )
 
 
-def pages(spark: SparkSession, path: str, to_pages: Callable[[bytes], list[str]]) -> DataFrame:
-    """(path, page_number, text, error) of files: to_pages is the library that reads the format."""
+def _paged(rows: DataFrame, to_pages: Callable[..., list[str]]) -> DataFrame:
+    """(path, page_number, text, error) of rows (path and what to_pages takes)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for p, content in zip(b["path"], b["content"]):
+            for p, given in zip(b.iloc[:, 0], b.iloc[:, 1]):
                 try:
-                    out += [(p, k + 1, t, None) for k, t in enumerate(to_pages(content))]
+                    out += [(p, k + 1, t, None) for k, t in enumerate(to_pages(given))]
                 except Exception as e:  # noqa: BLE001  one unreadable file is one row
                     out.append((p, None, None, f"{type(e).__name__}: {e}"[:500]))
             yield pd.DataFrame(out, columns=["path", "page_number", "text", "error"]).astype({"page_number": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, page_number int, text string, error string")
+    return rows.mapInPandas(run, "path string, page_number int, text string, error string")
+
+
+def pages(spark: SparkSession, path: str, to_pages: Callable[[bytes], list[str]]) -> DataFrame:
+    """(path, page_number, text, error) of files: to_pages is the library that reads the format."""
+    return _paged(spark.read.format("binaryFile").load(path).select("path", "content"), to_pages)
+
+
+def fetched_pages(urls: DataFrame, fetch: Callable[[str], bytes], to_pages: Callable[[bytes], list[str]], at_once: int = 16) -> DataFrame:
+    """As pages(), of documents behind addresses (column url), each fetched once, in at_once tasks; a document that cannot be fetched or read is a row with its error."""
+    one = urls.where("url is not null").select("url").distinct().repartition(at_once, "url")
+    return _paged(one.select(F.col("url").alias("path"), "url"), lambda url: to_pages(fetch(url)))
 
 
 def full_text(pages_: DataFrame, key: str = "path") -> DataFrame:

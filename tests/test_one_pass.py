@@ -83,6 +83,27 @@ def test_import_of_an_authors_papers(spark):
     assert {r["doi"]: r["outcome"] for r in outcomes.collect()} == {"10.1/known": "skipped", "10.1/a": "created", "10.1/c": "created"}
 
 
+def test_documents_behind_addresses(spark):
+    body = "Introduction\n" + "we show many things here and there " * 8 + "\nLimitations\n" + "the method is slow on long inputs and it needs memory " * 6
+
+    def fetch(url):
+        if url == "gone":
+            raise OSError("HTTP 404")
+        return {"good": body, "empty": "", "odd": None}[url]
+
+    def to_pages(text):
+        half = len(text) // 2
+        return [text[:half], text[half:]]
+
+    urls = spark.createDataFrame([("good",), ("good",), ("gone",), ("empty",), ("odd",), (None,)], "url string")
+    extract = lambda t: [{"statement": "the method is slow", "quoted_text": None, "confidence": 0.9}] if "slow" in t else []
+    sections, problems, related, failed = I.process_urls(urls, fetch, to_pages, extract)
+    assert {r["path"] for r in sections.collect()} == {"good"} and "limitations" in {r["section_type"] for r in sections.collect()}
+    assert [(r["path"], r["statement"]) for r in problems.collect()] == [("good", "the method is slow")]
+    got = {r["path"]: r["error"] for r in failed.collect()}
+    assert set(got) == {"gone", "empty", "odd"} and got["gone"] == "OSError: HTTP 404" and got["empty"] == "no text" and got["odd"].startswith("TypeError")
+
+
 def test_a_migration_that_stops_goes_on_at_the_first_open_step(spark, tmp_path):
     path, ran = f"file://{tmp_path}/m", []
     inputs = {"numbers": spark.range(5)}
