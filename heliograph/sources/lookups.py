@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import keep, options_for
+
 RESULT = "id string, nth int, record string, error string"
 
 
@@ -61,12 +63,16 @@ class _Lookup:
 def lookup(ids: DataFrame, provider: str, options: dict, schema: str, kind: str = "records", size: int = 500, at_once: int = 8, attempts: int = 2) -> tuple[DataFrame, DataFrame]:
     """(records, failures) of ids (column id, text): records with id, nth (of an id) and the fields of schema; failures with id and error.
 
-    Each different id is asked for once. at_once requests run side by side, each gathering up to `size` ids of its share.
+    Each different id is asked for once. at_once requests run side by side, each gathering up to `size` ids of its share,
+    which come by length and text, so that those of a request lie near one another in a provider's order.
     """
     share = F.pmod(F.xxhash64("id"), F.lit(at_once))
-    rows = ids.select(F.col("id").cast("string").alias("id")).distinct().select("id", share.alias("share"))
+    rows = ids.select(F.col("id").cast("string").alias("id")).distinct().select("id", share.alias("share"), F.length("id").alias("length"))
     ask = F.udtf(_Lookup, returnType=RESULT)
-    found = ask(rows.asTable().partitionBy("share"), F.lit(provider), F.lit(json.dumps(options)), F.lit(kind), F.lit(size), F.lit(attempts))
+    found = ask(rows.asTable().partitionBy("share").orderBy("length", "id"), F.lit(provider), F.lit(json.dumps(options)), F.lit(kind), F.lit(size), F.lit(attempts))
+    # ids are small, and shares of them would be put together in one task
+    with options_for(ids.sparkSession, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        found = keep(found, "found")
     parsed = found.withColumn("r", F.from_json("record", schema))
     good = F.col("error").isNull() & F.col("r").isNotNull()
     return parsed.where(good).select("id", "nth", "r.*"), parsed.where(~good).select("id", F.coalesce("error", F.lit("not of the schema")).alias("error"))

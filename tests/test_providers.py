@@ -54,6 +54,27 @@ def test_one_bad_id_does_not_take_others_with_it(spark, folder):
 SCHEMA = "source string, id long, title string, year int"
 
 
+class Told(providers.StoredRecords):
+    """Writes down the ids of each request."""
+
+    def by_ids(self, kind, ids):
+        import os
+        import uuid
+
+        with open(f"{self.options['log']}/{os.getpid()}-{uuid.uuid4().hex}", "w") as f:
+            f.write(",".join(ids))
+        return super().by_ids(kind, ids)
+
+
+def test_ids_are_asked_for_once_and_near_ones_together(spark, folder, tmp_path):
+    ids = spark.range(0, 120).selectExpr("CAST(id AS STRING) AS id")
+    found, failed = lookups.lookup(ids, "tests.test_providers.Told", options(folder) | {"log": str(tmp_path)}, "title string", size=5, at_once=2)
+    assert found.count() == 100 and failed.count() == 20 and found.agg(F.count_distinct("id")).first()[0] == 100
+    asked = [[int(i) for i in f.read_text().split(",")] for f in tmp_path.iterdir()]
+    assert sorted(i for a in asked for i in a) == list(range(120))
+    assert max(max(a) - min(a) for a in asked) < 60
+
+
 def sources(folder):
     return {"first": (LOCAL, options(folder)), "second": (LOCAL, {"records": f"{folder}/papers", "search": "title"})}
 
