@@ -75,6 +75,27 @@ def test_ids_are_asked_for_once_and_near_ones_together(spark, folder, tmp_path):
     assert max(max(a) - min(a) for a in asked) < 60
 
 
+def test_stored_records_open_few_row_groups(spark, tmp_path, monkeypatch):
+    from heliograph.scratch import keep_by_key
+    import pyarrow.parquet as pq
+
+    path = keep_by_key(spark.range(100_000).selectExpr("99999 - id AS id", "uuid() AS title").repartition(3), "id", "by_key", 1 << 17)
+    served = providers.StoredRecords({"records": path})
+    ends = [g.column(0).statistics for f in served._table(path).files for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert len(ends) > 10 and sum(e.min <= 50_100 and e.max >= 50_000 for e in ends) <= 2
+    assert sorted(served.by_ids("records", [str(i) for i in range(50_000, 50_100)])) == [str(i) for i in range(50_000, 50_100)]
+    split, opened = served.splits(4)[0], []
+    assert len(served.splits(4)) == 4
+    once = served._matching
+    monkeypatch.setattr(served, "_matching", lambda *a: opened.append(a) or once(*a))
+    cursor, pages = None, []
+    while cursor is not None or not pages:
+        records, cursor = served.page("", [("id", ">=", 1000)], split, cursor, 700)
+        pages.append([r["id"] for r in records])
+    assert len(opened) == 1 and len(pages) > 5
+    assert [r["id"] for r in served.page("", [("id", ">=", 1000)], split, "1400", 700)[0]] == pages[2]  # a page for itself
+
+
 def sources(folder):
     return {"first": (LOCAL, options(folder)), "second": (LOCAL, {"records": f"{folder}/papers", "search": "title"})}
 
