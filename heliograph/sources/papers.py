@@ -136,6 +136,12 @@ def paper_authors(records: DataFrame) -> DataFrame:
     return a.select("doi", (F.col("i") + 1).alias("position"), "a.name", "a.affiliations", outside("orcid", "ORCID").alias("orcid"), outside("semantic_scholar", "s2").alias("semantic_scholar_id"))
 
 
+def told_by(rows: DataFrame, c: str, known: DataFrame, place: Column) -> DataFrame:
+    """rows with what known rows (c, once each, and more) tell. Rows without c tell nothing; they go by their place, as one task would get them all."""
+    keyed = rows.withColumns({"__none": F.col(c).isNull(), "__key": F.coalesce(c, place)})
+    return keyed.join(known.withColumn("__none", F.lit(False)).withColumnRenamed(c, "__key"), ["__none", "__key"], "left").drop("__none", "__key")
+
+
 def link_authors(authors: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(authors, edges): listed authors (of paper_authors()) are the known ones with their citation-index id, else with their ORCID, else new ones; edges lead from papers to them with author_position.
 
@@ -145,11 +151,11 @@ def link_authors(authors: DataFrame, listed: DataFrame) -> tuple[DataFrame, Data
     by = lambda rows, c, name: rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("id").alias(name))
     place = F.concat_ws("\x1f", "doi", F.col("position").cast("string"))
     made = F.substring(F.sha2(F.coalesce(F.concat(F.lit("s2:"), "semantic_scholar_id"), F.concat(F.lit("orcid:"), "orcid"), F.concat(F.lit("at:"), place)), 256), 1, 16)
-    found = listed.join(by(authors, "semantic_scholar_id", "id1"), "semantic_scholar_id", "left").join(by(authors, "orcid", "id2"), "orcid", "left").withColumn("known", F.coalesce("id1", "id2"))
+    found = told_by(told_by(listed, "semantic_scholar_id", by(authors, "semantic_scholar_id", "id1"), place), "orcid", by(authors, "orcid", "id2"), place).withColumn("known", F.coalesce("id1", "id2"))
     own = found.where("known is null").withColumn("id", made)
     # an entry with an ORCID only is the new author with that ORCID and a citation-index id, if there is one
     told = by(own.where("semantic_scholar_id is not null"), "orcid", "id3")
-    own = own.join(told, "orcid", "left").withColumn("id", F.when(F.col("semantic_scholar_id").isNull(), F.coalesce("id3", "id")).otherwise(F.col("id")))
+    own = told_by(own, "orcid", told, place).withColumn("id", F.when(F.col("semantic_scholar_id").isNull(), F.coalesce("id3", "id")).otherwise(F.col("id")))
     first = F.min_by(F.struct("name", "affiliations"), F.struct("doi", "position"))
     new = own.groupBy("id").agg(first.alias("f"), F.max("orcid").alias("orcid"), F.max("semantic_scholar_id").alias("semantic_scholar_id"))
     rows = new.select("id", F.col("f.name").alias("name"), F.col("f.affiliations").alias("affiliations"), "orcid", "semantic_scholar_id")
