@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,48 @@ def meet(queries: DataFrame, nodes: DataFrame, run: Callable[[pa.Table, pa.Table
     return q.groupBy(*at).cogroup(n.groupBy(*at)).applyInArrow(both, schema)
 
 
+def near_within(rows: DataFrame, key: str, least: float, block: int = BLOCK) -> DataFrame:
+    """(key, id, other): pairs of rows (id, key, rank, vector) with one key at a cosine of least or more, the one of the lower rank first; equal ranks make no pair.
+
+    A task gets the rows of many keys and works out their pairs side by side. Keys of more than a block of rows go through
+    meet(). Vectors that are null or have a null or infinite component take no part.
+    """
+    kind = dict(rows.dtypes)["id"]
+    good = rows.select("id", key, "rank", F.col("vector").cast("array<double>").alias("vector")).where(whole()).withColumn("length", F.size("vector"))
+    schema = f"{key} {dict(rows.dtypes)[key]}, id {kind}, other {kind}"
+
+    def some(table: pa.Table) -> pa.Table:
+        order = np.argsort(np.array(table[key].combine_chunks().dictionary_encode().indices), kind="stable")
+        table = table.take(pa.array(order))
+        of = np.array(table[key].combine_chunks().dictionary_encode().indices)
+        rank, x, first, last = np.array(table["rank"]), _matrix(table), [], []
+        for step in range(1, int(np.bincount(of).max())):
+            i = np.flatnonzero((of[:-step] == of[step:]) & (rank[:-step] != rank[step:]))
+            i = i[rounded(np.einsum("ij,ij->i", x[i], x[i + step])) >= least]
+            turned = rank[i] > rank[i + step]
+            first.append(np.where(turned, i + step, i))
+            last.append(np.where(turned, i, i + step))
+        i, j = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (first, last))
+        return ends(table, table, i, j)
+
+    def ends(a: pa.Table, b: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.Table:
+        return pa.table({key: a[key].take(pa.array(i)), "id": a["id"].take(pa.array(i)), "other": b["id"].take(pa.array(j))})
+
+    def blocks(a: pa.Table, b: pa.Table) -> pa.Table:
+        i, j = np.nonzero((_cosines(_matrix(a), _matrix(b)) >= least) & (np.array(a["rank"])[:, None] < np.array(b["rank"])[None, :]))
+        return ends(a, b, i, j)
+
+    large = keep(good.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > block).select(key), "large")
+    found = []
+    if not large.isEmpty():
+        much = good.join(large, key, "left_semi").select("id", key, "rank", "vector")
+        found = [meet(much, much, blocks, schema, within=[key], block=block)]
+        good = good.join(large, key, "left_anti")
+    cells = max(1, -(-good.count() // (4 * block)))
+    dealt = good.withColumn("cell", F.pmod(F.xxhash64(key), F.lit(cells)))
+    return reduce(DataFrame.unionByName, found, dealt.groupBy("cell", "length").applyInArrow(some, schema))
+
+
 def scores(queries: DataFrame, nodes: DataFrame, k: int | None = None, least: float | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score) for queries and nodes (id, vector): of each query its k best nodes, or all of at least a score.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,24 +109,18 @@ def ambiguous(entities: DataFrame, least: float = 0.85) -> DataFrame:
     """
     name = F.lower(F.trim("name"))
     surface = F.explode_outer(F.array_distinct(F.filter(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: F.lower(F.trim(x))), lambda x: x != "")))
-    told = entities.select("paper", "id", "kind", "ordinal", name.alias("own"), surface.alias("surface")).where("surface is not null")
-    shared = collisions(entities).select("paper", "surface", F.when(F.col("exact"), "exact").otherwise("alias").alias("trigger"))
-    first = told.groupBy("paper", "surface", "kind").agg(F.min_by("id", F.struct("ordinal", "id")).alias("id"))
-    cheap = keep(first.join(shared, ["paper", "surface"]).withColumn("pair", F.to_json(F.struct("paper", "surface", "trigger"))), "cheap")
+    told = entities.select("paper", "id", "kind", "ordinal", name.alias("own"), surface.alias("surface")).where("surface is not null").repartition("paper", "surface")  # once, for both groupings
+    first = told.groupBy("paper", "surface", "kind").agg(F.min_by("id", F.struct("ordinal", "id")).alias("id"), F.bool_or(F.col("own") == F.col("surface")).alias("exact"))
+    by = first.groupBy("paper", "surface").agg(F.collect_list(F.struct("kind", "id")).alias("members"), F.bool_or("exact").alias("exact"), F.count_if(F.col("kind").isin(*KINDS)).alias("n"))
+    shared = by.where("n >= 2").withColumn("trigger", F.when(F.col("exact"), "exact").otherwise("alias"))
+    cheap = keep(shared.select(F.to_json(F.struct("paper", "surface", "trigger")).alias("pair"), "paper", "surface", "trigger", F.inline("members")), "cheap")
     paired = cheap.select("paper", "id").distinct()
     left = entities.where(F.col("kind").isin(*KINDS)).join(paired, ["paper", "id"], "left_anti").withColumn("low", name)
     reps = left.groupBy("paper", "kind", "low").agg(F.min_by(F.struct("id", "name", "vector"), F.struct("ordinal", "id")).alias("r")).select("paper", "kind", "r.id", "r.name", "r.vector")
     reps = keep(reps, "reps")
-    of = {k: n for n, k in enumerate(KINDS)}
-    kind_ = dict(entities.dtypes)["id"]
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        rank = lambda t: np.array([of[k] for k in t["kind"].to_pylist()])
-        i, j = np.nonzero((V._cosines(V._matrix(a), V._matrix(b)) >= least) & (rank(a)[:, None] < rank(b)[None, :]))
-        return pa.table({"id": a["id"].take(i), "other": b["id"].take(j)})
-
-    near = V.meet(reps, reps, run, f"id {kind_}, other {kind_}", within=["paper"])
-    ends = near.join(reps.select("id", "paper", F.col("name").alias("surface")), "id").withColumn("pair", F.to_json(F.struct("paper", "id", "other")))
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    near = V.near_within(reps.select("id", "paper", rank.alias("rank"), "vector"), "paper", least)
+    ends = near.join(reps.select("id", "paper", F.col("name").alias("surface")), ["paper", "id"]).withColumn("pair", F.to_json(F.struct("paper", "id", "other")))
     ends = ends.select("pair", "paper", "surface", F.lit("embedding").alias("trigger"), F.explode(F.array("id", "other")).alias("id"))
     fuzzy = ends.join(reps.select("paper", "id", "kind"), ["paper", "id"])
     columns = ["pair", "paper", "surface", "trigger", "kind", "id"]

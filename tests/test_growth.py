@@ -54,3 +54,15 @@ def test_authors_without_an_id_do_not_meet_in_one_task(spark):
         sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 4000 and max(sizes) < 2000
         assert [(r["position"], r["id2"]) for r in found.where("id2 is not null").collect()] == [(100, "A")]
+
+
+def test_near_pairs_within_keys_are_found_for_many_keys_at_once(spark, monkeypatch):
+    from heliograph.functions import vector as V
+
+    rows = [(k % 7, f"k{k % 5}", k % 3, [float(k % 4 == j) for j in range(4)] if k % 11 else None) for k in range(35)] + [(k, "big", k % 2, [1.0, k % 3 / 100]) for k in range(12)]
+    want = sorted((p, a, b) for a, p, r, v in rows for b, q, s, w in rows if p == q and r < s and v and w and sum(x * y for x, y in zip(v, w)) >= 0.9)
+    called = []
+    meet = V.meet
+    monkeypatch.setattr(V, "meet", lambda q, *a, **b: called.append(q.count()) or meet(q, *a, **b))
+    got = V.near_within(spark.createDataFrame(rows, "id long, paper string, rank int, vector array<double>"), "paper", 0.9, block=8)
+    assert sorted((r["paper"], r["id"], r["other"]) for r in got.collect()) == want and called == [12]  # only the key of more than a block
