@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import vector as V
 from ..scratch import keep
@@ -66,9 +67,12 @@ def merge_into(canon: DataFrame, incoming: DataFrame, on: str = "id", most_alias
     by = incoming.groupBy(on).agg(
         F.min_by("name", F.when(flag, F.struct(at, F.col("name")))).alias("in_canonical"),
         F.bool_or(flag).alias("in_flag"),
-        F.array_distinct(F.concat(F.collect_set("name"), F.flatten(F.collect_set(F.coalesce("aliases", none))))).alias("in_names"),
         *(F.min_by(c, F.when(told(c), F.struct(at, F.col(c)))).alias(f"in_{c}") for c in plain if c in incoming.columns),
     )
+    # the least names, one more than are wanted, as the name itself may be among them
+    names = incoming.select(on, F.explode(F.concat(F.array("name"), F.coalesce("aliases", none))).alias("n")).where("trim(n) <> ''").distinct()
+    least = names.withColumn("nth", F.row_number().over(Window.partitionBy(on).orderBy("n"))).where(F.col("nth") <= most_aliases + 1)
+    by = by.join(least.groupBy(on).agg(F.collect_list("n").alias("in_names")), on, "left")
     has = "is_canonical" in canon.columns
     canonical = F.coalesce(F.col("is_canonical"), F.lit(False)) if has else F.lit(True)
     name = F.when(~canonical, F.coalesce("in_canonical", "name")).otherwise(F.col("name"))

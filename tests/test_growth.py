@@ -66,3 +66,14 @@ def test_near_pairs_within_keys_are_found_for_many_keys_at_once(spark, monkeypat
     monkeypatch.setattr(V, "meet", lambda q, *a, **b: called.append(q.count()) or meet(q, *a, **b))
     got = V.near_within(spark.createDataFrame(rows, "id long, paper string, rank int, vector array<double>"), "paper", 0.9, block=8)
     assert sorted((r["paper"], r["id"], r["other"]) for r in got.collect()) == want and called == [12]  # only the key of more than a block
+
+
+def test_merging_holds_only_the_names_that_stay(spark):
+    from heliograph.operators import resolve as E
+
+    canon = spark.createDataFrame([(1, "n002", ["z", " "])], "id long, name string, aliases array<string>")
+    incoming = spark.range(2000).selectExpr("id % 2 + 1 AS id", "format_string('n%03d', id DIV 2 % 1000) AS name", "array(CAST(NULL AS STRING), 'a', ' ') AS aliases", "id AS ordinal")
+    merged = E.merge_into(canon, incoming, most_aliases=4)
+    assert [r["aliases"] for r in merged.collect()] == [["a", "n000", "n001", "n003"]]
+    plan = merged._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "collect_set" not in plan
