@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +32,8 @@ from . import vector as V
 PIVOTS, SAMPLE = 128, 4096
 #: Angles are known to be right to this much, bars are moved by it.
 SLACK = 1e-6
+#: Scores that a task works out, about; blocks of nodes that a block of queries goes through in one go; bytes of blocks that a task keeps open.
+SCORES, SHARE, OPEN = 1 << 26, 16, 64 << 20
 BLOCK = "length int, cell int, path string, n int, lo array<double>, hi array<double>"
 
 
@@ -183,6 +187,11 @@ def block_pairs(a: DataFrame, b: DataFrame, pivots: dict[int, np.ndarray], bar:
     return pairs.where("path_a <= path_b") if upper else pairs
 
 
+def tasks_for(rows: DataFrame, most: int, scores: int) -> int:
+    """As many tasks as the scores are worth, and no fewer than there are cores if there is something for each."""
+    return max(1, min(most, max(scores // SCORES, 2 * rows.sparkSession.sparkContext.defaultParallelism)))
+
+
 def meet(pairs: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """run(block a, block b) for every pair."""
 
@@ -198,8 +207,9 @@ def meet(pairs: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema
             for a, b in zip(batch.column("path_a").to_pylist(), batch.column("path_b").to_pylist()):
                 yield from run(table("a", a), table("b", b)).to_batches()
 
-    n = max(1, min(pairs.count(), 16 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = pairs.select("path_a", "path_b").repartition(n, "path_a", "path_b").sortWithinPartitions("path_a", "path_b")
+    size = pairs.agg(F.count("*").alias("pairs"), F.sum(F.col("n_a").cast("long") * F.col("n_b")).alias("scores")).first()
+    n = tasks_for(pairs, size["pairs"], size["scores"] or 0)
+    dealt = pairs.select("path_a", "path_b").repartitionByRange(n, "path_a", "path_b").sortWithinPartitions("path_a", "path_b")
     return dealt.mapInArrow(each, schema)
 
 
@@ -239,6 +249,60 @@ def first_bars(queries: DataFrame, nodes: DataFrame, pivots: dict[int, np.ndarra
     return queries.join(bars, "path").drop("path").withColumnRenamed("asked", "path").select("length", "cell", "path", "n", "lo", "hi", "most")
 
 
+def _top(found: pa.Table, floor: np.ndarray, k: int) -> tuple[pa.Table, np.ndarray]:
+    """The k best of found (at, score, id) for each `at`, equals by least id, and what a score must have from now on."""
+    found = found.take(pc.sort_indices(found, sort_keys=[("at", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start"))
+    at = found["at"].to_numpy()
+    nth = np.arange(len(at)) - np.searchsorted(at, at)
+    floor[at[nth == k - 1]] = np.maximum(floor[at[nth == k - 1]], found["score"].to_numpy()[nth == k - 1] - 1e-9)  # scores are rounded
+    return found.filter(pa.array(nth < k)), floor
+
+
+def best(pairs: DataFrame, k: int, least: float | None, schema: str) -> DataFrame:
+    """Of each query the k best nodes in each share of the blocks of nodes. A block of queries goes through those of a share one after the other, nearest first, with the bar of each query rising, until no other can hold an answer."""
+    sized = pairs.agg(F.sum(F.col("n_a").cast("long") * F.col("n_b")).alias("scores"), F.count_distinct("path_b").alias("blocks")).first()
+    share = F.pmod(F.xxhash64("path_b"), F.lit(max(1, -(-sized["blocks"] // SHARE))))
+    groups = keep(pairs.groupBy(share.alias("share"), "path_a").agg(F.sort_array(F.collect_list(F.struct("apart", "path_b"))).alias("others")), "shares")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[str, tuple[pa.Array, np.ndarray]] = OrderedDict()
+
+        def opened(path: str) -> tuple[pa.Array, np.ndarray]:
+            if path not in held:
+                table = read_block(path)
+                held[path] = table["id"].combine_chunks(), unit(table)
+                while len(held) > 1 and sum(y.nbytes for _, y in held.values()) > OPEN:
+                    held.popitem(last=False)
+            held.move_to_end(path)
+            return held[path]
+
+        for batch in batches:
+            for path, others in zip(batch.column("path_a").to_pylist(), batch.column("others").to_pylist()):
+                q = read_block(path)
+                x, found = unit(q), None
+                floor = np.cos(np.minimum(np.array(q["bar"]), math.pi)) - 1e-6
+                if least is not None:
+                    floor = np.maximum(floor, least - 1e-9)
+                for other in others:
+                    if other["apart"] > bar_of(float(floor.min())) + SLACK:
+                        break
+                    ids, y = opened(other["path_b"])
+                    raw = x @ y.T
+                    i, j = np.nonzero(raw >= floor[:, None])
+                    score = V.rounded(raw[i, j])
+                    if least is not None:
+                        i, j, score = (c[score >= least] for c in (i, j, score))
+                    if len(i):
+                        new = pa.table({"at": i, "score": score, "id": ids.take(pa.array(j))})
+                        found, floor = _top(new if found is None else pa.concat_tables([found, new]), floor, k)
+                if found is not None:
+                    at = found["at"].combine_chunks()
+                    yield from pa.table({"ask": q["ask"].take(at), "query_id": q["id"].take(at), "id": found["id"], "score": found["score"]}).combine_chunks().to_batches()
+
+    n = tasks_for(pairs, groups.count(), sized["scores"] or 0)
+    return groups.repartitionByRange(n, "share", "path_a").sortWithinPartitions("share", "path_a").mapInArrow(run, schema)
+
+
 def nearest(asked: DataFrame, rows: DataFrame, k: int | None, least: float | None, block: int = V.BLOCK) -> DataFrame:
     """(ask, query_id, id, score) as vector.scores() gives them; asked: ask, id, vector; rows: id, vector."""
     q, n = (keep(usable(x), "vectors") for x in (asked, rows))
@@ -248,25 +312,19 @@ def nearest(asked: DataFrame, rows: DataFrame, k: int | None, least: float | Non
     q = q.where(F.col("length").isin(*pivots)) if pivots else q.limit(0)
     kind, node_kind = dict(asked.dtypes)["id"], dict(rows.dtypes)["id"]
     a, b = index(q.select("ask", "id", "vector", "length"), pivots, block), index(n, pivots, block)
+    schema = f"ask bigint, query_id {kind}, id {node_kind}, score double"
     if k is not None:
         a = first_bars(a, b, pivots, k)
         bars = {(r["length"], r["cell"]): r["most"] for r in a.groupBy("length", "cell").agg(F.max("most").alias("most")).collect()}
         bar = {key: min(most, bar_of(least)) if least is not None else most for key, most in bars.items()}
-    else:
-        bar = bar_of(least)
-        # zero vectors score 0 with all: their blocks meet every block
+        return best(block_pairs(a, b, pivots, bar), k, least, schema)
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         score = V.rounded(unit(x) @ unit(y).T)
-        good = np.ones(score.shape, bool) if least is None else score >= least
-        if k is not None:
-            good &= score >= np.cos(np.minimum(np.array(x["bar"]), math.pi))[:, None] - 1e-6
-            if score.shape[1] > k:
-                good &= score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-        i, j = np.nonzero(good)
+        i, j = np.nonzero(score >= least)
         return pa.table({"ask": x["ask"].take(i), "query_id": x["id"].take(i), "id": y["id"].take(j), "score": pa.array(score[i, j])})
 
-    return meet(block_pairs(a, b, pivots, bar), run, f"ask bigint, query_id {kind}, id {node_kind}, score double")
+    return meet(block_pairs(a, b, pivots, bar_of(least)), run, schema)  # zero vectors score 0 with all: their blocks meet every block
 
 
 def join(a: DataFrame, b: DataFrame, least: float, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = V.BLOCK, upper: bool = False) -> DataFrame:

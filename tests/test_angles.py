@@ -126,3 +126,15 @@ def test_no_pair_within_the_bar_is_ruled_out(spark):
     assert sorted(of) == list(range(303))
     met = {(r["path_a"], r["path_b"]) for r in A.block_pairs(blocks, blocks, pivots, A.bar_of(0.8)).collect()}
     assert all((of[i], of[j]) in met for i, j in np.argwhere(cosines(x, x) >= 0.8).tolist())
+
+
+def test_tasks_follow_the_scores_and_equals_stay_few(spark):
+    """A few tasks for little work, however many pairs of blocks there are; of a crowd of equal nodes a query gets the k least ids of each share."""
+    x = RNG.normal(size=(400, 8))
+    x[100:] = x[100]
+    asked = frame(spark, x[:120]).withColumn("ask", F.col("id"))
+    found = A.nearest(asked, frame(spark, x), 3, None, 20)
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert found.groupBy("ask").count().agg(F.max("count")).first()[0] <= 3 * -(-20 // A.SHARE) * 2
+    got = {(r["query_id"], r["id"]) for r in V.scores(asked.select("id", "vector"), frame(spark, x), 3, None, 20).where("query_id >= 100").collect()}
+    assert got == {(q, j) for q in range(100, 120) for j in (100, 101, 102)}
