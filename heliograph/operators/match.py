@@ -23,9 +23,9 @@ def exists(rows: DataFrame, edges: DataFrame, end: str = "src", negate: bool = F
 
 def around(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges at ids in both directions as (id, other, direction); a self-loop counts once, as outgoing."""
-    out = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit("outgoing").alias("direction"))
-    back = edges.where("src <> dst").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit("incoming").alias("direction"))
-    return out.unionByName(back)
+    end = lambda a, b, name: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), F.lit(name).alias("direction"))
+    both = F.array(end("src", "dst", "outgoing"), F.when(F.col("src") != F.col("dst"), end("dst", "src", "incoming")))
+    return edges.select(F.explode(both).alias("e")).where("e is not null").select("e.*").join(keep(ids.select("id"), "ids"), "id", "left_semi")  # stored, so that Spark knows how many there are
 
 
 def closure(edges: DataFrame, levels: int) -> DataFrame:
@@ -47,19 +47,18 @@ def bfs(edges: DataFrame, anchors: DataFrame, depth: int, direction: str = "out"
     fan_out is a limit of the traversal itself: so many neighbours of a node, least `order` (else least id) first.
     """
     by = edges.select("src", "dst", *([order.alias("__order")] if order is not None else []))
+    if depth > 1:
+        by = keep(by, "steps")  # read again at every depth
     ranks = [F.col("__order"), F.col("dst")] if order is not None else [F.col("dst")]
     turned = by.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *by.columns[2:])
     step = {"out": by, "in": turned}[direction] if direction in ("out", "in") else by.unionByName(turned)
-    if fan_out is not None:  # once for all depths; repeated edges share a rank
-        nth = F.dense_rank().over(Window.partitionBy("src").orderBy(*ranks))
-        step = step.withColumn("nth", nth).where(F.col("nth") <= fan_out)
-    step = step.select("src", "dst")
-    if depth > 1:
-        step = keep(step, "steps")  # read again at every depth
-    seen = anchors.select("id").distinct().withColumn("depth", F.lit(0))
-    front = seen
+    front = seen = keep(anchors.select("id").distinct().withColumn("depth", F.lit(0)), "front")  # stored, so that Spark knows how many there are
     for d in range(1, depth + 1):
-        found = front.select(F.col("id").alias("src")).join(step, "src").select(F.col("dst").alias("id")).distinct()
+        steps = step.join(front.select(F.col("id").alias("src")), "src", "left_semi")
+        if fan_out is not None:  # only the edges of the front are put in order; repeated ones share a rank
+            nth = F.dense_rank().over(Window.partitionBy("src").orderBy(*ranks))
+            steps = steps.withColumn("nth", nth).where(F.col("nth") <= fan_out)
+        found = steps.select(F.col("dst").alias("id")).distinct()
         front = keep(found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)), "front")
         seen = seen.unionByName(front)
         if front.isEmpty():

@@ -4,9 +4,11 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from heliograph.operators import match as M
 from heliograph.operators import search as S
 from heliograph.scratch import options_for
 from heliograph.sources import papers as P
+from heliograph.sources import surrogate
 
 
 def most_rows(df):
@@ -77,3 +79,32 @@ def test_merging_holds_only_the_names_that_stay(spark):
     assert [r["aliases"] for r in merged.collect()] == [["a", "n000", "n001", "n003"]]
     plan = merged._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "collect_set" not in plan
+
+
+def test_a_search_orders_only_the_edges_of_its_front(spark):
+    """200 edges at the front and 100 000 elsewhere, of which no exchange gets any; the same nodes as when all are ranked."""
+    far = spark.range(100_000).select(F.concat(F.lit("x"), "id").alias("src"), F.concat(F.lit("y"), "id").alias("dst"))
+    edges = spark.createDataFrame([("a", f"b{k % 150:03}") for k in range(200)], "src string, dst string").unionByName(far)
+    context = spark.sparkContext
+    context.setJobGroup("front", "front")
+    found = M.bfs(edges, spark.createDataFrame([("a",)], "id string"), 2, "both", fan_out=3).collect()
+    stages = [s for j in context.statusTracker().getJobIdsForGroup("front") for s in context.statusTracker().getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    store = context._jsc.sc().statusStore()
+    read = [store.lastStageAttempt(s).shuffleReadRecords() for s in stages]
+    assert {(r["id"], r["depth"]) for r in found} == {("a", 0), ("b000", 1), ("b001", 1), ("b002", 1)}
+    assert max(read) < 1000
+
+
+def test_edges_at_ids_are_read_once(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("c", "a"), ("c", "d"), ("a", "b")], "src string, dst string")
+    seen = spark.sparkContext.accumulator(0)
+    counted = edges.rdd.map(lambda r: (seen.add(1), r)[1]).toDF(edges.schema)
+    got = sorted(tuple(r) for r in M.around(counted, spark.createDataFrame([("a",)], "id string")).collect())
+    assert got == [("a", "a", "outgoing"), *[("a", "b", "incoming")], *[("a", "b", "outgoing")] * 2, ("a", "c", "incoming")]
+    assert seen.value == 6
+
+
+def test_tasks_over_lines_grow_with_their_number(spark, monkeypatch):
+    monkeypatch.setattr(surrogate, "TASK_ROWS", 64)
+    assert [surrogate.tasks_for(spark.range(n)) for n in (0, 8, 64, 1024)] == [1, 1, 4, 16]
