@@ -3,17 +3,18 @@
 Words of all training documents are counted on the cluster. The MODEL_WORDS most frequent ones are the network's
 words, filed by frequency into classes: P(word) = P(class | state) P(word | class, state). One more class stands for every
 other word, known or not, and shares its probability by the counts over the whole corpus, so the model's
-probabilities sum to one. The network is trained in numpy on the driver by backpropagation through windows of FIT_STEPS
-tokens, the state going on from window to window, over the whole texts of at most MAX_FIT different training documents (a
-documented bound). Scoring runs in tasks: documents stream through lanes, window by window, each with its state
+probabilities sum to one. The network is trained in numpy by backpropagation through windows of FIT_STEPS tokens, the
+state going on from window to window. It begins on the driver, with the whole texts of at most MAX_FIT different training
+documents (a documented bound), and goes on with every training document: shards of about SHARD_TOKENS tokens, dealt by
+a hash of the text, are gone through side by side, each by a copy of the network, and the copies' parameters are
+averaged by tokens, so the result hangs on the documents alone and not on how they are stored. Scoring runs in tasks: documents stream through lanes, window by window, each with its state
 carried from its first token to its end.
 
 Counts of the most frequent words, at most COMMON (of at most COMMON_BYTES bytes), go to every task, a table of bounded size; the other
 words of a document, none of which is frequent, meet their counts in a join, once each, and are summed by document.
 
 A null text is empty: one token, the end. A null doc_id is learned from never and is never held out; rows of one id
-are scored each for itself; repeated training rows count each time in the counts and once in the network's
-sample; other columns are ignored; with nothing to learn from every token has probability one (base and model), an
+are scored each for itself; repeated training rows count each time, and once where the network begins; other columns are ignored; with nothing to learn from every token has probability one (base and model), an
 empty table gives no rows.
 """
 
@@ -23,7 +24,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,10 @@ ROUNDS = 2
 LEAST_UPDATES = 300
 STEPS = 32
 LANES = 384
+#: Tokens of a shard that a task learns from; the rate that it begins with; parameters that are averaged at a time.
+SHARD_TOKENS = 1 << 21
+SHARD_RATE = 0.004
+CHUNK = 4096
 #: Words that a task counts before it hands their counts over.
 HELD_WORDS = 400_000
 
@@ -88,6 +93,27 @@ class Vocabulary:
         self.first = np.searchsorted(self.class_of, np.arange(self.c + 2))  # members lie side by side, as classes go by frequency
 
 
+def _rate(first: float, done: float) -> float:
+    return first * (0.52 + 0.48 * math.cos(math.pi * min(1.0, done)))
+
+
+class Adam:
+    """Steps along gradients, which are cut at a norm of one."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.i = p, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        scale = min(1.0, 1.0 / (math.sqrt(sum(float((x * x).sum()) for x in g.values())) + 1e-9))
+        self.i += 1
+        for k, x in g.items():
+            x *= scale
+            self.m[k] += 0.1 * (x - self.m[k])
+            self.v[k] += 0.01 * (x * x - self.v[k])
+            self.p[k] -= (rate / (1 - 0.9**self.i)) * self.m[k] / (np.sqrt(self.v[k] / (1 - 0.99**self.i)) + 1e-6)
+
+
 class GatedLM:
     """A gated recurrent layer over words, a softmax over classes and one over the members of a class."""
 
@@ -148,15 +174,15 @@ class GatedLM:
         n, flat, target = max(1, len(at)), states.reshape(-1, h)[at], word.ravel()[at]
         logits = flat @ self.p["wc"] + self.p["bc"]
         of = self.class_of[target]
-        loss = float((_log_sum(logits) - logits[np.arange(len(at)), of]).sum())
         delta = _softmax(logits)
+        loss = -float(np.log(delta[np.arange(len(at)), of]).sum())
         delta[np.arange(len(at)), of] -= 1
         delta /= n
         g["wc"], g["bc"], back_flat = flat.T @ delta, delta.sum(0), delta @ self.p["wc"].T
         for own, span, logits in self._members(flat, target):
             row = np.arange(len(own))
-            loss += float((_log_sum(logits) - logits[row, target[own] - span.start]).sum())
             delta = _softmax(logits)
+            loss -= float(np.log(delta[row, target[own] - span.start]).sum())
             delta[row, target[own] - span.start] -= 1
             delta /= n
             g["wm"][span], g["bm"][span] = delta.T @ flat[own], delta.sum(0)
@@ -175,12 +201,14 @@ class GatedLM:
             ds = np.concatenate([dz, dr, dnew * r], 1)
             g["u"] += before.T @ ds
             back = np.where(fresh[t][:, None], 0, da * z + ds @ self.p["u"].T).astype(np.float32)
-        np.add.at(g["x"], given.ravel(), dx_all.reshape(-1, 3 * h))
+        order = np.argsort(given, axis=None, kind="stable")
+        words, first = np.unique(given.ravel()[order], return_index=True)
+        g["x"][words] = np.add.reduceat(dx_all.reshape(-1, 3 * h)[order], first)
         return loss / n, g, last
 
     def fit(self, documents: list[np.ndarray], lanes: int = FIT_LANES, steps: int = FIT_STEPS, rounds: int = ROUNDS, rate: float = 0.012) -> None:
         """Adam over windows of documents that stream through lanes."""
-        m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        adam = Adam(self.p)
         each = max(1, -(-sum(map(len, documents)) // (lanes * steps)))
         rounds = max(rounds, -(-LEAST_UPDATES // each)) if documents else 0
         total, i = rounds * each, 0
@@ -188,14 +216,18 @@ class GatedLM:
             state = np.zeros((lanes, self.h), np.float32)
             for window in windows(enumerate(documents), self.start, lanes, steps):
                 _, g, state = self.gradients(window.given, window.fresh, window.owner >= 0, window.word, state[window.lanes])
-                scale = min(1.0, 1.0 / (math.sqrt(sum(float((x * x).sum()) for x in g.values())) + 1e-9))
+                adam.step(g, _rate(rate, i / total))
                 i += 1
-                now = rate * (0.52 + 0.48 * math.cos(math.pi * min(1.0, i / total)))
-                for k, x in g.items():
-                    x *= scale
-                    m[k] += 0.1 * (x - m[k])
-                    v[k] += 0.01 * (x * x - v[k])
-                    self.p[k] -= (now / (1 - 0.9**i)) * m[k] / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-6)
+
+    def go_on(self, documents: Iterator[np.ndarray], lanes: int = LANES, steps: int = FIT_STEPS, rate: float = SHARD_RATE) -> int:
+        """One pass over documents that need not be held together; gives their number of tokens."""
+        adam, state, tokens = Adam(self.p), np.zeros((lanes, self.h), np.float32), 0
+        for window in windows(enumerate(documents), self.start, lanes, steps):
+            live = window.owner >= 0
+            _, g, state = self.gradients(window.given, window.fresh, live, window.word, state[window.lanes])
+            adam.step(g, _rate(rate, tokens / SHARD_TOKENS))
+            tokens += int(live.sum())
+        return tokens
 
     def log_likelihoods(self, documents: Iterator[tuple[int, np.ndarray]], lanes: int = LANES, steps: int = STEPS) -> Iterator[tuple[int, float]]:
         """Key and natural logarithm of the probability of each document, in the order in which they end."""
@@ -316,13 +348,52 @@ def sample(learn: DataFrame, vocabulary: Vocabulary, max_fit: int = MAX_FIT) ->
         some = hashed.where(F.col("h") < F.lit(int(min(2.0 * max_fit / different, 1.0) * 2**64) - 2**63))
     some = some.dropDuplicates(["h"]).orderBy("h").limit(max_fit)
 
+    return [np.frombuffer(bytes(r["ids"]), np.int32) for r in sorted(encoded(some, vocabulary).collect())]
+
+
+def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """h and ids, the network's word ids of each text; texts: h, text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.minimum(_ids(vocabulary, tokens_of(t)).astype(np.uint64), vocabulary.k).astype(np.int32) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([i.tobytes() for i in ids], pa.binary())], ["h", "ids"])
+            ids = [np.minimum(_ids(vocabulary, tokens_of(t.as_py())).astype(np.uint64), vocabulary.k).astype(np.int32).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(ids, pa.binary())], ["h", "ids"])
+
+    return texts.select("h", "text").mapInArrow(run, "h long, ids binary")
+
 
-    got = some.select("h", "text").mapInArrow(run, "h long, ids binary").collect()
-    return [np.frombuffer(bytes(r["ids"]), np.int32) for r in sorted(got)]
+def fit_on_all(learn: DataFrame, vocabulary: Vocabulary, net: GatedLM) -> None:
+    """Every training document once: copies of the network go through a shard each, and their parameters, averaged by tokens, are the network's."""
+    names, shards = sorted(net.p), max(1, -(-vocabulary.total // SHARD_TOKENS))
+    hashed = learn.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    dealt = encoded(hashed, vocabulary).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task may have several shards, one after the other."""
+        rows = ((shard, ids.as_buffer()) for batch in batches for shard, ids in zip(batch.column("shard").to_pylist(), batch.column("ids")))
+        for shard, own in groupby(rows, key=lambda r: r[0]):
+            copy = GatedLM(vocabulary, net.h)
+            copy.p = {k: x.copy() for k, x in net.p.items()}
+            tokens = copy.go_on(np.frombuffer(ids, np.int32) for _, ids in own)
+            flat = np.concatenate([copy.p[k].ravel() for k in names])
+            cut = [flat[at : at + CHUNK] for at in range(0, len(flat), CHUNK)]
+            cols = [shard] * len(cut), range(len(cut)), [tokens] * len(cut), cut
+            kinds = pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["shard", "part", "tokens", "values"])
+
+    def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        n = np.array(table["tokens"], np.float64)
+        x = np.array(table["values"].combine_chunks().flatten()).reshape(len(n), -1)
+        return pa.table({"part": table["part"][:1], "values": pa.array([(n @ x / n.sum()).astype(np.float32)], pa.list_(pa.float32()))})
+
+    learned = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "ids").mapInArrow(run, "shard int, part int, tokens long, values array<float>")
+    found = learned.groupBy("part").applyInArrow(mean, "part int, values array<float>").collect()
+    if not found:
+        return
+    flat, at = np.concatenate([np.array(r["values"], np.float32) for r in sorted(found)]), 0
+    for k in names:
+        net.p[k], at = flat[at : at + net.p[k].size].reshape(net.p[k].shape), at + net.p[k].size
 
 
 def parts(documents: DataFrame, vocabulary: Vocabulary, net: GatedLM) -> DataFrame:
@@ -373,6 +444,7 @@ def score(documents: DataFrame, max_fit: int = MAX_FIT, model_words: int = MODEL
     vocabulary = vocabulary_of(counts, model_words)
     net = GatedLM(vocabulary)
     net.fit(sample(learn, vocabulary, max_fit))
+    fit_on_all(learn, vocabulary, net)
     found = spool(parts(documents, vocabulary, net), "lm-parts")
     others = found.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.times").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0)) + 0.5

@@ -144,6 +144,30 @@ def test_fit_sample_is_bounded_and_of_whole_different_texts(spark):
     assert len(lm.sample(rows, v, 100)) == 40
 
 
+def test_every_training_document_changes_the_network(spark, monkeypatch):
+    """Which words follow each other only documents outside the sample tell; shards are averaged, and how rows are stored does not matter."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 4000)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(w for x in rng.integers(0, 4, 30).tolist() for w in (f"a{x}", f"b{x}"))) for i in range(400)]
+    learn = spark.createDataFrame([(t,) for _, t in rows], "text string")
+    v = lm.vocabulary_of(lm.word_counts(learn))
+    before = lm.GatedLM(v)
+    docs = [np.minimum(lm._ids(v, lm.tokens_of(t)).astype(np.uint64), v.k).astype(np.int64) for _, t in rows]
+    of = lambda net: sum(x for _, x in net.log_likelihoods(enumerate(docs)))
+    nets = []
+    for parts in (1, 5):
+        net = lm.GatedLM(v)
+        lm.fit_on_all(learn.repartition(parts), v, net)
+        nets.append(net)
+    assert all(np.array_equal(nets[0].p[k], nets[1].p[k]) for k in before.p)
+    assert not any(np.array_equal(nets[0].p[k], before.p[k]) for k in ("x", "u", "wc", "bc"))
+    assert of(nets[0]) > of(before)
+    called = []
+    monkeypatch.setattr(lm, "fit_on_all", lambda learn, v, net: called.append(learn.count()))
+    lm.score(frame(spark, rows), max_fit=1).first()
+    assert called == [sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows)]
+
+
 def test_common_words_are_the_most_frequent_ones(spark):
     rows = [(f"w{k:03}".encode(), 1 + k * k) for k in range(200)] + [(b"x" * 300, 10**6)]
     v = lm.vocabulary_of(spark.createDataFrame(rows, "word binary, c long").repartition(4), 10, 50)
