@@ -6,8 +6,9 @@ other word, known or not, and shares its probability by the counts over the whol
 probabilities sum to one. The network is trained in numpy by backpropagation through windows of FIT_STEPS tokens, the
 state going on from window to window. It begins on the driver, with the whole texts of at most MAX_FIT different training
 documents (a documented bound), and goes on with every training document: shards of about SHARD_TOKENS tokens, dealt by
-a hash of the text, are gone through side by side, each by a copy of the network, and the copies' parameters are
-averaged by tokens, so the result hangs on the documents alone and not on how they are stored. Scoring runs in tasks: documents stream through lanes, window by window, each with its state
+a hash of id and text (so copies of a text are spread), are gone through side by side, each by a copy of the network, and the copies' parameters are
+averaged by tokens, so the result hangs on the documents alone and not on how they are stored. Texts are cut into words
+and numbered once, for learning and scoring; ids lie in the shared folder in between. Scoring runs in tasks: documents stream through lanes, window by window, each with its state
 carried from its first token to its end.
 
 Counts of the most frequent words, at most COMMON (of at most COMMON_BYTES bytes), go to every task, a table of bounded size; the other
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, spool
-from .language import _sigmoid, held_out
+from .language import held_out
 
 END = b""
 MODEL_WORDS = 4096
@@ -53,10 +54,15 @@ LANES = 384
 SHARD_TOKENS = 1 << 21
 SHARD_RATE = 0.004
 CHUNK = 4096
+#: Places whose class logits are held at a time, and parameters that a step changes at a time: what stays in a core's cache.
+PLACES, PARAMETERS = 2048, 1 << 15
+#: Logits below this need no shift before they are exponentiated, in single precision.
+CALM = 80.0
 #: Words that a task counts before it hands their counts over.
 HELD_WORDS = 400_000
 
-PARTS = "row long, doc_id long, n_tokens long, n_known long, base double, score double, others array<struct<word:binary,times:long>>"
+SUMS = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
+PARTS = f"{SUMS}, h long, ids binary, others array<struct<word:binary,times:long>>"
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -90,6 +96,8 @@ class Vocabulary:
         self.c = int(of.max()) + 1 if self.k else 0
         #: Class of each of the network's words and of the one id (k) for all others, which has class c to itself.
         self.class_of = np.r_[of, self.c].astype(np.int64)
+        #: How the network's ids are stored.
+        self.kind = np.dtype("<u2" if self.k < 1 << 16 else "<u4")
         self.first = np.searchsorted(self.class_of, np.arange(self.c + 2))  # members lie side by side, as classes go by frequency
 
 
@@ -98,20 +106,37 @@ def _rate(first: float, done: float) -> float:
 
 
 class Adam:
-    """Steps along gradients, which are cut at a norm of one."""
+    """Steps along gradients, which are cut at a norm of one. The parameters become parts of one array, which changes in place."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.p, self.i = p, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.names, self.flat, at = list(p), np.concatenate([x.ravel() for x in p.values()]), 0
+        for k, x in p.items():
+            p[k], at = self.flat[at : at + x.size].reshape(x.shape), at + x.size
+        self.m, self.v, self.g = (np.zeros_like(self.flat) for _ in range(3))
+        self.i, self.held = 0, np.empty(PARAMETERS, self.flat.dtype)
 
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
-        scale = min(1.0, 1.0 / (math.sqrt(sum(float((x * x).sum()) for x in g.values())) + 1e-9))
+        np.concatenate([g[k].ravel() for k in self.names], out=self.g)
+        scale = min(1.0, 1.0 / (math.sqrt(float(self.g @ self.g)) + 1e-9))
         self.i += 1
-        for k, x in g.items():
+        ahead, spread = rate / (1 - 0.9**self.i), 1 / (1 - 0.99**self.i)
+        for at in range(0, len(self.flat), PARAMETERS):
+            p, m, v, x = (a[at : at + PARAMETERS] for a in (self.flat, self.m, self.v, self.g))
+            t = self.held[: len(p)]
             x *= scale
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.p[k] -= (rate / (1 - 0.9**self.i)) * self.m[k] / (np.sqrt(self.v[k] / (1 - 0.99**self.i)) + 1e-6)
+            np.subtract(x, m, out=t)
+            t *= 0.1
+            m += t
+            x *= x
+            x -= v
+            x *= 0.01
+            v += x
+            np.multiply(v, spread, out=t)
+            np.sqrt(t, out=t)
+            t += 1e-6
+            np.divide(m, t, out=t)
+            t *= ahead
+            p -= t
 
 
 class GatedLM:
@@ -132,79 +157,131 @@ class GatedLM:
             "bm": np.log(mass / of_class[self.class_of]).astype(np.float32),
         }
 
-    def states(self, given: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States before each word of (time, lane), and the last ones. given: the word before each; fresh: a document begins."""
-        h, x, u = self.h, self.p["x"][given], self.p["u"]
-        out = np.empty((*given.shape, h), np.float32)
-        for t in range(len(given)):
-            if fresh[t].any():
-                state = np.where(fresh[t][:, None], np.float32(0), state)
-            s = state @ u
-            gates = _sigmoid(x[t, :, : 2 * h] + s[:, : 2 * h])
-            z, r = gates[:, :h], gates[:, h:]
-            new = np.tanh(x[t, :, 2 * h :] + r * s[:, 2 * h :])
-            if keep is not None:
-                keep.append((state, s, z, r, new))
-            state = out[t] = new + z * (state - new)
-        return out, state
-
-    def _members(self, state: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
-        """For each class of more than one word: which places have it, its words, and their logits."""
-        of = self.class_of[word]
+    def states(self, given: np.ndarray, fresh: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(time, lane) states: the first, and the one after each word; then both gates, new contents and what the state adds to each. given: the word before each; fresh: a document begins."""
+        h, kind, shape = self.h, self.p["u"].dtype, given.shape
+        half = np.array([0.5, 0.5, 1], kind)[:, None, None]  # sigmoid(v) is tanh(v / 2) / 2 + 1 / 2
+        x = np.take(self._split("x") * half, given, 1)
+        u = self._split("u") * half
+        path, new = np.empty((shape[0] + 1, shape[1], h), kind), np.empty((*shape, h), kind)
+        gates, added = np.empty((2, *shape, h), kind), np.empty((3, *shape, h), kind)
+        path[0] = state
+        begins = fresh.any(1).tolist()
+        for t in range(shape[0]):
+            before, g, n, after = path[t], gates[:, t], new[t], path[t + 1]
+            if begins[t]:
+                before = before.copy()
+                before[fresh[t]] = 0
+            s = np.matmul(before, u, out=added[:, t])
+            np.add(x[:2, t], s[:2], out=g)
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            np.multiply(g[1], s[2], out=n)
+            n += x[2, t]
+            np.tanh(n, out=n)
+            np.subtract(before, n, out=after)
+            after *= g[0]
+            after += n
+        return path, gates, new, added
+
+    def _split(self, name: str) -> np.ndarray:
+        """A parameter's columns for the update gate, the reset gate and new contents, one behind the other."""
+        return np.ascontiguousarray(self.p[name].reshape(-1, 3, self.h).transpose(1, 0, 2))
+
+    def _outputs(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights with biases as one more entry: of classes, of words; and whether all logits are small."""
+        of_class, of_word = np.vstack([self.p["wc"], self.p["bc"]]), np.hstack([self.p["wm"], self.p["bm"][:, None]])
+        most = max(1.0, float(np.abs(state).max(initial=0))) * max(float(np.abs(of_class).sum(0).max()), float(np.abs(of_word).sum(1).max()))
+        return of_class, of_word, most < CALM
+
+    def _by_class(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+        """The order by class, the states in it with a one behind each, the words in it; and for each class of more than one word its places and words."""
+        of = self.class_of[word].astype(np.min_scalar_type(self.c))
         order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(self.c + 1))
-        for k in range(self.c):
-            own, span = order[cuts[k] : cuts[k + 1]], slice(self.first[k], self.first[k + 1])
-            if len(own) and span.stop - span.start > 1:
-                yield own, span, state[own] @ self.p["wm"][span].T + self.p["bm"][span]
+        cuts = np.searchsorted(of[order], np.arange(self.c + 1)).tolist()
+        flat = np.ones((len(word), self.h + 1), state.dtype)
+        flat[:, : self.h] = state[order]
+        first = self.first.tolist()
+        return order, flat, word[order], [(cuts[k], cuts[k + 1], first[k], first[k + 1]) for k in range(self.c) if cuts[k] < cuts[k + 1] and first[k + 1] - first[k] > 1]
 
     def log_probabilities(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithm of P(word) after each state, for words side by side. The id k means its class as a whole."""
-        logits = state @ self.p["wc"] + self.p["bc"]
-        out = logits[np.arange(len(word)), self.class_of[word]] - _log_sum(logits)
-        for own, span, logits in self._members(state, word):
-            out[own] += logits[np.arange(len(own)), word[own] - span.start] - _log_sum(logits)
+        (of_class, of_word, calm), (order, flat, word, members) = self._outputs(state), self._by_class(state, word)
+        of, value = self.class_of[word], np.zeros(len(word), flat.dtype)
+        for at in range(0, len(word) if self.c else 0, PLACES):
+            cut = slice(at, at + PLACES)
+            value[cut] = _log_shares(flat[cut] @ of_class, of[cut], calm)[0]
+        for lo, hi, a, b in members:
+            value[lo:hi] += _log_shares(flat[lo:hi] @ of_word[a:b].T, word[lo:hi] - a, calm)[0]
+        out = np.empty_like(value)
+        out[order] = value
         return out
 
     def gradients(self, given: np.ndarray, fresh: np.ndarray, live: np.ndarray, word: np.ndarray, state: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Mean loss of a window, its gradients (the state that it begins with is taken as given), and the last state."""
-        h, g, kept = self.h, {k: np.zeros_like(v) for k, v in self.p.items()}, []
-        states, last = self.states(given, fresh, state, kept)
+        h, kind = self.h, self.p["u"].dtype
+        path, (z, r), new, added = self.states(given, fresh, state)
         at = np.flatnonzero(live.ravel())
-        n, flat, target = max(1, len(at)), states.reshape(-1, h)[at], word.ravel()[at]
-        logits = flat @ self.p["wc"] + self.p["bc"]
-        of = self.class_of[target]
-        delta = _softmax(logits)
-        loss = -float(np.log(delta[np.arange(len(at)), of]).sum())
-        delta[np.arange(len(at)), of] -= 1
-        delta /= n
-        g["wc"], g["bc"], back_flat = flat.T @ delta, delta.sum(0), delta @ self.p["wc"].T
-        for own, span, logits in self._members(flat, target):
-            row = np.arange(len(own))
-            delta = _softmax(logits)
-            loss -= float(np.log(delta[row, target[own] - span.start]).sum())
-            delta[row, target[own] - span.start] -= 1
-            delta /= n
-            g["wm"][span], g["bm"][span] = delta.T @ flat[own], delta.sum(0)
-            back_flat[own] += delta @ self.p["wm"][span]
-        onto = np.zeros_like(states).reshape(-1, h)
-        onto[at] = back_flat
-        onto = onto.reshape(states.shape)
-        back, dx_all = np.zeros_like(state), np.empty((*given.shape, 3 * h), np.float32)
-        for t in range(len(given) - 1, -1, -1):
-            before, s, z, r, new = kept[t]
-            da = back + onto[t]
-            dnew = da * (1 - z) * (1 - new * new)
-            dz = da * (before - new) * z * (1 - z)
-            dr = dnew * s[:, 2 * h :] * r * (1 - r)
-            dx_all[t] = np.concatenate([dz, dr, dnew], 1)
-            ds = np.concatenate([dz, dr, dnew * r], 1)
-            g["u"] += before.T @ ds
-            back = np.where(fresh[t][:, None], 0, da * z + ds @ self.p["u"].T).astype(np.float32)
-        order = np.argsort(given, axis=None, kind="stable")
-        words, first = np.unique(given.ravel()[order], return_index=True)
-        g["x"][words] = np.add.reduceat(dx_all.reshape(-1, 3 * h)[order], first)
-        return loss / n, g, last
+        n, states = max(1, len(at)), path[1:].reshape(-1, h)[at]
+        (of_class, of_word, calm), (order, flat, target, members) = self._outputs(states), self._by_class(states, word.ravel()[at])
+        of, loss, back_flat = self.class_of[target], 0.0, np.empty((len(at), h), kind)
+        g_class, g_word = np.zeros_like(of_class), np.zeros_like(of_word)
+        for lo in range(0, len(at), PLACES):
+            cut = slice(lo, lo + PLACES)
+            value, delta = _log_shares(flat[cut] @ of_class, of[cut], calm, n)
+            loss -= float(value.sum())
+            g_class += flat[cut].T @ delta
+            np.matmul(delta, self.p["wc"].T, out=back_flat[cut])
+        for lo, hi, a, b in members:
+            value, delta = _log_shares(flat[lo:hi] @ of_word[a:b].T, target[lo:hi] - a, calm, n)
+            loss -= float(value.sum())
+            g_word[a:b] = delta.T @ flat[lo:hi]
+            back_flat[lo:hi] += delta @ self.p["wm"][a:b]
+        da = np.zeros((*given.shape, h), kind)
+        da.reshape(-1, h)[at[order]] = back_flat
+        before = path[:-1].copy()
+        before[fresh] = 0
+        u, back, begins = self._split("u").transpose(0, 2, 1), np.zeros(state.shape, kind), fresh.any(1).tolist()
+        g_u, ds, onto_new = [np.zeros((h, h), kind) for _ in range(3)], np.empty_like(added), np.empty_like(new)
+        steps = max(1, PLACES // given.shape[1])
+        for end in range(len(given), 0, -steps):
+            cut = slice(max(0, end - steps), end)
+            # what a change of the state after a word means for update gate, reset gate and new contents, and for what the state adds to each
+            own, rest, onto = ds[:, cut], 1 - z[cut], onto_new[cut]
+            np.multiply(new[cut], new[cut], out=onto)
+            np.subtract(1, onto, out=onto)
+            onto *= rest
+            np.subtract(before[cut], new[cut], out=own[0])
+            own[0] *= z[cut]
+            own[0] *= rest
+            np.multiply(onto, r[cut], out=own[2])
+            np.multiply(own[2], added[2, cut], out=own[1])
+            own[1] *= 1 - r[cut]
+            for t in range(cut.stop - 1, cut.start - 1, -1):
+                now = da[t]
+                now += back
+                ds[:, t] *= now
+                through = np.matmul(ds[:, t], u)
+                np.multiply(now, z[t], out=back)
+                back += through[0]
+                back += through[1]
+                back += through[2]
+                if begins[t]:
+                    back[fresh[t]] = 0
+            onto *= da[cut]
+            rows = before[cut].reshape(-1, h).T
+            for k in range(3):
+                g_u[k] += rows @ own[k].reshape(-1, h)
+        g = {"x": np.zeros_like(self.p["x"]), "u": np.hstack(g_u), "wc": g_class[:h], "bc": g_class[h], "wm": g_word[:, :h], "bm": g_word[:, h]}
+        flat_given = given.ravel().astype(np.min_scalar_type(self.k))
+        order = np.argsort(flat_given, kind="stable")
+        words, first = np.unique(flat_given[order], return_index=True)
+        sorted_ = np.empty((len(order), 3 * h), kind)
+        for k, x in enumerate((ds[0], ds[1], onto_new)):
+            sorted_[:, k * h : (k + 1) * h] = np.take(x.reshape(-1, h), order, 0)
+        g["x"][words] = np.add.reduceat(sorted_, first)
+        return loss / n, g, path[-1]
 
     def fit(self, documents: list[np.ndarray], lanes: int = FIT_LANES, steps: int = FIT_STEPS, rounds: int = ROUNDS, rate: float = 0.012) -> None:
         """Adam over windows of documents that stream through lanes."""
@@ -222,7 +299,7 @@ class GatedLM:
     def go_on(self, documents: Iterator[np.ndarray], lanes: int = LANES, steps: int = FIT_STEPS, rate: float = SHARD_RATE) -> int:
         """One pass over documents that need not be held together; gives their number of tokens."""
         adam, state, tokens = Adam(self.p), np.zeros((lanes, self.h), np.float32), 0
-        for window in windows(enumerate(documents), self.start, lanes, steps):
+        for window in windows(enumerate(documents), self.start, lanes, steps, True):
             live = window.owner >= 0
             _, g, state = self.gradients(window.given, window.fresh, live, window.word, state[window.lanes])
             adam.step(g, _rate(rate, tokens / SHARD_TOKENS))
@@ -232,10 +309,10 @@ class GatedLM:
     def log_likelihoods(self, documents: Iterator[tuple[int, np.ndarray]], lanes: int = LANES, steps: int = STEPS) -> Iterator[tuple[int, float]]:
         """Key and natural logarithm of the probability of each document, in the order in which they end."""
         state, sums = np.zeros((lanes, self.h), np.float32), {}
-        for window in windows(documents, self.start, lanes, steps):
-            states, state = self.states(window.given, window.fresh, state[window.lanes])
-            at = np.flatnonzero(window.owner.ravel() >= 0)
-            value = self.log_probabilities(states.reshape(-1, self.h)[at], window.word.ravel()[at])
+        for window in windows(documents, self.start, lanes, steps, True):
+            path = self.states(window.given, window.fresh, state[window.lanes])[0]
+            state, at = path[-1], np.flatnonzero(window.owner.ravel() >= 0)
+            value = self.log_probabilities(path[1:].reshape(-1, self.h)[at], window.word.ravel()[at])
             keys, nth = np.unique(window.owner.ravel()[at], return_inverse=True)
             for key, part in zip(keys.tolist(), np.bincount(nth, value.astype(np.float64)).tolist()):
                 sums[key] = sums.get(key, 0.0) + part
@@ -243,14 +320,19 @@ class GatedLM:
                 yield key, sums.pop(key)
 
 
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    most = logits.max(1)
-    return most + np.log(np.exp(logits - most[:, None]).sum(1))
-
-
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def _log_shares(logits: np.ndarray, own: np.ndarray, calm: bool, of: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of each row's share for its own entry; and in place of the logits, if asked for a mean over so many rows, what a change of each means for the negative of that mean."""
+    if not calm:
+        logits -= logits.max(1, keepdims=True)
+    places = np.arange(0, logits.size, logits.shape[1]) + own
+    value = np.take(logits, places)
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    value -= np.log(total)
+    if of:
+        logits *= (1 / (of * total))[:, None]
+        logits.ravel()[places] -= logits.dtype.type(1 / of)
+    return value, logits
 
 
 @dataclass
@@ -265,19 +347,23 @@ class Window:
     ended: list[int]
 
 
-def windows(documents: Iterator[tuple[int, np.ndarray]], start: int, lanes: int, steps: int) -> Iterator[Window]:
-    """Documents (key, word ids) in lanes: where one ends the next begins, and lanes that get nothing more go."""
-    documents = iter(documents)
+def windows(documents: Iterator[tuple[int, np.ndarray]], start: int, lanes: int, steps: int, stretch: bool = False) -> Iterator[Window]:
+    """Documents (key, word ids) in lanes: where one ends the next begins, and lanes that get nothing more go. stretch: the fewer lanes are left, the longer are the windows, so that one long document does not take hundreds of them alone."""
+    documents, least, over = iter(documents), steps, False
     held: list[tuple[int, np.ndarray, int] | None] = [None] * lanes
     while True:
+        if stretch and over:
+            steps = least * lanes // max(1, sum(x is not None for x in held))
         given, word = (np.full((len(held), steps), start, np.int64) for _ in range(2))
         fresh, owner, ended = np.zeros((len(held), steps), bool), np.full((len(held), steps), -1, np.int64), []
+        most = 0
         for lane, now in enumerate(held):
             at = 0
             while at < steps:
                 if now is None:
                     key, ids = next(documents, (None, None))
                     if ids is None:
+                        over = True
                         break
                     now = key, np.concatenate([[start], ids]), 0
                 key, ids, pos = now
@@ -288,11 +374,11 @@ def windows(documents: Iterator[tuple[int, np.ndarray]], start: int, lanes: int,
                 if pos + n == len(ids) - 1:
                     ended.append(key)
                     now = None
-            held[lane] = now
+            held[lane], most = now, max(most, at)
         live = np.flatnonzero((owner >= 0).any(1))
         if not len(live):
             return
-        yield Window(*(np.ascontiguousarray(x[live].T) for x in (given, word, fresh, owner)), live, ended)
+        yield Window(*(np.ascontiguousarray(x[live, :most].T) for x in (given, word, fresh, owner)), live, ended)
         held = [held[k] for k in live]
 
 
@@ -348,7 +434,12 @@ def sample(learn: DataFrame, vocabulary: Vocabulary, max_fit: int = MAX_FIT) ->
         some = hashed.where(F.col("h") < F.lit(int(min(2.0 * max_fit / different, 1.0) * 2**64) - 2**63))
     some = some.dropDuplicates(["h"]).orderBy("h").limit(max_fit)
 
-    return [np.frombuffer(bytes(r["ids"]), np.int32) for r in sorted(encoded(some, vocabulary).collect())]
+    return [np.frombuffer(bytes(r["ids"]), vocabulary.kind) for r in sorted(encoded(some, vocabulary).collect())]
+
+
+def _stored(vocabulary: Vocabulary, ids: np.ndarray) -> bytes:
+    """Places among the common words as the network's ids; all words that are not its own have the last."""
+    return np.minimum(ids.astype(np.uint64), vocabulary.k).astype(vocabulary.kind).tobytes()
 
 
 def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -356,17 +447,18 @@ def encoded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.minimum(_ids(vocabulary, tokens_of(t.as_py())).astype(np.uint64), vocabulary.k).astype(np.int32).tobytes() for t in batch.column("text")]
+            ids = [_stored(vocabulary, _ids(vocabulary, tokens_of(t.as_py()))) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(ids, pa.binary())], ["h", "ids"])
 
     return texts.select("h", "text").mapInArrow(run, "h long, ids binary")
 
 
 def fit_on_all(learn: DataFrame, vocabulary: Vocabulary, net: GatedLM) -> None:
-    """Every training document once: copies of the network go through a shard each, and their parameters, averaged by tokens, are the network's."""
+    """Every training document once: copies of the network go through a shard each, and their parameters, averaged by tokens, are the network's. learn: texts, or h and ids of parts()."""
     names, shards = sorted(net.p), max(1, -(-vocabulary.total // SHARD_TOKENS))
-    hashed = learn.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    dealt = encoded(hashed, vocabulary).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    if "ids" not in learn.columns:
+        learn = encoded(learn.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))), vocabulary)
+    dealt = learn.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task may have several shards, one after the other."""
@@ -374,7 +466,7 @@ def fit_on_all(learn: DataFrame, vocabulary: Vocabulary, net: GatedLM) -> None:
         for shard, own in groupby(rows, key=lambda r: r[0]):
             copy = GatedLM(vocabulary, net.h)
             copy.p = {k: x.copy() for k, x in net.p.items()}
-            tokens = copy.go_on(np.frombuffer(ids, np.int32) for _, ids in own)
+            tokens = copy.go_on(np.frombuffer(ids, vocabulary.kind) for _, ids in own)
             flat = np.concatenate([copy.p[k].ravel() for k in names])
             cut = [flat[at : at + CHUNK] for at in range(0, len(flat), CHUNK)]
             cols = [shard] * len(cut), range(len(cut)), [tokens] * len(cut), cut
@@ -387,7 +479,8 @@ def fit_on_all(learn: DataFrame, vocabulary: Vocabulary, net: GatedLM) -> None:
         x = np.array(table["values"].combine_chunks().flatten()).reshape(len(n), -1)
         return pa.table({"part": table["part"][:1], "values": pa.array([(n @ x / n.sum()).astype(np.float32)], pa.list_(pa.float32()))})
 
-    learned = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "ids").mapInArrow(run, "shard int, part int, tokens long, values array<float>")
+    # twice as many ranges as shards, so that each has one to itself; by hash several would meet in a task
+    learned = dealt.repartitionByRange(2 * shards, "shard").sortWithinPartitions("shard", "h", "ids").mapInArrow(run, "shard int, part int, tokens long, values array<float>")
     found = learned.groupBy("part").applyInArrow(mean, "part int, values array<float>").collect()
     if not found:
         return
@@ -396,58 +489,76 @@ def fit_on_all(learn: DataFrame, vocabulary: Vocabulary, net: GatedLM) -> None:
         net.p[k], at = flat[at : at + net.p[k].size].reshape(net.p[k].shape), at + net.p[k].size
 
 
-def parts(documents: DataFrame, vocabulary: Vocabulary, net: GatedLM) -> DataFrame:
-    """What a task can say of each document: sums over its common words, and its other words with how often they occur."""
+def parts(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """What counts say of each document: sums over its common words, and its other words with how often they occur; and the network's ids of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, waiting = TaskContext.get().partitionId() << 33, {}
-
-        def read() -> Iterator[tuple[int, np.ndarray]]:
-            nonlocal row
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    tokens = tokens_of(text.as_py())
-                    ids = _ids(vocabulary, tokens)
-                    known = ids[ids >= 0]
-                    others = Counter(tokens[k] for k in np.flatnonzero(ids < 0).tolist())
-                    waiting[row] = doc_id, len(tokens), len(known), float(vocabulary.base[known].sum()), float(vocabulary.other[known].sum()), others
-                    yield row, np.minimum(ids.astype(np.uint64), vocabulary.k).astype(np.int64)
-                    row += 1
-
-        def out(done: list[tuple]) -> pa.RecordBatch:
-            rows, ids, n, known, base, score, others = zip(*done)
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            sums, stored, others = [], [], []
+            for text in batch.column("text"):
+                tokens = tokens_of(text.as_py())
+                ids = _ids(vocabulary, tokens)
+                known = ids[ids >= 0]
+                sums.append((row, len(tokens), len(known), float(vocabulary.base[known].sum()), float(vocabulary.other[known].sum())))
+                stored.append(_stored(vocabulary, ids))
+                others.append(Counter(tokens[k] for k in np.flatnonzero(ids < 0).tolist()))
+                row += 1
+            if not sums:
+                continue
+            rows, n, known, base, score = (pa.array(c) for c in zip(*sums))
             words, times = [w for o in others for w in o], [t for o in others for t in o.values()]
             pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, others)]), pa.int32()), pairs)
-            plain = (pa.array(c, k) for c, k in ((rows, pa.int64()), (ids, pa.int64()), (n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (score, pa.float64())))
-            return pa.RecordBatch.from_arrays([*plain, lists], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "others"])
+            cols = [rows, batch.column("doc_id"), n, known, base, score, batch.column("h"), pa.array(stored, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "n_known", "base", "score", "h", "ids", "others"])
+
+    return id_text(documents).withColumn("h", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).mapInArrow(run, PARTS)
+
+
+def with_network(found: DataFrame, vocabulary: Vocabulary, net: GatedLM) -> DataFrame:
+    """The sums of parts(), with what the network says of each document's ids added to its score."""
+    names = [f.split()[0] for f in SUMS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, tuple] = {}
+
+        def read() -> Iterator[tuple[int, np.ndarray]]:
+            for batch in batches:
+                for *sums, ids in zip(*(batch.column(name).to_pylist() for name in names), batch.column("ids")):
+                    waiting[sums[0]] = sums
+                    yield sums[0], np.frombuffer(ids.as_buffer(), vocabulary.kind)
+
+        def out(done: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 4 else pa.float64()) for k, c in enumerate(zip(*done))], names)
 
-        done: list[tuple] = []
+        done: list[list] = []
         for key, value in net.log_likelihoods(read()):
-            doc_id, n, known, base, score, others = waiting.pop(key)
-            done.append((key, doc_id, n, known, base, score + value / math.log(10), others))
+            *sums, score = waiting.pop(key)
+            done.append([*sums, score + value / math.log(10)])
             if len(done) >= 512:
                 yield out(done)
                 done = []
         if done:
             yield out(done)
 
-    return id_text(documents).mapInArrow(run, PARTS)
+    return found.select(*names, "ids").mapInArrow(run, SUMS)
 
 
 def score(documents: DataFrame, max_fit: int = MAX_FIT, model_words: int = MODEL_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     rows = id_text(documents)
     out_of = held_out(F.col("doc_id"), 5, 1)
-    learn = rows.where(F.col("doc_id").isNotNull() & ~out_of).select("text")
+    own = F.col("doc_id").isNotNull() & ~out_of
+    learn = rows.where(own).select("text")
     counts = spool(word_counts(learn), "word-counts")
     vocabulary = vocabulary_of(counts, model_words)
     net = GatedLM(vocabulary)
     net.fit(sample(learn, vocabulary, max_fit))
-    fit_on_all(learn, vocabulary, net)
-    found = spool(parts(documents, vocabulary, net), "lm-parts")
+    found = spool(parts(documents, vocabulary), "lm-parts")
+    fit_on_all(found.where(own).select("h", "ids"), vocabulary, net)
     others = found.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.times").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0)) + 0.5
     more = others.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * F.log10(c / vocabulary.base_over)).alias("base"), (F.col("times") * F.log10(c / vocabulary.other_over)).alias("score"))
-    sums = found.drop("others").unionByName(more).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")))
+    sums = with_network(found, vocabulary, net).unionByName(more).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")))
     return sums.select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -168,6 +168,37 @@ def test_every_training_document_changes_the_network(spark, monkeypatch):
     assert called == [sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows)]
 
 
+def test_copies_of_a_text_are_spread_over_shards_and_words_are_numbered_once(spark, monkeypatch):
+    """Learning gets the ids that scoring gets, and documents with one text do not meet in one shard."""
+    given = []
+    monkeypatch.setattr(lm, "fit_on_all", lambda learn, v, net: given.extend(learn.collect()))
+    rows = [(i, "same words again and again") for i in range(300)]
+    assert lm.score(frame(spark, rows)).count() == 300
+    assert len({bytes(r["ids"]) for r in given}) == 1 and len(given) == sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(300))
+    shards = Counter(r["h"] % 4 for r in given)
+    assert len(shards) == 4 and max(shards.values()) < 0.5 * len(given)
+
+
+def test_a_long_document_does_not_take_windows_alone():
+    docs = [np.full(n, 1) for n in (1000, 1, 7, 30, 3)]
+    found = list(lm.windows(enumerate(docs), 0, 4, 5, True))
+    assert len(found) <= 2 + 1000 // 20 + 5 and all(w.word.size <= 4 * 5 for w in found)
+    assert [int(sum((w.owner == k).sum() for w in found)) for k in range(5)] == [1000, 1, 7, 30, 3]
+    assert sorted(k for w in found for k in w.ended) == [0, 1, 2, 3, 4]
+    assert all((w.owner[-1] >= 0).any() for w in found)
+
+
+def test_large_logits(spark):
+    """Beyond what single precision can exponentiate."""
+    v, rng = toy(), np.random.default_rng(3)
+    net = some_net(v)
+    net.p["wm"] *= 150
+    net.p["wc"] *= 150
+    docs = [rng.integers(0, v.k + 1, n) for n in (1, 9, 5)]
+    for k, value in net.log_likelihoods(enumerate(docs), 2, 4):
+        assert value == pytest.approx(plain(net, v, docs[k]), rel=1e-3)
+
+
 def test_common_words_are_the_most_frequent_ones(spark):
     rows = [(f"w{k:03}".encode(), 1 + k * k) for k in range(200)] + [(b"x" * 300, 10**6)]
     v = lm.vocabulary_of(spark.createDataFrame(rows, "word binary, c long").repartition(4), 10, 50)
