@@ -17,6 +17,8 @@ _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" \s| $")
 _PARTS = re.compile(r"([^\W\d_]+)([^\w\s]*)(?:\n([^\W\d_]+)([^\w\s]*))?")
 CACHE_ENTRIES = 350_000
+#: New words that are encoded in one go.
+RUN = 20_000
 
 
 class WordEncoder:
@@ -29,24 +31,31 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        #: Bytes that each id stands for; a byte-level vocabulary writes a byte as one character.
+        self.bytes_of = np.zeros(self.vocab_size, np.int64)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.bytes_of[k] = len(token)
         self.cache: dict[str, bytes] = {}
         self.cache_entries = cache_entries
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str], sep: str) -> list[bytes]:
         """Ids of letters-only words, encoded as running text: each with its space (sep " ") or as the start of a line (sep newline)."""
         out: list[bytes] = []
-        step = 1 if sep == " " else 2  # a newline is a word of its own
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            e = self.tokenizer.encode(sep + sep.join(part), add_special_tokens=False)
-            ids, of = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
-            if len(ids) and of[-1] == step * len(part) - 1:
-                first = np.arange(len(part)) * step + step - 1
-                lo, hi = np.searchsorted(of, first), np.searchsorted(of, first, side="right")
-                out += [ids[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist())]
+        for at in range(0, len(words), RUN):
+            part = words[at : at + RUN]
+            run = sep + sep.join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([run], add_special_tokens=False)[0].ids, dtype="<u4")
+            size = np.fromiter(map(len, part if run.isascii() else map(str.encode, part)), np.int64, len(part))
+            stop = np.cumsum(size + 1)
+            begin = stop - size - (sep == " ")  # a newline is a word of its own
+            ends = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
+            lo, hi = (np.minimum(np.searchsorted(ends, x), len(ids)) for x in (begin, stop))
+            if np.array_equal(ends[lo], begin) and np.array_equal(ends[hi], stop):  # ids end where words do
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip((4 * lo).tolist(), (4 * hi).tolist())]
             else:
                 out += self._direct([sep.strip(" ") and w or " " + w for w in part])
         return out
@@ -54,25 +63,23 @@ class WordEncoder:
     def _learn(self, cuts: set[str]) -> None:
         """Enter cuts, each as it stands after its space. Marked keys: \0 for tails, \1 for words that begin a line."""
         cache, other, made = self.cache, [], []
-        spaced, lines, tails = {}, {}, {}
-        for cut in cuts:
-            if cut.isalpha():  # most of them
-                spaced[cut] = None
-                continue
+        spaced, lines, tails = dict.fromkeys(filter(str.isalpha, cuts)), {}, {}  # most of them are words
+        for cut in filterfalse(str.isalpha, cuts):
             m = _PARTS.fullmatch(cut)
             if m is None or not m[1].isalpha() or (m[3] and not m[3].isalpha()):
                 other.append(cut)
                 continue
             word, tail, word2, tail2 = m.groups()
             made.append((cut, word, tail, word2, tail2))
-            spaced[word] = None
+            if word not in cache:
+                spaced[word] = None
             if tail:
                 tails[tail] = None
             if word2:
                 lines[word2] = None
                 if tail2:
                     tails[tail2] = None
-        spaced = [w for w in spaced if w not in cache]
+        spaced = list(spaced)
         lines = [w for w in lines if "\1" + w not in cache]
         tails = [t for t in [*tails, "\n"] if "\0" + t not in cache]
         cache.update(zip(spaced, self._words(spaced, " ")))
@@ -110,13 +117,22 @@ class WordEncoder:
                 for k in list(islice(reversed(self.cache), self.cache_entries // 3)):  # the frequent words came early
                     del self.cache[k]
             missing: set[str] = set()
-            cache = self.cache
-            for c in cuts:
-                missing.update(filterfalse(cache.__contains__, islice(c, 1, None)))
+            found, holes = [], []
+            for c in cuts:  # every cut is looked up once; new ones leave holes
+                ids = list(map(self.cache.get, c))
+                ids[0] = b""
+                hole = [k for k, x in enumerate(ids) if x is None]
+                missing.update([c[k] for k in hole])
+                found.append(ids)
+                holes.append(hole)
             if missing:
                 self._learn(missing)
             heads = self._direct([c[0] for c in cuts])
-            out += [h + b"".join(map(cache.__getitem__, islice(c, 1, None))) for h, c in zip(heads, cuts)]
+            for c, ids, hole, head in zip(cuts, found, holes, heads):
+                ids[0] = head
+                for k in hole:
+                    ids[k] = self.cache[c[k]]
+                out.append(b"".join(ids))
         return out
 
 

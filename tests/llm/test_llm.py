@@ -369,6 +369,35 @@ def test_ids_are_those_of_the_plain_library_call():
     assert [np.frombuffer(x, "<u4").tolist() for x in WordEncoder(bpe_path()).encode(texts)] == [encode(t) for t in texts]
 
 
+def test_a_word_is_looked_up_once():
+    """And ids are still the library's: of letters beyond ASCII, of letters that only one side knows as such, of lines and tails."""
+    from heliograph.llm.tokens import WordEncoder
+
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return dict.__contains__(self, key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return dict.__getitem__(self, key)
+
+        def get(self, key):
+            Counted.asked += 1
+            return dict.get(self, key)
+
+    odd = "".join(map(chr, (0x1E922, 0x2EBF0, 0x1DF25, 0x10D4A, 0xA7DA)))
+    texts = ["zum straße été Ωmega", f"x {odd} a{odd[1]}b {odd[4]} end", "one,\ntwo three.\nVier fünf! \n six", "e\u0301 a\u0308b 中文 字", "it's they've x"]
+    enc = WordEncoder(bpe_path())
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [encode(t) for t in texts]
+    enc.cache = Counted(enc.cache)
+    again = enc.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in again] == [encode(t) for t in texts]
+    assert Counted.asked <= sum(t.count(" ") + 1 for t in texts)
+
+
 def test_width_of_ids_follows_the_vocabulary():
     from heliograph.llm.tokens import WordEncoder
 
