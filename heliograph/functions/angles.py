@@ -34,6 +34,8 @@ PIVOTS, SAMPLE = 128, 4096
 SLACK = 1e-6
 #: Scores that a task works out, about; blocks of nodes that a block of queries goes through in one go; bytes of blocks that a task keeps open.
 SCORES, SHARE, OPEN = 1 << 26, 16, 64 << 20
+#: Rows of a block that are compared at a time, and pairs for each of them that are scored by themselves; of more the rows are compared in double precision.
+ROWS, PAIRS = 256, 16
 BLOCK = "length int, cell int, path string, n int, lo array<double>, hi array<double>"
 
 
@@ -258,6 +260,19 @@ def _top(found: pa.Table, floor: np.ndarray, k: int) -> tuple[pa.Table, np.ndarr
     return found.filter(pa.array(nth < k)), floor
 
 
+def reaching(x: np.ndarray, y: np.ndarray, short: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places (i, j) where x[i] @ y[j] is floor[i] or more, and that value. short: y in single precision, which rules out nearly all by a bar lower by more than its error; the others are scored in double precision."""
+    slack = (x.shape[1] + 8) * 2.0**-23
+    bars, first, out = (floor - slack).astype(np.float32), x.astype(np.float32), []
+    for at in range(0, len(x), ROWS):
+        cut = slice(at, at + ROWS)
+        i, j = np.divmod(np.flatnonzero(first[cut] @ short.T >= bars[cut, None]), len(y))
+        score = (x[cut] @ y.T)[i, j] if len(i) > PAIRS * ROWS else np.einsum("ij,ij->i", x[cut][i], y[j])
+        good = score >= floor[cut][i]
+        out.append((i[good] + at, j[good], score[good]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def best(pairs: DataFrame, k: int, least: float | None, schema: str) -> DataFrame:
     """Of each query the k best nodes in each share of the blocks of nodes. A block of queries goes through those of a share one after the other, nearest first, with the bar of each query rising, until no other can hold an answer."""
     sized = pairs.agg(F.sum(F.col("n_a").cast("long") * F.col("n_b")).alias("scores"), F.count_distinct("path_b").alias("blocks")).first()
@@ -265,13 +280,14 @@ def best(pairs: DataFrame, k: int, least: float | None, schema: str) -> DataFram
     groups = keep(pairs.groupBy(share.alias("share"), "path_a").agg(F.sort_array(F.collect_list(F.struct("apart", "path_b"))).alias("others")), "shares")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[str, tuple[pa.Array, np.ndarray]] = OrderedDict()
+        held: OrderedDict[str, tuple[pa.Array, np.ndarray, np.ndarray]] = OrderedDict()
 
-        def opened(path: str) -> tuple[pa.Array, np.ndarray]:
+        def opened(path: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
             if path not in held:
                 table = read_block(path)
-                held[path] = table["id"].combine_chunks(), unit(table)
-                while len(held) > 1 and sum(y.nbytes for _, y in held.values()) > OPEN:
+                y = unit(table)
+                held[path] = table["id"].combine_chunks(), y, y.astype(np.float32)
+                while len(held) > 1 and sum(y.nbytes + short.nbytes for _, y, short in held.values()) > OPEN:
                     held.popitem(last=False)
             held.move_to_end(path)
             return held[path]
@@ -286,10 +302,9 @@ def best(pairs: DataFrame, k: int, least: float | None, schema: str) -> DataFram
                 for other in others:
                     if other["apart"] > bar_of(float(floor.min())) + SLACK:
                         break
-                    ids, y = opened(other["path_b"])
-                    raw = x @ y.T
-                    i, j = np.nonzero(raw >= floor[:, None])
-                    score = V.rounded(raw[i, j])
+                    ids, y, short = opened(other["path_b"])
+                    i, j, score = reaching(x, y, short, floor)
+                    score = V.rounded(score)
                     if least is not None:
                         i, j, score = (c[score >= least] for c in (i, j, score))
                     if len(i):

@@ -115,6 +115,18 @@ def test_top_k_opens_few_blocks_of_clustered_vectors(spark):
     assert met.count() < 0.1 * a.count() * b.count()
 
 
+def test_single_precision_rules_out_nothing_that_counts():
+    """Bars at the very values, next to them, and so low that every pair counts."""
+    x, y = (V._units(RNG.normal(size=(n, 48))) for n in (600, 500))
+    y[:50], y[50:60] = x[:50], 0
+    exact = x @ y.T
+    for floor in (np.sort(exact, 1)[:, -5], np.sort(exact, 1)[:, -5] + 1e-9, np.full(600, -2.0), np.full(600, 2.0)):
+        i, j, score = A.reaching(x, y, y.astype(np.float32), floor - 1e-12)
+        want = np.nonzero(exact >= floor[:, None] - 1e-12)
+        assert np.array_equal(i, want[0]) and np.array_equal(j, want[1])
+        assert np.abs(score - exact[want]).max(initial=0) < 1e-14
+
+
 def test_no_pair_within_the_bar_is_ruled_out(spark):
     x = np.concatenate([clustered(300, 6, 5, 0.3), np.zeros((3, 5))])
     v = A.usable(frame(spark, x))
