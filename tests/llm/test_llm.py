@@ -398,6 +398,27 @@ def test_a_word_is_looked_up_once():
     assert Counted.asked <= sum(t.count(" ") + 1 for t in texts)
 
 
+def test_a_word_that_occurs_often_is_looked_up_once_for_many_texts():
+    """With a mark behind it or without. And a cut that looks like a key of a tail or of a line is none."""
+    from heliograph.llm.tokens import WordEncoder
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return dict.get(self, key)
+
+    texts = ["x" + " word, word. word" * 300 + " end", "y word word\nword word,"]
+    enc = WordEncoder(bpe_path())
+    enc.encode(texts)
+    enc.cache = Counted(enc.cache)
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [encode(t) for t in texts]
+    assert Counted.asked <= 10
+    odd = ["a one,,\nTwo \0,, \1Two b", "a \0, \1Two b,", "a  b, c.\n\n\nd e;\n", "a\nb \nc, \td", " lead", "trail, ", "\n", "a .\nb , c"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(odd)] == [encode(t) for t in odd]
+
+
 def test_width_of_ids_follows_the_vocabulary():
     from heliograph.llm.tokens import WordEncoder
 
