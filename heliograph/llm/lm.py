@@ -22,13 +22,13 @@ empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -382,23 +382,54 @@ def windows(documents: Iterator[tuple[int, np.ndarray]], start: int, lanes: int,
         held = [held[k] for k in live]
 
 
+def numbered(texts: pa.Array) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """tokens_of() many texts: the different words, with the end as the last; the number of each token's among them, text by text; and how many tokens each text has."""
+    if texts.offset:  # ascii_lower of a slice goes wrong
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words, size = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # before and behind whitespace at an end
+    if empty.any():
+        size -= np.bincount(np.repeat(np.arange(len(size)), size)[empty], minlength=len(size))
+        words = words.filter(pa.array(~empty))
+    words = words.dictionary_encode()
+    different = words.dictionary.cast(pa.large_binary())
+    ends = np.cumsum(size + 1) - 1
+    nth = np.full(len(words) + len(size), len(different), np.int64)
+    inner = np.ones(len(nth), bool)
+    inner[ends] = False
+    nth[inner] = words.indices.to_numpy()
+    return pa.concat_arrays([different, pa.array([END], pa.large_binary())]), nth, size + 1
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """word and c, the number of times that it occurs in all texts, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, many = [], 0
+
+        def summed() -> tuple[pa.LargeBinaryArray, np.ndarray]:
+            words = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+            return words.dictionary, np.bincount(words.indices.to_numpy(), np.concatenate([c for _, c in held]), len(words.dictionary))
 
         def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
-            held.clear()
-            return got
+            words, c = summed()  # doubles, exact below 2^53
+            return pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(c.astype(np.int64))], ["word", "c"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                held.update(tokens_of(text.as_py()))
-                if len(held) >= HELD_WORDS:
+            if not batch.num_rows:
+                continue
+            different, nth, _ = numbered(batch.column("text"))
+            held.append((different, np.bincount(nth, minlength=len(different))))
+            many += len(different)
+            if many >= 3 * HELD_WORDS:
+                held = [summed()]
+                many = len(held[0][0])
+                if many >= HELD_WORDS:
                     yield out()
-        yield out()
+                    held, many = [], 0
+        if held:
+            yield out()
 
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -495,21 +526,25 @@ def parts(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            sums, stored, others = [], [], []
-            for text in batch.column("text"):
-                tokens = tokens_of(text.as_py())
-                ids = _ids(vocabulary, tokens)
-                known = ids[ids >= 0]
-                sums.append((row, len(tokens), len(known), float(vocabulary.base[known].sum()), float(vocabulary.other[known].sum())))
-                stored.append(_stored(vocabulary, ids))
-                others.append(Counter(tokens[k] for k in np.flatnonzero(ids < 0).tolist()))
-                row += 1
-            if not sums:
+            if not batch.num_rows:
                 continue
+            different, nth, size = numbered(batch.column("text"))
+            of = _ids(vocabulary, different.to_numpy(zero_copy_only=False).tolist())
+            ids, stop = of[nth], np.cumsum(size)
+            sums = []
+            for lo, hi in zip((stop - size).tolist(), stop.tolist()):
+                known = ids[lo:hi]
+                known = known[known >= 0]
+                sums.append((row, hi - lo, len(known), float(vocabulary.base[known].sum()), float(vocabulary.other[known].sum())))
+                row += 1
             rows, n, known, base, score = (pa.array(c) for c in zip(*sums))
-            words, times = [w for o in others for w in o], [t for o in others for t in o.values()]
-            pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, others)]), pa.int32()), pairs)
+            at = np.flatnonzero(ids < 0)
+            found, times = np.unique(np.searchsorted(stop, at, "right") * len(different) + nth[at], return_counts=True)
+            whose, word = np.divmod(found, len(different))
+            pairs = pa.StructArray.from_arrays([different.take(pa.array(word)).cast(pa.binary()), pa.array(times.astype(np.int64))], ["word", "times"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(whose, np.arange(len(size) + 1)), pa.int32()), pairs)
+            flat = _stored(vocabulary, ids)
+            stored = [flat[lo:hi] for lo, hi in zip((vocabulary.kind.itemsize * (stop - size)).tolist(), (vocabulary.kind.itemsize * stop).tolist())]
             cols = [rows, batch.column("doc_id"), n, known, base, score, batch.column("h"), pa.array(stored, pa.binary()), lists]
             yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "n_known", "base", "score", "h", "ids", "others"])
 
@@ -557,7 +592,7 @@ def score(documents: DataFrame, max_fit: int = MAX_FIT, model_words: int = MODEL
     net.fit(sample(learn, vocabulary, max_fit))
     found = spool(parts(documents, vocabulary), "lm-parts")
     fit_on_all(found.where(own).select("h", "ids"), vocabulary, net)
-    others = found.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.times").join(counts, "word", "left")
+    others = found.select("row", F.explode("others").alias("o")).select("row", "o.word", "o.times").join(counts.hint("shuffle_hash"), "word", "left")
     c = F.coalesce("c", F.lit(0)) + 0.5
     more = others.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * F.log10(c / vocabulary.base_over)).alias("base"), (F.col("times") * F.log10(c / vocabulary.other_over)).alias("score"))
     sums = with_network(found, vocabulary, net).unionByName(more).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")))

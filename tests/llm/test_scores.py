@@ -179,6 +179,22 @@ def test_copies_of_a_text_are_spread_over_shards_and_words_are_numbered_once(spa
     assert len(shards) == 4 and max(shards.values()) < 0.5 * len(given)
 
 
+@pytest.mark.parametrize("held", [1, 400_000])
+def test_words_of_many_texts_are_numbered_together(spark, monkeypatch, held):
+    import pyarrow as pa
+
+    texts = [*TEXTS, "a\x0b", " K İ \x1c b\tc", None]
+    for part in (pa.array(texts), pa.array(["ÀÉ", *texts, "ü"])[1:-1], pa.array([None], pa.string())):  # slices too
+        words, nth, size = lm.numbered(part)
+        words = words.to_pylist()
+        want = [lm.tokens_of(t) for t in part.to_pylist()]
+        assert [words[k] for k in nth] == [w for t in want for w in t] and size.tolist() == list(map(len, want))
+        assert len(set(words)) == len(words) and words[-1] == lm.END
+    monkeypatch.setattr(lm, "HELD_WORDS", held)
+    found = lm.word_counts(frame(spark, list(enumerate(texts))).select("text"))
+    assert {bytes(r["word"]): r["c"] for r in found.collect()} == Counter(w for t in texts for w in lm.tokens_of(t))
+
+
 def test_a_long_document_does_not_take_windows_alone():
     docs = [np.full(n, 1) for n in (1000, 1, 7, 30, 3)]
     found = list(lm.windows(enumerate(docs), 0, 4, 5, True))
